@@ -18,7 +18,7 @@ RX_EDGE_SPACE = r"(?U)^\s+|\s+$"
 RX_WHITESPACE_ISSUE = r"^\s+|\s+$|\s{2,}"
 RX_NUMBER_JUNK = r"[$€£₹¥,\s]"
 RX_NUMBER_JUNK_PERCENT = r"[$€£₹¥,%\s]"
-RX_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+RX_NUMBER = r"^[+-]?(\d{1,200}(\.\d*)?|\.\d+)([eE](\+?\d{1,2}|-\d{1,3}))?$"
 RX_NULL_WORD = r"(?i)^(null|none|nan|n/a|-)$"
 RX_BOOLEAN = r"(?i)^(true|false|yes|no)$"
 RX_EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -33,7 +33,7 @@ RX_DATE_YMD = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})([T ].*)?$"
 RX_DATE_MDY = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
 RX_DATE_MDY_SHORT = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})$"
 RX_DATE_MONTH_NAME = r"^([A-Za-z]{3,9})\s(\d{1,2}),?\s(\d{4})$"
-MONTH_LETTERS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 PII_NAMES_SERVER = ("name", "email", "phone", "ssn", "card", "address", "password", "user", "customer")
 PII_NAMES_SHORT = ("name", "email", "phone", "ssn", "card", "user")
@@ -75,11 +75,10 @@ def parse_numeric(c, scale_percent: bool = True) -> Column:
     cell = text(c)
     bare = F.regexp_replace(cell, RX_NUMBER_JUNK_PERCENT, "")
     number = F.when(bare.rlike(RX_NUMBER), bare.try_cast("double"))
-    finite = F.when(F.abs(number) < float("inf"), number)
     if not scale_percent:
-        return finite
+        return number
     ends_percent = F.regexp_replace(cell, RX_NUMBER_JUNK, "").endswith("%")
-    return F.when(ends_percent, finite / 100).otherwise(finite)
+    return number / F.when(ends_percent, 100.0).otherwise(1.0)
 
 
 def to_numeric_strip(c) -> Column:
@@ -92,12 +91,11 @@ def finite_or_null(c) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def parse_date(c) -> Column:
-    """Calendar date of an ISO, month-first or month-name cell; null when it is none of these."""
-    cell = trim_ws(c)
+def _date_of(cell: Column) -> Column:
     year_short = F.regexp_extract(cell, RX_DATE_MDY_SHORT, 3).try_cast("int")
     century = F.when(year_short < 50, F.lit("20")).otherwise(F.lit("19"))
-    month_at = F.instr(F.lit(MONTH_LETTERS), F.lower(F.substring(F.regexp_extract(cell, RX_DATE_MONTH_NAME, 1), 1, 3)))
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, start=1) for x in (m, str(i))])
+    month = F.try_element_at(numbers, F.lower(F.substring(F.regexp_extract(cell, RX_DATE_MONTH_NAME, 1), 1, 3)))
     iso = (
         F.when(cell.rlike(RX_DATE_YMD), F.regexp_replace(cell, RX_DATE_YMD, "$1-$2-$3"))
         .when(cell.rlike(RX_DATE_MDY), F.regexp_replace(cell, RX_DATE_MDY, "$3-$1-$2"))
@@ -106,12 +104,11 @@ def parse_date(c) -> Column:
             F.concat(century, F.regexp_replace(cell, RX_DATE_MDY_SHORT, "$3-$1-$2")),
         )
         .when(
-            cell.rlike(RX_DATE_MONTH_NAME) & (month_at % 3 == 1),
-            F.concat(
+            cell.rlike(RX_DATE_MONTH_NAME),
+            F.concat_ws(
+                "-",
                 F.regexp_extract(cell, RX_DATE_MONTH_NAME, 3),
-                F.lit("-"),
-                ((month_at + 2) / 3).cast("int").cast("string"),
-                F.lit("-"),
+                F.coalesce(month, F.lit("?")),
                 F.regexp_extract(cell, RX_DATE_MONTH_NAME, 2),
             ),
         )
@@ -119,14 +116,24 @@ def parse_date(c) -> Column:
     return iso.try_cast("date")
 
 
+def _long_enough(cell: Column) -> Column:
+    return (F.length(cell) >= 6) & ~cell.rlike(RX_DIGITS)
+
+
+def parse_date(c) -> Column:
+    """Calendar date of an ISO, month-first or month-name cell; null when it is none of these."""
+    return _date_of(trim_ws(c))
+
+
 def is_valid_date(c) -> Column:
     cell = trim_ws(c)
-    return F.coalesce((F.length(cell) >= 6) & ~cell.rlike(RX_DIGITS) & parse_date(c).isNotNull(), F.lit(False))
+    return F.coalesce(_long_enough(cell) & _date_of(cell).isNotNull(), F.lit(False))
 
 
 def iso_date(c) -> Column:
     """``yyyy-MM-dd`` when the cell is a date, otherwise the cell unchanged."""
-    return F.when(is_valid_date(c), F.date_format(parse_date(c), "yyyy-MM-dd")).otherwise(text(c))
+    cell = trim_ws(c)
+    return F.coalesce(F.when(_long_enough(cell), F.date_format(_date_of(cell), "yyyy-MM-dd")), text(c))
 
 
 def infer_value_type(c) -> Column:
@@ -142,7 +149,7 @@ def infer_value_type(c) -> Column:
         .when(cell.rlike(RX_PERCENT), "percentage")
         .when(cell.rlike(RX_INTEGER), "integer")
         .when(cell.rlike(RX_FLOAT), "float")
-        .when(is_valid_date(cell), "date")
+        .when(_long_enough(cell) & _date_of(cell).isNotNull(), "date")
         .otherwise("string")
     )
 

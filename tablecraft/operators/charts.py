@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablecraft.functions.cells import text, trim_ws
+from tablecraft.functions.cells import text
 from tablecraft.operators.lookup import attach
 from tablecraft.operators.projection import as_number, is_numeric
+from tablecraft.operators.typing_ops import value_table
 from tablecraft.operators.quantiles import column_quantiles, group_quantiles
 
 TOP_K = 25
@@ -135,9 +136,8 @@ def chart_histogram(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     ranges = histogram(values, "v", bins=max(5, few) if few < 8 else 10)
     start, end = F.round("bin_start", 1), F.round("bin_end", 1)
     whole = (start == F.floor(start)) & (end == F.floor(end))
-    label = F.when(
-        whole, F.concat_ws(" - ", start.cast("bigint").cast("string"), end.cast("bigint").cast("string"))
-    ).otherwise(F.concat_ws(" - ", F.format_number(start, "0.0"), F.format_number(end, "0.0")))
+    label = F.when(whole, F.format_string("%d - %d", start.cast("bigint"), end.cast("bigint"))).otherwise(
+        F.format_string("%.1f - %.1f", start, end))
     return ranges.select(label.alias("label"), "count", "bin_start", "bin_end")
 
 
@@ -346,8 +346,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
     if approx:
         wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
         return wide.unpivot([], columns, "column", "distinct")
-    cells = df.select(*[text(c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    pairs = cells.filter("value is not null").groupBy("column", "value").count()
+    pairs = value_table(df, columns).filter("value is not null")
     found = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("distinct"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions.cells import blank_missing, finite_or_null, is_missing
 from tablecraft.operators.ordering import fill_along
@@ -31,34 +31,36 @@ def iso_timestamps(df: DataFrame) -> DataFrame:
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest on ties; counts are combined before the shuffle."""
-    kinds = dict(df.dtypes)
     out = {}
     for c in columns:
         counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
         best = counts.orderBy(F.desc("_n"), c).limit(1).collect()
         out[c] = best[0][c] if best else None
-    assert set(out) <= set(kinds)
     return out
 
 
 def fit_fill(df: DataFrame, methods: Mapping[str, str], approx: bool = False) -> dict[str, object]:
     """Replacement value per column for mean, median, mode, zero, unknown or ``=constant``."""
     present = {c: m for c, m in methods.items() if c in df.columns}
-    means = [c for c, m in present.items() if m == "mean"]
-    medians = [c for c, m in present.items() if m == "median"]
-    modes = [c for c, m in present.items() if m == "mode"]
+    measured = [c for c, m in present.items() if m in ("mean", "median", "mode")]
     fill: dict[str, object] = {}
-    if means:
-        fill.update(df.agg(*[F.avg(as_number(df, c)).alias(c) for c in means]).first().asDict())
-    if medians:
+    if measured:
+        # One pass finds the columns with gaps and the means; columns without gaps are left alone.
+        facts = df.agg(
+            *[F.count_if(F.col(c).isNull()).alias(f"gaps_{c}") for c in measured],
+            *[F.avg(as_number(df, c)).alias(f"mean_{c}") for c in measured if present[c] == "mean"],
+        ).first()
+        gappy = [c for c in measured if facts[f"gaps_{c}"]]
+        fill.update({c: facts[f"mean_{c}"] for c in gappy if present[c] == "mean"})
+        medians = [c for c in gappy if present[c] == "median"]
         numbers = df.select(*[as_number(df, c).alias(c) for c in medians])
         found = column_quantiles(numbers, medians, [0.5], approx=approx)
         fill.update({c: (q[0] if q else None) for c, q in found.items()})
-    fill.update(column_modes(df, modes))
+        fill.update(column_modes(df, [c for c in gappy if present[c] == "mode"]))
     for c, m in present.items():
         if m == "zero":
             fill[c] = 0
-        elif m == "unknown" or (m == "mode" and fill.get(c) is None):
+        elif m == "unknown" or (m == "mode" and c in fill and fill[c] is None):
             fill[c] = "Unknown"
         elif m.startswith("="):
             fill[c] = m[1:]
@@ -114,7 +116,3 @@ def missing_report(df: DataFrame) -> DataFrame:
     long = wide.unpivot(["_rows"], names, "column", "missing")
     pct = F.coalesce(F.try_divide(F.col("missing") * 100.0, F.col("_rows")), F.lit(0.0))
     return long.select("column", "missing", pct.alias("missing_pct"))
-
-
-def stats_row(df: DataFrame, *aggregates) -> Row:
-    return df.agg(*aggregates).first()

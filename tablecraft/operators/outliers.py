@@ -65,7 +65,7 @@ def any_outside(df: DataFrame, bounds: Bounds) -> Column:
 
 def detect_outliers(df: DataFrame, columns: Sequence[str] | None = None, method: str = "iqr",
                     threshold: float | None = None) -> DataFrame:
-    """``column, outliers, min_outlier, max_outlier`` plus the row ``*`` counting distinct outlier rows."""
+    """``column, outliers, min_outlier, max_outlier`` plus the row ``(any)`` counting distinct outlier rows."""
     bounds = fit_bounds(df, columns, method, threshold)
     per = [
         F.struct(
@@ -79,7 +79,7 @@ def detect_outliers(df: DataFrame, columns: Sequence[str] | None = None, method:
         F.count_if(any_outside(df, bounds)).alias("outliers"),
         F.lit(None).cast("double").alias("min_outlier"),
         F.lit(None).cast("double").alias("max_outlier"),
-    ).alias("*")
+    ).alias("(any)")
     wide = df.agg(*per, whole)
     return wide.unpivot([], wide.columns, "column", "r").select("column", "r.*")
 

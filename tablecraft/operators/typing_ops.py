@@ -21,9 +21,15 @@ NEGATIVE_SUSPECT_NAME = r"(?i)(age|salary|price|revenue|cost|quantity|sales|unit
 
 
 def long_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column, value``: every cell as text."""
+    """``column, value``: every cell as text.
+
+    ``inline`` rather than ``unpivot``: an Expand fused with long expressions over its output is
+    refused by Spark's code generator and would run interpreted.
+    """
     names = list(columns or df.columns)
-    return df.select(*[cells.text(c).alias(c) for c in names]).unpivot([], names, "column", "value")
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), cells.text(c).alias("value")) for c in names
+    ])))
 
 
 def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -208,13 +208,13 @@ def _(t):
 
 # Joins ---------------------------------------------------------------------------------------------
 
-_SIDES = """a AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS nk, c_acctbal AS bal FROM customer WHERE c_acctbal > 0),
-b AS (SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_nationkey END AS nk, s_acctbal AS bal FROM supplier WHERE s_acctbal > 0)"""
+_SIDES = """a AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS nk, c_acctbal AS bal FROM customer WHERE c_nationkey < 20),
+b AS (SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_nationkey END AS nk, s_acctbal AS bal FROM supplier WHERE s_acctbal > 6000)"""
 
 
 def _sides(t):
-    a = t("customer").filter("c_acctbal > 0").select("c_custkey", "c_name", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("nk"), F.col("c_acctbal").alias("bal"))
-    b = t("supplier").filter("s_acctbal > 0").select("s_suppkey", F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("nk"), F.col("s_acctbal").alias("bal"))
+    a = t("customer").filter("c_nationkey < 20").select("c_custkey", "c_name", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("nk"), F.col("c_acctbal").alias("bal"))
+    b = t("supplier").filter("s_acctbal > 6000").select("s_suppkey", F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("nk"), F.col("s_acctbal").alias("bal"))
     return a, b
 
 

@@ -138,7 +138,7 @@ def auto_clean_recipe(df: DataFrame, overrides: Mapping[str, str] | None = None,
             recipe.append({"action": "iso_dates", "column": c})
         if is_text and (kind == "categorical" or p["casing_groups"] > 0):
             recipe.append({"action": "normalize_categories", "column": c})
-        if p["nulls"] > 0 or kind in ("numeric", "currency"):
+        if p["nulls"] > 0:
             if kind in ("numeric", "currency"):
                 recipe.append({"action": "impute", "column": c, "method": "median"})
             elif kind == "date" and order_by:
