@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecraft.operators.lookup import attach
-from tablecraft.operators.projection import as_number, numeric_columns
+from tablecraft.operators.projection import as_number, numeric_columns, rows_of
 from tablecraft.operators.quantiles import column_quantiles, group_quantiles
 
 Bounds = Mapping[str, tuple[float, float, float]]
@@ -81,7 +81,7 @@ def detect_outliers(df: DataFrame, columns: Sequence[str] | None = None, method:
         F.lit(None).cast("double").alias("max_outlier"),
     ).alias("(any)")
     wide = df.agg(*per, whole)
-    return wide.unpivot([], wide.columns, "column", "r").select("column", "r.*")
+    return rows_of(wide, wide.columns)
 
 
 def outlier_rows(df: DataFrame, key: str, columns: Sequence[str] | None = None, method: str = "iqr",

@@ -13,7 +13,7 @@ from tablecraft.operators.dedup import duplicate_count
 from tablecraft.operators.lookup import attach
 from tablecraft.operators.missing import column_modes
 from tablecraft.operators.outliers import fit_bounds, outside
-from tablecraft.operators.projection import as_number, is_numeric, numeric_columns, text_columns
+from tablecraft.operators.projection import as_number, is_numeric, numeric_columns, rows_of, text_columns
 from tablecraft.operators.quantiles import column_quantiles
 from tablecraft.operators.statistics import correlation_pairs
 from tablecraft.session import materialize
@@ -70,7 +70,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         ).alias(c)
 
     wide = data.agg(*[stats(c) for c in names])
-    return wide.unpivot([], names, "column", "s").select("column", "s.*")
+    return rows_of(wide, names)
 
 
 def type_label(df: DataFrame, name: str) -> str:
@@ -130,11 +130,11 @@ def full_profile(df: DataFrame) -> DataFrame:
             return F.coalesce(F.col(c).cast("string").try_cast("date"), cells.parse_date(c))
 
         wide = df.agg(*[F.struct(F.min(day(c)).alias("a"), F.max(day(c)).alias("b")).alias(c) for c in dates])
-        span = wide.unpivot([], dates, "column", "d").select(
+        span = rows_of(wide, dates).select(
             "column",
-            F.date_format("d.a", "yyyy-MM-dd").alias("min_date"),
-            F.date_format("d.b", "yyyy-MM-dd").alias("max_date"),
-            F.datediff("d.b", "d.a").alias("range_days"),
+            F.date_format("a", "yyyy-MM-dd").alias("min_date"),
+            F.date_format("b", "yyyy-MM-dd").alias("max_date"),
+            F.datediff("b", "a").alias("range_days"),
         )
         out = out.join(span, "column", "left")
     flags = by_kind.get("boolean", [])
@@ -149,7 +149,7 @@ def full_profile(df: DataFrame) -> DataFrame:
             F.struct(F.count_if(yes(c)).alias("true_count"), F.count_if(no(c)).alias("false_count")).alias(c)
             for c in flags
         ])
-        out = out.join(wide.unpivot([], flags, "column", "f").select("column", "f.*"), "column", "left")
+        out = out.join(rows_of(wide, flags), "column", "left")
     return out
 
 
@@ -387,7 +387,7 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                  F.kurtosis(as_number(df, c)).alias("kurtosis")).alias(c)
         for c in names
     ])
-    long = wide.unpivot([], names, "column", "s").select("column", "s.*").filter("n > 3")
+    long = rows_of(wide, names).filter("n > 3")
     flag = (
         F.when((F.abs("skewness") < 0.5) & (F.abs("kurtosis") < 1), "Gaussian-like")
         .when(F.col("skewness") > 0.5, "Right-Skewed")

@@ -35,6 +35,18 @@ def as_number(df: DataFrame, name: str, scale_percent: bool = True) -> Column:
     return F.col(name).cast("string").try_cast("double")
 
 
+def rows_of(wide: DataFrame, columns: Sequence[str], name: str = "column") -> DataFrame:
+    """One row per struct column of a one-row frame: ``name`` and the struct's fields.
+
+    Through an array, which merges the null flags of its elements; ``unpivot`` would take those of
+    the first column and read null figures of the others as zero.
+    """
+    if not columns:
+        raise ValueError("no columns to turn into rows")
+    each = [F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias("_s")) for c in columns]
+    return wide.select(F.inline(F.array(*each))).select(name, "_s.*")
+
+
 def chart_points(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit: int = 1000) -> DataFrame:
     """Plain rows of the chosen columns, the first ``limit`` in a given order."""
     return df.select(*dict.fromkeys([*columns, *order_by])).orderBy(*order_by).limit(limit).select(*columns)

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecraft.operators.projection import as_number, numeric_columns
+from tablecraft.operators.projection import as_number, numeric_columns, rows_of
 
 MAX_SQL_COLUMNS = 50
 
@@ -44,7 +44,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, min_n
         ).alias(f"p{i}")
         for i, (a, b) in enumerate(pairs)
     ])
-    long = wide.unpivot([], wide.columns, "_p", "s").select("s.*")
+    long = rows_of(wide, wide.columns, "_p").drop("_p")
     return long.filter(F.col("n") >= min_n)
 
 

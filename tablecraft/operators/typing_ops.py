@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions import cells
+from tablecraft.operators.projection import rows_of
 
 VALUE_TYPES = (
     "integer", "float", "currency", "percentage", "date", "boolean", "email", "url", "phone", "string", "null",
@@ -231,8 +232,7 @@ def cast_value_columns(df: DataFrame, types: Mapping[str, str], count_failures:
         ).alias(c)
         for c, t in present.items()
     ])
-    long = done.unpivot([], list(present), "column", "r")
-    return long.select("column", "r.converted", "r.cast_failed")
+    return rows_of(done, list(present))
 
 
 def clean_numeric_column(df: DataFrame, column: str) -> DataFrame:
