@@ -54,7 +54,7 @@ def _grow(points: np.ndarray, tree: int) -> pd.DataFrame:
 def _filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     numbers = df.withColumns({f"_x_{c}": as_number(df, c) for c in columns})
     medians = fit_fill(numbers.select([f"_x_{c}" for c in columns]), {f"_x_{c}": "median" for c in columns})
-    vector = F.array(*[F.coalesce(F.col(f"_x_{c}"), F.lit(medians[f"_x_{c}"] or 0.0)) for c in columns])
+    vector = F.array(*[F.coalesce(F.col(f"_x_{c}"), F.lit(medians.get(f"_x_{c}") or 0.0)) for c in columns])
     return numbers.withColumn("_vec", vector).drop(*[f"_x_{c}" for c in columns])
 
 
