@@ -13,7 +13,7 @@ from tablecraft.operators.taxonomies import DOMAIN_CORPORA, DOMAIN_KEYWORDS, FAL
 RX_HEADING = r"(?i)^(#|\d+\.|\b(Chapter|Section|Abstract|Introduction|Methods|Results|Discussion|Conclusion)\b)"
 RX_FIGURE = r"([$€₹]?\d+(?:,\d+)*(?:\.\d+)?%?)"
 RX_DEFINITION = r"([A-Z][a-zA-Z\s]{2,25})\s+(?:is defined as|refers to|means|is an?|are)\s+([^.\n]+)"
-RX_TOKEN = r"[a-z0-9_]{2,}"
+RX_TOKEN = r"[\p{L}\p{N}_]{2,}"
 # -----------------------------------------------------------------------------------------------
 
 
@@ -90,7 +90,7 @@ def document_profile(df: DataFrame, column: str, keys: Sequence[str]) -> DataFra
 # Domain by TF-IDF cosine -----------------------------------------------------------------------
 
 def tokens(c) -> Column:
-    """Words of two or more letters, digits or underscores, without stop words."""
+    """Words of two or more letters, digits or underscores of any script, without stop words."""
     words = F.regexp_extract_all(F.lower(text(c)), F.lit(f"({RX_TOKEN})"), F.lit(1))
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 

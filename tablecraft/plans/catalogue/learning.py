@@ -1 +1,278 @@
+"""Model queries. Metrics, neighbours, splits and linear attributions have SQL twins; fitted models do not."""
 
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, functions as F
+
+from tablecraft.operators import learning, metrics, neighbours
+from tablecraft.plans.catalogue.charts import SHIPPED, shipped
+from tablecraft.plans.catalogue.registry import query, r, rounded
+
+ITEM_KEYS = ["l_orderkey", "l_linenumber"]
+ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "p_retailprice"]
+ORDER_KEYS = ["o_orderkey"]
+ORDER_FEATURES = ["o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal"]
+
+
+def items(t) -> DataFrame:
+    return t("lineitem").join(t("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+def placed(t) -> DataFrame:
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+
+def regression_run(t, *models, **options):
+    return learning.train(items(t), "l_extendedprice", ITEM_FEATURES, ITEM_KEYS, "regression", list(models) or None, **options)
+
+
+def class_run(t, *models, **options):
+    return learning.train(placed(t), "o_orderstatus", ORDER_FEATURES, ORDER_KEYS, "classification", list(models) or None, **options)
+
+
+def quality_run(t, *models, **options):
+    rows = t("labels").join(t("documents").select("doc_id", "n_chars", "lang", "source"), "doc_id").withColumn("quality", F.col("quality").cast("string"))
+    return learning.train(rows, "quality", ["n_chars", "lang", "source"], ["doc_id"], "classification", list(models) or None, **options)
+
+
+# Problem type, features, splits ------------------------------------------------------------------------
+
+def _problem_sql(table: str, c: str, text: bool) -> str:
+    if text:
+        return f"SELECT '{c}' AS target, 'classification' AS server, 'classification' AS simple"
+    return f"""SELECT '{c}' AS target, CASE WHEN count(DISTINCT {c}) <= 15 OR count(DISTINCT {c}) * 1.0 / count({c}) < 0.05 THEN 'classification' ELSE 'regression' END AS server,
+  CASE WHEN count(DISTINCT {c}) > 10 THEN 'regression' ELSE 'classification' END AS simple FROM {table}"""
+
+
+@query("ml01_problem_type", " UNION ALL ".join(_problem_sql("lineitem", c, c == "l_returnflag") for c in ("l_extendedprice", "l_linenumber", "l_quantity", "l_returnflag")))
+def _(t):
+    rows = t("lineitem")
+    names = ("l_extendedprice", "l_linenumber", "l_quantity", "l_returnflag")
+    found = [(c, learning.problem_type(rows, c), learning.problem_type(rows, c, "simple")) for c in names]
+    return t.spark.createDataFrame(found, "target string, server string, simple string")
+
+
+@query("ml02_preprocess")
+def _(t):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    data = learning.prepare(items(t), ITEM_FEATURES, "l_extendedprice", "regression", ITEM_KEYS)
+    fitted = Pipeline(stages=learning.feature_stages(data, ITEM_FEATURES)).fit(data).transform(data)
+    values = fitted.select(*ITEM_KEYS, vector_to_array("features").alias("f"))
+    return values.agg(F.count(F.lit(1)).alias("rows"), *[F.round(F.avg(F.col("f")[i]), 6).alias(f"mean_{i}") for i in range(len(ITEM_FEATURES))],
+                      *[F.round(F.stddev_samp(F.col("f")[i]), 6).alias(f"std_{i}") for i in range(len(ITEM_FEATURES))])
+
+
+@query("ml03_stratified_split", """SELECT o_orderstatus, part, CAST(n AS BIGINT) AS n FROM (
+  SELECT o_orderstatus, 'train' AS part, round(count(*) * 0.8) AS n FROM orders GROUP BY 1
+  UNION ALL SELECT o_orderstatus, 'test', count(*) - round(count(*) * 0.8) FROM orders GROUP BY 1)""")
+def _(t):
+    a, b = learning.stratified_split(t("orders"), ORDER_KEYS, "o_orderstatus")
+    parts = a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
+    return parts.groupBy("o_orderstatus", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml03_hash_split")
+def _(t):
+    a, b = learning.hash_split(t("orders"), ORDER_KEYS)
+    return a.agg(F.count(F.lit(1)).alias("train")).withColumn("test", F.lit(b.count()))
+
+
+# Models --------------------------------------------------------------------------------------------------
+
+def _board(run, t):
+    return rounded(run.leaderboard(t.spark), 6)
+
+
+@query("ml04_linear_regression")
+def _(t):
+    return _board(regression_run(t, "Linear Regression"), t)
+
+
+@query("ml05_ridge_regression")
+def _(t):
+    return rounded(learning.feature_importance(regression_run(t, "Ridge Regression")), 4)
+
+
+@query("ml06_logistic_regression")
+def _(t):
+    return _board(class_run(t, "Logistic Regression", one_hot=True), t)
+
+
+@query("ml07_decision_tree")
+def _(t):
+    return _board(class_run(t, "Decision Tree"), t).unionByName(_board(regression_run(t, "Decision Tree"), t).toDF(*_CLASS_BOARD))
+
+
+_CLASS_BOARD = ["model", "score", "accuracy", "precision", "recall", "f1", "error"]
+
+
+@query("ml08_random_forest")
+def _(t):
+    return _board(regression_run(t, "Random Forest"), t)
+
+
+@query("ml09_gradient_boosting")
+def _(t):
+    return _board(quality_run(t, "Gradient Boosting"), t)
+
+
+_NEAR = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS VARCHAR) AS label FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, b.label, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM e a, e b WHERE a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS rank FROM d)"""
+
+
+@query("ml10_nearest_neighbours", f"{_NEAR} SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, label, {r('dist', 6)} AS dist FROM k WHERE rank <= 5")
+def _(t):
+    rows = t("embeddings")
+    return rounded(neighbours.nearest(rows, rows, "vec_id", "embedding", "label", 5, exclude_self=True), 6)
+
+
+@query("ml10_knn_classify", f"""{_NEAR}, w AS (SELECT vec_id, label, sum(1 / (dist + 1e-5)) AS w FROM k WHERE rank <= 5 GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 9) DESC, label) AS i, sum(w) OVER (PARTITION BY vec_id) AS total FROM w)
+SELECT vec_id, label AS predicted, {r('w / total', 6)} AS confidence FROM b WHERE i = 1""")
+def _(t):
+    rows = t("embeddings")
+    return rounded(neighbours.knn_classify(rows, rows, "vec_id", "embedding", "label", 5, exclude_self=True), 6)
+
+
+@query("ml10_approximate_neighbours")
+def _(t):
+    rows = t("embeddings")
+    found = neighbours.approximate_neighbours(rows, rows, "embedding", "vec_id", 1.0)
+    return found.groupBy("vec_id").agg(F.count(F.lit(1)).alias("near"))
+
+
+def _customers(t):
+    return t("customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 50 != 0, F.col("c_acctbal")))
+
+
+@query("ml11_kmeans_profile")
+def _(t):
+    _, profile, inertia = learning.cluster(_customers(t), ["c_acctbal", "c_nationkey"], 3)
+    return rounded(profile.withColumn("inertia", F.lit(inertia)), 4)
+
+
+@query("ml11_kmeans_labels")
+def _(t):
+    labelled, _, _ = learning.cluster(_customers(t), ["c_acctbal", "c_nationkey"], 3)
+    return labelled.select("c_custkey", "ML_Cluster")
+
+
+@query("ml12_cross_validation")
+def _(t):
+    data = learning.prepare(items(t), ITEM_FEATURES, "l_extendedprice", "regression", ITEM_KEYS).withColumnRenamed("label_raw", "label")
+    return rounded(learning.cross_validate(data, ITEM_FEATURES, ITEM_KEYS, LinearRegression(), "regression"), 6)
+
+
+# Metrics over tables of labels and predictions ---------------------------------------------------------------
+
+@query("ml13_regression_metrics", f"""WITH p AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)
+SELECT count(*) AS n, {r('avg((y - p) * (y - p))', 2)} AS mse, {r('sqrt(avg((y - p) * (y - p)))', 2)} AS rmse, {r('avg(abs(y - p))', 2)} AS mae,
+  {r('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))', 2)} AS r2 FROM p""")
+def _(t):
+    rows = t("lineitem").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction"))
+    return rounded(metrics.regression_metrics(rows), 2)
+
+
+_GUESS = f"g AS (SELECT o_orderstatus AS y, CASE WHEN l_quantity > 35 THEN 'P' WHEN l_discount > 0.04 THEN 'F' ELSE 'O' END AS p FROM {SHIPPED})"
+
+
+def guesses(t):
+    rows = shipped(t)
+    guess = F.when(F.col("l_quantity") > 35, "P").when(F.col("l_discount") > 0.04, "F").otherwise("O")
+    return rows.select(F.col("o_orderstatus").alias("label"), guess.alias("prediction"))
+
+
+_PER_CLASS = f"""{_GUESS}, c AS (SELECT unnest(['F', 'O', 'P']) AS class),
+k AS (SELECT class, count(*) FILTER (WHERE y = class) AS support, count(*) FILTER (WHERE p = class) AS predicted, count(*) FILTER (WHERE y = class AND p = class) AS tp FROM c, g GROUP BY 1),
+m AS (SELECT class, support, tp, tp * 1.0 / predicted AS precision, tp * 1.0 / support AS recall FROM k),
+f AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM m)"""
+
+
+@query("ml14_class_metrics", f"WITH {_PER_CLASS} SELECT class, support, tp, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1 FROM f")
+def _(t):
+    return rounded(metrics.class_metrics(guesses(t)))
+
+
+@query("ml14_classification_metrics", f"""WITH {_PER_CLASS} SELECT CAST(sum(support) AS BIGINT) AS n, {r('sum(tp) / sum(support)')} AS accuracy,
+  {", ".join(f"{r(f'sum({m} * support) / sum(support)')} AS weighted_{m}, {r(f'avg({m})')} AS macro_{m}" for m in ("precision", "recall", "f1"))} FROM f""")
+def _(t):
+    return rounded(metrics.classification_metrics(guesses(t)))
+
+
+@query("ml14_auc")
+def _(t):
+    run = class_run(t, "Logistic Regression")
+    return t.spark.createDataFrame([(round(learning.training_auc(run), 6),)], "auc double")
+
+
+@query("ml15_confusion_matrix", f"""WITH {_GUESS} SELECT y AS label, {", ".join(f"count(*) FILTER (WHERE p = '{c}') AS \"{c}\"" for c in "FOP")} FROM g GROUP BY 1""")
+def _(t):
+    return metrics.confusion_matrix(guesses(t), ["F", "O", "P"])
+
+
+@query("ml16_leaderboard")
+def _(t):
+    return _board(quality_run(t, trees=20, rounds=5), t)
+
+
+@query("ml17_feature_importance")
+def _(t):
+    return rounded(learning.feature_importance(regression_run(t, "Decision Tree")), 6)
+
+
+@query("ml17_permutation_importance")
+def _(t):
+    return rounded(learning.permutation_importance(regression_run(t, "Linear Regression"), ITEM_KEYS), 6)
+
+
+@query("ml18_linear_shap", f"""WITH c AS (SELECT regr_slope(l_extendedprice, l_quantity) AS q, regr_slope(l_extendedprice, l_discount) AS d, regr_slope(l_extendedprice, l_tax) AS t,
+  avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_tax) AS mt FROM lineitem)
+SELECT 'l_quantity' AS feature, {r('avg(abs(q * (l_quantity - mq)))', 2)} AS mean_abs_shap FROM lineitem, c
+UNION ALL SELECT 'l_discount', {r('avg(abs(d * (l_discount - md)))', 2)} FROM lineitem, c UNION ALL SELECT 'l_tax', {r('avg(abs(t * (l_tax - mt)))', 2)} FROM lineitem, c""")
+def _(t):
+    rows = t("lineitem")
+    names = ("l_quantity", "l_discount", "l_tax")
+    slopes = rows.agg(*[F.regr_slope("l_extendedprice", c).alias(c) for c in names]).first().asDict()
+    return rounded(learning.linear_shap(rows, slopes), 2)
+
+
+@query("ml18_sampled_shap")
+def _(t):
+    return rounded(learning.sampled_shap(regression_run(t, "Decision Tree"), ITEM_KEYS), 4)
+
+
+@query("ml19_scenarios")
+def _(t):
+    run = class_run(t, "Decision Tree")
+    changes = [{}, {"o_orderpriority": "1-URGENT"}, {"o_totalprice": 1000.0, "c_mktsegment": "BUILDING"}]
+    return rounded(learning.score_scenarios(run, placed(t), ORDER_KEYS, changes), 6)
+
+
+@query("ml20_actual_vs_predicted")
+def _(t):
+    return rounded(learning.actual_vs_predicted(regression_run(t, "Linear Regression"), ITEM_KEYS), 4)
+
+
+@query("ml21_batch_predictions")
+def _(t):
+    run = class_run(t, "Decision Tree")
+    return run.predictions(df=learning.prepare(placed(t), ORDER_FEATURES, keys=ORDER_KEYS)).select("o_orderkey", "predicted_label", F.round("confidence", 6).alias("confidence"))
+
+
+@query("pj09_append_predictions")
+def _(t):
+    return learning.append_predictions(regression_run(t, "Linear Regression"), items(t).select(*ITEM_KEYS, *ITEM_FEATURES))
+
+
+@query("ml22_save_and_load")
+def _(t):
+    run = regression_run(t, "Linear Regression")
+    path = t.scratch()
+    learning.save_model(run.models[run.best], path)
+    again = learning.load_model(path).transform(run.test).select(*ITEM_KEYS, F.col("prediction").alias("reloaded"))
+    both = run.predictions().select(*ITEM_KEYS, "prediction").join(again, ITEM_KEYS)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction") != F.col("reloaded")).alias("different"))

@@ -34,7 +34,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, infer: bool =
     Naming the ``encoding`` and the ``schema`` saves the two extra reads that finding them takes.
     """
     if encoding is None:
-        broken = spark.read.text(path).filter(F.col("value").contains("\ufffd")).limit(1).count()
+        broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
         encoding = "ISO-8859-1" if broken else "UTF-8"
     options = dict(header=header, sep=sep, encoding=encoding, escape='"')
     if schema is not None:
@@ -58,10 +58,18 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[blank_missing(c).alias(c) for c in raw.columns]).dropna("all")
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A file holding an array of objects or one object."""
+def read_json(spark: SparkSession, path: str, schema=None, whole_file: bool | None = None) -> DataFrame:
+    """Objects, one per line, or files that each hold an array of objects or one object.
+
+    Unless told, the first line decides: a line that is not a complete object means whole files.
+    Line files are split over many tasks, so write large data that way and name the schema.
+    """
+    if whole_file is None:
+        first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
+        line = first[0]["value"].strip() if first else "{}"
+        whole_file = not (line.startswith("{") and line.endswith("}"))
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.json(path, multiLine=True)
+    return reader.json(path, multiLine=whole_file)
 
 
 def read_request(spark: SparkSession, request: Mapping[str, object]) -> DataFrame:
