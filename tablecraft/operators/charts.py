@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablecraft.functions.cells import text
 from tablecraft.operators.lookup import attach
 from tablecraft.operators.projection import as_number, is_numeric
-from tablecraft.operators.typing_ops import value_table
 from tablecraft.operators.quantiles import column_quantiles, group_quantiles
+from tablecraft.operators.typing_ops import value_table
+from tablecraft.session import materialize
 
 TOP_K = 25
 
@@ -82,19 +83,25 @@ def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     )
 
 
+def _distinct_up_to(values: DataFrame, limit: int, estimate: int | None = None) -> int:
+    """Distinct values, exact below ``limit``; a clearly larger estimate saves the distinct shuffle."""
+    if estimate is None:
+        estimate = values.agg(F.approx_count_distinct("v").alias("d")).first()["d"]
+    return limit if estimate > 10 * limit + 100 else values.distinct().limit(limit).count()
+
+
 def histogram(df: DataFrame, column: str, bins: int | None = None, max_bins: int = 20) -> DataFrame:
     """``bin, bin_start, bin_end, count`` with equal widths; the last bin is closed, empty bins are kept.
 
     Without ``bins`` the number is min(max_bins, distinct values).
     """
     values = df.select(as_number(df, column, False).alias("v")).filter(F.col("v").isNotNull())
-    stats = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    stats = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")).first()
     lo, hi = stats["lo"], stats["hi"]
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, count bigint")
     if bins is None:
-        # Distinct values matter only up to max_bins; the limit stops the distinct early.
-        bins = max(1, values.distinct().limit(max_bins).count())
+        bins = max(1, _distinct_up_to(values, max_bins, stats["d"]))
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
@@ -132,7 +139,7 @@ def chart_histogram(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     if not is_numeric(df, column) and not has_numbers(df, column):
         return value_counts(df, column, k).select(F.col("value").alias("label"), "count")
     values = df.select(as_number(df, column, False).alias("v")).filter(F.col("v").isNotNull())
-    few = values.distinct().limit(8).count()
+    few = _distinct_up_to(values, 8)
     ranges = histogram(values, "v", bins=max(5, few) if few < 8 else 10)
     start, end = F.round("bin_start", 1), F.round("bin_end", 1)
     whole = (start == F.floor(start)) & (end == F.floor(end))
@@ -201,6 +208,7 @@ def waterfall(df: DataFrame, x: str, y: str, steps: int = 15) -> DataFrame:
         .orderBy(x)
         .limit(steps)
     )
+    sums = materialize(sums)
     # The window runs over at most ``steps`` rows.
     upto = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     walked = sums.withColumn("end", F.sum("value").over(upto)).select(

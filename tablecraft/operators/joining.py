@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.operators.lookup import salted_join
+from tablecraft.operators.lookup import fits_broadcast, salted_join
 
 
 def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner",
@@ -13,7 +13,8 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """Join on ``left_key = right_key``; how is inner, left, right or outer.
 
     Shared names get suffixes, a same-named key is kept once, null keys match each other unless
-    ``null_safe`` is False. ``balance`` spreads hot keys of the row-preserving side over many tasks.
+    ``null_safe`` is False. A side measured small is broadcast; otherwise ``balance`` spreads hot keys
+    of the row-preserving side over many tasks. ``balance=False`` leaves everything to the optimizer.
     """
     if left_key not in left.columns or right_key not in right.columns:
         raise ValueError(f"join key {left_key!r} or {right_key!r} not found")
@@ -27,9 +28,10 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         F.col(c).alias(f"_b_{n}") for c, n in b_names.items() if not (same and c == right_key)])
 
     def run(x, y, kind):
-        if balance:
+        small = balance and fits_broadcast(y)
+        if balance and not small:
             return salted_join(x, y, ["_k"], kind, null_safe=null_safe)
-        y = y.withColumnRenamed("_k", "_rk")
+        y = (F.broadcast(y) if small else y).withColumnRenamed("_k", "_rk")
         on = x["_k"].eqNullSafe(y["_rk"]) if null_safe else x["_k"] == y["_rk"]
         return x.join(y, on, kind).drop("_rk")
 

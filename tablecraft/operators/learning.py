@@ -194,6 +194,15 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     return run
 
 
+def linear_coefficients(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    """``term, coefficient`` of an ordinary least squares fit in the units of the columns."""
+    rows = df.select(as_number(df, target).alias("label"), *[as_number(df, c).alias(c) for c in features]).dropna()
+    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+    model = LinearRegression(solver="normal").fit(ready)
+    terms = [*zip(features, (float(x) for x in model.coefficients)), ("intercept", float(model.intercept))]
+    return df.sparkSession.createDataFrame(terms, "term string, coefficient double")
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], keys: Sequence[str], estimator, problem: str,
                    folds: int = 5) -> DataFrame:
     """``metric, mean, std`` over hash folds."""
@@ -203,7 +212,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], keys: Sequence[str],
     flow = Pipeline(stages=[*feature_stages(df, features), estimator])
     fitted = CrossValidator(estimator=flow, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds,
                             foldCol="fold", parallelism=2).fit(data)
-    return df.sparkSession.createDataFrame([(metric, fitted.avgMetrics[0], fitted.stdMetrics[0])], "metric string, mean double, std double")
+    return df.sparkSession.createDataFrame([(metric, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))], "metric string, mean double, std double")
 
 
 def training_auc(run: Training, name: str | None = None) -> float:

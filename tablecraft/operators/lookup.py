@@ -13,19 +13,26 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.005
 
 
-def fits_broadcast(stored: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a stored lookup: rows and serialized bytes."""
-    size = stored.agg(
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure a join side: rows and serialized bytes, in one aggregate."""
+    size = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
     ).first()
     return size["n"] <= max_rows and size["b"] <= max_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most ``1 / share`` of them."""
-    total = df.select(*keys).count()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, sample_rows: int = 1_000_000) -> DataFrame:
+    """Keys holding more than ``share`` of the rows: at most ``1 / share`` of them.
+
+    Large tables are judged by a sample. Which keys count as hot only steers how rows are spread,
+    never what a join returns.
+    """
+    only = df.select(*keys)
+    total = only.count()
+    if total > 2 * sample_rows:
+        only, total = only.sample(sample_rows / total, seed=7), sample_rows
+    counts = only.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counts.filter(F.col("_n") > F.lit(max(1.0, total * share))).select(*keys)
 
 

@@ -30,12 +30,22 @@ def iso_timestamps(df: DataFrame) -> DataFrame:
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, the smallest on ties; counts are combined before the shuffle."""
-    out = {}
+    """Most frequent value per column, the smallest on ties.
+
+    Columns of one family are counted together in one pass; counts are combined before the shuffle.
+    """
+    families: dict[str, list[str]] = {}
+    kinds = dict(df.dtypes)
     for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        best = counts.orderBy(F.desc("_n"), c).limit(1).collect()
-        out[c] = best[0][c] if best else None
+        whole = kinds[c] in ("tinyint", "smallint", "int", "bigint")
+        families.setdefault("bigint" if whole else kinds[c], []).append(c)
+    out: dict[str, object] = dict.fromkeys(columns)
+    for kind, names in families.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in names])
+        counts = df.select(F.inline(cells)).filter("value is not null").groupBy("column", "value").agg(
+            F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
+        out.update({r["column"]: r["b"]["value"] for r in best.collect()})  # one row per column
     return out
 
 

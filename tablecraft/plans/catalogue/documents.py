@@ -140,7 +140,11 @@ def _(t):
     return corpus.substring_domain(t("documents"), "text", "doc_id")
 
 
-@query("td00_document_profile")
+@query("td00_document_profile", f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS INT) AS words,
+  CAST(length(text) AS INT) AS characters, CAST(len({PARAGRAPHS}) AS INT) AS paragraphs, {LINES}[1] AS title, substr(array_to_string(list_slice({PARAGRAPHS}, 1, 4), ' '), 1, 800) AS summary,
+  CAST(least(15, len(list_filter({LINES}, lambda l: length(l) < 80 AND (regexp_matches(l, '{corpus.RX_HEADING}') OR (upper(l) = l AND lower(l) <> l))))) AS INT) AS headings,
+  CAST(least(20, len(list_distinct(regexp_extract_all(text, '{corpus.RX_FIGURE}', 1)))) AS INT) AS figures,
+  CAST(least(8, len(regexp_extract_all(text, '{corpus.RX_DEFINITION}', 1))) AS INT) AS definitions FROM documents""")
 def _(t):
     out = corpus.document_profile(t("documents"), "text", ["doc_id"])
     return out.select("doc_id", "words", "characters", "paragraphs", "title", "summary", F.size("headings").alias("headings"),

@@ -9,7 +9,7 @@ from tablecraft.operators import learning, metrics, neighbours
 from tablecraft.plans.catalogue.charts import SHIPPED, shipped
 from tablecraft.plans.catalogue.registry import query, r, rounded
 
-ITEM_KEYS = ["l_orderkey", "l_linenumber"]
+ITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # together unique
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "p_retailprice"]
 ORDER_KEYS = ["o_orderkey"]
 ORDER_FEATURES = ["o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal"]
@@ -53,7 +53,7 @@ def _(t):
     return t.spark.createDataFrame(found, "target string, server string, simple string")
 
 
-@query("ml02_preprocess")
+@query("ml02_preprocess", "SELECT count(*) AS rows, " + ", ".join(f"CAST(0 AS DOUBLE) AS mean_{i}, CAST(1 AS DOUBLE) AS std_{i}" for i in range(5)) + " FROM lineitem")
 def _(t):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
@@ -61,7 +61,7 @@ def _(t):
     data = learning.prepare(items(t), ITEM_FEATURES, "l_extendedprice", "regression", ITEM_KEYS)
     fitted = Pipeline(stages=learning.feature_stages(data, ITEM_FEATURES)).fit(data).transform(data)
     values = fitted.select(*ITEM_KEYS, vector_to_array("features").alias("f"))
-    return values.agg(F.count(F.lit(1)).alias("rows"), *[F.round(F.avg(F.col("f")[i]), 6).alias(f"mean_{i}") for i in range(len(ITEM_FEATURES))],
+    return values.agg(F.count(F.lit(1)).alias("rows"), *[(F.round(F.avg(F.col("f")[i]), 6) + 0.0).alias(f"mean_{i}") for i in range(len(ITEM_FEATURES))],
                       *[F.round(F.stddev_samp(F.col("f")[i]), 6).alias(f"std_{i}") for i in range(len(ITEM_FEATURES))])
 
 
@@ -91,6 +91,17 @@ def _(t):
     return _board(regression_run(t, "Linear Regression"), t)
 
 
+_OLS = """WITH m AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem),
+s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS saa, covar_pop(b, b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM m),
+c AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ca, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS cb FROM s),
+w AS (SELECT *, my - ca * ma - cb * mb AS c0 FROM c)"""
+
+
+@query("ml04_linear_coefficients", f"""{_OLS} SELECT 'l_quantity' AS term, {r('ca')} AS coefficient FROM w UNION ALL SELECT 'l_discount', {r('cb')} FROM w UNION ALL SELECT 'intercept', {r('c0')} FROM w""")
+def _(t):
+    return rounded(learning.linear_coefficients(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]))
+
+
 @query("ml05_ridge_regression")
 def _(t):
     return rounded(learning.feature_importance(regression_run(t, "Ridge Regression")), 4)
@@ -161,6 +172,12 @@ def _(t):
     return labelled.select("c_custkey", "ML_Cluster")
 
 
+@query("ml11_kmeans_unassigned", "SELECT c_custkey, 'Unassigned' AS \"ML_Cluster\" FROM customer WHERE c_custkey % 50 = 0")
+def _(t):
+    labelled, _, _ = learning.cluster(_customers(t), ["c_acctbal", "c_nationkey"], 3)
+    return labelled.filter("ML_Cluster = 'Unassigned'").select("c_custkey", "ML_Cluster")
+
+
 @query("ml12_cross_validation")
 def _(t):
     data = learning.prepare(items(t), ITEM_FEATURES, "l_extendedprice", "regression", ITEM_KEYS).withColumnRenamed("label_raw", "label")
@@ -240,6 +257,14 @@ def _(t):
     return rounded(learning.linear_shap(rows, slopes), 2)
 
 
+@query("ml18_linear_shap_joint", f"""{_OLS}
+SELECT 'l_quantity' AS feature, {r('avg(abs(ca * (a - ma)))', 2)} AS mean_abs_shap FROM m, w UNION ALL SELECT 'l_discount', {r('avg(abs(cb * (b - mb)))', 2)} FROM m, w""")
+def _(t):
+    rows = t("lineitem")
+    fitted = learning.linear_coefficients(rows, "l_extendedprice", ["l_quantity", "l_discount"]).collect()
+    return rounded(learning.linear_shap(rows, {x["term"]: x["coefficient"] for x in fitted if x["term"] != "intercept"}), 2)
+
+
 @query("ml18_sampled_shap")
 def _(t):
     return rounded(learning.sampled_shap(regression_run(t, "Decision Tree"), ITEM_KEYS), 4)
@@ -268,11 +293,12 @@ def _(t):
     return learning.append_predictions(regression_run(t, "Linear Regression"), items(t).select(*ITEM_KEYS, *ITEM_FEATURES))
 
 
-@query("ml22_save_and_load")
+@query("ml22_save_and_load", "SELECT count(*) AS rows, 0 AS different FROM lineitem")
 def _(t):
     run = regression_run(t, "Linear Regression")
     path = t.scratch()
     learning.save_model(run.models[run.best], path)
-    again = learning.load_model(path).transform(run.test).select(*ITEM_KEYS, F.col("prediction").alias("reloaded"))
-    both = run.predictions().select(*ITEM_KEYS, "prediction").join(again, ITEM_KEYS)
+    ready = learning.prepare(items(t), ITEM_FEATURES, keys=ITEM_KEYS)
+    again = learning.load_model(path).transform(ready).select(*ITEM_KEYS, F.col("prediction").alias("reloaded"))
+    both = run.predictions(df=ready).select(*ITEM_KEYS, "prediction").join(again, ITEM_KEYS)
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction") != F.col("reloaded")).alias("different"))

@@ -304,7 +304,12 @@ def _(t):
     return recommend.suggest_charts(wide_orders(t))
 
 
-@query("pr14_chart_gallery")
+_GALLERY = ("SELECT 1 AS rank, 'forecast' AS chart, 'order_date' AS x, 'amount' AS y", "SELECT 2, 'bar', 'order_id', 'amount'", "SELECT 3, 'line', 'order_date', 'amount'",
+            "SELECT 4, 'area', 'order_id', 'amount'", "SELECT 5, 'donut', 'order_id', 'amount'", "SELECT 6, 'boxplot', 'order_id', 'amount'", "SELECT 7, 'histogram', 'amount', NULL")
+
+
+@query("pr14_chart_gallery", f"""WITH {WIDE}, s AS ({union(_GALLERY)})
+SELECT * FROM s WHERE (SELECT count(TRY_CAST(order_date AS DATE)) >= 0.7 * count(*) FROM w)""")
 def _(t):
     return recommend.chart_gallery(wide_orders(t))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions import cells
 from tablecraft.operators import dedup, filters, joining, projection
-from tablecraft.plans import recipe
+from tablecraft.plans import flagship, recipe
 from tablecraft.plans.catalogue.registry import query, r, rounded
 
 TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -17,6 +17,15 @@ SCALED = ("CASE WHEN regexp_replace({0}, '[$€£₹¥,\\s]', '', 'g') LIKE '%\\
 MISSING = "({0} IS NULL OR lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) IN ('', 'null', 'none', 'nan', 'n/a', 'na', '-'))"
 
 
+@query("flagship", f"""WITH v AS (SELECT {TRIM.format('segment')} AS variant, count(*) AS n FROM dirty_customer GROUP BY 1),
+w AS (SELECT variant, first_value(variant) OVER (PARTITION BY lower(variant) ORDER BY n DESC, variant) AS segment FROM v),
+g AS (SELECT w.segment, n_name, sum(o_totalprice) AS v FROM orders JOIN dirty_customer d ON o_custkey = cust_id JOIN w ON variant = {TRIM.format('d.segment')}
+  JOIN customer ON c_custkey = cust_id JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 25)
+SELECT segment, n_name, {r('v')} AS value, {r('v * 100 / (SELECT sum(v) FROM g)')} AS share FROM g""")
+def _(t):
+    return flagship.segment_totals(t.spark, t.sf_dir)
+
+
 # Projections ---------------------------------------------------------------------------------------
 
 @query("pj01_chart_points", "SELECT o_orderdate, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1000")

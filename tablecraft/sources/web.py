@@ -34,6 +34,7 @@ RX_RECORDS = r"(?i)([0-9,]+)\s*(?:synthetic\s*)?records"
 KIND_ORDER = {"csv_text": 0, "html_table": 1, "aria_grid": 2, "div_grid": 3, "json_array": 4}
 # -------------------------------------------------------------------------------------------------
 
+OUTPUT_ROWS = 20_000
 CELL_SCHEMA = (
     "page_id bigint, kind string, table_idx int, title string, row_idx int, col_idx int, header string, "
     "value string, row_has_data boolean"
@@ -180,14 +181,18 @@ def element_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in CELL_SCHEMA.split(", ")]
+        rows: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch["page_id"], batch["html"]):
-                rows, seen = [], {}
+                seen: dict[str, int] = {}
                 for kind, title, cells, _, _ in _page_tables(html):
                     seen[kind] = seen.get(kind, -1) + 1
                     rows += [(page, kind, seen[kind], title, *cell) for cell in cells]
-                if rows:
+                if len(rows) > OUTPUT_ROWS:
                     yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), text(html_col).alias("html"))
     return source.mapInPandas(scan, CELL_SCHEMA)
@@ -243,39 +248,53 @@ def split_fields(line: Column, delimiter: Column) -> Column:
         pattern = escaped + '\\s*("[^"]*(?:""[^"]*)*"|[^' + escaped + "]*)"
         return F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(pattern), F.lit(1))
 
-    chosen = F.coalesce(*[F.when(delimiter == d, fields(d)) for d in DELIMITERS])
+    chosen = None
+    for d in DELIMITERS:
+        chosen = F.when(delimiter == d, fields(d)) if chosen is None else chosen.when(delimiter == d, fields(d))
+    quoted = r'^\s*"|"\s*$'
     return F.transform(chosen, lambda f: F.trim(F.when(
-        F.trim(f).startswith('"'), F.regexp_replace(F.regexp_replace(F.trim(f), '^"|"$', ""), '""', '"')).otherwise(f)))
+        f.rlike(r'^\s*"'), F.replace(F.regexp_replace(f, quoted, ""), F.lit('""'), F.lit('"'))).otherwise(f)))
+
+
+def _steady_delimiter(head: Column) -> Column:
+    """Delimiter with the steadiest field count over the first lines: 100 for equal widths plus the mean."""
+    def judged(d):
+        widths = F.transform(head, lambda line: F.length(line) - F.length(F.replace(line, d, F.lit(""))) + 1)
+
+        def score(w):
+            steady = F.when(F.array_min(w) == F.array_max(w), 100.0).otherwise(0.0)
+            mean = F.aggregate(w, F.lit(0), lambda acc, x: acc + x) / F.size(w)
+            return F.when(F.get(w, F.lit(0)) > 1, steady + mean).otherwise(-1.0)
+
+        # The one-element array evaluates the widths once for the several uses.
+        return F.transform(F.array(widths), score)[0]
+
+    options = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
+    ranked = F.transform(options, lambda o: F.struct(judged(o["d"]).alias("score"), o["place"].alias("place"), o["d"].alias("d")))
+    return F.transform(F.array(F.array_max(ranked)), lambda best: F.when(best["score"] > 1, best["d"]))[0]
 
 
 def pre_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_chars: int = 20) -> DataFrame:
-    """Delimited text of ``<pre>`` blocks: one row per cell, null tokens read as missing."""
+    """Delimited text of ``<pre>`` blocks: one row per cell, null tokens read as missing.
+
+    Each step feeds the next through a column used once, and blocks that hold no table vanish in the
+    explode: a filter would be pushed down and repeat the whole chain of expressions.
+    """
     blocks = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
-        F.posexplode(F.regexp_extract_all(html_col, F.lit(RX_PRE), F.lit(1))).alias("table_idx", "body"))
-    blocks = blocks.withColumn("body", _html_text(F.col("body"))).filter(F.length("body") > min_chars)
-    lines = blocks.select("page_id", "table_idx", F.filter(F.split("body", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    lines = lines.filter(F.size("lines") >= 2).withColumn("head", F.slice("lines", 1, 5))
-
-    def score(d):
-        widths = F.transform("head", lambda x: F.size(F.split(x, "\\|" if d == "|" else d)))
-        steady = F.array_max(widths) == F.array_min(widths)
-        mean = F.aggregate(widths, F.lit(0), lambda a, w: a + w) / F.size(widths)
-        return F.when(F.get(widths, F.lit(0)) > 1, F.when(steady, 100).otherwise(0) + mean).otherwise(F.lit(-1.0))
-
-    for i, d in enumerate(DELIMITERS):
-        lines = lines.withColumn(f"s{i}", score(d))
-    best = F.greatest(*[F.col(f"s{i}") for i in range(len(DELIMITERS))])
-    pick = F.coalesce(*[F.when((F.col(f"s{i}") == best) & (best > 1), d) for i, d in enumerate(DELIMITERS)])
-    found = lines.withColumn("delimiter", pick).filter("delimiter is not null")
-    header = split_fields(F.col("lines")[0], F.col("delimiter"))
-    rows = found.select(
-        "page_id", "table_idx", "delimiter", header.alias("headers"),
-        F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("row_idx", "line"))
-    parts = rows.withColumn("parts", split_fields(F.col("line"), F.col("delimiter")))
+        F.posexplode(F.regexp_extract_all(html_col, F.lit(RX_PRE), F.lit(1))).alias("table_idx", "raw"))
+    bodies = blocks.select("page_id", "table_idx", _html_text(F.col("raw")).alias("body"))
+    broken = F.filter(F.split("body", r"\r?\n"), lambda x: F.trim(x) != "")
+    lines = bodies.select("page_id", "table_idx", F.when(F.length("body") > min_chars, broken).alias("lines"))
+    judged = lines.select("page_id", "table_idx", "lines", _steady_delimiter(F.slice("lines", 1, 5)).alias("delimiter"))
+    ready = judged.select(
+        "page_id", "table_idx", "delimiter", split_fields(F.try_element_at("lines", F.lit(1)), F.col("delimiter")).alias("headers"),
+        F.when(F.col("delimiter").isNotNull(), F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("data"))
+    rows = ready.select("page_id", "table_idx", "delimiter", "headers", F.posexplode("data").alias("row_idx", "line"))
+    parts = rows.select("page_id", "table_idx", "row_idx", "headers", split_fields(F.col("line"), F.col("delimiter")).alias("parts"))
     cells = parts.select("page_id", "table_idx", "row_idx", "parts", F.posexplode("headers").alias("col_idx", "header"))
-    raw = F.get("parts", F.col("col_idx"))
-    value = F.when(~raw.isin("", "null", "NULL", "N/A", "n/a"), raw)
+    found = F.get("parts", F.col("col_idx"))
+    value = F.when(~found.isin("", "null", "NULL", "N/A", "n/a"), found)
     name = F.when(F.col("header") == "", F.concat(F.lit("Col_"), (F.col("col_idx") + 1).cast("string"))).otherwise(F.col("header"))
     return cells.select("page_id", "table_idx", "row_idx", "col_idx", name.alias("header"), value.alias("value"))
 
