@@ -68,16 +68,16 @@ def _q(name: str) -> str:
 
 def _equi(a: DataFrame, b: DataFrame, keys, how: str, null_safe: bool, extra: str | None = None) -> DataFrame:
     renamed = b.select(
-        *[F.col(_q(k)).alias(f"_r_{k}") for k in keys],
-        *([F.col(extra).alias("_r_extra")] if extra else []),
+        *[F.col(_q(k)).alias(f"_rhs_{k}") for k in keys],
+        *([F.col(extra).alias("_rhs_salt")] if extra else []),
         *[F.col(_q(c)) for c in b.columns if c not in keys and c != extra],
     )
     match = [
-        a[_q(k)].eqNullSafe(renamed[_q(f"_r_{k}")]) if null_safe else a[_q(k)] == renamed[_q(f"_r_{k}")] for k in keys
+        a[_q(k)].eqNullSafe(renamed[_q(f"_rhs_{k}")]) if null_safe else a[_q(k)] == renamed[_q(f"_rhs_{k}")] for k in keys
     ]
     if extra:
-        match.append(a[extra] == renamed["_r_extra"])
-    return a.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys], "_r_extra")
+        match.append(a[extra] == renamed["_rhs_salt"])
+    return a.join(renamed, match, how).drop(*[f"_rhs_{k}" for k in keys], "_rhs_salt")
 
 
 def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",

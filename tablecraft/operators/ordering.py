@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SAMPLE_PER_BUCKET = 40
+SMALL_ROWS = 100_000
 
 
 def _sort_form(df: DataFrame, name: str) -> Column:
@@ -40,9 +41,15 @@ def _bucket_of(key: Column, bounds: list[Column]) -> Column:
 
 
 def with_buckets(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
-                 buckets: int | None = None) -> DataFrame:
-    """Add ``_part`` (partition struct) and ``_bucket`` (consecutive range number)."""
+                 buckets: int | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_part`` (partition struct) and ``_bucket`` (consecutive range number).
+
+    The flag tells that the rows were counted to be few and share one bucket, so that no border exists.
+    """
     names = [*partition_by, *order_by]
+    part = F.struct(*[F.col(c) for c in partition_by]) if partition_by else F.struct(F.lit(0).alias("all"))
+    if buckets is None and df.select(*names).count() <= SMALL_ROWS:
+        return df.withColumn("_part", part).withColumn("_bucket", F.lit(0)), True
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     forms = [_sort_form(df, c).alias(f"k{i}") for i, c in enumerate(names)]
     keys = df.select(*forms)
@@ -56,14 +63,18 @@ def with_buckets(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
     bounds = [
         F.struct(*[F.lit(v).cast(t).alias(f"k{j}") for j, (v, t) in enumerate(zip(sampled[i], kinds))]) for i in picks
     ]
-    part = F.struct(*[F.col(c) for c in partition_by]) if partition_by else F.struct(F.lit(0).alias("all"))
-    return df.withColumn("_part", part).withColumn("_bucket", _bucket_of(F.struct(*forms), bounds))
+    return df.withColumn("_part", part).withColumn("_bucket", _bucket_of(F.struct(*forms), bounds)), False
+
 
 
 def running_sum(df: DataFrame, order_by: Sequence[str], value: Column, name: str,
                 partition_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in a unique order, per partition."""
-    work = with_buckets(df, partition_by, order_by, buckets).withColumn("_v", value)
+    work, whole = with_buckets(df, partition_by, order_by, buckets)
+    work = work.withColumn("_v", value)
+    inside = Window.partitionBy("_bucket", "_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    if whole:
+        return work.withColumn(name, F.sum("_v").over(inside)).drop("_part", "_bucket", "_v")
     per_part = work.groupBy("_bucket", "_part").agg(F.sum("_v").alias("s"))
     border = per_part.groupBy("_bucket").agg(
         F.min("_part").alias("first"), F.max("_part").alias("last"), F.max_by("s", "_part").alias("tail")
@@ -77,7 +88,6 @@ def running_sum(df: DataFrame, order_by: Sequence[str], value: Column, name: str
     )
     # One row per bucket, so its size is bounded by the bucket count.
     joined = work.join(F.broadcast(carry), "_bucket", "left")
-    inside = Window.partitionBy("_bucket", "_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     offset = F.when(F.col("_part").eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(F.lit(0))
     total = F.sum("_v").over(inside) + F.coalesce(offset, F.lit(0))
     return joined.withColumn(name, total).drop("_part", "_bucket", "_v", "_first", "_carry")
@@ -93,11 +103,19 @@ def row_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
 def fill_along(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = (),
                backward: bool = False, default=None, buckets: int | None = None) -> DataFrame:
     """Carry the nearest earlier (or later) non-null value into gaps."""
-    work = with_buckets(df, partition_by, order_by, buckets)
+    work, whole = with_buckets(df, partition_by, order_by, buckets)
+    inside = Window.partitionBy("_bucket", "_part").orderBy(*order_by)
+    if backward:
+        span, take = inside.rowsBetween(0, Window.unboundedFollowing), F.first
+    else:
+        span, take = inside.rowsBetween(Window.unboundedPreceding, 0), F.last
+    last_resort = {c: [] if default is None else [F.lit(default).cast(df.schema[c].dataType)] for c in columns}
+    if whole:
+        filled = {c: F.coalesce(take(c, ignorenulls=True).over(span), *last_resort[c]).alias(c) for c in columns}
+        return work.select(*[filled.get(c, F.col(c)) for c in df.columns])
     at = F.struct(*[F.col(c) for c in order_by])
     pick = F.min if backward else F.max
     per_bucket = work.groupBy("_bucket").agg(
-        (F.max("_part") if backward else F.min("_part")).alias("edge"),
         *[
             pick(F.when(F.col(c).isNotNull(), F.struct(F.col("_part"), at.alias("at"), F.col(c).alias("v")))).alias(
                 f"s{i}"
@@ -110,23 +128,11 @@ def fill_along(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], p
         Window.unboundedPreceding, -1
     )
     carried = per_bucket.select(
-        F.col("_bucket"),
-        F.col("edge").alias("_edge"),
-        *[F.last(f"s{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(columns))],
+        F.col("_bucket"), *[F.last(f"s{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(columns))],
     )
     joined = work.join(F.broadcast(carried), "_bucket", "left")
-    inside = Window.partitionBy("_bucket", "_part").orderBy(*order_by)
-    if backward:
-        span, take = inside.rowsBetween(0, Window.unboundedFollowing), F.first
-    else:
-        span, take = inside.rowsBetween(Window.unboundedPreceding, 0), F.last
-    out = joined
+    filled = {}
     for i, c in enumerate(columns):
         border = F.when(F.col("_part").eqNullSafe(F.col(f"_c{i}._part")), F.col(f"_c{i}.v"))
-        filled = [take(c, ignorenulls=True).over(span), border]
-        if default is not None:
-            filled.append(F.lit(default).cast(df.schema[c].dataType))
-        out = out.withColumn(f"_f{i}", F.coalesce(*filled))
-    for i, c in enumerate(columns):
-        out = out.withColumn(c, F.col(f"_f{i}"))
-    return out.select(*df.columns)
+        filled[c] = F.coalesce(take(c, ignorenulls=True).over(span), border, *last_resort[c]).alias(c)
+    return joined.select(*[filled.get(c, F.col(c)) for c in df.columns])

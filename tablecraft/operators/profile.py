@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablecraft.functions import cells
 from tablecraft.operators import typing_ops
 from tablecraft.operators.dedup import duplicate_count
-from tablecraft.operators.lookup import attach
 from tablecraft.operators.missing import column_modes
 from tablecraft.operators.outliers import fit_bounds, outside
 from tablecraft.operators.projection import as_number, is_numeric, numeric_columns, rows_of, text_columns
@@ -217,36 +216,37 @@ def _weighted_numbers(present: DataFrame) -> DataFrame:
     from tablecraft.operators.ordering import running_sum
 
     numeric = cells.infer_value_type("value").isin("integer", "float", "currency", "percentage")
-    numbers = (
+    numbers = materialize(
         present.filter(numeric).groupBy("column", cells.parse_numeric("value").alias("v")).agg(F.sum("n").alias("n"))
         .filter("v is not null")
     )
-    cum = materialize(running_sum(numbers, ["v"], F.col("n"), "hi", partition_by=["column"]))
+    cum = running_sum(numbers, ["v"], F.col("n"), "hi", partition_by=["column"])
     x, n = F.col("v"), F.col("n")
-    totals = cum.groupBy("column").agg(
+    # The three lookups hold one row per column of the table, so they are broadcast.
+    totals = numbers.groupBy("column").agg(
         F.sum("n").alias("numbers"), F.min("v").alias("min"), F.max("v").alias("max"),
         (F.sum(x * n) / F.sum("n")).alias("mean"),
     )
-    with_total = attach(cum, totals.select("column", "numbers", "mean"), ["column"], "inner")
+    with_total = cum.join(F.broadcast(totals.select("column", "numbers", "mean")), "column")
 
     def at(rank):
         return F.max(F.when((F.col("hi") > rank) & (F.col("hi") - n <= rank), x))
 
     half = F.floor(F.col("numbers") / 2)
     even = F.col("numbers") % 2 == 0
-    ranks = with_total.groupBy("column").agg(
+    ranks = materialize(with_total.groupBy("column").agg(
         at(F.floor(F.col("numbers") * 0.25)).alias("q1"),
         at(F.floor(F.col("numbers") * 0.75)).alias("q3"),
         at(half).alias("upper_mid"),
         at(F.when(even, half - 1).otherwise(half)).alias("lower_mid"),
         F.sqrt(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))) / F.sum(n)).alias("std_pop"),
-    )
-    fenced = attach(cum, ranks.select("column", "q1", "q3"), ["column"], "inner")
+    ))
+    fenced = numbers.join(F.broadcast(ranks.select("column", "q1", "q3")), "column")
     span = (F.col("q3") - F.col("q1")) * 1.5
     beyond = fenced.groupBy("column").agg(
         F.coalesce(F.sum(F.when((x < F.col("q1") - span) | (x > F.col("q3") + span), n)), F.lit(0)).alias("outliers")
     )
-    out = totals.join(ranks, "column").join(beyond, "column")
+    out = totals.join(F.broadcast(ranks), "column").join(F.broadcast(beyond), "column")
     return out.select(
         "column", "numbers", "min", "max", "mean", ((F.col("lower_mid") + F.col("upper_mid")) / 2).alias("median"),
         "std_pop", F.when(F.col("numbers") >= 4, F.col("outliers")).otherwise(0).alias("outliers"),

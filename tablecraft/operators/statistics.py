@@ -9,7 +9,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablecraft.operators.lookup import attach
+from tablecraft.operators.ordering import running_sum
 from tablecraft.operators.projection import as_number, numeric_columns, rows_of
+from tablecraft.session import materialize
 
 MAX_SQL_COLUMNS = 50
 
@@ -75,10 +78,24 @@ def _vector_pairs(data: DataFrame, names: Sequence[str], method: str) -> DataFra
     return data.sparkSession.createDataFrame(rows, "a string, b string, n bigint, r double")
 
 
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, rank``: the mean rank of every distinct value, from cumulative counts."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    counts = materialize(df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    cum = running_sum(counts, ["value"], F.col("n"), "hi", partition_by=["column"])
+    return cum.select("column", "value", (F.col("hi") - (F.col("n") - 1) / 2).alias("rank"))
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rank correlation of every pair over rows without gaps."""
+    """Rank correlation of every pair over rows without gaps: Pearson over mean ranks."""
     names = list(columns or numeric_columns(df))
-    return _vector_pairs(df.select(*[as_number(df, c).alias(c) for c in names]), names, "spearman")
+    whole = df.select(*[as_number(df, c).alias(c) for c in names]).dropna()
+    ranks = materialize(average_ranks(whole, names))
+    ranked = whole
+    for c in names:
+        lookup = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
+        ranked = attach(ranked, lookup, [c], "inner")
+    return correlation_pairs(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in names]), names)
 
 
 def pair_strength(df: DataFrame, a: str, b: str) -> DataFrame:

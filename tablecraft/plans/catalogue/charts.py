@@ -276,6 +276,6 @@ _ORDER_COLUMNS = ("order_id", "cust_id", "order_ts", "amount", "priority", "rati
 
 @query("ag27_distinct_counts", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\" FROM dirty_orders" for c in _ORDER_COLUMNS))
 def _(t):
-    return charts.distinct_counts(t("dirty_orders"))
+    return charts.distinct_counts(t.wide("dirty_orders"))
 
 

@@ -51,8 +51,8 @@ def _(t):
 
 def _kinds(t):
     """Every cell of the dirty customers, order dates and prices as text."""
-    people = typing_ops.long_cells(t("dirty_customer"))
-    orders = t("orders").select(
+    people = typing_ops.long_cells(t.wide("dirty_customer"))
+    orders = t.wide("orders").select(
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso_date"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("us_date"),
         F.concat(F.col("o_orderkey").cast("string"), F.lit(".5")).alias("decimal"))
     return people.unionByName(typing_ops.long_cells(orders))
@@ -106,7 +106,7 @@ _DIRTY_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARC
 
 @query("ty05_tell_column_type", "WITH " + votes_sql(_DIRTY_CELLS).strip())
 def _(t):
-    return typing_ops.tell_column_type(t("dirty_customer"))
+    return typing_ops.tell_column_type(t.wide("dirty_customer"))
 
 
 _SEMANTIC = f"""
@@ -127,12 +127,12 @@ _ORDER_CELLS = " UNION ALL ".join(
 
 @query("ty06_semantic_type", "WITH " + _SEMANTIC.replace("{cells}", _DIRTY_CELLS).strip())
 def _(t):
-    return typing_ops.semantic_type(t("dirty_customer"))
+    return typing_ops.semantic_type(t.wide("dirty_customer"))
 
 
 @query("ty06_semantic_type_orders", "WITH " + _SEMANTIC.replace("{cells}", _ORDER_CELLS).strip())
 def _(t):
-    return typing_ops.semantic_type(t("dirty_orders").select(
+    return typing_ops.semantic_type(t.wide("dirty_orders").select(
         "order_id", F.date_format("order_ts", "yyyy-MM-dd").alias("order_date"), "amount", "priority", "empty_col"))
 
 
@@ -157,7 +157,7 @@ dom AS (SELECT "column", CASE WHEN d > 10 AND d = f AND regexp_matches("column",
 
 @query("ty07_dominant_type", f"WITH {dominant_sql(_DIRTY_CELLS).strip()} SELECT * REPLACE (CASE WHEN \"column\" = 'active' THEN 'ignore' ELSE dominant_type END AS dominant_type) FROM dom")
 def _(t):
-    return typing_ops.dominant_type(t("dirty_customer"), {"active": "ignore"})
+    return typing_ops.dominant_type(t.wide("dirty_customer"), {"active": "ignore"})
 
 
 @query("ty09_cast_columns", f"""
@@ -301,7 +301,7 @@ def _(t):
 SELECT doc_id, CASE WHEN lower(x) IN ('nan', 'none') THEN NULL ELSE x END AS text
 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\p{{Z}}]+|[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\p{{Z}}]+$', '', 'g'), '[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\p{{Z}}]+', ' ', 'g') AS x FROM documents)""")
 def _(t):
-    return texts.squeeze_text(t("documents").select("doc_id", "text"))
+    return texts.squeeze_text(t.wide("documents").select("doc_id", "text"))
 
 
 @query("tx03_lower", "SELECT c_custkey, lower(c_name) AS c_name, c_nationkey, c_acctbal, lower(c_mktsegment) AS c_mktsegment FROM customer")
@@ -530,6 +530,6 @@ p AS (SELECT cust_id, coalesce(name, (SELECT name FROM u WHERE name IS NOT NULL
   coalesce(active, (SELECT active FROM u WHERE active IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS active FROM u JOIN w ON variant = segment)
 SELECT cust_id, name, segment, {r('coalesce(bal, (SELECT bal FROM p WHERE bal IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))')} AS balance_text, email, active FROM p""")
 def _(t):
-    return rounded(recipe.auto_clean(t("doubled_customer"), order_by=["cust_id"]))
+    return rounded(recipe.auto_clean(t.wide("doubled_customer"), order_by=["cust_id"]))
 
 

@@ -28,13 +28,13 @@ LINES = pieces_sql("chr(10)")
 @query("td01_counts", f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS INT) AS words,
   CAST(length(text) AS INT) AS characters, CAST(len({PARAGRAPHS}) AS INT) AS paragraphs FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", corpus.word_count("text").alias("words"), F.length("text").alias("characters"),
+    return t.wide("documents").select("doc_id", corpus.word_count("text").alias("words"), F.length("text").alias("characters"),
                                  F.size(corpus.paragraphs("text")).alias("paragraphs"))
 
 
 @query("td02_headings", f"""SELECT doc_id, list_slice(list_filter({LINES}, lambda l: length(l) < 80 AND (regexp_matches(l, '{corpus.RX_HEADING}') OR (upper(l) = l AND lower(l) <> l))), 1, 15) AS headings FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", corpus.headings("text").alias("headings"))
+    return t.wide("documents").select("doc_id", corpus.headings("text").alias("headings"))
 
 
 @query("td03_figures", f"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '{corpus.RX_FIGURE}', 1) AS a FROM documents),
@@ -43,30 +43,30 @@ g AS (SELECT doc_id, v, min(i) AS i FROM u GROUP BY 1, 2),
 h AS (SELECT doc_id, list(v ORDER BY i) AS a FROM g GROUP BY 1)
 SELECT d.doc_id, coalesce(list_slice(a, 1, 20), CAST([] AS VARCHAR[])) AS figures FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
 def _(t):
-    return t("documents").select("doc_id", corpus.figures("text").alias("figures"))
+    return t.wide("documents").select("doc_id", corpus.figures("text").alias("figures"))
 
 
 @query("td04_definitions", f"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '{corpus.RX_DEFINITION}', 1) AS a, regexp_extract_all(text, '{corpus.RX_DEFINITION}', 2) AS b FROM documents),
 u AS (SELECT doc_id, unnest(a) AS term, unnest(b) AS definition, generate_subscripts(a, 1) AS i FROM x)
 SELECT doc_id, CAST(i - 1 AS INT) AS place, {strip_sql('term')} AS term, {strip_sql('definition')} AS definition FROM u WHERE i <= 8""")
 def _(t):
-    found = t("documents").select("doc_id", F.posexplode(corpus.definitions("text")).alias("place", "d"))
+    found = t.wide("documents").select("doc_id", F.posexplode(corpus.definitions("text")).alias("place", "d"))
     return found.select("doc_id", "place", "d.term", "d.definition")
 
 
 @query("td05_summary", f"""SELECT doc_id, substr(array_to_string(list_slice({PARAGRAPHS}, 1, 4), ' '), 1, 800) AS summary, array_to_string(list_slice({PARAGRAPHS}, 1, 3), ' ') AS short FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", corpus.summary("text").alias("summary"), corpus.summary("text", 3, None).alias("short"))
+    return t.wide("documents").select("doc_id", corpus.summary("text").alias("summary"), corpus.summary("text", 3, None).alias("short"))
 
 
 @query("td06_takeaways", f"""SELECT doc_id, list_transform(list_slice({PARAGRAPHS}, 1, 5), lambda p: substr(p, 1, 160) || '...') AS takeaways FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", corpus.takeaways("text").alias("takeaways"))
+    return t.wide("documents").select("doc_id", corpus.takeaways("text").alias("takeaways"))
 
 
 @query("td07_title", f"""SELECT conv_id, turn, {LINES}[1] AS title FROM conversations""")
 def _(t):
-    return t("conversations").select("conv_id", "turn", corpus.title("text").alias("title"))
+    return t.wide("conversations").select("conv_id", "turn", corpus.title("text").alias("title"))
 
 
 # TF-IDF ----------------------------------------------------------------------------------------------
@@ -93,20 +93,20 @@ sc AS (SELECT dw.doc_id, domain, sum(dw.w * cn.w) / any_value(norm) AS s FROM dw
 
 @query("td08_domain_scores", f"{_TFIDF} SELECT doc_id, domain, {r('s', 6)} AS similarity FROM sc")
 def _(t):
-    return rounded(corpus.domain_scores(t("documents"), "text", "doc_id"), 6)
+    return rounded(corpus.domain_scores(t.wide("documents"), "text", "doc_id"), 6)
 
 
 @query("td08_classify_domain", f"""{_TFIDF}, best AS (SELECT doc_id, arg_max(domain, (round(s, 12), domain)) AS domain, max(s) AS s FROM sc GROUP BY 1)
 SELECT d.doc_id, CASE WHEN coalesce(s, 0) > 0.03 THEN domain ELSE 'generic' END AS domain, {r('coalesce(s, 0)', 6)} AS similarity,
   CAST(CASE WHEN coalesce(s, 0) > 0.03 THEN least(99, greatest(68, floor(s * 180) + 40)) ELSE 60 END AS INT) AS confidence FROM documents d LEFT JOIN best USING (doc_id)""")
 def _(t):
-    return rounded(corpus.classify_domain(t("documents"), "text", "doc_id"), 6)
+    return rounded(corpus.classify_domain(t.wide("documents"), "text", "doc_id"), 6)
 
 
 @query("td08_matched_terms", f"""{_TFIDF}, k AS (SELECT doc_id, term, round(w, 9) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM dw)
 SELECT doc_id, CAST(rank AS INT) AS rank, term, {r('w', 6)} AS weight FROM k WHERE rank <= 6""")
 def _(t):
-    return rounded(corpus.matched_terms(t("documents"), "text", "doc_id"), 6)
+    return rounded(corpus.matched_terms(t.wide("documents"), "text", "doc_id"), 6)
 
 
 # Keywords --------------------------------------------------------------------------------------------
@@ -123,7 +123,7 @@ g AS (SELECT dataset, place, domain, sum(CAST(coalesce(hits, 0) + extra AS DOUBL
 b AS (SELECT dataset, domain, score, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, place) AS i FROM g)
 SELECT dataset, CASE WHEN score < 2 THEN 'general' ELSE domain END AS domain, {r('score')} AS score, CAST(CASE WHEN score < 2 THEN 60 ELSE least(98, round(50 + score * 5)) END AS INT) AS confidence FROM b WHERE i = 1""")
 def _(t):
-    schemas = t("conversations").select(
+    schemas = t.wide("conversations").select(
         F.concat_ws("_", F.lit("conversation"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("dataset"),
         F.filter(F.split("text", " "), lambda w: w != "").alias("columns"))
     return rounded(corpus.keyword_domains(schemas))
@@ -137,7 +137,7 @@ _NAMES = list(FALLBACK_KEYWORDS)
 g AS (SELECT *, greatest({", ".join(_NAMES)}) AS hits FROM h)
 SELECT doc_id, CASE WHEN hits = 0 THEN 'generic' {" ".join(f"WHEN {d} = hits THEN '{d}'" for d in _NAMES)} END AS domain, CAST(hits AS INT) AS hits FROM g""")
 def _(t):
-    return corpus.substring_domain(t("documents"), "text", "doc_id")
+    return corpus.substring_domain(t.wide("documents"), "text", "doc_id")
 
 
 @query("td00_document_profile", f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS INT) AS words,
@@ -146,6 +146,6 @@ def _(t):
   CAST(least(20, len(list_distinct(regexp_extract_all(text, '{corpus.RX_FIGURE}', 1)))) AS INT) AS figures,
   CAST(least(8, len(regexp_extract_all(text, '{corpus.RX_DEFINITION}', 1))) AS INT) AS definitions FROM documents""")
 def _(t):
-    out = corpus.document_profile(t("documents"), "text", ["doc_id"])
+    out = corpus.document_profile(t.wide("documents"), "text", ["doc_id"])
     return out.select("doc_id", "words", "characters", "paragraphs", "title", "summary", F.size("headings").alias("headings"),
                       F.size("figures").alias("figures"), F.size("definitions").alias("definitions"))

@@ -15,7 +15,7 @@ ORDER_NUMBERS = ("order_id", "cust_id", "amount", "ratio", "const_col", "empty_c
 
 
 def finite_orders(t):
-    return missing.nan_to_null(t("dirty_orders"))
+    return missing.nan_to_null(t.wide("dirty_orders"))
 
 
 def union(parts) -> str:
@@ -63,7 +63,7 @@ WIDE = """w AS (SELECT o_orderkey AS order_id, strftime(o_orderdate, '%Y-%m-%d')
 
 
 def wide_orders(t):
-    return t("orders").select(
+    return t.wide("orders").select(
         F.col("o_orderkey").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
         F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("amount"),
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" "), "o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("priority"),
@@ -104,7 +104,7 @@ UNION ALL SELECT 'constant_column', 'empty_col', count(*) FROM dirty_orders HAVI
 UNION ALL SELECT 'constant_column', 'const_col', count(*) FROM dirty_orders HAVING count(DISTINCT const_col) <= 1
 UNION ALL SELECT 'constant_column', 'priority', count(*) FROM dirty_orders HAVING count(DISTINCT priority) <= 1""")
 def _(t):
-    return profile.structure_issues(t("dirty_orders"))
+    return profile.structure_issues(t.wide("dirty_orders"))
 
 
 def browser_sql(cell: str) -> str:
@@ -127,7 +127,7 @@ pro AS (SELECT dom.*, coalesce(whitespace, 0) AS whitespace, coalesce(casing_gro
 @query("pr04_browser_profile", f"""WITH {browser_sql(_DIRTY_CELLS).strip()}
 SELECT * REPLACE ({r('min')} AS min, {r('max')} AS max, {r('mean')} AS mean, {r('median')} AS median, {r('std_pop')} AS std_pop) FROM pro""")
 def _(t):
-    return rounded(profile.browser_profile(t("dirty_customer")))
+    return rounded(profile.browser_profile(t.wide("dirty_customer")))
 
 
 @query("pr05_server_problems", f"""WITH {WIDE},
@@ -158,7 +158,7 @@ _DUP = f"""dup AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS d FROM (SEL
 
 @query("pr05_browser_problems", f"WITH {browser_sql(_DOUBLED_CELLS).strip()}, {_DUP} {_PROBLEMS}")
 def _(t):
-    return profile.browser_problems(t("doubled_customer"))
+    return profile.browser_problems(t.wide("doubled_customer"))
 
 
 @query("pr06_score_server", f"""WITH {WIDE},
@@ -178,7 +178,7 @@ s AS (SELECT max("rows") AS n, CAST(sum(nulls) AS BIGINT) AS nulls, CAST(sum(whi
 SELECT n AS "rows", nulls, d AS duplicates, mixed, whitespace, outliers, CAST(greatest(10, least(100, round(100 - least(30, nulls * 80.0 / (n * 6)) - least(25, d * 60.0 / n)
   - least(15, mixed * 5) - least(10, whitespace * 40.0 / (n * 6)) - least(10, outliers)))) AS INT) AS score FROM s, dup""")
 def _(t):
-    return profile.quality_score(t("doubled_customer"), "browser")
+    return profile.quality_score(t.wide("doubled_customer"), "browser")
 
 
 def _column_stats_sql(c: str) -> str:
@@ -200,7 +200,7 @@ def _(t):
 p AS (SELECT k, n * 1.0 / sum(n) OVER (PARTITION BY k) AS p FROM c)
 SELECT k AS "column", count(*) AS levels, {r('-sum(p * log2(p))')} AS bits, CASE WHEN -sum(p * log2(p)) > 2.5 THEN 'Uniform / High Diversity' ELSE 'Imbalanced / Low Diversity' END AS balance FROM p GROUP BY 1""")
 def _(t):
-    return rounded(profile.entropy(t("dirty_customer")))
+    return rounded(profile.entropy(t.wide("dirty_customer")))
 
 
 def _pop_skew(c: str) -> str:
@@ -239,7 +239,7 @@ SELECT type, subject, CAST(value AS DOUBLE) AS value, detail FROM (
     WHERE t.i = 1 AND p.dominant_type IN ('categorical', 'binary') AND round(t.n * 100.0 / p."rows") >= 50
   UNION ALL SELECT 'duplicates', '*', d, 'duplicate rows' FROM dup WHERE d > 0)""")
 def _(t):
-    return profile.smart_analytics(t("doubled_customer"))
+    return profile.smart_analytics(t.wide("doubled_customer"))
 
 
 def _facts_sql(table: str, columns: dict[str, str]) -> str:
@@ -281,7 +281,7 @@ def _(t):
 
 @query("pr12_suggest_chart_customer", f"WITH {_facts_sql('dirty_customer', {'segment': 'text', 'balance_text': 'text', 'email': 'text', 'active': 'text', 'cust_id': 'number'})} {_CHART}")
 def _(t):
-    return profile.suggest_chart(profile.suggest_axes(t("dirty_customer").select("segment", "balance_text", "email", "active", "cust_id")))
+    return profile.suggest_chart(profile.suggest_axes(t.wide("dirty_customer").select("segment", "balance_text", "email", "active", "cust_id")))
 
 
 @query("pr13_recommend_charts", f"""
@@ -325,7 +325,7 @@ def _(t):
 
 
 def _before_after(t):
-    before = t("dirty_customer")
+    before = t.wide("dirty_customer")
     after = texts.trim_text(missing.fill_text_gaps(before.filter("cust_id > 9"), ["active"]), ["segment"])
     return before, after
 
@@ -351,7 +351,7 @@ SELECT (SELECT count(*) FROM dirty_customer) AS prev_rows, (SELECT count(*) FROM
   (SELECT count(*) FROM doubled_customer) - (SELECT count(*) FROM dirty_customer) AS added_rows, 0 AS removed_rows, 'extra' AS new_columns, 'email' AS removed_columns,
   true AS is_update, 4 AS version""")
 def _(t):
-    return profile.version_diff(t("dirty_customer"), t("doubled_customer").drop("email").withColumn("extra", F.lit(1)), 3)
+    return profile.version_diff(t.wide("dirty_customer"), t.wide("doubled_customer").drop("email").withColumn("extra", F.lit(1)), 3)
 
 
 @query("pr18_cleaning_plan", f"""WITH {browser_sql(_DOUBLED_CELLS).strip()}, {_DUP},
@@ -364,7 +364,7 @@ s AS (SELECT 0 AS stage, 0 AS p, 'trim' AS action, CAST(NULL AS VARCHAR) AS "col
   UNION ALL SELECT 2, position * 10 + 5, 'iso_dates', "column", NULL FROM pro JOIN pos USING ("column") WHERE dominant_type = 'date')
 SELECT CAST(row_number() OVER (ORDER BY stage, p) AS INT) AS step, action, "column", detail FROM s""")
 def _(t):
-    return profile.cleaning_plan(t("doubled_customer"))
+    return profile.cleaning_plan(t.wide("doubled_customer"))
 
 
 def _analysis_sql(c: str) -> str:
@@ -420,7 +420,7 @@ def _(t):
 
 @query("st05_trend_line", f"SELECT regr_count(amount, cust_id) AS n, {r('regr_slope(amount, cust_id)')} AS slope, {r('regr_intercept(amount, cust_id)')} AS intercept FROM dirty_orders")
 def _(t):
-    return rounded(statistics.trend_line(t("dirty_orders"), "cust_id", "amount"))
+    return rounded(statistics.trend_line(t.wide("dirty_orders"), "cust_id", "amount"))
 
 
 # Diagnostics -------------------------------------------------------------------------------------------
@@ -460,6 +460,6 @@ SELECT {r('sum(amount)', 2)} AS sum, {r('avg(amount)', 2)} AS mean, {r('quantile
   count(*) FILTER (WHERE out) AS outlier_count, {r('count(*) FILTER (WHERE out) * 100.0 / count(amount)', 2)} AS outlier_pct, {r(_pop_skew('amount'), 2)} AS skewness, {r('kurtosis_pop(amount)', 2)} AS kurtosis,
   (SELECT priority FROM p) AS top_category, (SELECT n FROM p) AS top_count, {r('(SELECT n FROM p) * 100.0 / count(priority)', 2)} AS top_share_pct FROM x""")
 def _(t):
-    return rounded(diagnostics.column_summary(t("dirty_orders"), "amount", "priority"), 2)
+    return rounded(diagnostics.column_summary(t.wide("dirty_orders"), "amount", "priority"), 2)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecraft.session import ensure_checkpoint_dir
+from tablecraft.session import ensure_checkpoint_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,12 +55,13 @@ def _view_text(name: str) -> str:
     return text
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or one of the views over the given tables."""
+def load(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A given table, or one of the views over the given tables; ``wide`` spreads scans of few splits."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(scan) if wide else scan
     text = _view_text(name)
-    used = {t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    used = {t: load(spark, sf_dir, t, wide) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
@@ -102,6 +103,10 @@ class Source:
     def __call__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
+    def wide(self, name: str) -> DataFrame:
+        """As calling, for steps that are heavy per row."""
+        return load(self.spark, self.sf_dir, name, wide=True)
+
     def scratch(self) -> str:
         """A new folder in the cluster's shared checkpoint location."""
         return f"{ensure_checkpoint_dir(self.spark)}/tablecraft-{uuid.uuid4().hex}"

@@ -56,8 +56,8 @@ def _cells_of(c: str):
 
 
 def _render(t, body) -> DataFrame:
-    pages = t("customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
-    return pages.unionByName(t("pages").select((-1 - F.col("page_id")).alias("page_id"), "html"))
+    pages = t.wide("customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    return pages.unionByName(t.wide("pages").select((-1 - F.col("page_id")).alias("page_id"), "html"))
 
 
 def _rows(open_row, open_cell, close_cell, close_row):

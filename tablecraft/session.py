@@ -39,6 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a map-heavy step over a table scan as many tasks as there are cores.
+
+    Meant for scans only (files of few row groups); scans of large tables have more splits than cores
+    and pass through without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once and cut lineage, on storage that outlives any executor."""
     ensure_checkpoint_dir(df.sparkSession)
