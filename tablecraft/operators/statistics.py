@@ -34,7 +34,7 @@ def strength(r: Column) -> Column:
     )
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, min_n: int = 1) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, min_n: int = 0) -> DataFrame:
     """``a, b, n, r`` for every pair of numeric columns, one scan."""
     names = list(columns or numeric_columns(df))
     data = df.select(*[as_number(df, c).alias(c) for c in names])
