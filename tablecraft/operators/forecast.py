@@ -36,7 +36,9 @@ def fit_trends(points: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame
     population deviation of the residuals. The quadratic model needs five points.
     """
     work, keys = _keyed(points, partition_by)
-    base = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    flat = F.min("y") == F.max("y")
+    base = work.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.when(flat, F.min("y")).otherwise(F.avg("y")).alias("mean"))
     base = base.select(
         *keys, "n", "mean", ((F.col("n") - 1) / 2).alias("center"), F.greatest((F.col("n") - 1) / 2, F.lit(1.0)).alias("scale")
     )

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``n, mse, rmse, mae, r2`` of one scan; the spread comes from ``regr_syy``."""
+    """``n, mse, rmse, mae, r2`` of one scan; a constant label counts as fully explained."""
     rows = df.select(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p")).dropna()
     e = F.col("y") - F.col("p")
     one = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("sse"),
-        F.regr_syy("y", "y").alias("sst"))
+        F.when(F.min("y") < F.max("y"), F.regr_syy("y", "y")).alias("sst"))
     r2 = F.coalesce(1 - F.try_divide(F.col("sse"), F.col("sst")), F.lit(1.0))
     return one.select("n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablecraft.operators.lookup import attach
 from tablecraft.operators.projection import as_number, numeric_columns, rows_of
 from tablecraft.operators.quantiles import column_quantiles, group_quantiles
+from tablecraft.operators.statistics import varies
 
 Bounds = Mapping[str, tuple[float, float, float]]
 
@@ -28,7 +29,7 @@ def fit_bounds(df: DataFrame, columns: Sequence[str] | None = None, method: str
     if method in ("zscore", "zscore_pop"):
         dev = F.stddev_samp if method == "zscore" else F.stddev_pop
         row = numbers.agg(
-            *[F.struct(F.avg(c).alias("m"), dev(c).alias("s"), F.count(c).alias("n")).alias(c) for c in names]
+            *[F.struct(F.avg(c).alias("m"), F.when(varies(F.col(c)), dev(c)).alias("s"), F.count(c).alias("n")).alias(c) for c in names]
         ).first()
         for c in names:
             m, s, n = row[c]

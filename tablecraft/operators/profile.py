@@ -14,7 +14,7 @@ from tablecraft.operators.missing import column_modes
 from tablecraft.operators.outliers import fit_bounds, outside
 from tablecraft.operators.projection import as_number, is_numeric, numeric_columns, rows_of, text_columns
 from tablecraft.operators.quantiles import column_quantiles
-from tablecraft.operators.statistics import correlation_pairs
+from tablecraft.operators.statistics import correlation_pairs, varies
 from tablecraft.session import materialize
 
 NUMERIC_TYPES = ("numeric", "currency", "percentage", "integer", "float")
@@ -35,7 +35,7 @@ def position(columns: Sequence[str]) -> Column:
 
 def adjusted_skew(v: Column) -> Column:
     n = F.count(v)
-    return F.when(n > 2, F.skewness(v) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))
+    return F.when((n > 2) & varies(v), F.skewness(v) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,8 +54,8 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             F.lit(med).cast("double").alias("median"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
-            F.stddev_samp(v).alias("std"),
-            F.var_samp(v).alias("variance"),
+            F.when(F.min(v) == F.max(v), F.when(F.count(v) > 1, 0.0)).otherwise(F.stddev_samp(v)).alias("std"),
+            F.when(F.min(v) == F.max(v), F.when(F.count(v) > 1, 0.0)).otherwise(F.var_samp(v)).alias("variance"),
             F.lit(q1).cast("double").alias("q1"),
             F.lit(q3).cast("double").alias("q3"),
             F.lit(None if q1 is None else q3 - q1).cast("double").alias("iqr"),
@@ -383,8 +383,11 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Population skewness and excess kurtosis with a shape flag, for more than three values."""
     names = list(columns or numeric_columns(df))
     wide = df.agg(*[
-        F.struct(F.count(as_number(df, c)).alias("n"), F.skewness(as_number(df, c)).alias("skewness"),
-                 F.kurtosis(as_number(df, c)).alias("kurtosis")).alias(c)
+        F.struct(
+            F.count(as_number(df, c)).alias("n"),
+            F.when(varies(as_number(df, c)), F.skewness(as_number(df, c))).alias("skewness"),
+            F.when(varies(as_number(df, c)), F.kurtosis(as_number(df, c))).alias("kurtosis"),
+        ).alias(c)
         for c in names
     ])
     long = rows_of(wide, names).filter("n > 3")

@@ -17,10 +17,18 @@ from tablecraft.session import materialize
 MAX_SQL_COLUMNS = 50
 
 
+def varies(c: Column) -> Column:
+    """Whether a group holds two different values. Sums of squares of a constant may come out as
+    tiny noise when partial aggregates are merged, so they cannot tell."""
+    return F.min(c) < F.max(c)
+
+
 def pearson(a, b) -> Column:
     """Pairwise-complete Pearson r; null when either side has no spread."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = varies(F.when(b.isNotNull(), a)) & varies(F.when(a.isNotNull(), b))
     spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
-    return F.try_divide(F.regr_sxy(a, b), spread)
+    return F.when(both, F.try_divide(F.regr_sxy(a, b), spread))
 
 
 def strength(r: Column) -> Column:
@@ -60,8 +68,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, fill
         F.struct(F.col("b").alias("x"), F.col("a").alias("y"), F.col("r").alias("value")),
     )
     whole = half.select(F.inline(cells))
-    own = df.agg(*[F.var_pop(as_number(df, c)).alias(c) for c in names]).unpivot([], names, "x", "v")
-    diagonal = own.select("x", F.col("x").alias("y"), F.when(F.col("v") > 0, 1.0).alias("value"))
+    own = df.agg(*[varies(as_number(df, c)).alias(c) for c in names]).unpivot([], names, "x", "v")
+    diagonal = own.select("x", F.col("x").alias("y"), F.when(F.col("v"), 1.0).alias("value"))
     out = whole.unionByName(diagonal)
     return out if fill is None else out.fillna(fill, subset=["value"])
 
@@ -107,6 +115,8 @@ def pair_strength(df: DataFrame, a: str, b: str) -> DataFrame:
 def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least squares y = slope * x + intercept over complete pairs."""
     a, b = as_number(df, x), as_number(df, y)
+    steep = varies(F.when(b.isNotNull(), a))
     return df.agg(
-        F.regr_count(b, a).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept")
+        F.regr_count(b, a).alias("n"), F.when(steep, F.regr_slope(b, a)).alias("slope"),
+        F.when(steep, F.regr_intercept(b, a)).alias("intercept"),
     )

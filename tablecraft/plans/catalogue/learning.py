@@ -9,7 +9,7 @@ from tablecraft.operators import learning, metrics, neighbours
 from tablecraft.plans.catalogue.charts import SHIPPED, shipped
 from tablecraft.plans.catalogue.registry import query, r, rounded
 
-ITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # together unique
+ITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]  # together unique
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "p_retailprice"]
 ORDER_KEYS = ["o_orderkey"]
 ORDER_FEATURES = ["o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal"]

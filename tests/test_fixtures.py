@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablecraft.operators import dedup, learning, missing, outliers, profile, statistics, texts, typing_ops
+from tablecraft.operators import dedup, forecast, learning, missing, outliers, profile, statistics, texts, typing_ops
 from tablecraft.plans import recipe
 from tests.conftest import rows_of
 
@@ -48,6 +48,18 @@ def test_constant_and_empty_columns(spark):
     assert stats["c"]["count"] == 1 and stats["d"]["std"] == 0.0
 
 
+def test_constant_over_many_tasks(spark):
+    """Merged partial aggregates must not turn a constant into noise."""
+    df = spark.range(997, numPartitions=8).select(F.lit(0.1).alias("c"), (F.col("id") * 0.37).alias("x"), "id")
+    assert statistics.correlation_pairs(df, ["c", "x"]).first()["r"] is None
+    assert statistics.trend_line(df, "c", "x").first()["slope"] is None
+    assert outliers.fit_bounds(df, ["c"], "zscore") == {}
+    assert profile.normality(df, ["c"]).first()["skewness"] is None
+    assert profile.numeric_stats(df, ["c"]).first()["std"] == 0.0
+    fits = forecast.fit_trends(forecast.series(df, ["id"], "c")).collect()
+    assert {(f["model"], f["r2"], f["slope"], f["sigma"]) for f in fits} == {("linear", 1.0, 0.0, 0.0), ("poly", 1.0, 0.0, 0.0)}
+
+
 def test_empty_frame(spark):
     df = spark.createDataFrame([], "a double, s string")
     assert dedup.duplicate_count(df).first()["duplicates"] == 0
