@@ -15,7 +15,7 @@ from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardSc
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecraft.functions.cells import finite_or_null
 from tablecraft.operators.lookup import attach
@@ -25,6 +25,7 @@ from tablecraft.operators.projection import as_number, is_numeric
 from tablecraft.session import materialize
 
 SEED = 42
+MAX_LEVELS = 10_000
 FAILED_SCORE = -999.0
 
 
@@ -44,13 +45,26 @@ def problem_type(df: DataFrame, target: str | None, rule: str = "server") -> str
     return "classification" if few else "regression"
 
 
+def model_input(df: DataFrame, c: str, hashed: Sequence[str] = ()) -> Column:
+    if is_numeric(df, c):
+        return finite_or_null(as_number(df, c))
+    word = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
+    return F.pmod(F.xxhash64(word), F.lit(MAX_LEVELS)).cast("double") if c in hashed else word
+
+
+def wide_text(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """Text features with too many levels for a driver-side index; they are coded by hash instead."""
+    words = [c for c in features if not is_numeric(df, c)]
+    if not words:
+        return []
+    levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in words]).first()
+    return [c for c in words if levels[c] > MAX_LEVELS]
+
+
 def prepare(df: DataFrame, features: Sequence[str], target: str | None = None, problem: str = "regression",
-            keys: Sequence[str] = ()) -> DataFrame:
-    """Typed inputs: numbers parsed, text gaps Unknown, rows without a target dropped, ``label`` added."""
-    cols = [
-        finite_or_null(as_number(df, c)).alias(c) if is_numeric(df, c) else F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c)
-        for c in features
-    ]
+            keys: Sequence[str] = (), hashed: Sequence[str] = ()) -> DataFrame:
+    """Typed inputs: numbers parsed, text gaps Unknown, rows without a target dropped, ``label_raw`` added."""
+    cols = [model_input(df, c, hashed).alias(c) for c in features]
     if target is None:
         return df.select(*keys, *cols)
     label = as_number(df, target) if problem == "regression" else F.col(target).cast("string")
@@ -129,6 +143,7 @@ class Training:
     rows: list[tuple] = field(default_factory=list)
     best: str | None = None
     labels: list[str] = field(default_factory=list)
+    hashed: list[str] = field(default_factory=list)
     train: DataFrame | None = None
     test: DataFrame | None = None
 
@@ -155,14 +170,17 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     One driver loop over a handful of estimators; each fit is a distributed job on stored splits.
     """
     problem = problem or problem_type(df, target)
-    data = prepare(df, features, target, problem, keys)
-    run = Training(problem, list(features))
+    hashed = wide_text(df, features)
+    data = prepare(df, features, target, problem, keys, hashed)
+    run = Training(problem, list(features), hashed=hashed)
     if problem == "regression":
         part_a, part_b = hash_split(data, keys)
         run.train = materialize(part_a.withColumn("label", F.col("label_raw")))
         run.test = materialize(part_b.withColumn("label", F.col("label_raw")))
         classes = 0
     else:
+        if data.agg(F.approx_count_distinct("label_raw").alias("d")).first()["d"] > MAX_LEVELS:
+            raise ValueError(f"{target!r} has too many classes for classification")
         indexer = StringIndexer(inputCol="label_raw", outputCol="label", stringOrderType="alphabetAsc").fit(data)
         run.labels = list(indexer.labels)
         classes = len(run.labels)
@@ -293,8 +311,6 @@ def sampled_shap(run: Training, keys: Sequence[str], name: str | None = None, ro
         *[F.when(F.array_position("order", c) <= F.col("step"), F.col(f"x.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in names])
     scored = model.transform(coalition)
     value = F.col("prediction") if run.problem == "regression" else vector_to_array("probability")[1]
-    from pyspark.sql import Window
-
     walk = Window.partitionBy("_h", "p").orderBy("step")  # one row per feature plus one
     delta = scored.select("_h", "p", "step", "added", (value - F.lag(value).over(walk)).alias("d")).filter("step > 0")
     per_row = delta.groupBy("_h", "added").agg(F.avg("d").alias("phi"))
@@ -302,13 +318,19 @@ def sampled_shap(run: Training, keys: Sequence[str], name: str | None = None, ro
         F.desc("mean_abs_shap"), "feature").limit(k)
 
 
+def _override(value, c: str, run: Training, kinds: Mapping[str, str]) -> Column:
+    if value is not None and c in run.hashed:
+        return F.pmod(F.xxhash64(F.lit(str(value))), F.lit(MAX_LEVELS)).cast("double")
+    return F.lit(value).cast(kinds[c])
+
+
 def score_scenarios(run: Training, base: DataFrame, keys: Sequence[str], scenarios: Sequence[Mapping[str, object]],
                     name: str | None = None) -> DataFrame:
     """Each base row under each scenario's overrides: prediction, label and class probabilities."""
-    ready = prepare(base, run.features, keys=keys)
+    ready = prepare(base, run.features, keys=keys, hashed=run.hashed)
     kinds = dict(ready.dtypes)
     options = F.array(*[
-        F.struct(F.lit(i).alias("scenario"), *[F.lit(s.get(c)).cast(kinds[c]).alias(c) for c in run.features])
+        F.struct(F.lit(i).alias("scenario"), *[_override(s.get(c), c, run, kinds).alias(c) for c in run.features])
         for i, s in enumerate(scenarios, start=1)
     ])
     spread = ready.select("*", F.explode(options).alias("s")).select(
@@ -329,9 +351,7 @@ def actual_vs_predicted(run: Training, keys: Sequence[str], name: str | None = N
 def append_predictions(run: Training, df: DataFrame, name: str | None = None, column: str = "Predicted_Value") -> DataFrame:
     """The frame's own columns plus the prediction, without any positional pairing."""
     original = F.struct(*[F.col(c) for c in df.columns]).alias("_row")
-    ready = df.select(original, *[
-        (finite_or_null(as_number(df, c)) if is_numeric(df, c) else F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))).alias(c)
-        for c in run.features])
+    ready = df.select(original, *[model_input(df, c, run.hashed).alias(c) for c in run.features])
     scored = run.predictions(name, ready)
     value = "predicted_label" if run.problem == "classification" else "prediction"
     return scored.select("_row.*", F.col(value).alias(column))

@@ -123,31 +123,29 @@ def full_profile(df: DataFrame) -> DataFrame:
     if numbers:
         stats = numeric_stats(df, numbers).drop("count")
         out = out.join(stats, "column", "left")
-    dates = by_kind.get("datetime", [])
-    if dates:
-        def day(c):
-            return F.coalesce(F.col(c).cast("string").try_cast("date"), cells.parse_date(c))
+    dates, flags = by_kind.get("datetime", []), by_kind.get("boolean", [])
+
+    def day(c):
+        return F.coalesce(F.col(c).cast("string").try_cast("date"), cells.parse_date(c))
 
-        wide = df.agg(*[F.struct(F.min(day(c)).alias("a"), F.max(day(c)).alias("b")).alias(c) for c in dates])
-        span = rows_of(wide, dates).select(
+    def says(c, *words):
+        return F.count_if(F.lower(cells.trim_ws(c)).isin(*words))
+
+    spans = [F.struct(F.min(day(c)).alias("a"), F.max(day(c)).alias("b")).alias(c) for c in dates]
+    tallies = [
+        F.struct(says(c, "true", "1", "yes", "t").alias("true_count"), says(c, "false", "0", "no", "f").alias("false_count")).alias(c)
+        for c in flags
+    ]
+    if spans or tallies:
+        wide = materialize(df.agg(*spans, *tallies))
+    if dates:
+        out = out.join(rows_of(wide, dates).select(
             "column",
             F.date_format("a", "yyyy-MM-dd").alias("min_date"),
             F.date_format("b", "yyyy-MM-dd").alias("max_date"),
             F.datediff("b", "a").alias("range_days"),
-        )
-        out = out.join(span, "column", "left")
-    flags = by_kind.get("boolean", [])
+        ), "column", "left")
     if flags:
-        def yes(c):
-            return F.lower(cells.trim_ws(c)).isin("true", "1", "yes", "t")
-
-        def no(c):
-            return F.lower(cells.trim_ws(c)).isin("false", "0", "no", "f")
-
-        wide = df.agg(*[
-            F.struct(F.count_if(yes(c)).alias("true_count"), F.count_if(no(c)).alias("false_count")).alias(c)
-            for c in flags
-        ])
         out = out.join(rows_of(wide, flags), "column", "left")
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablecraft.functions import cells
 from tablecraft.operators.lookup import attach
 from tablecraft.operators.projection import text_columns
+from tablecraft.operators.typing_ops import value_table
+from tablecraft.session import materialize
 
 # Department aliases. -------------------------------------------------------------
 DEPARTMENT_COLUMN = r"(?i)department|dept|team"
@@ -64,35 +67,48 @@ def whitespace_issues(df: DataFrame, columns: Sequence[str] | None = None, stric
     return wide.unpivot([], names, "column", "issues")
 
 
-def category_map(df: DataFrame, column: str) -> DataFrame:
-    """``variant -> canonical`` where canonical is the most frequent spelling of its caseless group."""
+def category_maps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, variant, canonical, n``: canonical is the most frequent spelling of a caseless group.
+
+    All columns share one scan and one shuffle of distinct cells.
+    """
     variants = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(cells.trim_ws(column).alias("variant"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        value_table(df, columns).filter("value is not null")
+        .groupBy("column", cells.trim_ws("value").alias("variant")).agg(F.sum("n").alias("n"))
     )
-    groups = variants.groupBy(F.lower("variant").alias("_g")).agg(
+    groups = variants.groupBy(F.col("column").alias("_c"), F.lower("variant").alias("_g")).agg(
         F.min(F.struct((-F.col("n")).alias("n"), "variant")).alias("best")
     )
-    return variants.join(groups, F.lower("variant") == F.col("_g")).select(
-        "variant", F.col("best.variant").alias("canonical"), "n"
-    )
+    same = (F.col("column") == F.col("_c")) & (F.lower("variant") == F.col("_g"))
+    return variants.join(groups, same).select("column", "variant", F.col("best.variant").alias("canonical"), "n")
+
+
+def category_map(df: DataFrame, column: str) -> DataFrame:
+    return category_maps(df, [column]).drop("column")
+
+
+def normalize_columns(df: DataFrame, columns: Sequence[str], aliases: bool = True) -> DataFrame:
+    """Replace each spelling by the most frequent one of its caseless group, column by column."""
+    names = [c for c in columns if c in df.columns]
+    if not names:
+        return df
+    maps = materialize(category_maps(df, names).filter("variant <> canonical").drop("n"))
+    out = df
+    for c in names:
+        lookup = maps.filter(F.col("column") == c).select(F.col("variant").alias("_variant"), "canonical")
+        joined = attach(out.withColumn("_variant", cells.trim_ws(c)), lookup, ["_variant"])
+        value = F.coalesce("canonical", F.when(F.col(c).isNotNull(), F.col("_variant")))
+        if aliases and _is_department(c):
+            value = department_alias(value)
+        out = joined.withColumn(c, value).select(*df.columns)
+    return out
 
 
 def normalize_categories(df: DataFrame, column: str, aliases: bool = True) -> DataFrame:
-    """Replace each spelling by the most frequent one of its caseless group."""
-    lookup = category_map(df, column).select(F.col("variant").alias("_variant"), "canonical")
-    keyed = df.withColumn("_variant", cells.trim_ws(column))
-    joined = attach(keyed, lookup, ["_variant"])
-    value = F.coalesce("canonical", F.col(column))
-    if aliases and _is_department(column):
-        value = department_alias(value)
-    return joined.withColumn(column, value).select(*df.columns)
+    return normalize_columns(df, [column], aliases)
 
 
 def _is_department(column: str) -> bool:
-    import re
-
     return bool(re.search(DEPARTMENT_COLUMN, column))
 
 

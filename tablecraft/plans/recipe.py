@@ -50,6 +50,8 @@ ACTIONS: dict[str, Callable[..., DataFrame]] = {
     "null_tokens": lambda df, columns=None: df.withColumns(
         {c: cells.blank_missing(c) for c in (columns or projection.text_columns(df))}),
     "impute": _impute,
+    "impute_columns": lambda df, methods: missing.fill_missing(df, methods),
+    "normalize_columns": lambda df, columns: texts.normalize_columns(df, columns),
     "bulk_fill": lambda df, how="mean": missing.bulk_fill(df, how),
     "drop_missing": lambda df, columns=None: filters.drop_missing(df, columns),
     "nan_to_null": lambda df: missing.nan_to_null(df),
@@ -71,8 +73,28 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     return run(df, **{k: v for k, v in step.items() if k != "action"}) if run else df
 
 
+def fuse(recipe: Sequence[Step]) -> list[Step]:
+    """Neighbouring imputations, and neighbouring category alignments, of different columns become one
+    step each, so that their statistics come from shared passes."""
+    out: list[dict] = []
+    for step in recipe:
+        name = ALIASES.get(str(step["action"]), str(step["action"]))
+        last = out[-1] if out else {}
+        if name == "impute" and step.get("method", "median") in ("mean", "median", "mode", "zero", "unknown"):
+            if last.get("action") != "impute_columns" or step["column"] in last["methods"]:
+                out.append({"action": "impute_columns", "methods": {}})
+            out[-1]["methods"][step["column"]] = step.get("method", "median")
+        elif name == "normalize_categories":
+            if last.get("action") != "normalize_columns" or step["column"] in last["columns"]:
+                out.append({"action": "normalize_columns", "columns": []})
+            out[-1]["columns"].append(step["column"])
+        else:
+            out.append(dict(step))
+    return out
+
+
 def run_recipe(df: DataFrame, recipe: Sequence[Step]) -> DataFrame:
-    return reduce(apply_step, recipe, df)
+    return reduce(apply_step, fuse(recipe), df)
 
 
 def run_logged(df: DataFrame, recipe: Sequence[Step]) -> tuple[DataFrame, list[tuple[str, Observation]]]:
@@ -125,7 +147,9 @@ class History:
 def auto_clean_recipe(df: DataFrame, overrides: Mapping[str, str] | None = None, order_by: Sequence[str] = ()) -> list[Step]:
     """The recipe one-click cleaning would run, derived from the column profiles (one row per column)."""
     found = {r["column"]: r for r in profile.browser_profile(df, overrides).collect()}
-    recipe: list[Step] = [{"action": "trim"}, {"action": "drop_duplicates", "normalize": "trim_lower", "order_by": list(order_by)}]
+    first: list[Step] = [{"action": "trim"}, {"action": "drop_duplicates", "normalize": "trim_lower", "order_by": list(order_by)}]
+    # Steps of different columns do not touch each other; grouped by kind they share statistics passes.
+    numbers, dates, labels, gaps = [], [], [], []
     for c in df.columns:
         p = found.get(c)
         if p is None:
@@ -133,19 +157,19 @@ def auto_clean_recipe(df: DataFrame, overrides: Mapping[str, str] | None = None,
         kind = p["dominant_type"]
         is_text = not projection.is_numeric(df, c)
         if is_text and (kind in ("numeric", "currency") or p["n_currency"] > 0):
-            recipe.append({"action": "to_numeric", "column": c})
+            numbers.append({"action": "to_numeric", "column": c})
         if kind == "date" and is_text:
-            recipe.append({"action": "iso_dates", "column": c})
+            dates.append({"action": "iso_dates", "column": c})
         if is_text and (kind == "categorical" or p["casing_groups"] > 0):
-            recipe.append({"action": "normalize_categories", "column": c})
+            labels.append({"action": "normalize_categories", "column": c})
         if p["nulls"] > 0:
             if kind in ("numeric", "currency"):
-                recipe.append({"action": "impute", "column": c, "method": "median"})
+                gaps.append({"action": "impute", "column": c, "method": "median"})
             elif kind == "date" and order_by:
-                recipe.append({"action": "impute", "column": c, "method": "ffill", "order_by": list(order_by)})
+                gaps.append({"action": "impute", "column": c, "method": "ffill", "order_by": list(order_by)})
             else:
-                recipe.append({"action": "impute", "column": c, "method": "mode"})
-    return recipe
+                gaps.append({"action": "impute", "column": c, "method": "mode"})
+    return [*first, *numbers, *dates, *labels, *sorted(gaps, key=lambda s: s["method"])]
 
 
 def auto_clean(df: DataFrame, order_by: Sequence[str] = (), null_tokens: bool = True) -> DataFrame:

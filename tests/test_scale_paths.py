@@ -152,3 +152,25 @@ def test_isolation_forest_finds_planted_points(spark):
     assert set(range(10)) <= hits
     again = isolation.detect_anomalies(df, "id", ["a", "b"], 0.02)
     assert rows_of(again, "id", "anomaly_score") == rows_of(found, "id", "anomaly_score")
+
+
+def test_text_with_many_levels_is_hashed(spark, monkeypatch):
+    monkeypatch.setattr(learning, "MAX_LEVELS", 20)
+    df = spark.range(600).select("id", F.concat(F.lit("w"), (F.col("id") % 40).cast("string")).alias("word"), (F.col("id") % 7).cast("double").alias("n"),
+                                 (F.col("id") % 7 * 2.0).alias("y"))
+    run = learning.train(df, "y", ["n", "word"], ["id"], "regression", ["Linear Regression"])
+    assert run.hashed == ["word"] and run.best == "Linear Regression"
+    scored = learning.score_scenarios(run, df.limit(1), ["id"], [{"word": "w1"}, {"n": 3.0}])
+    assert scored.count() == 2
+    assert learning.append_predictions(run, df).count() == 600
+
+
+def test_recipe_steps_share_passes():
+    from tablecraft.plans.recipe import fuse
+
+    steps = [{"action": "impute", "column": "a"}, {"action": "fill_missing", "column": "b", "method": "mode"},
+             {"action": "impute", "column": "a", "method": "mean"}, {"action": "normalize_categories", "column": "c"},
+             {"action": "normalize_categories", "column": "d"}, {"action": "trim"}]
+    assert fuse(steps) == [
+        {"action": "impute_columns", "methods": {"a": "median", "b": "mode"}}, {"action": "impute_columns", "methods": {"a": "mean"}},
+        {"action": "normalize_columns", "columns": ["c", "d"]}, {"action": "trim"}]
