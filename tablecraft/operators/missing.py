@@ -55,16 +55,17 @@ def fit_fill(df: DataFrame, methods: Mapping[str, str], approx: bool = False) ->
     measured = [c for c, m in present.items() if m in ("mean", "median", "mode")]
     fill: dict[str, object] = {}
     if measured:
-        # One pass finds the columns with gaps and the means; columns without gaps are left alone.
+        # One pass finds the columns with gaps, the means and how many values a median must sort; columns without gaps are left alone.
         facts = df.agg(
             *[F.count_if(F.col(c).isNull()).alias(f"gaps_{c}") for c in measured],
             *[F.avg(as_number(df, c)).alias(f"mean_{c}") for c in measured if present[c] == "mean"],
+            *[F.approx_count_distinct(as_number(df, c)).alias(f"size_{c}") for c in measured if present[c] == "median"],
         ).first()
         gappy = [c for c in measured if facts[f"gaps_{c}"]]
         fill.update({c: facts[f"mean_{c}"] for c in gappy if present[c] == "mean"})
         medians = [c for c in gappy if present[c] == "median"]
         numbers = df.select(*[as_number(df, c).alias(c) for c in medians])
-        found = column_quantiles(numbers, medians, [0.5], approx=approx)
+        found = column_quantiles(numbers, medians, [0.5], approx=approx, sizes={c: facts[f"size_{c}"] for c in medians})
         fill.update({c: (q[0] if q else None) for c, q in found.items()})
         fill.update(column_modes(df, [c for c in gappy if present[c] == "mode"]))
     for c, m in present.items():

@@ -6,7 +6,7 @@ measured to be small; beyond that the same answer comes from cumulative counts o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -53,8 +53,12 @@ def _ranked(data: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> Dat
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     max_distinct: int = MAX_DISTINCT, approx: bool = False) -> dict[str, list[float] | None]:
-    """Quantiles of whole columns as driver-side numbers (one small row)."""
+                     max_distinct: int = MAX_DISTINCT, approx: bool = False,
+                     sizes: Mapping[str, int] | None = None) -> dict[str, list[float] | None]:
+    """Quantiles of whole columns as driver-side numbers (one small row).
+
+    ``sizes`` passes distinct counts that the caller has measured already.
+    """
     if not columns:
         return {}
     at = F.array(*[F.lit(float(p)) for p in probs])
@@ -62,7 +66,8 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     if approx:
         row = data.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in columns]).first()
         return {c: row[c] for c in columns}
-    sizes = data.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    if sizes is None:
+        sizes = data.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
     small = [c for c in columns if sizes[c] <= max_distinct]
     out: dict[str, list[float] | None] = {}
     if small:

@@ -93,8 +93,20 @@ def fuse(recipe: Sequence[Step]) -> list[Step]:
     return out
 
 
+# Steps that read the whole table for statistics before they change anything.
+STATISTICAL = {"impute", "impute_columns", "normalize_columns", "bulk_fill", "remove_outliers", "treat_outliers"}
+
+
 def run_recipe(df: DataFrame, recipe: Sequence[Step]) -> DataFrame:
-    return reduce(apply_step, fuse(recipe), df)
+    """Apply the steps in order. De-duplicated rows are stored when later steps read them for statistics,
+    so that the shuffle of whole rows happens once."""
+    steps = fuse(recipe)
+    for i, step in enumerate(steps):
+        df = apply_step(df, step)
+        later = {ALIASES.get(str(s["action"]), str(s["action"])) for s in steps[i + 1:]}
+        if ALIASES.get(str(step["action"]), step["action"]) == "drop_duplicates" and later & STATISTICAL:
+            df = materialize(df)
+    return df
 
 
 def run_logged(df: DataFrame, recipe: Sequence[Step]) -> tuple[DataFrame, list[tuple[str, Observation]]]:
@@ -175,7 +187,4 @@ def auto_clean_recipe(df: DataFrame, overrides: Mapping[str, str] | None = None,
 def auto_clean(df: DataFrame, order_by: Sequence[str] = (), null_tokens: bool = True) -> DataFrame:
     """Trim, drop copies, parse numbers, ISO dates, align categories, fill gaps."""
     landed = apply_step(df, {"action": "null_tokens"}) if null_tokens else df
-    recipe = auto_clean_recipe(landed, order_by=order_by)
-    # Statistics of the later steps read the trimmed, de-duplicated rows several times.
-    rows = materialize(run_recipe(landed, recipe[:2]))
-    return run_recipe(rows, recipe[2:])
+    return run_recipe(landed, auto_clean_recipe(landed, order_by=order_by))
