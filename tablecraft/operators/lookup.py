@@ -40,12 +40,16 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Equi-join on same-named keys; hot keys of ``left`` are spread over ``salts`` tasks.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of ``right`` under a hot key are repeated
-    once per salt, every other key is joined unsalted. The hot list is at most 1 / HOT_SHARE rows.
+    once per salt, every other key is joined unsalted. The hot list is at most 1 / HOT_SHARE rows;
+    when it is empty this is a plain join.
     """
     spark = left.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in left.columns if c not in keys]
-    hot = F.broadcast(materialize(hot_keys(left, keys)).withColumn("_hot", F.lit(True)))
+    found = materialize(hot_keys(left, keys))
+    if found.isEmpty():
+        return _equi(left, right, keys, how, null_safe)
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
 
     def mark(df):
         marked = df.alias("d").join(
@@ -80,9 +84,12 @@ def _equi(a: DataFrame, b: DataFrame, keys, how: str, null_safe: bool, extra: st
 
 
 def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-           max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup with one row per key: broadcast when measured small, salted otherwise."""
-    stored = materialize(lookup)
+           max_rows: int = BROADCAST_ROWS, is_stored: bool = False) -> DataFrame:
+    """Join a lookup with one row per key: broadcast when measured small, salted otherwise.
+
+    The lookup is stored first, unless the caller says that it is cheap to read again.
+    """
+    stored = lookup if is_stored else materialize(lookup)
     if fits_broadcast(stored, max_rows):
         return _equi(df, F.broadcast(stored), keys, how, null_safe=True)
     return salted_join(df, stored, keys, how)

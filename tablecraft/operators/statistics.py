@@ -102,7 +102,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     ranked = whole
     for c in names:
         lookup = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        ranked = attach(ranked, lookup, [c], "inner")
+        ranked = attach(ranked, lookup, [c], "inner", is_stored=True)
     return correlation_pairs(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in names]), names)
 
 

@@ -96,7 +96,7 @@ def normalize_columns(df: DataFrame, columns: Sequence[str], aliases: bool = Tru
     out = df
     for c in names:
         lookup = maps.filter(F.col("column") == c).select(F.col("variant").alias("_variant"), "canonical")
-        joined = attach(out.withColumn("_variant", cells.trim_ws(c)), lookup, ["_variant"])
+        joined = attach(out.withColumn("_variant", cells.trim_ws(c)), lookup, ["_variant"], is_stored=True)
         value = F.coalesce("canonical", F.when(F.col(c).isNotNull(), F.col("_variant")))
         if aliases and _is_department(c):
             value = department_alias(value)
