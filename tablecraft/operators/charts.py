@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecraft.functions.cells import text
-from tablecraft.operators.lookup import attach
+from tablecraft.operators.lookup import attach, attach_figures, beside
 from tablecraft.operators.projection import as_number, is_numeric
 from tablecraft.operators.quantiles import column_quantiles, group_quantiles
 from tablecraft.operators.typing_ops import value_table
@@ -150,28 +150,29 @@ def chart_histogram(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 def box_plot(df: DataFrame, measure: str, by: str | None = None, outliers: int = 10) -> DataFrame:
     """Whiskers inside 1.5 IQR, quartiles, mean and up to ten smallest outliers, per group."""
-    key = by or "_all"
-    rows = df.select(
-        (F.col(by) if by else F.lit("Overall")).alias(key), as_number(df, measure, False).alias("v")
-    ).filter(F.col("v").isNotNull() & F.col(key).isNotNull())
-    q = group_quantiles(rows, [key], "v", [0.25, 0.5, 0.75]).select(
-        key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
+    keys = [by] if by else []
+    rows = df.select(*keys, as_number(df, measure, False).alias("v")).dropna()
+    q = group_quantiles(rows, keys, "v", [0.25, 0.5, 0.75]).select(
+        *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     fence = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("v") >= F.col("q1") - fence) & (F.col("v") <= F.col("q3") + fence)
-    flagged = attach(rows, q, [key], "inner").withColumn("inside", inside)
-    stats = flagged.groupBy(key, "q1", "median", "q3").agg(
+    flagged = attach_figures(rows, q, keys).withColumn("inside", inside)
+    stats = flagged.groupBy(*keys, "q1", "median", "q3").agg(
         F.coalesce(F.min(F.when(F.col("inside"), F.col("v"))), F.min("v")).alias("min"),
         F.coalesce(F.max(F.when(F.col("inside"), F.col("v"))), F.max("v")).alias("max"),
         F.avg("v").alias("mean"),
         F.count_if(~F.col("inside")).alias("n_outliers"),
     )
     # Distinct outlier values are counted first, so the ranked window sees each value once.
-    values = flagged.filter(~F.col("inside")).groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("v"))).filter(
-        F.col("r") <= outliers
-    )
-    lists = ranked.groupBy(key).agg(
+    values = flagged.filter(~F.col("inside")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    if by:
+        # Spark keeps at most ``outliers`` rows per group and task before the shuffle.
+        place = F.row_number().over(Window.partitionBy(by).orderBy("v"))
+        smallest = values.withColumn("r", place).filter(F.col("r") <= outliers)
+    else:
+        smallest = values.orderBy("v").limit(outliers)
+    lists = smallest.groupBy(*keys).agg(
         F.slice(
             F.flatten(
                 F.transform(
@@ -181,10 +182,10 @@ def box_plot(df: DataFrame, measure: str, by: str | None = None, outliers: int =
             ), 1, outliers,
         ).alias("outliers")
     )
-    joined = stats.join(lists, key, "left")
+    joined = stats.join(lists, by, "left") if by else beside(stats, lists)
     columns = ["min", "q1", "median", "q3", "max", "mean", "n_outliers"]
     return joined.select(
-        *([by] if by else [F.col(key).alias("group")]),
+        F.col(by) if by else F.lit("Overall").alias("group"),
         *columns,
         F.coalesce("outliers", F.array().cast("array<double>")).alias("outliers"),
     )

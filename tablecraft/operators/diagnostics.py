@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.operators.charts import value_counts
-from tablecraft.operators.profile import beside, normality, numeric_stats
+from tablecraft.operators.lookup import beside
+from tablecraft.operators.profile import normality, numeric_stats
 from tablecraft.operators.projection import as_number
 from tablecraft.operators.quantiles import column_quantiles
 from tablecraft.operators.statistics import pair_strength

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.operators.lookup import attach
+from tablecraft.operators.lookup import attach_figures
 from tablecraft.operators.ordering import row_index
 from tablecraft.operators.projection import as_number, numeric_columns
 
@@ -23,27 +23,21 @@ def series(df: DataFrame, order_by: Sequence[str], y: str, partition_by: Sequenc
     return row_index(rows, order_by, partition_by, "t", buckets)
 
 
-def _keyed(df: DataFrame, partition_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if partition_by:
-        return df, list(partition_by)
-    return df.withColumn("_all", F.lit(0)), ["_all"]
-
-
 def fit_trends(points: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """One row per series and model: fitted on u = (t - center) / scale with y shifted by its mean.
 
     value(t) = level + slope * u + curve * u * u; ``r2`` is clamped to [0, 1] and ``sigma`` is the
     population deviation of the residuals. The quadratic model needs five points.
     """
-    work, keys = _keyed(points, partition_by)
+    keys = list(partition_by)
     flat = F.min("y") == F.max("y")
-    base = work.groupBy(*keys).agg(
+    base = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.when(flat, F.min("y")).otherwise(F.avg("y")).alias("mean"))
     base = base.select(
         *keys, "n", "mean", ((F.col("n") - 1) / 2).alias("center"), F.greatest((F.col("n") - 1) / 2, F.lit(1.0)).alias("scale")
     )
     u = (F.col("t") - F.col("center")) / F.col("scale")
-    joined = attach(work, base, keys, "inner").withColumn("u", u).withColumn("d", F.col("y") - F.col("mean"))
+    joined = attach_figures(points, base, keys).withColumn("u", u).withColumn("d", F.col("y") - F.col("mean"))
     u2 = F.col("u") * F.col("u")
     sums = joined.groupBy(*keys, "n", "mean", "center", "scale").agg(
         F.sum(u2).alias("s2"),
@@ -76,8 +70,7 @@ def fit_trends(points: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame
         model("linear", sse_linear, F.col("mean"), F.lit(0.0)), model("poly", sse_poly, F.col("mean") + lift, curve)
     )
     usable = F.filter(models, lambda m: (m["model"] == "linear") | (F.col("n") >= 5))
-    out = sums.select(*keys, "n", "center", "scale", "s2", F.inline(usable))
-    return out if partition_by else out.drop("_all")
+    return sums.select(*keys, "n", "center", "scale", "s2", F.inline(usable))
 
 
 def value_at(t) -> F.Column:
@@ -93,11 +86,10 @@ def trend_table(fits: DataFrame) -> DataFrame:
 
 def best_model(fits: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """The model with the highest R2 to four digits; the linear one wins ties."""
-    work, keys = _keyed(fits, partition_by)
-    row = F.struct(*[F.col(c) for c in work.columns if c not in keys])
+    keys = list(partition_by)
+    row = F.struct(*[F.col(c) for c in fits.columns if c not in keys])
     rank = F.struct(F.round("r2", 4).alias("r2"), (F.col("model") == "linear").alias("linear"))
-    best = work.groupBy(*keys).agg(F.max_by(row, rank).alias("m")).select(*keys, "m.*")
-    return best if partition_by else best.drop("_all")
+    return fits.groupBy(*keys).agg(F.max_by(row, rank).alias("m")).filter("m is not null").select(*keys, "m.*")
 
 
 def forecast(best: DataFrame, periods: int = 6) -> DataFrame:
@@ -113,27 +105,24 @@ def forecast(best: DataFrame, periods: int = 6) -> DataFrame:
 
 def last_dates(points: DataFrame, when: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Last date of each series and its distance in days from the one before."""
-    work, keys = _keyed(points, partition_by)
-    dated = work.withColumn("_d", F.col(when).cast("date"))
+    keys = list(partition_by)
+    dated = points.withColumn("_d", F.col(when).cast("date"))
     sizes = dated.groupBy(*keys).agg(F.max("t").alias("_t"))
-    tail = attach(dated, sizes, keys, "inner").filter(F.col("t") >= F.col("_t") - 1)
-    out = tail.groupBy(*keys).agg(
+    tail = attach_figures(dated, sizes, keys).filter(F.col("t") >= F.col("_t") - 1)
+    return tail.groupBy(*keys).agg(
         F.max(F.when(F.col("t") == F.col("_t"), F.col("_d"))).alias("last_date"),
         F.max(F.when(F.col("t") == F.col("_t") - 1, F.col("_d"))).alias("previous_date"),
     ).withColumn("gap_days", F.datediff("last_date", "previous_date"))
-    return out if partition_by else out.drop("_all")
 
 
 def date_labels(future: DataFrame, dates: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Label future steps with extrapolated dates: last date plus the last gap times the step."""
-    a, keys = _keyed(future, partition_by)
-    b, _ = _keyed(dates, partition_by)
+    keys = list(partition_by)
     label = F.coalesce(
         F.date_format(F.date_add("last_date", (F.col("gap_days") * F.col("step")).cast("int")), "yyyy-MM-dd"),
         F.concat(F.lit("Forecast +"), F.col("step").cast("string")),
     )
-    out = attach(a, b.select(*keys, "last_date", "gap_days"), keys).withColumn("label", label)
-    return out.drop(*([] if partition_by else ["_all"]))
+    return attach_figures(future, dates.select(*keys, "last_date", "gap_days"), keys, "left").withColumn("label", label)
 
 
 def parses_as_dates(df: DataFrame, column: str, share: float = 0.7) -> bool:
@@ -145,16 +134,15 @@ def parses_as_dates(df: DataFrame, column: str, share: float = 0.7) -> bool:
 
 def trend_direction(points: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Percent change from the first to the last point; up or down beyond two percent."""
-    work, keys = _keyed(points, partition_by)
-    ends = work.groupBy(*keys).agg(
+    keys = list(partition_by)
+    ends = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("y", "t").alias("first"), F.max_by("y", "t").alias("last")
     )
     change = F.coalesce(F.try_divide((F.col("last") - F.col("first")) * 100, F.abs("first")), F.lit(0.0))
-    out = ends.withColumn("pct_change", change).withColumn(
+    return ends.withColumn("pct_change", change).withColumn(
         "direction",
         F.when(F.col("pct_change") > 2, "upward").when(F.col("pct_change") < -2, "downward").otherwise("stable"),
     )
-    return out if partition_by else out.drop("_all")
 
 
 def interval_forecast(fits: DataFrame, periods: int = 5) -> DataFrame:
@@ -169,16 +157,13 @@ def interval_forecast(fits: DataFrame, periods: int = 5) -> DataFrame:
 
 def fitted_history(points: DataFrame, best: DataFrame, partition_by: Sequence[str] = (), shown: int = 60) -> DataFrame:
     """Every n // 60-th point with its trend value and one-deviation band."""
-    a, keys = _keyed(points, partition_by)
-    b, _ = _keyed(best, partition_by)
-    joined = attach(a, b, keys, "inner")
+    joined = attach_figures(points, best, list(partition_by))
     stride = F.greatest(F.lit(1), F.floor(F.col("n") / shown))
     kept = joined.filter(F.col("t") % stride == 0)
     value = value_at(F.col("t"))
-    out = kept.withColumns({
+    return kept.withColumns({
         "trend": value, "upper_band": value + F.col("sigma"), "lower_band": value - F.col("sigma")
     })
-    return out if partition_by else out.drop("_all")
 
 
 def detect_axes(df: DataFrame, value: str | None = None, when: str | None = None) -> tuple[str | None, str | None]:

@@ -48,7 +48,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     rest = [c for c in left.columns if c not in keys]
     found = materialize(hot_keys(left, keys))
     if found.isEmpty():
-        return _equi(left, right, keys, how, null_safe)
+        return equi_join(left, right, keys, how, null_safe)
     hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
 
     def mark(df):
@@ -62,14 +62,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     a = mark(left).withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = mark(right).withColumn("_salt", F.explode(copies)).drop("_hot")
-    return _equi(a, b, keys, how, null_safe, extra="_salt").drop("_salt")
+    return equi_join(a, b, keys, how, null_safe, extra="_salt").drop("_salt")
 
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _equi(a: DataFrame, b: DataFrame, keys, how: str, null_safe: bool, extra: str | None = None) -> DataFrame:
+def equi_join(a: DataFrame, b: DataFrame, keys, how: str, null_safe: bool = True, extra: str | None = None) -> DataFrame:
+    """Join on same-named keys, keeping those of ``a``; null keys match each other unless told otherwise."""
     renamed = b.select(
         *[F.col(_q(k)).alias(f"_rhs_{k}") for k in keys],
         *([F.col(extra).alias("_rhs_salt")] if extra else []),
@@ -91,5 +92,19 @@ def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "le
     """
     stored = lookup if is_stored else materialize(lookup)
     if fits_broadcast(stored, max_rows):
-        return _equi(df, F.broadcast(stored), keys, how, null_safe=True)
+        return equi_join(df, F.broadcast(stored), keys, how, null_safe=True)
     return salted_join(df, stored, keys, how)
+
+
+def beside(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Add the figures of one-row frames to every row, as literals; of an empty frame, nulls."""
+    figures = {}
+    for f in one_row:
+        row = f.first() or [None] * len(f.columns)
+        figures.update({c: F.lit(v).cast(field.dataType) for c, v, field in zip(f.columns, row, f.schema)})
+    return df.withColumns(figures)
+
+
+def attach_figures(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``attach`` for grouped figures, ``beside`` when there is no key and so a single row of them."""
+    return attach(df, lookup, keys, how) if keys else beside(df, lookup)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablecraft.functions import cells
 from tablecraft.operators import typing_ops
 from tablecraft.operators.dedup import duplicate_count
+from tablecraft.operators.lookup import beside
 from tablecraft.operators.missing import column_modes
 from tablecraft.operators.outliers import fit_bounds, outside
 from tablecraft.operators.projection import as_number, is_numeric, numeric_columns, rows_of, text_columns
@@ -20,15 +21,6 @@ from tablecraft.session import materialize
 NUMERIC_TYPES = ("numeric", "currency", "percentage", "integer", "float")
 
 
-def beside(*frames: DataFrame) -> DataFrame:
-    """Put one-row frames next to each other: their few figures become literals."""
-    first, *rest = frames
-    figures = {}
-    for f in rest:
-        figures.update(zip(f.columns, zip(f.first(), [x.dataType for x in f.schema])))
-    return first.withColumns({c: F.lit(v).cast(kind) for c, (v, kind) in figures.items()})
-
-
 def position(columns: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
 

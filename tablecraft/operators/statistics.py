@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecraft.operators.lookup import attach
+from tablecraft.operators.lookup import HOT_SHARE, equi_join, fits_broadcast, salted_join
 from tablecraft.operators.ordering import running_sum
 from tablecraft.operators.projection import as_number, numeric_columns, rows_of
 from tablecraft.session import materialize
@@ -91,7 +91,7 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
     counts = materialize(df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     cum = running_sum(counts, ["value"], F.col("n"), "hi", partition_by=["column"])
-    return cum.select("column", "value", (F.col("hi") - (F.col("n") - 1) / 2).alias("rank"))
+    return cum.select("column", "value", "n", (F.col("hi") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -99,10 +99,17 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     names = list(columns or numeric_columns(df))
     whole = df.select(*[as_number(df, c).alias(c) for c in names]).dropna()
     ranks = materialize(average_ranks(whole, names))
+    shares = ranks.groupBy("column").agg((F.max("n") / F.sum("n")).alias("share")).collect()  # one row per column
+    hottest = {r["column"]: r["share"] for r in shares}
     ranked = whole
     for c in names:
         lookup = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        ranked = attach(ranked, lookup, [c], "inner", is_stored=True)
+        if fits_broadcast(lookup):
+            ranked = equi_join(ranked, F.broadcast(lookup), [c], "inner")
+        elif hottest.get(c, 0) <= HOT_SHARE:
+            ranked = equi_join(ranked, lookup, [c], "inner")
+        else:
+            ranked = materialize(salted_join(ranked, lookup, [c], "inner"))
     return correlation_pairs(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in names]), names)
 
 

@@ -49,8 +49,7 @@ def _(t):
 SELECT event_type, n, {r('mean + lift')} AS level, {r('slope')} AS slope, {r('curve')} AS curve, {r('1 - sse2 / sdd', 7)} AS r2, {r('sqrt(sse2 / n)')} AS sigma FROM f""")
 def _(t):
     fits = forecast.fit_trends(typed(t), ["event_type"]).filter("model = 'poly'")
-    return rounded(fits.select("event_type", "n", "level", "slope", "curve", "r2", "sigma").withColumn("r2", F.round("r2", 7)), 7).select(
-        "event_type", "n", *[F.round(c, 4).alias(c) for c in ("level", "slope", "curve")], "r2", F.round("sigma", 4).alias("sigma"))
+    return fits.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("level", "slope", "curve", "sigma")], F.round("r2", 7).alias("r2"))
 
 
 _BEST = "CASE WHEN round(1 - sse2 / sdd, 4) > round(1 - sse1 / sdd, 4) THEN 'poly' ELSE 'linear' END"

@@ -143,6 +143,17 @@ def test_spearman_with_ties(spark):
     assert got == pytest.approx(want)
 
 
+def test_spearman_beyond_broadcast(skewed, monkeypatch):
+    names = ["k", "x", "id"]
+    small = rows_of(statistics.spearman_pairs(skewed, names))
+    monkeypatch.setattr(statistics, "fits_broadcast", lambda df: False)
+    large = rows_of(statistics.spearman_pairs(skewed, names))
+    assert [r[:3] for r in large] == [r[:3] for r in small]
+    assert [r[3] for r in large] == pytest.approx([r[3] for r in small])
+    ranks = skewed.toPandas().dropna()[names].rank().corr()
+    assert {(r[0], r[1]): round(r[3], 9) for r in small} == {(a, b): round(ranks.loc[a, b], 9) for a, b in (("k", "x"), ("k", "id"), ("x", "id"))}
+
+
 def test_isolation_forest_finds_planted_points(spark):
     df = spark.range(2000).select(
         "id", F.when(F.col("id") < 10, 500.0 + F.col("id")).otherwise((F.col("id") * 37 % 101).cast("double")).alias("a"),
