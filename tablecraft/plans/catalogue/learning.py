@@ -233,7 +233,7 @@ def _(t):
 
 @query("ml16_leaderboard")
 def _(t):
-    return _board(quality_run(t, trees=20, rounds=5), t)
+    return _board(quality_run(t), t)
 
 
 @query("ml17_feature_importance")
