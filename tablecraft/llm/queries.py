@@ -1,4 +1,4 @@
 """All registered queries of this subpackage; importing it fills the registry."""
 
-from tablecraft.llm import hamming, language, rank_bpe  # noqa: F401
+from tablecraft.llm import fingerprints, hamming, language, mixing, rank_bpe  # noqa: F401
 from tablecraft.llm.registry import ORACLE, QUERIES  # noqa: F401
