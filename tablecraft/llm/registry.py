@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tablecraft.session import spread
+from tablecraft.session import ensure_checkpoint_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,10 @@ def query(name: str, sql: str | None = None):
 def widened(schema: StructType, ddl: str) -> StructType:
     """The schema with further columns behind its own."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet into the shared folder and read back: lineage ends there, texts stay compressed."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
