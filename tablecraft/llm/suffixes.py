@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import U64, RangeHash, mix, salts, signed, text_steps
