@@ -51,9 +51,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return share.join(open_).select("source", "source_size", target.alias("target"), F.round(target).cast("long").alias("budget"))
 
 
+def _ties() -> list[Column]:
+    """Two hashes that tell rows apart by all that the mix reads."""
+    return [F.xxhash64("doc_id", "source", "text").alias("tie"), F.xxhash64("text", "source", "doc_id").alias("tie2")]
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150) -> DataFrame:
     """Per row of ``documents(doc_id, text, source)``: doc_id, source, size, source_size, target, taken.
 
+    What is taken, and how, is told at ``_mix``.
+    """
+    return _mix(documents, weights, percent).drop("tie", "tie2")
+
+
+def _mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150) -> DataFrame:
+    """The rows of ``mix`` with two hashes of the row.
+
     Documents of a source stand in the order of a hash of their id (ties by id, size and a hash of the text, so that
     reruns agree; fully equal rows are alike). An epoch takes all of them; the mix takes whole epochs as long as the
     budget lasts and then the documents whose words come first; the one over the border gives its first words only.
@@ -65,7 +78,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     """
     rows = documents.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), words().alias("size"),
-        F.coalesce(hash_key(), F.lit(0)).alias("key"), F.xxhash64("text").alias("tie"))
+        F.coalesce(hash_key(), F.lit(0)).alias("key"), *_ties())
     rows = materialize(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = targets(sources.select("source", "source_size"), weights, percent)
@@ -74,7 +87,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
         "p.source", "p.source_size", "target", "budget", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"))
     plan = materialize(plan)
     placed = rows.alias("r").join(plan.alias("p"), same("r", "p")).select(
-        "doc_id", "r.source", "size", "key", "tie", "source_size", "target", "budget",
+        "doc_id", "r.source", "size", "key", "tie", "tie2", "source_size", "target", "budget",
         F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("buckets")).alias("bucket"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +98,27 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("budget") - epochs * F.col("source_size") - F.col("offset") - F.col("inner")
     taken = epochs * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return summed.select("doc_id", "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.select("doc_id", "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"), "tie", "tie2")
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150) -> DataFrame:
+    """The mix itself: the columns of ``documents``, a row for each time a text is taken, cut where a budget ends.
+
+    Rows of which nothing is taken go. The text of the one document of each source that lies over the border ends
+    behind its last word taken. Repeated rows are taken as often as all of them together.
+    """
+    names = documents.columns
+    plan = _mix(documents, weights, percent).where("taken > 0").groupBy("tie", "tie2").agg(
+        F.sum("taken").alias("__taken"), F.first("size").alias("__size"))
+    hashed = documents.withColumns({"__tie": _ties()[0], "__tie2": _ties()[1]})
+    hashed = hashed.withColumn("__row", F.row_number().over(Window.partitionBy("__tie", "__tie2").orderBy("__tie"))).where("__row = 1")
+    taken = hashed.join(plan, (F.col("__tie") == F.col("tie")) & (F.col("__tie2") == F.col("tie2")))
+    taken = taken.withColumn("__left", F.explode(F.expr(
+        "transform(sequence(1, cast(ceil(__taken / __size) AS int)), i -> least(__size, __taken - (i - 1) * __size))")))
+    words_ = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    begin = F.array_join(F.slice(words_, F.lit(1), F.col("__left").cast("int")), "")
+    cut = F.when(F.col("__left") < F.col("__size"), begin).otherwise(F.col("text"))
+    return taken.withColumn("text", cut).select(*names)
 
 
 ORACLE = r"""
