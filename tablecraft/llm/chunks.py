@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import SPACE, RangeHash, salts, signed, text_steps
-from tablecraft.llm.registry import query, table, widened
+from tablecraft.llm.registry import query, quoted, table, unused, widened
 
 # The hash has 16 bits, so a cut depends on the 16 bytes before it and no others. Behind one white-space byte in
 # CUT a chunk ends: about 50 bytes with usual words. Bounds of a chunk's length, in bytes.
@@ -103,7 +103,7 @@ ADDED_DDL = "n_bytes long, n_removed long, n_chunks long, n_repeated long, n_spa
 
 def remove_passages(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The input's rows with ``text`` replaced by what stays, and n_bytes, n_removed (bytes), n_chunks, n_repeated
-    (chunks), n_spans (removed runs) and repeats_of, the ids of the documents that keep what goes.
+    (chunks), n_spans (removed runs) and repeats_of, the ids of the other documents that keep what goes.
 
     A chunk is repeated if a document of a lower id has an equal one, or the same text an earlier one; repeated chunks
     go where a gapless run of them holds 120 bytes or more, so chance repeats of a few words stay. The first document
@@ -115,16 +115,17 @@ def remove_passages(documents: DataFrame, text: str = "text", doc_id: str = "doc
     are enough because a passage is several chunks: chance collisions do not line up.
     """
     kept = documents.drop(*ADDED)
-    names = [c for c in kept.columns]
+    names = kept.columns
     own = F.hash(F.coalesce(F.col(text), F.lit("")))
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + own.cast("long"))
-    keyed = kept.withColumns({"__id": order, "__tie": own})
-    rows = keyed.select("__id", "__tie", text).mapInArrow(_digests, "digest long, id long, place long")
+    id_, tie, places = unused(kept, "__id", "__tie", "__met")
+    keyed = kept.withColumns({id_: order, tie: own})
+    rows = keyed.select(id_, tie, text).mapInArrow(_digests, "digest long, id long, place long")
     shared = rows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low")
     met = rows.join(shared, "digest").where("id <> low")
     place = F.struct(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "low")
-    met = met.groupBy(F.col("id").alias("__id"), F.shiftright("place", 32).cast("int").alias("__tie")).agg(F.collect_list(place).alias("__met"))
-    joined = keyed.join(met, ["__id", "__tie"], "left").select(*names, "__met")
+    met = met.groupBy(F.col("id").alias(id_), F.shiftright("place", 32).cast("int").alias(tie)).agg(F.collect_list(place).alias(places))
+    joined = keyed.join(met, [id_, tie], "left").select(*quoted(names), places)
     at, last = names.index(text), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

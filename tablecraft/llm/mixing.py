@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablecraft.llm.registry import query, table
+from tablecraft.llm.registry import query, quoted, table, unused
 from tablecraft.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,17 +108,19 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
     behind its last word taken. Repeated rows are taken as often as all of them together.
     """
     names = documents.columns
+    hash1, hash2, row, all_, size, left, one, two = unused(documents, "__hash1", "__hash2", "__row", "__all", "__size", "__left", "tie", "tie2")
     plan = _mix(documents, weights, percent).where("taken > 0").groupBy("tie", "tie2").agg(
-        F.sum("taken").alias("__taken"), F.first("size").alias("__size"))
-    hashed = documents.withColumns({"__tie": _ties()[0], "__tie2": _ties()[1]})
-    hashed = hashed.withColumn("__row", F.row_number().over(Window.partitionBy("__tie", "__tie2").orderBy("__tie"))).where("__row = 1")
-    taken = hashed.join(plan, (F.col("__tie") == F.col("tie")) & (F.col("__tie2") == F.col("tie2")))
-    taken = taken.withColumn("__left", F.explode(F.expr(
-        "transform(sequence(1, cast(ceil(__taken / __size) AS int)), i -> least(__size, __taken - (i - 1) * __size))")))
+        F.sum("taken").alias(all_), F.first("size").alias(size)).withColumnsRenamed({"tie": one, "tie2": two})
+    hashed = documents.withColumns({hash1: _ties()[0], hash2: _ties()[1]})
+    hashed = hashed.withColumn(row, F.row_number().over(Window.partitionBy(hash1, hash2).orderBy(hash1))).where(F.col(row) == 1)
+    taken = hashed.join(plan, (F.col(hash1) == F.col(one)) & (F.col(hash2) == F.col(two)))
+    epochs = F.sequence(F.lit(1), F.ceil(F.col(all_) / F.col(size)).cast("int"))
+    taken = taken.withColumn(left, F.explode(F.transform(epochs, lambda i: F.least(F.col(size), F.col(all_) - (i - 1) * F.col(size)))))
+    # The words of a text up to one number are those before the next word.
     words_ = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    begin = F.array_join(F.slice(words_, F.lit(1), F.col("__left").cast("int")), "")
-    cut = F.when(F.col("__left") < F.col("__size"), begin).otherwise(F.col("text"))
-    return taken.withColumn("text", cut).select(*names)
+    begin = F.array_join(F.slice(words_, F.lit(1), F.col(left).cast("int")), "")
+    cut = F.when(F.col(left) < F.col(size), begin).otherwise(F.col("text"))
+    return taken.withColumn("text", cut).select(*quoted(names))
 
 
 ORACLE = r"""
