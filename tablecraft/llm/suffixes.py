@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import U64, RangeHash, mix, salts, signed, text_steps
@@ -163,10 +162,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_id, d1, d2, text, spans, opens = batch.slice(row, 512).columns
             spans, opens = spans.to_pylist(), opens.to_pylist()
             rows = [(0, 0, 0, "") if o else _digest(t.as_py(), s or []) for t, s, o in zip(text, spans, opens)]
-            keep = pa.array([bool(o) for o in opens])
             numbers = [pa.array([r[i] for r in rows], pa.string() if i == 3 else pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [doc_id, *numbers, d1, d2, pa.compute.if_else(keep, text, pa.scalar(None, text.type)).cast(pa.string()),
+                [doc_id, *numbers, d1, d2, pa.array([t.as_py() if o else None for t, o in zip(text, opens)], pa.string()),
                  pa.array([s or [] if o else None for s, o in zip(spans, opens)], SPANS), pa.array([o or None for o in opens], OPENS)],
                 [*RESULT, "d1", "d2", "text", "spans", "opens"])
 
