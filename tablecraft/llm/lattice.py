@@ -18,7 +18,7 @@ from tablecraft.session import materialize
 
 TABLES, PROBES = 4, 8
 # With this scale, unit vectors of cosine 0.93 lie about 0.6 apart in a projection; cells have radius 0.7 to 1.
-SCALE = 4.5
+SCALE = 0.5625
 TILE_ROWS, GROUP_ROWS = 1000, 4000
 
 
@@ -62,7 +62,7 @@ def projection(dimensions: int, tables: int = TABLES) -> list[np.ndarray]:
     out = []
     for t in range(tables):
         draws = np.random.Generator(np.random.Philox(key=[dimensions, t])).standard_normal((dimensions, 8))
-        out.append(draws * (SCALE / np.sqrt(dimensions)))
+        out.append(draws * SCALE)
     return out
 
 
