@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import SPACE, RangeHash, salts, signed, text_steps
-from tablecraft.llm.registry import query, quoted, table, unused, widened
+from tablecraft.llm.registry import map_batches, query, quoted, table, unused, widened
 
 # The hash has 16 bits, so a cut depends on the 16 bytes before it and no others. Behind one white-space byte in
 # CUT a chunk ends: about 50 bytes with usual words. Bounds of a chunk's length, in bytes.
@@ -175,7 +175,7 @@ def remove_passages(documents: DataFrame, text: str = "text", doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays(
                     [*columns, *(pa.array(n.astype(np.int64)) for n in numbers), pa.array(sources, pa.list_(pa.int64()))], [*names, *ADDED])
 
-    return joined.mapInArrow(run, widened(kept.schema, ADDED_DDL))
+    return map_batches(joined, run, widened(kept.schema, ADDED_DDL))
 
 
 @query("op2_gear_chunks")

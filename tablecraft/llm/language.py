@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import LOWER, text_steps
-from tablecraft.llm.registry import query, table, widened
+from tablecraft.llm.registry import map_batches, query, table, widened
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -186,7 +186,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
                     [*batch.slice(first, last - first).columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()),
                      pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], [*batch.schema.names, *added])
 
-    return kept.mapInArrow(run, widened(kept.schema, ADDED))
+    return map_batches(kept, run, widened(kept.schema, ADDED))
 
 
 def held_out(doc_id="doc_id"):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecraft.llm.registry import query, table, widened
+from tablecraft.llm.registry import map_batches, query, table, widened
 
 # Fixed values of the byte-level format: white space as the format's own patterns read it, and the word pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -185,7 +185,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
 
     kept = df.drop(ids)
     place = kept.columns.index(text)
-    return kept.mapInArrow(run, widened(kept.schema, f"`{ids}` array<int>"))
+    return map_batches(kept, run, widened(kept.schema, f"`{ids}` array<int>"))
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str = "text") -> DataFrame:
@@ -203,7 +203,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str =
 
     kept = df.drop(text)
     place = kept.columns.index(ids)
-    return kept.mapInArrow(run, widened(kept.schema, f"`{text}` string"))
+    return map_batches(kept, run, widened(kept.schema, f"`{text}` string"))
 
 
 def token_digests(df: DataFrame, path: str | None = None) -> DataFrame:

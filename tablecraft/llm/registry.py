@@ -55,3 +55,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def quoted(names: list[str]) -> list[str]:
     """Column names as they can be selected, whatever letters they hold."""
     return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def map_batches(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: the function gets them under numbers, the schema names what it gives."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
