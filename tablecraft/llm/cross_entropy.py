@@ -78,7 +78,7 @@ def fit(background: DataFrame, target: DataFrame, spark: SparkSession):
     most PAIRS + VOCABULARY slots. An empty table gives a model that knows nothing, equal smoothing for every word.
     """
     words = background.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toPandas()["word"].to_numpy()
+    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow()["word"].to_numpy()
     shared = spark.sparkContext.broadcast(Vocabulary(top))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +97,12 @@ def fit(background: DataFrame, target: DataFrame, spark: SparkSession):
                 [pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[kind][at])], ["kind", "slot", "n"])
 
     both = background.select("text", F.lit(0).alias("kind")).unionByName(target.select("text", F.lit(1).alias("kind")))
-    counted = both.mapInArrow(count, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = both.mapInArrow(count, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
+    kinds, slots, n = (counted[c].to_numpy() for c in ("kind", "slot", "n"))
     models = []
     for kind in (0, 1):
-        part = counted[counted["kind"] == kind]
         sums = np.zeros(len(top) + 2 + PAIRS, np.int64)
-        sums[part["slot"]] = part["n"]
+        sums[slots[kinds == kind]] = n[kinds == kind]
         models.append(Model(sums[:len(top) + 2], sums[len(top) + 2:]))
     return Vocabulary(top), models[0], models[1]
 

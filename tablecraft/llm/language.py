@@ -65,9 +65,9 @@ def learn(labelled: DataFrame, documents_per_language: int = 4000, languages: in
             [pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
 
     counted = labelled.where(chosen).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    seen = counted.toPandas()
+    seen = counted.toArrow()
     table_ = np.zeros((BUCKETS, len(names)))
-    table_[seen["bucket"], seen["lang"]] = seen["n"]
+    table_[seen["bucket"].to_numpy(), seen["lang"].to_numpy()] = seen["n"].to_numpy()
     smooth = 0.1
     return names, ((table_ + smooth) / (table_.sum(0) + smooth * BUCKETS)).astype(np.float32)
 
