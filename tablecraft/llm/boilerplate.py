@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import U64, mix, salts, signed, text_steps, word_hashes
 from tablecraft.llm.registry import query, stored, table
+from tablecraft.session import materialize
 
 # A run of RUN words (a block's end counts as one) is furniture if at least SHARE of the host's pages have it; hosts of
 # under LEAST_PAGES pages are too few to tell. SHARE is above a third, so a group of copies is not taken for furniture.
 RUN, SHARE, LEAST_PAGES, SHARD_PAGES = 8, 0.5, 20, 256
+BROADCAST_BYTES = 16 << 20
 END = "\x01"
 
 TAG = re.compile(
@@ -274,27 +276,35 @@ def main_text(pages: DataFrame) -> DataFrame:
     A host's pages are dealt to shards of about 256 by a hash, however many there are. A run on half of all pages is on
     half of the pages of some shard, so the suffix arrays of the shards find every candidate; these are then counted
     exactly over all pages of the host. A host has few candidates, at most twice the words of a page for each shard.
+    Pages are parsed anew in each pass, which costs less than keeping their texts.
     """
-    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    parsed = pages.mapInArrow(_parse, "page_id long, url string, blocks array<string>")
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    parsed = stored(parsed.withColumn("host", host))
-    sizes = parsed.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
+    sizes = pages.select(host.alias("host")).where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = materialize(sizes.where(F.col("pages") >= LEAST_PAGES))
+    parsed = pages.mapInArrow(_parse, "page_id long, url string, blocks array<string>").withColumn("host", host)
     shard = F.pmod(F.xxhash64("page_id", "url", "blocks"), F.ceil(F.col("pages") / SHARD_PAGES)).alias("shard")
-    dealt = parsed.select("page_id", "url", "host", "blocks").join(sizes, "host").select("host", shard, "blocks")
+    dealt = _beside_host(parsed, sizes, "inner").select("host", shard, "blocks").repartition("host", "shard")
     candidates = stored(dealt.groupBy("host", "shard").applyInPandas(_shard_runs, "host string, run long").distinct())
     if candidates.isEmpty():
         stripped = parsed.select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
     else:
         listed = candidates.groupBy("host").agg(F.collect_list("run").alias("runs"))
-        counted = parsed.select("host", "blocks").join(listed, "host").mapInArrow(_on_page, "host string, run long")
+        counted = _beside_host(parsed, listed, "inner").select("host", "blocks", "runs").mapInArrow(_on_page, "host string, run long")
         counted = counted.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
         runs = counted.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("run").alias("runs"))
-        stripped = parsed.join(runs, "host", "left").select("page_id", "url", "blocks", "runs").mapInArrow(
+        stripped = _beside_host(parsed, materialize(runs), "left").select("page_id", "url", "blocks", "runs").mapInArrow(
             _strip, "page_id long, url string, text string")
     return stripped.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _beside_host(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """Pages with a row for each host; sent to all tasks if its size is small, joined by shuffle otherwise."""
+    size = F.coalesce(F.size("runs"), F.lit(0)) if "runs" in hosts.columns else F.lit(0)
+    held = hosts.agg(F.coalesce(F.sum(F.lit(64) + 8 * size + F.length("host")), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(hosts) if held <= BROADCAST_BYTES else hosts, "host", how)
+
+
 @query("op6_host_suffix_array")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
