@@ -44,7 +44,7 @@ def group_measure(df: DataFrame, dim: str, measure: str | None = None, agg: str
 
 
 def has_numbers(df: DataFrame, measure: str) -> bool:
-    return df.agg(F.count(as_number(df, measure, False)).alias("n")).first()["n"] > 0
+    return not df.select(as_number(df, measure, False).alias("n")).filter("n IS NOT NULL").isEmpty()
 
 
 def chart_query(df: DataFrame, x: str, y: str, agg: str = "SUM", group_by: str | None = None,
@@ -201,15 +201,14 @@ def five_numbers(df: DataFrame, column: str) -> DataFrame:
 
 
 def waterfall(df: DataFrame, x: str, y: str, steps: int = 15) -> DataFrame:
-    """Sums in key order with running start and end, closed by a Net Total row."""
-    sums = (
-        df.filter(F.col(x).isNotNull())
-        .groupBy(x)
-        .agg(F.coalesce(F.sum(as_number(df, y, False)), F.lit(0.0)).alias("value"))
-        .orderBy(x)
-        .limit(steps)
-    )
-    sums = materialize(sums)
+    """Sums in key order with running start and end, closed by a Net Total row.
+
+    The first ``steps`` keys are steps of their own; if there are more keys, one step Remaining holds their sum,
+    so that the total covers every row.
+    """
+    every = materialize(
+        df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.coalesce(F.sum(as_number(df, y, False)), F.lit(0.0)).alias("value")))
+    sums = materialize(every.orderBy(x).limit(steps))
     # The window runs over at most ``steps`` rows.
     upto = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     walked = sums.withColumn("end", F.sum("value").over(upto)).select(
@@ -219,11 +218,18 @@ def waterfall(df: DataFrame, x: str, y: str, steps: int = 15) -> DataFrame:
         "end",
         F.when(F.col("value") >= 0, "positive").otherwise("negative").alias("type"),
     )
-    total = sums.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(
+    whole = beside(
+        every.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")),
+        sums.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("shown")))
+    rest = F.col("value") - F.col("shown")
+    remaining = whole.filter(F.col("keys") > steps).select(
+        F.lit("Remaining").alias("label"), rest.alias("value"), F.col("shown").alias("start"), F.col("value").alias("end"),
+        F.when(rest >= 0, "positive").otherwise("negative").alias("type"))
+    total = whole.select(
         F.lit("Net Total").alias("label"), "value", F.lit(0.0).alias("start"), F.col("value").alias("end"),
         F.lit("total").alias("type"),
     )
-    return walked.unionByName(total)
+    return walked.unionByName(remaining).unionByName(total)
 
 
 def _top_sums(df: DataFrame, keys: Sequence[str], y: str | None, k: int) -> DataFrame:
@@ -270,13 +276,19 @@ def stacked_shares(df: DataFrame, x: str, series: str, y: str) -> DataFrame:
     )
 
 
-def series_matrix(df: DataFrame, x: str, series: str, y: str, values: Sequence[str] | None = None,
-                  k: int = TOP_K) -> DataFrame:
-    """One row per x and one column per series value, 0 where a combination is absent."""
+def series_matrix(df: DataFrame, x: str, series: str, y: str, values: Sequence[str] | None = None) -> DataFrame:
+    """One row per x and one column per series value, 0 where a combination is absent.
+
+    All values of the series are columns, in order; the engine refuses more than ``spark.sql.pivotMaxValues`` of them.
+    """
     if values is None:
-        values = [r["value"] for r in value_counts(df, series, k).orderBy("value").collect()]
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        found = df.select(F.col(series).alias("value")).dropna().distinct().orderBy("value").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{series!r} has more than {most} values; name those wanted, or use stacked_shares")
+        values = [r["value"] for r in found]
     pivoted = df.groupBy(x).pivot(series, list(values)).agg(F.sum(as_number(df, y, False)))
-    return pivoted.fillna(0.0, subset=list(values))
+    return pivoted.fillna(0.0, subset=[str(v) for v in values])
 
 
 def bubble_radius(df: DataFrame, column: str, low: float = 4.0, high: float = 25.0) -> DataFrame:
@@ -290,10 +302,11 @@ def bubble_radius(df: DataFrame, column: str, low: float = 4.0, high: float = 25
 
 def label_totals(df: DataFrame, label: str, y: str | None = None, k: int = 12, width: int = 15,
                  null_label: str = "Unknown") -> DataFrame:
-    """Sum (or count) by shortened label, missing labels under one name, largest first."""
-    name = F.substring(F.coalesce(text(label), F.lit(null_label)), 1, width)
+    """Sum (or count) by full label, missing labels under one name, largest first; ``label`` is shortened for showing only."""
+    name = F.coalesce(text(label), F.lit(null_label))
     total = F.coalesce(F.sum(as_number(df, y)), F.lit(0.0)) if y else F.count(F.lit(1))
-    return df.groupBy(name.alias("label")).agg(total.alias("value")).orderBy(F.desc("value"), "label").limit(k)
+    top = df.groupBy(name.alias("full_label")).agg(total.alias("value")).orderBy(F.desc("value"), "full_label").limit(k)
+    return top.select(F.substring("full_label", 1, width).alias("label"), "full_label", "value")
 
 
 def line_points(df: DataFrame, x: str, y: str, ties: Sequence[str] = (), limit: int = 40) -> DataFrame:

@@ -37,25 +37,29 @@ def word_count(c) -> Column:
     return F.size(F.filter(F.split(text(c), r"(?U)\s+"), lambda w: w != ""))
 
 
-def headings(c, limit: int = 15) -> Column:
-    """Short lines that open a section, or are all capitals."""
+def _first(found: Column, limit: int | None) -> Column:
+    return found if limit is None else F.slice(found, 1, limit)
+
+
+def headings(c, limit: int | None = None) -> Column:
+    """Short lines that open a section, or are all capitals; all of them unless limited."""
     def is_heading(line):
         capitals = (F.upper(line) == line) & (F.lower(line) != line)
         return (F.length(line) < 80) & (line.rlike(RX_HEADING) | capitals)
 
-    return F.slice(F.filter(lines(c), is_heading), 1, limit)
+    return _first(F.filter(lines(c), is_heading), limit)
 
 
-def figures(c, limit: int = 20) -> Column:
+def figures(c, limit: int | None = None) -> Column:
     """Distinct numbers in order of appearance, with currency sign, separators and percent."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text(c), F.lit(RX_FIGURE), F.lit(1))), 1, limit)
+    return _first(F.array_distinct(F.regexp_extract_all(text(c), F.lit(RX_FIGURE), F.lit(1))), limit)
 
 
-def definitions(c, limit: int = 8) -> Column:
+def definitions(c, limit: int | None = None) -> Column:
     """``term, definition`` of sentences of the form 'Term is defined as ...'."""
     terms = F.transform(F.regexp_extract_all(text(c), F.lit(RX_DEFINITION), F.lit(1)), _strip)
     bodies = F.transform(F.regexp_extract_all(text(c), F.lit(RX_DEFINITION), F.lit(2)), _strip)
-    return F.slice(F.arrays_zip(terms.alias("term"), bodies.alias("definition")), 1, limit)
+    return _first(F.arrays_zip(terms.alias("term"), bodies.alias("definition")), limit)
 
 
 def summary(c, count: int = 4, width: int | None = 800) -> Column:

@@ -19,6 +19,8 @@ from tablecraft.operators.quantiles import column_quantiles
 from tablecraft.session import materialize
 
 SUBSAMPLE = 256
+# With so many times the wanted rows on average, a tree is short of them about once in 10^9.
+SPARE = 1.5
 TREES = 100
 SEED = 42
 
@@ -66,14 +68,14 @@ def anomaly_scores(df: DataFrame, key: str, columns: Sequence[str] | None = None
     if rows < 5:
         return ready.drop("_vec").withColumn("anomaly_score", F.lit(None).cast("double"))
     take = min(rows, SUBSAMPLE)
-    # The smallest key hashes are a uniform sample of at most trees * 256 rows.
-    pool = materialize(ready.select(F.xxhash64(key, F.lit(SEED)).alias("h"), "_vec").orderBy("h").limit(trees * SUBSAMPLE))
-    if rows >= trees * SUBSAMPLE:
-        dealt = pool.withColumn("tree", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(trees)).cast("int"))
-    else:
-        # Small tables: every tree draws its own share from the same pool.
-        dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(
-            F.pmod(F.xxhash64("h", "tree"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.2 * take / rows)))
+    # Every tree draws rows by a hash of row and tree, some more than it needs, and keeps the 256 of the least hash.
+    bound = min(2 ** 63 - 1, int(2 ** 63 * min(1.0, SPARE * take / rows)))
+    own = F.struct(F.col(key), F.col("_vec"))
+    draws = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(
+            tree.alias("tree"), F.xxhash64(own, tree, F.lit(SEED)).bitwiseAND(F.lit(2 ** 63 - 1)).alias("h"))),
+        lambda draw: draw["h"] <= F.lit(bound))
+    dealt = ready.select("_vec", F.explode(draws).alias("draw")).select("draw.tree", "draw.h", "_vec")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return _grow(np.stack(pdf.sort_values("h")["_vec"].to_numpy())[:SUBSAMPLE], int(pdf["tree"].iloc[0]))

@@ -12,7 +12,8 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,13 +36,12 @@ def problem_type(df: DataFrame, target: str | None, rule: str = "server") -> str
         return "clustering"
     if not is_numeric(df, target):
         return "classification"
-    row = df.agg(F.approx_count_distinct(target, 0.01).alias("a"), F.count(target).alias("n")).first()
-    # The rules compare against 10 and 15: small counts are settled exactly.
-    distinct = df.select(target).dropna().distinct().limit(16).count() if row["a"] < 1000 else row["a"]
-    distinct = row["a"] if distinct == 16 else distinct
+    counts = df.select(target).dropna().groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n")).first()
+    distinct = row["levels"]
     if rule == "simple":
         return "regression" if distinct > 10 else "classification"
-    few = distinct <= 15 or distinct / max(row["n"], 1) < 0.05
+    few = distinct <= 15 or distinct / max(row["n"] or 0, 1) < 0.05
     return "classification" if few else "regression"
 
 
@@ -77,7 +77,7 @@ def feature_stages(df: DataFrame, features: Sequence[str], one_hot: bool = False
     words = [c for c in features if c not in numbers]
     stages, inputs = [], []
     if numbers:
-        stages.append(Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}__num" for c in numbers]))
+        stages.append(Imputer(strategy="median", relativeError=0.0, inputCols=numbers, outputCols=[f"{c}__num" for c in numbers]))
         inputs += [f"{c}__num" for c in numbers]
     if words:
         stages.append(StringIndexer(inputCols=words, outputCols=[f"{c}__idx" for c in words], handleInvalid="keep",
@@ -91,10 +91,12 @@ def feature_stages(df: DataFrame, features: Sequence[str], one_hot: bool = False
     return stages
 
 
-def assembled_names(df: DataFrame, features: Sequence[str]) -> list[str]:
-    """Feature order inside the vector (without one-hot): numbers first."""
-    numbers = [c for c in features if is_numeric(df, c)]
-    return numbers + [c for c in features if c not in numbers]
+def slot_features(run: Training, model: PipelineModel) -> list[str]:
+    """The feature of every slot of the assembled vector, by the vector's own attributes."""
+    attributes = model.transform(run.train.limit(0)).schema["assembled"].metadata["ml_attr"]["attrs"]
+    slots = sorted((a["idx"], a["name"]) for kind in attributes.values() for a in kind)
+    own = {f"{c}__{kind}": c for c in run.features for kind in ("num", "idx", "hot")}
+    return [own[slot] if slot in own else own[max((k for k in own if slot.startswith(f"{k}_")), key=len)] for _, slot in slots]
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], train_pct: int = 80, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +116,7 @@ def stratified_split(df: DataFrame, keys: Sequence[str], label: str, train_share
     return ready.filter("_train").drop(*drop), ready.filter("not _train").drop(*drop)
 
 
-def candidates(problem: str, classes: int = 2, trees: int = 100, rounds: int = 20, max_bins: int = 256) -> dict[str, object]:
+def candidates(problem: str, classes: int = 2, trees: int = 100, rounds: int = 100, max_bins: int = 256) -> dict[str, object]:
     tree = dict(seed=SEED, maxBins=max_bins)
     if problem == "regression":
         return {
@@ -144,6 +146,7 @@ class Training:
     best: str | None = None
     labels: list[str] = field(default_factory=list)
     hashed: list[str] = field(default_factory=list)
+    left_out: list[str] = field(default_factory=list)
     train: DataFrame | None = None
     test: DataFrame | None = None
 
@@ -158,13 +161,18 @@ class Training:
         scored = self.models[name or self.best].transform(df if df is not None else self.test)
         if self.problem == "classification":
             scored = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=self.labels).transform(scored)
+            if "probability" not in scored.columns and "rawPrediction" in scored.columns:
+                # One model for each class: the margins as chances, in proportion.
+                chance = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+                total = F.aggregate(chance, F.lit(0.0), lambda a, x: a + x)
+                scored = scored.withColumn("probability", array_to_vector(F.transform(chance, lambda p: p / total)))
             if "probability" in scored.columns:
                 scored = scored.withColumn("confidence", F.array_max(vector_to_array("probability")))
         return scored
 
 
 def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str], problem: str | None = None,
-          models: Sequence[str] | None = None, trees: int = 100, rounds: int = 20, one_hot: bool = False) -> Training:
+          models: Sequence[str] | None = None, trees: int = 100, rounds: int = 100, one_hot: bool = False) -> Training:
     """Split, fit every candidate inside its pipeline, score on the held-out rows, keep the best.
 
     One driver loop over a handful of estimators; each fit is a distributed job on stored splits.
@@ -186,7 +194,11 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
         classes = len(run.labels)
         part_a, part_b = stratified_split(data, keys, "label_raw")
         run.train, run.test = materialize(indexer.transform(part_a)), materialize(indexer.transform(part_b))
-    stages = feature_stages(run.train, features, one_hot)
+    numbers = [c for c in features if is_numeric(run.train, c)]
+    if numbers:  # a feature without any number in the training rows has no median to fill in, so it is left out
+        some = run.train.agg(*[F.count(c).alias(c) for c in numbers]).first()
+        run.left_out = [c for c in numbers if not some[c]]
+    stages = feature_stages(run.train, [c for c in features if c not in run.left_out], one_hot)
     score_best = None
     for name, estimator in candidates(problem, classes, trees, rounds).items():
         if models is not None and name not in models:
@@ -202,7 +214,7 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
                 m = classification_metrics(scored).first()
                 figures = (m["accuracy"], m["weighted_precision"], m["weighted_recall"], m["weighted_f1"])
                 score = m["weighted_f1"]
-        except Exception as error:  # a candidate that cannot fit is ranked last, as in a leaderboard
+        except IllegalArgumentException as error:  # data that a candidate cannot be fitted on rank it last; other errors are errors
             run.rows.append((name, FAILED_SCORE, None, None, None, None, str(error)[:200]))
             continue
         run.models[name] = model
@@ -238,18 +250,26 @@ def training_auc(run: Training, name: str | None = None) -> float:
 
 
 def feature_importance(run: Training, name: str | None = None, k: int = 15) -> DataFrame:
-    """Tree importances, or mean absolute coefficients with their share in percent."""
+    """Tree importances, or mean absolute coefficients with their share in percent.
+
+    The weights of all slots of a feature (one for each level of a one-hot text) are added up; one model for each class
+    gives the mean of the models.
+    """
     model = run.models[name or run.best]
     last = model.stages[-1]
-    names = assembled_names(run.train, run.features)
     if hasattr(last, "featureImportances"):
         weights = last.featureImportances.toArray()
+    elif hasattr(last, "models"):
+        weights = sum(m.featureImportances.toArray() for m in last.models) / len(last.models)
     elif hasattr(last, "coefficientMatrix"):
         weights = abs(last.coefficientMatrix.toArray()).mean(axis=0)
     else:
         weights = abs(last.coefficients.toArray())
-    total = float(sum(weights)) or 1.0
-    rows = [(n, float(w), 100.0 * float(w) / total) for n, w in zip(names, weights)]
+    sums = dict.fromkeys((c for c in run.features if c not in run.left_out), 0.0)
+    for feature, weight in zip(slot_features(run, model), weights):
+        sums[feature] += float(weight)
+    total = sum(sums.values()) or 1.0
+    rows = [(n, w, 100.0 * w / total) for n, w in sums.items()]
     spark = run.train.sparkSession
     return spark.createDataFrame(rows, "feature string, importance double, share_pct double").orderBy(
         F.desc("importance"), "feature").limit(k)
@@ -286,34 +306,39 @@ def linear_shap(df: DataFrame, coefficients: Mapping[str, float], k: int = 15) -
     return wide.unpivot([], names, "feature", "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature").limit(k)
 
 
-def sampled_shap(run: Training, keys: Sequence[str], name: str | None = None, rows: int = 200, background: int = 50,
+def sampled_shap(run: Training, keys: Sequence[str], name: str | None = None, rows: int | None = None, background: int = 50,
                  permutations: int = 8, k: int = 15) -> DataFrame:
-    """``feature, mean_abs_shap`` of any model by sampled permutations on at most ``rows`` training rows.
+    """``feature, mean_abs_shap`` of any model by sampled permutations, for all training rows unless ``rows`` limits them.
 
-    Every (row, permutation) yields one coalition row per step; a single ``transform`` scores them all.
+    Absent features come from ``background`` rows, a bounded sample by definition of the method. Two classes are told by
+    the chance of the second, more classes by the mean over all of them. Every (row, permutation) yields one coalition row per step; a single ``transform`` scores them all.
     """
     model = run.models[name or run.best]
     names = run.features
     hashed = run.train.withColumn("_h", F.xxhash64(*keys, F.lit(SEED)))
-    chosen = hashed.orderBy("_h", *keys).limit(rows)
+    chosen = hashed if rows is None else hashed.orderBy("_h", *keys).limit(rows)
     ground = hashed.orderBy(F.desc("_h"), *keys).limit(background).select(*names).collect()  # bounded sample
     fields = {f.name: f.dataType for f in run.train.schema}
     pool = F.array(*[F.struct(*[F.lit(r[c]).cast(fields[c]).alias(c) for c in names]) for r in ground])
-    pairs = chosen.select("_h", F.struct(*names).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    pairs = chosen.select("_h", *keys, F.struct(*names).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
     pick = F.pmod(F.xxhash64("_h", "p"), F.lit(len(ground))).cast("int")
     order = F.transform(
         F.array_sort(F.array(*[F.struct(F.xxhash64("_h", "p", F.lit(c)).alias("r"), F.lit(c).alias("f")) for c in names])),
         lambda e: e["f"])
-    steps = pairs.select("_h", "p", "x", F.get(pool, pick).alias("b"), order.alias("order"),
+    steps = pairs.select("_h", *keys, "p", "x", F.get(pool, pick).alias("b"), order.alias("order"),
                          F.explode(F.sequence(F.lit(0), F.lit(len(names)))).alias("step"))
     coalition = steps.select(
-        "_h", "p", "step", F.get("order", F.col("step") - 1).alias("added"),
+        "_h", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "p", "step", F.get("order", F.col("step") - 1).alias("added"),
         *[F.when(F.array_position("order", c) <= F.col("step"), F.col(f"x.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in names])
-    scored = model.transform(coalition)
-    value = F.col("prediction") if run.problem == "regression" else vector_to_array("probability")[1]
-    walk = Window.partitionBy("_h", "p").orderBy("step")  # one row per feature plus one
-    delta = scored.select("_h", "p", "step", "added", (value - F.lag(value).over(walk)).alias("d")).filter("step > 0")
-    per_row = delta.groupBy("_h", "added").agg(F.avg("d").alias("phi"))
+    scored = run.predictions(name, coalition)
+    chances = F.array("prediction") if run.problem == "regression" else vector_to_array("probability")
+    if len(run.labels) == 2:
+        chances = F.slice(chances, 2, 1)
+    row = ["_h", *[f"_k{i}" for i in range(len(keys))]]
+    walk = Window.partitionBy(*row, "p").orderBy("step")  # one row per feature plus one
+    told = scored.select(*row, "p", "step", "added", chances.alias("v")).withColumn("before", F.lag("v").over(walk)).filter("step > 0")
+    delta = told.select(*row, "added", F.posexplode(F.zip_with("v", "before", lambda a, b: a - b)).alias("class", "d"))
+    per_row = delta.groupBy(*row, "added", "class").agg(F.avg("d").alias("phi"))
     return per_row.groupBy(F.col("added").alias("feature")).agg(F.avg(F.abs("phi")).alias("mean_abs_shap")).orderBy(
         F.desc("mean_abs_shap"), "feature").limit(k)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from tablecraft.operators.ordering import running_sum
+from tablecraft.session import materialize
+
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``n, mse, rmse, mae, r2`` of one scan; a constant label counts as fully explained."""
@@ -59,12 +61,26 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
         *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")])
 
 
+def rank_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
+    """``positives, negatives, auc``: the share of (positive, negative) pairs in which the positive row scores higher, ties half.
+
+    Exact: rows are counted by score, and each score's positives beat the negatives below it. Rows without score are passed over.
+    """
+    p = F.coalesce(F.col(positive).cast("boolean"), F.lit(False))
+    counts = materialize(df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
+        F.count_if(p).alias("p"), F.count_if(~p).alias("n")))
+    ranked = running_sum(counts, ["s"], F.col("n"), "upto")
+    won = F.sum((F.col("p") * (F.col("upto") - F.col("n") / 2)).cast("double"))
+    return ranked.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), won.alias("won")).select(
+        "positives", "negatives", F.try_divide("won", F.col("positives").cast("double") * F.col("negatives")).alias("auc"))
+
+
 def auc(df: DataFrame, classes: int, label: str = "label", probability: str = "probability") -> float:
     """Area under ROC; one-vs-rest weighted by class size for more than two classes."""
     def one(i: int) -> tuple[float, int]:
-        p = vector_to_array(probability)[i]
-        rows = df.select((F.col(label) == i).cast("double").alias("label"), array_to_vector(F.array(1 - p, p)).alias("raw"))
-        return BinaryClassificationEvaluator(rawPredictionCol="raw").evaluate(rows), rows.filter("label = 1").count()
+        rows = df.select((F.col(label) == i).alias("is"), vector_to_array(probability)[i].alias("score"))
+        found = rank_auc(rows, "score", "is").first()
+        return found["auc"] or 0.0, found["positives"] or 0
 
     if classes == 2:
         return one(1)[0]

@@ -1,19 +1,22 @@
-"""Exact k-nearest neighbours as a grid of bounded blocks.
+"""Exact k-nearest neighbours.
 
-Training rows and rows to score are cut into blocks of bounded size; every pair of blocks is one
-task-sized group that returns only each row's k nearest, and the k lists are merged by a ranked
-aggregate. Nothing grows beyond a block, neither a broadcast nor a group.
+Training rows counted to be few (``SHIPPED_VALUES`` numbers in all, 32 MB) are sent to every task once and each row is
+scored where it is, without a shuffle. More training rows are cut into blocks of bounded size that meet the rows to
+score block by block; each pair of blocks returns only the k nearest of each row. That is exact but quadratic, so for
+large training sets fit on a sample, or take ``approximate_neighbours``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 4000
+SHIPPED_VALUES = 4_000_000
 EPSILON = 1e-5
 
 
@@ -21,9 +24,47 @@ def _blocks(df: DataFrame, size: int) -> int:
     return max(1, math.ceil(df.count() / size))
 
 
+def _closest(points: np.ndarray, ids: np.ndarray, vec: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest points, ties by id, without the row's own id if given."""
+    d = np.sqrt(((points - vec) ** 2).sum(axis=1))
+    if own is not None:
+        d = np.where(ids == own, np.inf, d)
+    # Everything as near as the k-th, so that ties are settled by key.
+    cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+    near = np.flatnonzero((d <= cut) & np.isfinite(d))
+    near = near[np.lexsort((ids[near], d[near]))][:k]
+    return near, d[near]
+
+
+def _nearest_shipped(train: DataFrame, score: DataFrame, key: str, vector: str, label: str, k: int, exclude_self: bool) -> DataFrame:
+    doubles = F.col(vector).cast("array<double>").alias("vec")
+    held = train.select(F.col(key).alias("tk"), F.col(label).cast("string").alias("label"), doubles).toPandas()
+    points = np.stack(held["vec"].to_numpy()) if len(held) else np.zeros((0, 1))
+    names = held["label"].to_numpy(dtype=object)
+    shared = score.sparkSession.sparkContext.broadcast((points, held["tk"].to_numpy(), names))
+    kind, own_kind = dict(score.dtypes)[key], dict(train.dtypes)[key]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points, ids, names = shared.value
+        for batch in batches:
+            out = [pd.DataFrame({"sk": batch["sk"][:0], "rank": np.zeros(0, np.int32), "tk": ids[:0], "label": names[:0], "dist": np.zeros(0)})]
+            for sk, vec in zip(batch["sk"], batch["vec"]) if len(ids) else ():
+                near, d = _closest(points, ids, np.asarray(vec), k, sk if exclude_self else None)
+                out.append(pd.DataFrame({"sk": sk, "rank": np.arange(1, len(near) + 1, dtype=np.int32), "tk": ids[near], "label": names[near], "dist": d}))
+            yield pd.concat(out, ignore_index=True)
+
+    rows = score.select(F.col(key).alias("sk"), doubles)
+    found = rows.mapInPandas(scan, f"sk {kind}, rank int, tk {own_kind}, label string, dist double")
+    return found.select(F.col("sk").alias(key), "rank", F.col("tk").alias("neighbour"), "label", "dist")
+
+
 def nearest(train: DataFrame, score: DataFrame, key: str, vector: str, label: str, k: int = 5,
             exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``key, neighbour, label, dist``: the k nearest training rows of each row; ties by neighbour key."""
+    if block_rows == BLOCK_ROWS:
+        held = train.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()["values"]
+        if held <= SHIPPED_VALUES:
+            return _nearest_shipped(train, score, key, vector, label, k, exclude_self)
     tb, sb = _blocks(train, block_rows), _blocks(score, block_rows)
 
     def block(n):
@@ -43,14 +84,8 @@ def nearest(train: DataFrame, score: DataFrame, key: str, vector: str, label: st
         points, ids, names = np.stack(t["vec"].to_numpy()), t["tk"].to_numpy(), t["label"].to_numpy()
         out = []
         for sk, vec in zip(s["sk"].to_numpy(), s["vec"]):
-            d = np.sqrt(((points - np.asarray(vec)) ** 2).sum(axis=1))
-            if exclude_self:
-                d = np.where(ids == sk, np.inf, d)
-            # Everything as near as the k-th, so that ties are settled by key.
-            cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-            near = np.flatnonzero((d <= cut) & np.isfinite(d))
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            out.append(pd.DataFrame({"sk": sk, "tk": ids[near], "label": names[near], "dist": d[near]}))
+            near, d = _closest(points, ids, np.asarray(vec), k, sk if exclude_self else None)
+            out.append(pd.DataFrame({"sk": sk, "tk": ids[near], "label": names[near], "dist": d}))
         return pd.concat(out, ignore_index=True)
 
     found = a.groupBy("tb", "sb").cogroup(b.groupBy("tb", "sb")).applyInPandas(
@@ -75,7 +110,7 @@ def knn_classify(train: DataFrame, score: DataFrame, key: str, vector: str, labe
 
 
 def approximate_neighbours(train: DataFrame, score: DataFrame, vector: str, key: str, threshold: float,
-                           bucket: float = 2.0, tables: int = 3) -> DataFrame:
+                           bucket: float = 2.0, tables: int = 3, exclude_self: bool = False) -> DataFrame:
     """Pairs within ``threshold`` found by locality-sensitive hashing: faster, may miss some."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -85,4 +120,6 @@ def approximate_neighbours(train: DataFrame, score: DataFrame, vector: str, key:
 
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=42).fit(vectors(train))
     pairs = model.approxSimilarityJoin(vectors(score), vectors(train), threshold, "dist")
+    if exclude_self:
+        pairs = pairs.filter(F.col(f"datasetA.{key}") != F.col(f"datasetB.{key}"))
     return pairs.select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("neighbour"), "dist")

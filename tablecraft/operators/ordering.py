@@ -28,16 +28,15 @@ def _sort_form(df: DataFrame, name: str) -> Column:
     return c
 
 
-def _bucket_of(key: Column, bounds: list[Column]) -> Column:
-    """Number of bounds at or below the key, by binary search over literals."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
+def _with_bucket(df: DataFrame, key: Column, bounds: list[Column]) -> DataFrame:
+    """Add ``_bucket``, the number of bounds at or below the key: a binary search over one array literal, a step a projection."""
+    df = df.withColumns({"_key": key, "_bucket": F.lit(0)})
+    ladder = F.array(*bounds)
+    for level in range(len(bounds).bit_length() - 1, -1, -1):
+        step = 1 << level
+        probe = F.get(ladder, F.col("_bucket") + (step - 1))
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(probe <= F.col("_key"), step).otherwise(0))
+    return df.drop("_key")
 
 
 def with_buckets(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
@@ -63,7 +62,8 @@ def with_buckets(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[
     bounds = [
         F.struct(*[F.lit(v).cast(t).alias(f"k{j}") for j, (v, t) in enumerate(zip(sampled[i], kinds))]) for i in picks
     ]
-    return df.withColumn("_part", part).withColumn("_bucket", _bucket_of(F.struct(*forms), bounds)), False
+    df = df.withColumn("_part", part)
+    return (_with_bucket(df, F.struct(*forms), bounds) if bounds else df.withColumn("_bucket", F.lit(0))), False
 
 
 
@@ -79,13 +79,11 @@ def running_sum(df: DataFrame, order_by: Sequence[str], value: Column, name: str
     border = per_part.groupBy("_bucket").agg(
         F.min("_part").alias("first"), F.max("_part").alias("last"), F.max_by("s", "_part").alias("tail")
     )
-    earlier = border.select(F.col("_bucket").alias("b0"), F.col("last").alias("p0"), F.col("tail").alias("t0"))
-    carry = (
-        border.join(earlier, F.col("first").eqNullSafe(F.col("p0")) & (F.col("b0") < F.col("_bucket")))
-        .groupBy("_bucket", "first")
-        .agg(F.sum("t0").alias("_carry"))
-        .withColumnRenamed("first", "_first")
-    )
+    # What a bucket's first partition has in the buckets before: one running sum over two rows for each bucket.
+    steps = border.select("_bucket", F.col("last").alias("_first"), F.lit(1).alias("kind"), "tail").unionByName(
+        border.select("_bucket", F.col("first").alias("_first"), F.lit(0).alias("kind"), F.lit(None).alias("tail")))
+    ahead = Window.partitionBy("_first").orderBy("_bucket", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    carry = steps.withColumn("_carry", F.sum("tail").over(ahead)).filter("kind = 0").select("_bucket", "_first", "_carry")
     # One row per bucket, so its size is bounded by the bucket count.
     joined = work.join(F.broadcast(carry), "_bucket", "left")
     offset = F.when(F.col("_part").eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(F.lit(0))

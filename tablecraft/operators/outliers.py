@@ -86,14 +86,11 @@ def detect_outliers(df: DataFrame, columns: Sequence[str] | None = None, method:
 
 
 def outlier_rows(df: DataFrame, key: str, columns: Sequence[str] | None = None, method: str = "iqr",
-                 threshold: float | None = None, limit: int = 50) -> DataFrame:
-    """The first ``limit`` outlier row keys of each column."""
+                 threshold: float | None = None) -> DataFrame:
+    """``column, key`` of every outlier cell, one scan."""
     bounds = fit_bounds(df, columns, method, threshold)
-    parts = [
-        df.filter(outside(df, c, bounds)).select(F.lit(c).alias("column"), F.col(key)).orderBy(key).limit(limit)
-        for c in bounds
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    beyond = F.array_compact(F.array(*[F.when(outside(df, c, bounds), F.lit(c)) for c in bounds]))
+    return df.select(F.explode(beyond).alias("column"), F.col(key))
 
 
 def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None, method: str = "iqr",

@@ -424,8 +424,11 @@ def smart_analytics(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_facts(df: DataFrame) -> DataFrame:
-    """Per column: rows, missing, distinct, storage family, share of cells that read as dates, binary flag."""
+def column_facts(df: DataFrame, readable: bool = False) -> DataFrame:
+    """Per column: rows, missing, distinct, storage family, share of cells that read as dates, binary flag.
+
+    ``readable`` adds ``all_numbers``: whether every cell that is there reads as a number.
+    """
     values = typing_ops.value_table(df)
     numbers = numeric_columns(df)
     stored_dates = [c for c, k in df.dtypes if k in ("date", "timestamp", "timestamp_ntz")]
@@ -435,6 +438,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         F.count("value").alias("distinct_count"),
         F.coalesce(F.sum(F.when(cells.is_valid_date("value"), F.col("n"))), F.lit(0)).alias("dates"),
         F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").try_cast("double").isin(0.0, 1.0))), F.lit(True)).alias("zero_one"),
+        F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").try_cast("double").isNotNull())), F.lit(True)).alias("all_numbers"),
     )
     family = (
         F.when(F.col("column").isin(*numbers), "number")
@@ -443,7 +447,7 @@ def column_facts(df: DataFrame) -> DataFrame:
     )
     binary = (family == "number") & (F.col("distinct_count") <= 2) & F.coalesce("zero_one", F.lit(False))
     return facts.select("column", position(df.columns).alias("position"), "rows", "missing", "distinct_count",
-                        family.alias("family"), binary.alias("is_binary"))
+                        family.alias("family"), binary.alias("is_binary"), *(["all_numbers"] if readable else []))
 
 
 def suggest_axes(df: DataFrame) -> DataFrame:
@@ -499,7 +503,7 @@ def suggest_chart(axes: DataFrame) -> DataFrame:
     return one.select("top_x", "top_y", chart.alias("chart"), (F.col("has_date") & (y >= 1)).alias("forecast_eligible"))
 
 
-def target_suggestions(df: DataFrame, k: int = 10) -> DataFrame:
+def target_suggestions(df: DataFrame) -> DataFrame:
     """Columns that could be a prediction target: few-class text, or mostly numeric."""
     values = typing_ops.value_table(df)
     texts = text_columns(df)
@@ -511,7 +515,7 @@ def target_suggestions(df: DataFrame, k: int = 10) -> DataFrame:
     reason = F.when(is_text & F.col("classes").between(2, 20), "classification").when(
         ~is_text & (F.col("numbers") > 0.5 * F.col("rows")), "regression or classification")
     return facts.select("column", position(df.columns).alias("position"), reason.alias("reason"), "classes").filter(
-        "reason is not null").orderBy("position").limit(k)
+        "reason is not null").orderBy("position")
 
 
 def cleaning_plan(df: DataFrame) -> DataFrame:
@@ -547,7 +551,7 @@ def plan_from_profile(profile: DataFrame, df: DataFrame) -> DataFrame:
         "step", "action", "column", "detail")
 
 
-def dataset_analysis(df: DataFrame, limit: int = 20) -> DataFrame:
+def dataset_analysis(df: DataFrame) -> DataFrame:
     """Shape, family, missing share and number figures of each column."""
     rows = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     base = rows.unpivot(["_rows"], df.columns, "column", "missing")
@@ -556,7 +560,7 @@ def dataset_analysis(df: DataFrame, limit: int = 20) -> DataFrame:
     out = base.select("column", F.col("_rows").alias("rows"), F.lit(len(df.columns)).alias("columns"),
                       family.alias("family"), "missing", (F.col("missing") * 100.0 / F.col("_rows")).alias("missing_pct"))
     if numbers:
-        out = out.join(numeric_stats(df, numbers[:limit]).select("column", "mean", "std", "min", "max", "median"), "column", "left")
+        out = out.join(numeric_stats(df, numbers).select("column", "mean", "std", "min", "max", "median"), "column", "left")
     return out
 
 

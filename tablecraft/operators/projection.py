@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecraft.functions.cells import blank_missing, floor_mod, parse_numeric
+from tablecraft.functions.cells import blank_missing, finite_or_null, floor_mod, parse_numeric
 from tablecraft.operators.lookup import attach
 
 NUMERIC_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -27,9 +27,10 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def as_number(df: DataFrame, name: str, scale_percent: bool = True) -> Column:
-    """The column as a double: typed columns directly, text cells parsed."""
+    """The column as a double: typed columns directly, text cells parsed; NaN and infinities are gaps."""
     if is_numeric(df, name):
-        return F.col(name).cast("double")
+        number = F.col(name).cast("double")
+        return finite_or_null(number) if dict(df.dtypes)[name] in ("float", "double") else number
     if dict(df.dtypes)[name] == "string":
         return parse_numeric(name, scale_percent)
     return F.col(name).cast("string").try_cast("double")

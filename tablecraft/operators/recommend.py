@@ -1,13 +1,16 @@
-"""Chart recommendations: rules over a table's column facts (one small row per column)."""
+"""Chart recommendations: columns get roles, roles give picks, a table of rules turns picks into charts.
+
+All of it is expressions over one small row for each column and one row of picks.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecraft.operators.corpus import classify_domain
+from tablecraft.operators.lookup import beside
 from tablecraft.operators.profile import NUMERIC_TYPES, column_facts, position
 from tablecraft.operators.taxonomies import PRIMARY_DIMENSIONS, PRIMARY_METRICS
 from tablecraft.operators.typing_ops import dominant_type
@@ -18,14 +21,36 @@ NOT_YEAR_WORDS = ("resale", "price", "value", "rate", "cost")
 GALLERY_TIME = r"(?i)date|time|year|month|period|day|epoch|session|semester|survival"
 # ---------------------------------------------------------------------------------------------------
 
-CHART_SCHEMA = "rank int, id string, chart string, x string, y string, aggregation string, group_by string"
-
-
-def _is_temporal(name: str) -> bool:
-    low = name.lower()
-    if any(w in low for w in TIME_WORDS):
-        return True
-    return "year" in low and not any(w in low for w in NOT_YEAR_WORDS)
+# Rules: rank, id, chart, x, y, aggregation, group_by, condition. Names are picks, see ``recommend_charts``.
+STRATEGIC = (
+    (1, "rec_trend", "line", "x", "y", "if(lower(y) rlike 'price|rate', 'avg', 'sum')", "coalesce(grouping, '')", "x_role = 'time'"),
+    (1, "rec_bar", "bar", "x", "y", "if(lower(y) rlike 'rate', 'avg', 'sum')", "coalesce(grouping, '')", "x_role <> 'time'"),
+    (2, "rec_donut", "doughnut", "coalesce(grouping, other, x)", "y", "'sum'", "''", "true"),
+    (3, "rec_scatter", "scatter", "y", "second", "'none'", "coalesce(grouping, '')", "second is not null"),
+    (3, "rec_horiz", "horizontalBar", "x", "y", "'avg'", "''", "second is null"),
+)
+# Rules: order, chart, x, y, condition.
+SUGGESTED = (
+    (1, "line", "dated", "number", "dated is not null and number is not null"),
+    (2, "forecast", "dated", "number", "dated is not null and number is not null"),
+    (3, "bar", "word", "number", "word is not null and number is not null"),
+    (4, "pie", "word", "number", "word is not null"),
+    (5, "trend_scatter", "number", "number2", "number2 is not null"),
+    (6, "correlation_heatmap", "null", "null", "number2 is not null"),
+    (7, "histogram", "number", "null", "number is not null"),
+    (8, "box", "word", "number", "number is not null"),
+)
+GALLERY = (
+    (1, "forecast", "coalesce(moment, label)", "measure", "number is not null"),
+    (2, "bar", "label", "measure", "number is not null and free is not null"),
+    (3, "line", "coalesce(moment, label)", "measure", "true"),
+    (4, "area", "label", "measure", "number is not null"),
+    (5, "donut", "label", "measure", "free is not null"),
+    (6, "trend_scatter", "measure", "number2", "number2 is not null"),
+    (7, "boxplot", "label", "measure", "number is not null"),
+    (8, "heatmap", "null", "null", "number2 is not null"),
+    (9, "histogram", "measure", "null", "number is not null"),
+)
 
 
 def schema_domain(df: DataFrame, table_name: str = "") -> str:
@@ -35,103 +60,93 @@ def schema_domain(df: DataFrame, table_name: str = "") -> str:
     return classify_domain(one, "words", "id").first()["domain"]
 
 
-def _first_match(words: Sequence[str], columns: Sequence[str]) -> str | None:
-    for w in words:
-        hit = next((c for c in columns if w in c.lower()), None)
-        if hit:
-            return hit
-    return None
+def _place(words: Sequence[str], name: Column) -> Column:
+    """Place of the first of the words that the name holds; past the last where it holds none."""
+    hits = [F.when(name.contains(w), i) for i, w in enumerate(words)]
+    return F.coalesce(*hits, F.lit(len(words)))
+
+
+def _pick(condition: Column, *order: Column) -> Column:
+    """The column that meets the condition and is first in the order, then by position."""
+    return F.min_by("column", F.when(condition, F.struct(*[o.alias(f"o{i}") for i, o in enumerate((*order, F.col("position")))])))
+
+
+def _apply(picks: DataFrame, rules: Sequence[tuple], names: Sequence[str], literal: Sequence[int]) -> DataFrame:
+    """A row for each rule whose condition, its last entry, holds; the entries numbered in ``literal`` are plain values."""
+    rows = [
+        F.when(F.expr(rule[-1]), F.struct(*[
+            (F.lit(e) if i in literal else F.expr(e).cast("string")).alias(n) for i, (e, n) in enumerate(zip(rule, names))]))
+        for rule in rules
+    ]
+    return picks.select(F.inline(F.array_compact(F.array(*rows))))
 
 
 def recommend_charts(df: DataFrame, domain: str | None = None) -> DataFrame:
-    """Three chart setups from names, storage types and cardinalities."""
+    """Three chart setups from names, storage types and cardinalities.
+
+    Roles: time by name; category for text of at most 40 values and numbers of at most 8 that are no ids; measure for
+    other numbers. Without measures, columns whose cells all read as numbers are measures; without categories, all that
+    are no measures are. Picks: y, the measure the domain prefers; x, a time or the category the domain prefers;
+    grouping, another category of 2 to 8 values; other, the second category; second, another measure.
+    """
     domain = domain or schema_domain(df)
-    facts: list[Row] = sorted(column_facts(df).collect(), key=lambda f: f["position"])
-    temporal, categorical, numeric = [], [], []
-    levels = {f["column"]: f["distinct_count"] for f in facts}
-    for f in facts:
-        name = f["column"]
-        if _is_temporal(name):
-            temporal.append(name)
-        elif f["family"] == "number":
-            (categorical if levels[name] <= 8 and "id" not in name.lower() else numeric).append(name)
-        elif levels[name] <= 40:
-            categorical.append(name)
-    categorical = categorical or [c for c in df.columns if c not in numeric][:3]
-    y = _first_match(PRIMARY_METRICS.get(domain, ()), numeric) or (numeric[0] if numeric else None)
-    x = temporal[0] if temporal else _first_match(PRIMARY_DIMENSIONS.get(domain, ()), categorical)
-    x = x or (categorical[0] if categorical else df.columns[0])
-    group = next((c for c in categorical if c != x and 2 <= levels[c] <= 8), None)
-    named = (y or "").lower()
-    if x in temporal:
-        averaged = "price" in named or "rate" in named
-        rows = [(1, "rec_trend", "line", x, y, "avg" if averaged else "sum", group or "")]
-    else:
-        rows = [(1, "rec_bar", "bar", x, y, "avg" if "rate" in named else "sum", group or "")]
-    rows.append((2, "rec_donut", "doughnut", group or (categorical[1] if len(categorical) > 1 else x), y, "sum", ""))
-    second = next((c for c in numeric if c != y), None)
-    if second:
-        rows.append((3, "rec_scatter", "scatter", y, second, "none", group or ""))
-    else:
-        rows.append((3, "rec_horiz", "horizontalBar", x, y, "avg", ""))
-    return df.sparkSession.createDataFrame(rows, CHART_SCHEMA)
-
-
-def _families(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
-    kinds = dominant_type(df).orderBy(position(df.columns)).collect()
-    numbers = [k["column"] for k in kinds if k["dominant_type"] in NUMERIC_TYPES]
-    dates = [k["column"] for k in kinds if k["dominant_type"] == "date"]
-    return numbers, dates, [k["column"] for k in kinds if k["column"] not in numbers and k["column"] not in dates]
-
-
-def _ranked(df: DataFrame, charts: list[tuple]) -> DataFrame:
-    rows = [(i, *c) for i, c in enumerate(charts, start=1)]
-    return df.sparkSession.createDataFrame(rows, "rank int, chart string, x string, y string")
+    c, name = F.col, F.lower("column")
+    timed = name.rlike("|".join(TIME_WORDS)) | (name.contains("year") & ~name.rlike("|".join(NOT_YEAR_WORDS)))
+    few = (c("distinct_count") <= 8) & ~name.contains("id")
+    role = (
+        F.when(timed, "time").when(c("family") == "number", F.when(few, "category").otherwise("measure"))
+        .when(c("distinct_count") <= 40, "category").otherwise("none")
+    )
+    facts = column_facts(df, readable=True).withColumn("role", role)
+    facts = beside(facts, facts.agg(F.bool_or(c("role") == "measure").alias("measured"), F.bool_or(c("role") == "category").alias("sorted")))
+    facts = facts.withColumn("measure", (c("role") == "measure") | ~c("measured") & c("all_numbers"))
+    facts = facts.withColumn("category", F.when(c("sorted"), c("role") == "category").otherwise(~c("measure")))
+    dimension = _place(PRIMARY_DIMENSIONS.get(domain, ()), name)
+    axes = facts.agg(
+        _pick(c("measure"), _place(PRIMARY_METRICS.get(domain, ()), name)).alias("y"),
+        F.coalesce(_pick(c("role") == "time"), _pick(c("category"), dimension), _pick(F.lit(True))).alias("x"),
+        _pick(c("category")).alias("leading"))
+    ready = beside(facts, axes)
+    picks = ready.agg(
+        F.first("y").alias("y"), F.first("x").alias("x"), F.max_by("role", c("column") == c("x")).alias("x_role"),
+        _pick(c("category") & (c("column") != c("x")) & c("distinct_count").between(2, 8)).alias("grouping"),
+        _pick(c("category") & (c("column") != c("leading"))).alias("other"),
+        _pick(c("measure") & ~c("column").eqNullSafe(c("y"))).alias("second"))
+    return _apply(picks, STRATEGIC, ("rank", "id", "chart", "x", "y", "aggregation", "group_by"), (0, 1, 2))
+
+
+def _numbered(charts: DataFrame) -> DataFrame:
+    """Rank by the order of the rules; at most as many rows as rules."""
+    return charts.select(F.row_number().over(Window.orderBy("order")).alias("rank"), "chart", "x", "y")
+
+
+def _kinds(df: DataFrame) -> DataFrame:
+    kind = F.when(F.col("dominant_type").isin(*NUMERIC_TYPES), "number").when(F.col("dominant_type") == "date", "date").otherwise("word")
+    return dominant_type(df).select("column", position(df.columns).alias("position"), kind.alias("kind"))
+
+
+def _number_picks(kinds: DataFrame) -> DataFrame:
+    first = beside(kinds, kinds.agg(_pick(F.col("kind") == "number").alias("number")))
+    return first.agg(F.first("number").alias("number"), _pick((F.col("kind") == "number") & (F.col("column") != F.col("number"))).alias("number2"))
 
 
 def suggest_charts(df: DataFrame) -> DataFrame:
     """Charts that the available column families allow."""
-    numbers, dates, words = _families(df)
-    charts: list[tuple] = []
-    if dates and numbers:
-        charts += [("line", dates[0], numbers[0]), ("forecast", dates[0], numbers[0])]
-    if words and numbers:
-        charts.append(("bar", words[0], numbers[0]))
-    if words:
-        charts.append(("pie", words[0], numbers[0] if numbers else None))
-    if len(numbers) >= 2:
-        charts += [("trend_scatter", numbers[0], numbers[1]), ("correlation_heatmap", None, None)]
-    if numbers:
-        charts += [("histogram", numbers[0], None), ("box", words[0] if words else None, numbers[0])]
-    return _ranked(df, charts)
+    kinds = _kinds(df)
+    picks = beside(_number_picks(kinds), kinds.agg(
+        _pick(F.col("kind") == "date").alias("dated"), _pick(F.col("kind") == "word").alias("word")))
+    return _numbered(_apply(picks, SUGGESTED, ("order", "chart", "x", "y"), (0, 1)))
 
 
 def chart_gallery(df: DataFrame) -> DataFrame:
     """The full gallery with axes; the time axis also follows from the column name."""
-    numbers, dates, _ = _families(df)
-    when = dates[0] if dates else next((c for c in df.columns if re.search(GALLERY_TIME, c)), None)
-    words = [c for c in df.columns if c not in numbers and c != when]
-    first = numbers[0] if numbers else df.columns[min(1, len(df.columns) - 1)]
-    second = numbers[1] if len(numbers) > 1 else first
-    label = words[0] if words else df.columns[0]
-    charts: list[tuple] = []
-    if numbers:
-        charts.append(("forecast", when or label, first))
-    if words and numbers:
-        charts.append(("bar", label, first))
-    charts.append(("line", when or label, first))
-    if numbers:
-        charts.append(("area", label, first))
-    if words:
-        charts.append(("donut", label, first))
-    if len(numbers) >= 2:
-        charts.append(("trend_scatter", first, second))
-    if numbers:
-        charts.append(("boxplot", label, first))
-    if len(numbers) >= 2:
-        charts.append(("heatmap", None, None))
-    if numbers:
-        charts.append(("histogram", first, None))
-    return _ranked(df, charts)
-
-
+    kinds = _kinds(df)
+    c = F.col
+    moments = kinds.agg(F.coalesce(_pick(c("kind") == "date"), _pick(c("column").rlike(GALLERY_TIME))).alias("moment"))
+    rest = beside(kinds, moments).agg(
+        F.first("moment").alias("moment"),
+        _pick((c("kind") != "number") & ~c("column").eqNullSafe(c("moment"))).alias("free"))
+    columns = df.columns
+    picks = beside(_number_picks(kinds), rest).withColumns({
+        "measure": F.coalesce("number", F.lit(columns[min(1, len(columns) - 1)])), "label": F.coalesce("free", F.lit(columns[0]))})
+    return _numbered(_apply(picks, GALLERY, ("order", "chart", "x", "y"), (0, 1)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecraft.operators.lookup import HOT_SHARE, equi_join, fits_broadcast, salted_join
@@ -14,7 +14,7 @@ from tablecraft.operators.ordering import running_sum
 from tablecraft.operators.projection import as_number, numeric_columns, rows_of
 from tablecraft.session import materialize
 
-MAX_SQL_COLUMNS = 50
+AGGREGATE_COLUMNS = 6
 
 
 def varies(c: Column) -> Column:
@@ -43,11 +43,15 @@ def strength(r: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, min_n: int = 0) -> DataFrame:
-    """``a, b, n, r`` for every pair of numeric columns, one scan."""
+    """``a, b, n, r`` for every pair of numeric columns over the rows that have both, one scan.
+
+    Some columns make one aggregate; more make sums of products of whole column blocks in tasks, added up by pair.
+    Both are the same rule.
+    """
     names = list(columns or numeric_columns(df))
     data = df.select(*[as_number(df, c).alias(c) for c in names])
-    if len(names) > MAX_SQL_COLUMNS:
-        return _vector_pairs(data, names, "pearson")
+    if len(names) > AGGREGATE_COLUMNS:
+        return _product_pairs(data, names).filter(F.col("n") >= min_n)
     pairs = list(combinations(names, 2))
     wide = data.agg(*[
         F.struct(
@@ -74,16 +78,49 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, fill
     return out if fill is None else out.fillna(fill, subset=["value"])
 
 
-def _vector_pairs(data: DataFrame, names: Sequence[str], method: str) -> DataFrame:
-    clean = data.dropna()
-    vectors = VectorAssembler(inputCols=list(names), outputCol="_v").transform(clean)
-    matrix = Correlation.corr(vectors, "_v", method).first()[0].toArray()
-    n = clean.count()
-    rows = [
-        (names[i], names[j], n, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i, j in combinations(range(len(names)), 2)
-    ]
-    return data.sparkSession.createDataFrame(rows, "a string, b string, n bigint, r double")
+PAIR_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+PAIR_ENDS = ("lox", "loy", "hix", "hiy")
+
+
+def _product_pairs(data: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson r from masked products of the column matrix, centred at the middle of each column."""
+    ends = data.agg(*[((F.min(f"`{c}`") + F.max(f"`{c}`")) / 2).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    middle = np.array([x if x is not None else 0.0 for x in ends])
+    left, right = np.triu_indices(len(names), 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(names)
+        total = {k: np.zeros((width, width)) for k in ("n", "s", "ss", "p")}
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - middle
+            there = ~np.isnan(x)
+            mask, x = there.astype(float), np.where(there, x, 0.0)
+            for k, a, b in (("n", mask, mask), ("s", x, mask), ("ss", x * x, mask), ("p", x, x)):
+                total[k] += a.T @ b
+            # Extremes of all columns over the rows that have column j; columns without gaps share them.
+            for j in np.unique(there, axis=1, return_index=True)[1] if len(x) else ():
+                rows = x[there[:, j]]
+                if len(rows):
+                    alike = (there == there[:, j:j + 1]).all(axis=0)
+                    seen = there[there[:, j]]
+                    least = np.where(seen, rows, np.inf).min(axis=0)[:, None]
+                    most = np.where(seen, rows, -np.inf).max(axis=0)[:, None]
+                    low[:, alike] = np.minimum(low[:, alike], least)
+                    high[:, alike] = np.maximum(high[:, alike], most)
+        out = [total["n"], total["s"], total["s"].T, total["ss"], total["ss"].T, total["p"], low, low.T, high, high.T]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int32()), pa.array(right, pa.int32()), *(pa.array(m[left, right]) for m in out)], ["i", "j", *PAIR_SUMS, *PAIR_ENDS])
+
+    kinds = ", ".join(f"{c} double" for c in (*PAIR_SUMS, *PAIR_ENDS))
+    plain = data.toDF(*[f"c{i}" for i in range(len(names))])
+    found = plain.mapInArrow(sums, f"i int, j int, {kinds}").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in PAIR_SUMS], *[F.min(c).alias(c) for c in PAIR_ENDS[:2]], *[F.max(c).alias(c) for c in PAIR_ENDS[2:]])
+    c = F.col
+    spread = F.sqrt(c("sxx") - c("sx") * c("sx") / c("n")) * F.sqrt(c("syy") - c("sy") * c("sy") / c("n"))
+    r = F.when((c("lox") < c("hix")) & (c("loy") < c("hiy")), F.try_divide(c("sxy") - c("sx") * c("sy") / c("n"), spread))
+    named = F.array(*[F.lit(n) for n in names])
+    return found.select(F.get(named, c("i")).alias("a"), F.get(named, c("j")).alias("b"), c("n").cast("bigint").alias("n"), r.alias("r"))
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -154,11 +154,13 @@ def _(t):
 
 
 @query("ag13_waterfall", f"""
-WITH g AS (SELECT c_nationkey AS x, sum(c_acctbal) AS value FROM customer GROUP BY 1 ORDER BY 1 LIMIT 15),
-w AS (SELECT CAST(x AS VARCHAR) AS label, value, sum(value) OVER (ORDER BY x) AS run FROM g)
+WITH e AS (SELECT c_nationkey AS x, sum(c_acctbal) AS value FROM customer GROUP BY 1), g AS (SELECT * FROM e ORDER BY 1 LIMIT 15),
+w AS (SELECT CAST(x AS VARCHAR) AS label, value, sum(value) OVER (ORDER BY x) AS run FROM g),
+a AS (SELECT (SELECT sum(value) FROM g) AS shown, sum(value) AS value, count(*) AS keys FROM e)
 SELECT label, {r('value', 2)} AS value, {r('run - value', 2)} AS start, {r('run', 2)} AS "end",
   CASE WHEN value >= 0 THEN 'positive' ELSE 'negative' END AS type FROM w
-UNION ALL SELECT 'Net Total', {r('sum(value)', 2)}, 0.0, {r('sum(value)', 2)}, 'total' FROM g""")
+UNION ALL SELECT 'Remaining', {r('value - shown', 2)}, {r('shown', 2)}, {r('value', 2)}, CASE WHEN value >= shown THEN 'positive' ELSE 'negative' END FROM a WHERE keys > 15
+UNION ALL SELECT 'Net Total', {r('value', 2)}, 0.0, {r('value', 2)}, 'total' FROM a""")
 def _(t):
     return rounded(charts.waterfall(t("customer"), "c_nationkey", "c_acctbal"), 2)
 
@@ -215,6 +217,22 @@ def _(t):
     return rounded(charts.series_matrix(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice"), 2)
 
 
+@query("ag22_common_prefix", f"""
+SELECT substr(concat('Order Priority ', o_orderpriority), 1, 15) AS label, concat('Order Priority ', o_orderpriority) AS full_label, {r('sum(o_totalprice)', 2)} AS value
+FROM orders GROUP BY 1, 2 ORDER BY sum(o_totalprice) DESC, 2 LIMIT 12""")
+def _(t):
+    rows = t("orders").withColumn("name", F.concat(F.lit("Order Priority "), "o_orderpriority"))
+    return rounded(charts.label_totals(rows, "name", "o_totalprice"), 2)
+
+
+@query("ag20_fifty_series", f"""
+SELECT l_returnflag, {", ".join(f"coalesce({r(f'sum(l_extendedprice) FILTER (WHERE l_quantity = {q})', 2)}, 0.0) AS {chr(34)}{q}{chr(34)}" for q in range(1, 51))}
+FROM lineitem GROUP BY 1""")
+def _(t):
+    rows = t("lineitem").withColumn("quantity", F.col("l_quantity").cast("int"))
+    return rounded(charts.series_matrix(rows, "l_returnflag", "quantity", "l_extendedprice"), 2)
+
+
 @query("ag21_bubble_radius", f"""
 SELECT s_suppkey, {r('4 + (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) * 21')} AS radius FROM supplier""")
 def _(t):
@@ -222,13 +240,13 @@ def _(t):
 
 
 @query("ag22_label_totals", f"""
-SELECT substr(coalesce(active, 'Unknown'), 1, 2) AS label, {r(f"coalesce(sum({SCALED.format('balance_text')}), 0)", 2)} AS value
-FROM dirty_customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
+SELECT substr(coalesce(active, 'Unknown'), 1, 2) AS label, coalesce(active, 'Unknown') AS full_label, {r(f"coalesce(sum({SCALED.format('balance_text')}), 0)", 2)} AS value
+FROM dirty_customer GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 12""")
 def _(t):
     return rounded(charts.label_totals(t("dirty_customer"), "active", "balance_text", width=2), 2)
 
 
-@query("ag22_label_counts", "SELECT substr(coalesce(active, 'Other'), 1, 15) AS label, count(*) AS value FROM dirty_customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query("ag22_label_counts", "SELECT substr(coalesce(active, 'Other'), 1, 15) AS label, coalesce(active, 'Other') AS full_label, count(*) AS value FROM dirty_customer GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 8")
 def _(t):
     return charts.label_totals(t("dirty_customer"), "active", k=8, null_label="Other")
 

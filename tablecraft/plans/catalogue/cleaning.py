@@ -438,11 +438,17 @@ def _(t):
     return rounded(outliers.detect_outliers(t("dirty_orders"), ["amount"]))
 
 
-@query("ou01_outlier_rows", f"WITH {_IQR} SELECT 'amount' AS \"column\", order_id FROM x WHERE amount < lo OR amount > hi ORDER BY order_id LIMIT 50")
+@query("ou01_outlier_rows", f"WITH {_IQR} SELECT 'amount' AS \"column\", order_id FROM x WHERE amount < lo OR amount > hi")
 def _(t):
     return outliers.outlier_rows(t("dirty_orders"), "order_id", ["amount"])
 
 
+@query("ou03_planted_anomalies", "SELECT order_id, TRUE AS is_anomaly FROM dirty_orders WHERE order_id % 211 = 0 AND order_id % 9 <> 0 AND amount > 3000000")
+def _(t):
+    found = isolation.detect_anomalies(t("dirty_orders").select("order_id", "amount"), "order_id", ["amount"])
+    return found.filter("order_id % 211 = 0 AND order_id % 9 <> 0 AND amount > 3000000").select("order_id", "is_anomaly")
+
+
 @query("ou02_detect_zscore", f"WITH {_Z} {_DETECT}")
 def _(t):
     return rounded(outliers.detect_outliers(t("dirty_orders"), ["amount"], "zscore", 3.0))

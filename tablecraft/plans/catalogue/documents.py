@@ -32,7 +32,7 @@ def _(t):
                                  F.size(corpus.paragraphs("text")).alias("paragraphs"))
 
 
-@query("td02_headings", f"""SELECT doc_id, list_slice(list_filter({LINES}, lambda l: length(l) < 80 AND (regexp_matches(l, '{corpus.RX_HEADING}') OR (upper(l) = l AND lower(l) <> l))), 1, 15) AS headings FROM documents""")
+@query("td02_headings", f"""SELECT doc_id, list_filter({LINES}, lambda l: length(l) < 80 AND (regexp_matches(l, '{corpus.RX_HEADING}') OR (upper(l) = l AND lower(l) <> l))) AS headings FROM documents""")
 def _(t):
     return t.wide("documents").select("doc_id", corpus.headings("text").alias("headings"))
 
@@ -41,14 +41,14 @@ def _(t):
 u AS (SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM f),
 g AS (SELECT doc_id, v, min(i) AS i FROM u GROUP BY 1, 2),
 h AS (SELECT doc_id, list(v ORDER BY i) AS a FROM g GROUP BY 1)
-SELECT d.doc_id, coalesce(list_slice(a, 1, 20), CAST([] AS VARCHAR[])) AS figures FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
+SELECT d.doc_id, coalesce(a, CAST([] AS VARCHAR[])) AS figures FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
 def _(t):
     return t.wide("documents").select("doc_id", corpus.figures("text").alias("figures"))
 
 
 @query("td04_definitions", f"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '{corpus.RX_DEFINITION}', 1) AS a, regexp_extract_all(text, '{corpus.RX_DEFINITION}', 2) AS b FROM documents),
 u AS (SELECT doc_id, unnest(a) AS term, unnest(b) AS definition, generate_subscripts(a, 1) AS i FROM x)
-SELECT doc_id, CAST(i - 1 AS INT) AS place, {strip_sql('term')} AS term, {strip_sql('definition')} AS definition FROM u WHERE i <= 8""")
+SELECT doc_id, CAST(i - 1 AS INT) AS place, {strip_sql('term')} AS term, {strip_sql('definition')} AS definition FROM u""")
 def _(t):
     found = t.wide("documents").select("doc_id", F.posexplode(corpus.definitions("text")).alias("place", "d"))
     return found.select("doc_id", "place", "d.term", "d.definition")
@@ -142,9 +142,9 @@ def _(t):
 
 @query("td00_document_profile", f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS INT) AS words,
   CAST(length(text) AS INT) AS characters, CAST(len({PARAGRAPHS}) AS INT) AS paragraphs, {LINES}[1] AS title, substr(array_to_string(list_slice({PARAGRAPHS}, 1, 4), ' '), 1, 800) AS summary,
-  CAST(least(15, len(list_filter({LINES}, lambda l: length(l) < 80 AND (regexp_matches(l, '{corpus.RX_HEADING}') OR (upper(l) = l AND lower(l) <> l))))) AS INT) AS headings,
-  CAST(least(20, len(list_distinct(regexp_extract_all(text, '{corpus.RX_FIGURE}', 1)))) AS INT) AS figures,
-  CAST(least(8, len(regexp_extract_all(text, '{corpus.RX_DEFINITION}', 1))) AS INT) AS definitions FROM documents""")
+  CAST(len(list_filter({LINES}, lambda l: length(l) < 80 AND (regexp_matches(l, '{corpus.RX_HEADING}') OR (upper(l) = l AND lower(l) <> l)))) AS INT) AS headings,
+  CAST(len(list_distinct(regexp_extract_all(text, '{corpus.RX_FIGURE}', 1))) AS INT) AS figures,
+  CAST(len(regexp_extract_all(text, '{corpus.RX_DEFINITION}', 1)) AS INT) AS definitions FROM documents""")
 def _(t):
     out = corpus.document_profile(t.wide("documents"), "text", ["doc_id"])
     return out.select("doc_id", "words", "characters", "paragraphs", "title", "summary", F.size("headings").alias("headings"),

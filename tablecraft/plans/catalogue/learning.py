@@ -152,7 +152,7 @@ def _(t):
 @query("ml10_approximate_neighbours")
 def _(t):
     rows = t("embeddings")
-    found = neighbours.approximate_neighbours(rows, rows, "embedding", "vec_id", 1.0)
+    found = neighbours.approximate_neighbours(rows, rows, "embedding", "vec_id", 1.3, exclude_self=True)
     return found.groupBy("vec_id").agg(F.count(F.lit(1)).alias("near"))
 
 
@@ -226,6 +226,23 @@ def _(t):
     return t.spark.createDataFrame([(round(learning.training_auc(run), 6),)], "auc double")
 
 
+@query("ml14_auc_exact", f"""WITH s AS (SELECT l_extendedprice AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS p, count(*) FILTER (WHERE l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1),
+k AS (SELECT p, n, sum(n) OVER (ORDER BY s) - n / 2.0 AS below FROM s)
+SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, {r('sum(p * below) / (sum(p) * 1.0 * sum(n))', 9)} AS auc FROM k""")
+def _(t):
+    rows = t("lineitem").select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("is"))
+    return rounded(metrics.rank_auc(rows, "score", "is"), 9)
+
+
+@query("ml17_importance_one_hot", "SELECT 2 AS features, TRUE AS whole, 'l_returnflag' AS first")
+def _(t):
+    rows = t("lineitem").withColumn("target", F.when(F.col("l_returnflag") == "A", 100.0).when(F.col("l_returnflag") == "N", 50.0).otherwise(0.0))
+    run = learning.train(rows, "target", ["l_quantity", "l_returnflag"], ITEM_KEYS, "regression", ["Linear Regression"], one_hot=True)
+    found = learning.feature_importance(run)
+    return found.agg(F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("share_pct") - 100) < 1e-6).alias("whole"),
+                     F.max_by("feature", "importance").alias("first"))
+
+
 @query("ml15_confusion_matrix", f"""WITH {_GUESS} SELECT y AS label, {", ".join(f"count(*) FILTER (WHERE p = '{c}') AS \"{c}\"" for c in "FOP")} FROM g GROUP BY 1""")
 def _(t):
     return metrics.confusion_matrix(guesses(t), ["F", "O", "P"])

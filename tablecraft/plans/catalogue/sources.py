@@ -10,6 +10,21 @@ from tablecraft.plans.catalogue.tables import MISSING, TRIM
 from tablecraft.sources import files, web
 
 
+@query("io01_read_csv_multiline", "SELECT doc_id, text FROM documents")
+def _(t):
+    """Texts with line breaks, quotes and outer blanks through a file and back; nothing is said about line breaks."""
+    path = t.scratch()
+    files.write_csv(t("documents").select("doc_id", "text"), path)
+    return files.read_csv(t.spark, path, schema="doc_id long, text string")
+
+
+@query("io02_read_delimited_multiline", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, regexp_replace(concat('a', chr(10), text), '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
+def _(t):
+    path = t.scratch()
+    files.write_csv(t("conversations").select("conv_id", "turn", F.trim(F.concat(F.lit("a\n"), "text")).alias("text")), path)
+    return files.read_delimited(t.spark, path)
+
+
 @query("io01_read_csv", "SELECT * FROM customer")
 def _(t):
     path = t.scratch()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecraft.functions import cells
-from tablecraft.operators import dedup, filters, joining, projection
+from tablecraft.operators import dedup, filters, joining, ordering, projection
 from tablecraft.plans import flagship, recipe
 from tablecraft.plans.catalogue.registry import query, r, rounded
 
@@ -217,13 +217,16 @@ def _(t):
 
 # Joins ---------------------------------------------------------------------------------------------
 
-_SIDES = """a AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS nk, c_acctbal AS bal FROM customer WHERE c_nationkey < 20),
-b AS (SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_nationkey END AS nk, s_acctbal AS bal FROM supplier WHERE s_acctbal > 6000)"""
+_SIDES = """a AS (SELECT c_custkey, c_name, CASE c_nationkey WHEN 3 THEN NULL WHEN 4 THEN 104 ELSE c_nationkey END AS nk, c_acctbal AS bal FROM customer),
+b AS (SELECT s_suppkey, CASE s_nationkey WHEN 3 THEN NULL WHEN 5 THEN 205 ELSE s_nationkey END AS nk, s_acctbal AS bal FROM supplier)"""
 
 
 def _sides(t):
-    a = t("customer").filter("c_nationkey < 20").select("c_custkey", "c_name", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("nk"), F.col("c_acctbal").alias("bal"))
-    b = t("supplier").filter("s_acctbal > 6000").select("s_suppkey", F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("nk"), F.col("s_acctbal").alias("bal"))
+    def key(c, lone, name):  # one key is null on both sides, one of each side has no partner
+        return F.when(F.col(c) == lone, name).when(F.col(c) != 3, F.col(c)).alias("nk")
+
+    a = t("customer").select("c_custkey", "c_name", key("c_nationkey", 4, 104), F.col("c_acctbal").alias("bal"))
+    b = t("supplier").select("s_suppkey", key("s_nationkey", 5, 205), F.col("s_acctbal").alias("bal"))
     return a, b
 
 
@@ -246,14 +249,19 @@ def _(t):
 
 # Sorting -------------------------------------------------------------------------------------------
 
-@query("so01_sort_rows", f"SELECT cust_id, balance_text FROM dirty_customer ORDER BY ({SCALED.format('balance_text')}) ASC NULLS LAST, lower(balance_text) NULLS LAST, cust_id LIMIT 300")
+def _placed(rows):
+    """The rows with their place in the order they come in."""
+    return ordering.row_index(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"], name="place").drop("_at")
+
+
+@query("so01_sort_rows", f"SELECT cust_id, balance_text, row_number() OVER (ORDER BY ({SCALED.format('balance_text')}) ASC NULLS LAST, lower(balance_text) NULLS LAST, cust_id) - 1 AS place FROM dirty_customer")
 def _(t):
-    return filters.sort_rows(t("dirty_customer").select("cust_id", "balance_text"), "balance_text", True, ["cust_id"]).limit(300)
+    return _placed(filters.sort_rows(t("dirty_customer").select("cust_id", "balance_text"), "balance_text", True, ["cust_id"]))
 
 
-@query("so02_nulls_last", "SELECT order_id, amount FROM dirty_orders ORDER BY amount DESC NULLS LAST, order_id LIMIT 200")
+@query("so02_nulls_last", "SELECT order_id, amount, row_number() OVER (ORDER BY amount DESC NULLS LAST, order_id) - 1 AS place FROM dirty_orders")
 def _(t):
-    return filters.sort_nulls_last(t("dirty_orders").select("order_id", "amount"), "amount", False, ["order_id"]).limit(200)
+    return _placed(filters.sort_nulls_last(t("dirty_orders").select("order_id", "amount"), "amount", False, ["order_id"]))
 
 
 @query("so03_top_k", f"SELECT l_partkey, {r('sum(l_extendedprice)', 2)} AS total FROM lineitem GROUP BY l_partkey ORDER BY sum(l_extendedprice) DESC, l_partkey LIMIT 30")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import csv
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tablecraft.functions.cells import blank_missing, text
 from tablecraft.operators.profile import version_diff
@@ -27,19 +30,45 @@ def sniff_delimiter(lines: Sequence[str]) -> str | None:
     return best
 
 
+def _file_kinds(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
+    """Files by (not UTF-8, with quoted line breaks), from one scan; one small row for each file comes to the driver.
+
+    A line with an odd number of quotes begins or ends a cell that goes on over the line's end.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("latin"), (quotes % 2 == 1).alias("broken"))
+    found = lines.groupBy("file").agg(F.bool_or("latin").alias("latin"), F.bool_or("broken").alias("broken")).collect()
+    out: dict[tuple[bool, bool], list[str]] = {}
+    for r in found:
+        out.setdefault((r["latin"], r["broken"]), []).append(unquote(r["file"]))
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, infer: bool = True, sep: str = ",",
-             schema=None, encoding: str | None = None) -> DataFrame:
-    """CSV with a header; a file holding bytes that are not UTF-8 anywhere is read as Latin-1.
+             schema=None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """CSV with a header. Each file is judged by itself: one with bytes that are not UTF-8 is read as Latin-1, one with
+    quoted cells that hold line breaks is read whole by one task instead of being split.
 
-    Naming the ``encoding`` and the ``schema`` saves the two extra reads that finding them takes.
+    Naming ``encoding``, ``multi_line`` and ``schema`` saves the two extra reads that finding them takes. White space
+    around cells is kept.
     """
-    if encoding is None:
-        broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-        encoding = "ISO-8859-1" if broken else "UTF-8"
-    options = dict(header=header, sep=sep, encoding=encoding, escape='"')
-    if schema is not None:
-        return spark.read.csv(path, schema=schema, **options)
-    return _named(spark.read.csv(path, inferSchema=infer, **options))
+    options = dict(header=header, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    if encoding is not None and multi_line is not None:
+        ways = [(path, encoding, multi_line)]
+    else:
+        kinds = _file_kinds(spark, path)
+        ways = [
+            (path if len(kinds) == 1 else names, encoding or ("ISO-8859-1" if latin else "UTF-8"), broken if multi_line is None else multi_line)
+            for (latin, broken), names in sorted(kinds.items())] or [(path, encoding or "UTF-8", bool(multi_line))]
+    read = lambda way, kind: spark.read.csv(way[0], schema=kind, encoding=way[1], multiLine=way[2], **options)
+    if schema is None and len(ways) == 1:
+        return _named(spark.read.csv(ways[0][0], inferSchema=infer, encoding=ways[0][1], multiLine=ways[0][2], **options))
+    if schema is None:  # the narrowest types that hold the cells of all parts
+        kinds = [spark.read.csv(w[0], inferSchema=infer, encoding=w[1], multiLine=w[2], **options).schema for w in ways]
+        schema = StructType([
+            f if all(k[f.name].dataType == f.dataType for k in kinds) else StructField(f.name, StringType()) for f in kinds[0]])
+        return _named(reduce(DataFrame.unionByName, [read(w, schema) for w in ways]))
+    return reduce(DataFrame.unionByName, [read(w, schema) for w in ways])
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -50,11 +79,15 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All-text landing table: sniffed delimiter, quoted fields, null tokens, blank lines skipped."""
+    """All-text landing table: sniffed delimiter, quoted fields, null tokens, blank lines skipped.
+
+    Files in which a quoted cell goes on over a line's end are read whole, each by one task; finding them is one scan.
+    """
     lines = [r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(5).collect()]
     sep = sniff_delimiter(lines) or ","
+    broken = any(b for _, b in _file_kinds(spark, path))
     raw = _named(spark.read.csv(path, header=True, sep=sep, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=True,
-                                ignoreTrailingWhiteSpace=True))
+                                ignoreTrailingWhiteSpace=True, multiLine=broken))
     return raw.select(*[blank_missing(c).alias(c) for c in raw.columns]).dropna("all")
 
 
@@ -93,7 +126,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, crlf: bool = False) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', lineSep="\r\n" if crlf else "\n")
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', lineSep="\r\n" if crlf else "\n",
+                                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -7,7 +7,10 @@ batches of pages; embedded JSON and preformatted text stay in built-in expressio
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -41,139 +44,167 @@ CELL_SCHEMA = (
 )
 
 
-def _role(n: Node) -> str:
-    return n.attrs.get("role", "")
-
-
-def _is_layout(n: Node) -> bool:
-    if _role(n) in LAYOUT_ROLES:
-        return True
-    return n.closest(lambda x: x.tag in LAYOUT_TAGS or LAYOUT_CLASSES & set(x.classes)
-                     or x.attrs.get("id") == "sidebar") is not None
-
-
-def _title(n: Node, index: int) -> str:
-    for caption in n.tagged("caption"):
-        if caption.text():
-            return caption.text()
-    for name in ("aria-label", "title"):
-        if n.attrs.get(name):
-            return n.attrs[name].strip()
-    own_id = n.attrs.get("id", "")
-    if own_id and not own_id.startswith("table_"):
-        return re.sub(r"\b\w", lambda m: m.group().upper(), re.sub("[-_]", " ", own_id))
-    card = n.closest(lambda x: x.tag == "section" or bool(CARD_CLASSES & set(x.classes)))
+class Group(NamedTuple):
+    """Rows that belong together: their kind, the element that holds them, the cells that name the columns, if any are marked."""
+
+    kind: str
+    box: Node
+    rows: list[Node]
+    names: list[Node]
+    place: int = 0
+
+
+def _headings(root: Node) -> dict[Node, str]:
+    """For each element that has one: the first heading of the nearest earlier sibling that holds a heading with text."""
+    first: dict[Node, str] = {}
+    for node in reversed(list(root.walk())):  # children come before their parents
+        own = node.text() if node.tag in HEADING_TAGS else ""
+        inner = next((first[k] for k in node.children if k in first), "")
+        if own or inner:
+            first[node] = own or inner
+    before: dict[Node, str] = {}
+    for node in (root, *root.walk()):
+        last = ""
+        for kid in node.children:
+            if last:
+                before[kid] = last
+            last = first.get(kid, last)
+    return before
+
+
+def _titles(group: Group, before: dict[Node, str]) -> Iterator[str]:
+    """Possible titles, the best first; empty ones are passed over by the caller."""
+    box = group.box
+    yield from (c.text() for c in box.tagged("caption"))
+    yield from (box.attrs.get(name, "").strip() for name in ("aria-label", "title"))
+    own = box.attrs.get("id", "")
+    if not own.startswith("table_"):
+        yield re.sub(r"\b\w", lambda m: m.group().upper(), re.sub("[-_]", " ", own))
+    line = [box, *box.ancestors()]
+    card = next((n for n in line if n.tag == "section" or not CARD_CLASSES.isdisjoint(n.classes)), None)
     if card is not None:
-        heads = card.all(lambda x: x.tag in (*HEADING_TAGS, "strong") or bool(CARD_TITLE_CLASSES & set(x.classes)))
-        if heads and heads[0].text():
-            return heads[0].text()[:40]
-    node = n
-    while node.parent is not None and node.tag != "body":
-        siblings = node.parent.children
-        for previous in reversed(siblings[: siblings.index(node)]):
-            heads = [previous] if previous.tag in HEADING_TAGS else previous.tagged(*HEADING_TAGS)
-            if heads and heads[0].text():
-                return f"{heads[0].text()} (Table #{index + 1})"
-        node = node.parent
-    return f"Dataset Table #{index + 1}"
-
-
-def _value(cell: Node | None, first_line: bool) -> str | None:
-    value = cell.text() if cell is not None else ""
-    if first_line:
-        value = value.split("\n")[0].strip()
-    return None if value.lower() in CELL_NULLS else value
-
-
-def _rows_out(kind: str, title: str, headers: list[str], rows: list[list[Node]], first_line: bool):
-    """Cells of one table, or nothing when no row holds data."""
-    out, kept = [], 0
-    for r, cells in enumerate(rows):
-        values = [_value(cells[i] if i < len(cells) else None, first_line) for i in range(len(headers))]
-        has_data = any(v is not None for v in values)
-        kept += has_data
-        out += [(r, i, h, v, has_data) for i, (h, v) in enumerate(zip(headers, values))]
-    return (kind, title, out, kept, len(headers)) if kept else None
-
-
-def _html_table(table: Node, index: int):
-    if _is_layout(table):
-        return None
+        heads = (n for n in card.walk() if n.tag in (*HEADING_TAGS, "strong") or not CARD_TITLE_CLASSES.isdisjoint(n.classes))
+        yield next((n.text() for n in heads), "")[:40]
+    for node in line:
+        if node.tag == "body":
+            break
+        if node in before:
+            yield f"{before[node]} (Table #{group.place + 1})"
+    yield f"Dataset Table #{group.place + 1}"
+
+
+def _table_group(table: Node, place: int) -> Group:
+    """Rows of a table without its header row: the first row of a head section, or the first row of all."""
+    section = {}
+    for part in table.tagged("thead", "tbody"):
+        section |= {row: part.tag for row in part.tagged("tr")}
     rows = table.tagged("tr")
-    if not rows:
-        return None
-    heads = [r for t in table.tagged("thead") for r in t.tagged("tr")]
-    header = heads[0] if heads else rows[0]
-    names = [c.text() or f"Column_{i}" for i, c in enumerate(header.tagged("th", "td"), start=1)]
-    bodies = table.tagged("tbody")
-    if bodies:
-        body = [r for b in bodies for r in b.tagged("tr")]
-        if not heads and body and body[0] is header:
-            body = body[1:]
-    else:
-        body = rows[1:]
-    filled = [cells for cells in (r.tagged("td", "th") for r in body) if cells]
-    return _rows_out("html_table", _title(table, index), names, filled, False) if names else None
-
-
-def _row_cells(row: Node) -> list[Node]:
-    cells = row.all(lambda n: _role(n) in ("columnheader", "gridcell", "cell") or n.tag in ("th", "td"))
-    return cells if len(cells) >= 2 else [c for c in row.children if c.tag not in ("script", "style", "noscript")]
-
-
-def _is_header_cell(n: Node) -> bool:
-    return _role(n) == "columnheader" or n.tag == "th"
-
-
-def _cluster(kind: str, rows: list[Node], container: Node):
-    """Rows under one container as a table; header cells name the columns, else the first row does."""
-    def first_line(cells):
-        return [c.text().split("\n")[0].strip() or f"Col_{i}" for i, c in enumerate(cells, start=1)]
-
-    headers = first_line(container.all(_is_header_cell))
-    data = [cells for cells in map(_row_cells, rows) if cells]
-    if len(headers) >= 2:
-        data = [cells for cells in data if not all(map(_is_header_cell, cells))]
-    elif data:
-        headers, data = first_line(data[0]), data[1:]
-    return _rows_out(kind, _title(container, 0), headers, data, True) if len(headers) >= 2 else None
-
-
-def _aria_grids(root: Node):
-    groups: dict[int, tuple[Node, list[Node]]] = {}
-    for row in root.all(lambda n: _role(n) == "row"):
-        box = next((a for a in row.ancestors() if _role(a) in ("grid", "table", "rowgroup")), row.parent)
-        groups.setdefault(id(box), (box, []))[1].append(row)
-    return [_cluster("aria_grid", rows, box) for box, rows in groups.values() if len(rows) >= 2]
-
-
-def _div_grids(root: Node):
-    found, seen = [], set()
-    boxes = root.all(lambda n: n.tag != "table" and (
-        GRID_CLASS.search(n.attrs.get("class", "")) or GRID_TESTID.search(n.attrs.get("data-testid", ""))) is not None)
-    for box in boxes:
-        if _is_layout(box):
-            continue
-        kids = box.children
-        if len(kids) == 1 and len(kids[0].children) >= 2:
-            kids = kids[0].children
-        rows = [k for k in kids if k.tag not in ("script", "style") and len(k.children) >= 2]
-        widths = [len(r.children) for r in rows]
-        if len(rows) < 2:
-            continue
-        usual = max(dict.fromkeys(widths), key=widths.count)
-        near = [r for r, w in zip(rows, widths) if abs(w - usual) <= 1]
-        table = _cluster("div_grid", near, box) if len(near) >= 2 else None
-        if table and (table[1], table[3]) not in seen:
-            seen.add((table[1], table[3]))
-            found.append(table)
-    return found
+    header = next((r for r in rows if section.get(r) == "thead"), rows[0])
+    body = [r for r in rows if section.get(r) == "tbody"] or rows
+    return Group("html_table", table, [r for r in body if r is not header], header.tagged("th", "td"), place)
+
+
+def _alike(box: Node) -> list[Node]:
+    """Children of a box, or of its only child, that look like rows: two or more cells, about as many as most."""
+    kids = box.children
+    if len(kids) == 1 and len(kids[0].children) >= 2:
+        kids = kids[0].children
+    widths = Counter({k: len(k.children) for k in kids if k.tag not in ("script", "style") and len(k.children) >= 2})
+    if not widths:
+        return []
+    usual = Counter(widths.values()).most_common(1)[0][0]
+    return [k for k in kids if k in widths and abs(widths[k] - usual) <= 1]
+
+
+def _groups(root: Node) -> list[Group]:
+    """One walk over the page; what holds for all elements below another is handed down with them."""
+    tables, grids, rows_of_box = [], [], {}
+    places = count()
+    open_ = [(root, False, None)]
+    while open_:
+        node, layout, box = open_.pop()
+        role = node.attrs.get("role", "")
+        layout = layout or node.tag in LAYOUT_TAGS or not LAYOUT_CLASSES.isdisjoint(node.classes) or node.attrs.get("id") == "sidebar"
+        usable = not layout and role not in LAYOUT_ROLES
+        if node.tag == "table":
+            place = next(places)
+            if usable and node.tagged("tr"):
+                tables.append(_table_group(node, place))
+        elif usable and (GRID_CLASS.search(node.attrs.get("class", "")) or GRID_TESTID.search(node.attrs.get("data-testid", ""))):
+            grids.append(Group("div_grid", node, _alike(node), node.all(_names_column)))
+        if role == "row":
+            rows_of_box.setdefault(box or node.parent, []).append(node)
+        below = node if role in ("grid", "table", "rowgroup") else box
+        open_ += [(kid, layout, below) for kid in reversed(node.children)]
+    aria = [Group("aria_grid", box, rows, box.all(_names_column)) for box, rows in rows_of_box.items()]
+    return tables + [g for g in aria + grids if len(g.rows) >= 2]
+
+
+def _names_column(n: Node) -> bool:
+    return n.tag == "th" or n.attrs.get("role") == "columnheader"
+
+
+def _cells_of(kind: str, row: Node) -> list[Node]:
+    if kind == "html_table":
+        return row.tagged("td", "th")
+    marked = row.all(lambda n: n.tag in ("td", "th") or n.attrs.get("role") in ("columnheader", "gridcell", "cell"))
+    return marked if len(marked) >= 2 else [k for k in row.children if k.tag not in ("script", "style", "noscript")]
+
+
+def _read(group: Group):
+    """(names, rows of values) of a group. Grids name their columns by marked cells, of which rows are no data, or by their first row;
+    only the first line of a grid's cell counts. Missing tokens and missing cells are null."""
+    table = group.kind == "html_table"
+    show = (lambda n: n.text()) if table else (lambda n: n.text().split("\n")[0].strip())
+    rows = [cells for cells in (_cells_of(group.kind, r) for r in group.rows) if cells]
+    names = group.names
+    if not table and len(names) >= 2:
+        rows = [cells for cells in rows if not all(map(_names_column, cells))]
+    elif not table and rows:
+        names, *rows = rows
+    blank = "Column_" if table else "Col_"
+    labels = [show(n) or f"{blank}{i}" for i, n in enumerate(names, start=1)]
+    shown = [[show(c) for c in cells[:len(labels)]] for cells in rows]
+    values = [[None if v.lower() in CELL_NULLS else v for v in line] + [None] * (len(labels) - len(line)) for line in shown]
+    return labels, values if len(labels) >= (1 if table else 2) else []
 
 
 def _page_tables(html: str):
+    """(kind, title, cells, rows with data, columns) of every table that has data; div grids equal in title and size count once."""
     root = parse(html)
-    tables = [_html_table(t, i) for i, t in enumerate(root.tagged("table"))]
-    return [t for t in [*tables, *_aria_grids(root), *_div_grids(root)] if t]
+    before = _headings(root)
+    out, seen = [], set()
+    for group in _groups(root):
+        names, rows = _read(group)
+        full = [any(v is not None for v in line) for line in rows]
+        if not any(full):
+            continue
+        title = next(filter(None, _titles(group, before)))
+        if group.kind == "div_grid" and ((title, sum(full)) in seen or seen.add((title, sum(full)))):
+            continue
+        cells = [(i, j, n, v, full[i]) for i, line in enumerate(rows) for j, (n, v) in enumerate(zip(names, line))]
+        out.append((group.kind, title, cells, sum(full), len(names)))
+    return out
+
+
+def _numbered_tables(html: str):
+    """The tables of a page with their number among those of their kind."""
+    places: dict[str, count] = {}
+    return [(kind, next(places.setdefault(kind, count())), *rest) for kind, *rest in _page_tables(html)]
+
+
+def element_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``page_id, kind, table_idx, title, rows, cols`` of HTML tables, ARIA grids and div grids, one row for each."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (page, kind, i, title, n, width) for page, html in zip(batch["page_id"], batch["html"])
+                for kind, i, title, _, n, width in _numbered_tables(html)]
+            yield pd.DataFrame(rows, columns=["page_id", "kind", "table_idx", "title", "rows", "cols"])
+
+    source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), text(html_col).alias("html"))
+    return source.mapInPandas(scan, "page_id bigint, kind string, table_idx int, title string, rows bigint, cols bigint")
 
 
 def element_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -184,10 +215,8 @@ def element_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         rows: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch["page_id"], batch["html"]):
-                seen: dict[str, int] = {}
-                for kind, title, cells, _, _ in _page_tables(html):
-                    seen[kind] = seen.get(kind, -1) + 1
-                    rows += [(page, kind, seen[kind], title, *cell) for cell in cells]
+                for kind, i, title, cells, _, _ in _numbered_tables(html):
+                    rows += [(page, kind, i, title, *cell) for cell in cells]
                 if len(rows) > OUTPUT_ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -301,7 +330,7 @@ def pre_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 def scan_pages(pages: DataFrame) -> DataFrame:
     """Every table of every page with its size; a grid of the same shape as an earlier find is dropped."""
-    elements = table_summary(element_cells(pages)).select("page_id", "kind", "table_idx", "title", "rows", "cols")
+    elements = element_tables(pages)
 
     def shaped(cells, kind, name):
         filled = cells.groupBy("page_id", "table_idx", "row_idx").agg(
