@@ -22,7 +22,7 @@ from tablecraft.llm.registry import query, stored, table
 LENGTH, WINDOW, GRAM = 400, 300, 32
 PREFIX = LENGTH - WINDOW + 1
 # Contexts of one task in the exact comparison; a class of more than HOT contexts is compared window by window in joins.
-GROUP_ROWS, HOT = 4096, 50_000
+GROUP_ROWS, HOT, STEP = 4096, 100_000, 25
 BATCHES = 3
 
 
@@ -203,16 +203,17 @@ CONTEXT = ["key", "d1", "d2", "pos", "left", "bytes"]
 CONTEXT_DDL = "key long, d1 long, d2 long, pos long, left int, bytes binary"
 
 
-def _windows(key: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bytes before the position, and digest of every window of LENGTH bytes over the position of each context."""
+def _windows(hashes: RangeHash, key: np.ndarray, left: np.ndarray, contexts: list[bytes], low: int = 0,
+             high: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bytes before the position (from ``low``, below ``high``), and digest of every window of LENGTH bytes over the
+    position of each context; ``hashes`` are of all contexts joined."""
     size = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(size) - size
-    latest = np.minimum(left, WINDOW - 1)
-    first = np.maximum(0, left + LENGTH - size)
+    latest = np.minimum(left, high - 1)
+    first = np.maximum(low, left + LENGTH - size)
     count = np.maximum(0, latest - first + 1)
     row = np.repeat(np.arange(len(size)), count)
     ahead = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    hashes = RangeHash(np.frombuffer(b"".join(contexts), np.uint8))
     start = begin[row] + left[row] - ahead
     place = salts(WINDOW, 505)
     return row, ahead, mix(hashes(start, start + LENGTH) + key.astype(np.int64).view(U64)[row] * place[ahead])
@@ -220,28 +221,30 @@ def _windows(key: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> tuple[
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     """Spans of the contexts of some classes: those windows that another context of the class has at the same place."""
-    left = frame["left"].to_numpy().astype(np.int64)
-    row, ahead, digest = _windows(frame["key"].to_numpy(), left, frame["bytes"].tolist())
-    ordered = np.sort(digest)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if len(twice):
-        hit = twice[np.minimum(np.searchsorted(twice, digest), len(twice) - 1)] == digest
-        row, ahead = row[hit], ahead[hit]
-    else:
-        row, ahead = row[:0], ahead[:0]
-    met, at = np.unique(row, return_index=True)
-    most = np.maximum.reduceat(ahead, at) if len(met) else ahead
-    least = np.minimum.reduceat(ahead, at) if len(met) else ahead
+    key, left, contexts = frame["key"].to_numpy(), frame["left"].to_numpy().astype(np.int64), frame["bytes"].tolist()
+    most, least = np.full(len(frame), -1), np.full(len(frame), WINDOW)
+    hashes = RangeHash(np.frombuffer(b"".join(contexts), np.uint8))
+    for first in range(0, WINDOW, STEP):  # windows at different places never meet, so memory holds some places at a time
+        row, ahead, digest = _windows(hashes, key, left, contexts, first, first + STEP)
+        ordered = np.sort(digest)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice):
+            hit = twice[np.minimum(np.searchsorted(twice, digest), len(twice) - 1)] == digest
+            np.maximum.at(most, row[hit], ahead[hit])
+            np.minimum.at(least, row[hit], ahead[hit])
+    met = np.flatnonzero(most >= 0)
     chosen = frame.iloc[met]
     pos = chosen["pos"].to_numpy()
-    return pd.DataFrame({"d1": chosen["d1"], "d2": chosen["d2"], "start": pos - most, "end": pos - least + LENGTH})
+    return pd.DataFrame({"d1": chosen["d1"], "d2": chosen["d2"], "start": pos - most[met], "end": pos - least[met] + LENGTH})
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
             part = batch.slice(first, 512)
-            row, ahead, digest = _windows(np.asarray(part.column(0)), np.asarray(part.column(4)).astype(np.int64), part.column(5).to_pylist())
+            contexts = part.column(5).to_pylist()
+            hashes = RangeHash(np.frombuffer(b"".join(contexts), np.uint8))
+            row, ahead, digest = _windows(hashes, np.asarray(part.column(0)), np.asarray(part.column(4)).astype(np.int64), contexts)
             taken = [part.column(i).take(pa.array(row)) for i in (0, 1, 2, 3)]
             yield pa.RecordBatch.from_arrays([*taken, pa.array(ahead), pa.array(signed(digest))], ["key", "d1", "d2", "pos", "ahead", "digest"])
 
@@ -271,7 +274,9 @@ def remove_repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     compared, hot = several.agg(F.count(F.lit(1)), F.max("kinds")).first()
 
     members = long_.mapInArrow(_entries, ENTRY_DDL).join(repeated, ["key", "context"])
-    members = stored(members.groupBy(*ENTRY).agg(F.max("n").alias("n"), F.max("kinds").alias("kinds")))
+    # Copies of a text give equal rows; what else a position has follows from it.
+    place = ["d1", "d2", "pos"]
+    members = stored(members.groupBy(*place).agg(*[F.first(c).alias(c) for c in (*ENTRY, "n", "kinds") if c not in place]))
     sure = members.where("n > 1").select("d1", "d2", _covered(F.col("left"), F.col("right"), F.col("pos")).alias("s")).where("s IS NOT NULL")
     sure = sure.distinct().groupBy("d1", "d2").agg(F.collect_list("s").alias("spans"))
     opens = members.where("kinds > 1").groupBy("key", "context").agg(F.min(F.struct("d1", "d2", "pos")).alias("at")).select(
