@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import U64, mix, signed, text_steps, word_hashes
 from tablecraft.llm.registry import query, stored, table
+from tablecraft.session import materialize
 
 # The vocabulary is the most frequent words of all texts, other words are one unknown word. Pairs of words are counted
 # in a table of fixed size. Both sizes bound what is broadcast (below 20 MB); counting covers every word of every text.
 VOCABULARY, PAIRS = 1 << 17, 1 << 20
 PAIR_WEIGHT, SMOOTH = 0.6, 0.1
+# Ids of labelled documents that are sent to all tasks, 8 MB; more are joined by shuffle.
+MOST_SENT = 1_000_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,5 +147,6 @@ SCORED = ["doc_id", "n_words", "loss_target", "loss_background", "score"]
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against those that are labelled as good."""
     documents = table(spark, sf_dir, "documents")
-    good = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    good = materialize(spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").where("quality = 1").select("doc_id").distinct())
+    good = F.broadcast(good) if good.count() <= MOST_SENT else good
     return cross_entropy(documents, stored(documents.join(good, "doc_id").select("text")))
