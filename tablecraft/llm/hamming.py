@@ -164,7 +164,7 @@ def near_duplicates(documents: DataFrame, part: int = 85, whole: int = 100) -> D
     planes = [f"p{i}" for i in range(PLANES)]
     alone = (
         named.join(lowest.withColumnRenamed("id", "doc_id"), ["h1", "h2", "n_shingles", "doc_id"], "left_semi")
-        .dropDuplicates(["h1", "h2", "n_shingles"])
+        .dropDuplicates(["h1", "h2", "n_shingles", "doc_id"])  # by all that the join is dealt by
     )
     entries = alone.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
