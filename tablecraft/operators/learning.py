@@ -45,15 +45,14 @@ def problem_type(df: DataFrame, target: str | None, rule: str = "server") -> str
     return "classification" if few else "regression"
 
 
-def model_input(df: DataFrame, c: str, hashed: Sequence[str] = ()) -> Column:
+def model_input(df: DataFrame, c: str) -> Column:
     if is_numeric(df, c):
         return finite_or_null(as_number(df, c))
-    word = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-    return F.pmod(F.xxhash64(word), F.lit(MAX_LEVELS)).cast("double") if c in hashed else word
+    return F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
 
 
 def wide_text(df: DataFrame, features: Sequence[str]) -> list[str]:
-    """Text features with too many levels for a driver-side index; they are coded by hash instead."""
+    """Text features with too many levels for an index on the driver; ``code_tables`` has theirs."""
     words = [c for c in features if not is_numeric(df, c)]
     if not words:
         return []
@@ -61,14 +60,31 @@ def wide_text(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in words if levels[c] > MAX_LEVELS]
 
 
+def code_tables(df: DataFrame, words: Sequence[str]) -> dict[str, tuple[DataFrame, int]]:
+    """For each text feature a stored table of its levels, numbered in alphabetical order as an indexer numbers them, and how many."""
+    out = {}
+    for c in words:
+        table = materialize(row_index(df.select(model_input(df, c).alias(c)).distinct(), [c], name="_code"))
+        out[c] = table, table.count()
+    return out
+
+
+def coded(rows: DataFrame, codes: Mapping[str, tuple[DataFrame, int]]) -> DataFrame:
+    """The levels of wide text features replaced by their numbers; a level not seen in training gets the next number."""
+    for c, (table, n) in codes.items():
+        joined = attach(rows, table, [c], is_stored=True)
+        rows = joined.withColumn(c, F.coalesce("_code", F.lit(n)).cast("double")).drop("_code").select(*rows.columns)
+    return rows
+
+
 def prepare(df: DataFrame, features: Sequence[str], target: str | None = None, problem: str = "regression",
-            keys: Sequence[str] = (), hashed: Sequence[str] = ()) -> DataFrame:
+            keys: Sequence[str] = (), codes: Mapping[str, tuple[DataFrame, int]] | None = None) -> DataFrame:
     """Typed inputs: numbers parsed, text gaps Unknown, rows without a target dropped, ``label_raw`` added."""
-    cols = [model_input(df, c, hashed).alias(c) for c in features]
+    cols = [model_input(df, c).alias(c) for c in features]
     if target is None:
-        return df.select(*keys, *cols)
+        return coded(df.select(*keys, *cols), codes or {})
     label = as_number(df, target) if problem == "regression" else F.col(target).cast("string")
-    return df.select(*keys, *cols, label.alias("label_raw")).filter("label_raw is not null")
+    return coded(df.select(*keys, *cols, label.alias("label_raw")).filter("label_raw is not null"), codes or {})
 
 
 def feature_stages(df: DataFrame, features: Sequence[str], one_hot: bool = False) -> list:
@@ -145,7 +161,7 @@ class Training:
     rows: list[tuple] = field(default_factory=list)
     best: str | None = None
     labels: list[str] = field(default_factory=list)
-    hashed: list[str] = field(default_factory=list)
+    codes: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
     left_out: list[str] = field(default_factory=list)
     train: DataFrame | None = None
     test: DataFrame | None = None
@@ -178,9 +194,9 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     One driver loop over a handful of estimators; each fit is a distributed job on stored splits.
     """
     problem = problem or problem_type(df, target)
-    hashed = wide_text(df, features)
-    data = prepare(df, features, target, problem, keys, hashed)
-    run = Training(problem, list(features), hashed=hashed)
+    codes = code_tables(df, wide_text(df, features))
+    data = prepare(df, features, target, problem, keys, codes)
+    run = Training(problem, list(features), codes=codes)
     if problem == "regression":
         part_a, part_b = hash_split(data, keys)
         run.train = materialize(part_a.withColumn("label", F.col("label_raw")))
@@ -343,24 +359,18 @@ def sampled_shap(run: Training, keys: Sequence[str], name: str | None = None, ro
         F.desc("mean_abs_shap"), "feature").limit(k)
 
 
-def _override(value, c: str, run: Training, kinds: Mapping[str, str]) -> Column:
-    if value is not None and c in run.hashed:
-        return F.pmod(F.xxhash64(F.lit(str(value))), F.lit(MAX_LEVELS)).cast("double")
-    return F.lit(value).cast(kinds[c])
-
-
 def score_scenarios(run: Training, base: DataFrame, keys: Sequence[str], scenarios: Sequence[Mapping[str, object]],
                     name: str | None = None) -> DataFrame:
     """Each base row under each scenario's overrides: prediction, label and class probabilities."""
-    ready = prepare(base, run.features, keys=keys, hashed=run.hashed)
+    ready = prepare(base, run.features, keys=keys)
     kinds = dict(ready.dtypes)
     options = F.array(*[
-        F.struct(F.lit(i).alias("scenario"), *[_override(s.get(c), c, run, kinds).alias(c) for c in run.features])
+        F.struct(F.lit(i).alias("scenario"), *[F.lit(s.get(c)).cast(kinds[c]).alias(c) for c in run.features])
         for i, s in enumerate(scenarios, start=1)
     ])
     spread = ready.select("*", F.explode(options).alias("s")).select(
         *keys, F.col("s.scenario").alias("scenario"), *[F.coalesce(F.col(f"s.{c}"), F.col(c)).alias(c) for c in run.features])
-    scored = run.predictions(name, spread)
+    scored = run.predictions(name, coded(spread, run.codes))
     extra = ["predicted_label", "confidence"] if run.problem == "classification" and "confidence" in scored.columns else []
     return scored.select(*keys, "scenario", "prediction", *extra)
 
@@ -376,7 +386,7 @@ def actual_vs_predicted(run: Training, keys: Sequence[str], name: str | None = N
 def append_predictions(run: Training, df: DataFrame, name: str | None = None, column: str = "Predicted_Value") -> DataFrame:
     """The frame's own columns plus the prediction, without any positional pairing."""
     original = F.struct(*[F.col(c) for c in df.columns]).alias("_row")
-    ready = df.select(original, *[model_input(df, c, run.hashed).alias(c) for c in run.features])
+    ready = coded(df.select(original, *[model_input(df, c).alias(c) for c in run.features]), run.codes)
     scored = run.predictions(name, ready)
     value = "predicted_label" if run.problem == "classification" else "prediction"
     return scored.select("_row.*", F.col(value).alias(column))

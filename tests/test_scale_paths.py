@@ -165,15 +165,21 @@ def test_isolation_forest_finds_planted_points(spark):
     assert rows_of(again, "id", "anomaly_score") == rows_of(found, "id", "anomaly_score")
 
 
-def test_text_with_many_levels_is_hashed(spark, monkeypatch):
-    monkeypatch.setattr(learning, "MAX_LEVELS", 20)
-    df = spark.range(600).select("id", F.concat(F.lit("w"), (F.col("id") % 40).cast("string")).alias("word"), (F.col("id") % 7).cast("double").alias("n"),
-                                 (F.col("id") % 7 * 2.0).alias("y"))
-    run = learning.train(df, "y", ["n", "word"], ["id"], "regression", ["Linear Regression"])
-    assert run.hashed == ["word"] and run.best == "Linear Regression"
-    scored = learning.score_scenarios(run, df.limit(1), ["id"], [{"word": "w1"}, {"n": 3.0}])
-    assert scored.count() == 2
-    assert learning.append_predictions(run, df).count() == 600
+def test_text_with_many_levels_is_coded_alike(spark, monkeypatch):
+    """An index on the driver and a table of levels give the same model and the same predictions."""
+    rows = [(i, f"w{i % 40:02d}", None if i % 9 == 0 else f"x{i % 3}", float(i % 40) * 2 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, word string, few string, y double")
+    results = []
+    for levels in (10_000, 10):
+        monkeypatch.setattr(learning, "MAX_LEVELS", levels)
+        run = learning.train(df, "y", ["word", "few"], ["id"], "regression", ["Decision Tree"])
+        assert list(run.codes) == (["word"] if levels == 10 else [])
+        changes = [{}, {"word": "w07"}, {"word": "unseen"}]
+        scored = learning.score_scenarios(run, df, ["id"], changes).collect()
+        added = learning.append_predictions(run, df).collect()
+        results.append((sorted(map(tuple, scored)), sorted((r["id"], r["Predicted_Value"]) for r in added)))
+    assert results[0] == results[1]
+
 
 
 def test_recipe_steps_share_passes():
