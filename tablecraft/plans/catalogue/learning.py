@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
@@ -294,6 +296,69 @@ def _(t):
     return rounded(learning.score_scenarios(run, placed(t), ORDER_KEYS, changes), 6)
 
 
+# Invariants: what a fitted model reports agrees with its scored rows, whatever was fitted.
+
+def _recomputed(run, keys) -> DataFrame:
+    """``model, same``: whether the leaderboard's score follows from the model's held-out rows."""
+    parts = []
+    for model, score, *_ in run.rows:
+        rows = learning.actual_vs_predicted(run, keys, model)
+        if run.problem == "regression":
+            e = F.col("actual") - F.col("prediction")
+            again = rows.agg((1 - F.sum(e * e) / (F.var_pop("actual") * F.count(F.lit(1)))).alias("s"))
+        else:
+            per = rows.groupBy("actual").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("tp")).join(
+                rows.groupBy(F.col("prediction").alias("actual")).agg(F.count(F.lit(1)).alias("p")), "actual", "left")
+            f1 = 2 * F.col("tp") / (F.col("n") + F.coalesce("p", F.lit(0)))
+            again = per.agg((F.sum(f1 * F.col("n")) / F.sum("n")).alias("s"))
+        parts.append(again.select(F.lit(model).alias("model"), (F.abs(F.col("s") - score) < 1e-9).alias("same")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("ml05_scores_from_rows", "SELECT unnest(['Linear Regression', 'Ridge Regression', 'Decision Tree', 'Random Forest']) AS model, TRUE AS same")
+def _(t):
+    return _recomputed(regression_run(t, "Linear Regression", "Ridge Regression", "Decision Tree", "Random Forest", trees=20), ITEM_KEYS)
+
+
+@query("ml06_scores_from_rows", "SELECT unnest(['Logistic Regression', 'Decision Tree', 'Random Forest', 'Gradient Boosting']) AS model, TRUE AS same")
+def _(t):
+    return _recomputed(quality_run(t, trees=20, rounds=10), ["doc_id"])
+
+
+@query("ml19_empty_scenario", "SELECT count(*) AS rows, 0 AS changed FROM orders")
+def _(t):
+    run = class_run(t, "Decision Tree")
+    plain = run.predictions(df=learning.prepare(placed(t), ORDER_FEATURES, keys=ORDER_KEYS)).select("o_orderkey", F.col("predicted_label").alias("own"))
+    both = learning.score_scenarios(run, placed(t), ORDER_KEYS, [{}]).join(plain, "o_orderkey")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted_label") != F.col("own")).cast("int").alias("changed"))
+
+
+@query("pj09_every_row", "SELECT count(*) AS rows, 0 AS different FROM lineitem")
+def _(t):
+    run = regression_run(t, "Linear Regression")
+    added = learning.append_predictions(run, items(t).select(*ITEM_KEYS, *ITEM_FEATURES))
+    scored = run.predictions(df=learning.prepare(items(t), ITEM_FEATURES, keys=ITEM_KEYS)).select(*ITEM_KEYS, "prediction")
+    both = added.join(scored, ITEM_KEYS)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("Predicted_Value") - F.col("prediction")) > 1e-9).cast("int").alias("different"))
+
+
+@query("ml11_profile_from_rows", "SELECT count(*) AS customers, 0 AS different FROM customer WHERE c_custkey % 50 <> 0")
+def _(t):
+    labelled, profile, _ = learning.cluster(_customers(t), ["c_acctbal", "c_nationkey"], 3)
+    means = labelled.filter("ML_Cluster <> 'Unassigned'").groupBy("ML_Cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("a"), F.avg("c_nationkey").alias("b"))
+    off = (F.col("n") != F.col("size")) | (F.abs(F.col("a") - F.col("avg_c_acctbal")) > 1e-6) | (F.abs(F.col("b") - F.col("avg_c_nationkey")) > 1e-9)
+    return means.join(profile, "ML_Cluster").agg(F.sum("n").alias("customers"), F.count_if(off).cast("int").alias("different"))
+
+
+@query("ml03_hash_split_rows", "SELECT count(*) AS rows, 0 AS twice, TRUE AS near_share FROM orders")
+def _(t):
+    a, b = learning.hash_split(t("orders"), ORDER_KEYS)
+    both = a.withColumn("train", F.lit(1)).unionByName(b.withColumn("train", F.lit(0)))
+    per = both.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("train").alias("train"))
+    return per.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).cast("int").alias("twice"), F.avg("train").between(0.77, 0.83).alias("near_share"))
+
+
 @query("ml20_actual_vs_predicted")
 def _(t):
     return rounded(learning.actual_vs_predicted(regression_run(t, "Linear Regression"), ITEM_KEYS), 4)
