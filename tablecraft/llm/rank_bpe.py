@@ -19,7 +19,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 # The scan of the whole rank array for its minimum is for short words; longer ones keep a heap beside the array.
 SHORT = 256
-MEMORY = 300_000
+MEMORY = 100_000
 NO_RANK = 1 << 62
 
 
@@ -178,8 +178,8 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shared)
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
+            for row in range(0, batch.num_rows, 64):
+                part = batch.slice(row, 64)
                 lists = pa.array([bpe.encode(t or "") for t in part.column(place).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
 
@@ -188,6 +188,31 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
     return map_batches(kept, run, widened(kept.schema, f"`{ids}` array<int>"))
 
 
+def encode_checked(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """As ``encode``, with ``n_tokens`` and ``round_trip``, whether the ids decode to the text (null read as empty).
+
+    Decoding stays in the same pass, so a task needs one Python worker. Input columns of the added names give way.
+    """
+    added = ["ids", "n_tokens", "round_trip"]
+    shared = _Shared(_share(df.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(shared)
+        for batch in batches:
+            for row in range(0, batch.num_rows, 64):
+                part = batch.slice(row, 64)
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                ids = [bpe.encode(t) for t in texts]
+                columns = [
+                    pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([bpe.decode(i) == t for i, t in zip(ids, texts)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *added])
+
+    kept = df.drop(*added)
+    place = kept.columns.index(text)
+    return map_batches(kept, run, widened(kept.schema, "ids array<int>, n_tokens long, round_trip boolean"))
+
+
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str = "text") -> DataFrame:
     """The input's columns (one named as ``text`` gives way) and ``text``, the text of each list of ids.
 
