@@ -8,7 +8,7 @@ from tablecraft.llm.chunks import remove_passages
 from tablecraft.llm.hamming import near_duplicates
 from tablecraft.llm.language import UNDETERMINED, held_out, identify, learn
 from tablecraft.llm.mixing import mixed
-from tablecraft.llm.rank_bpe import decode, encode
+from tablecraft.llm.rank_bpe import encode_checked
 from tablecraft.llm.registry import quoted, stored, table, unused
 
 # A document goes if no language has half of it.
@@ -56,11 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text. Columns of the names that are added give way."""
-    encoded = encode(docs.drop("n_tokens", "round_trip"))
-    name, = unused(encoded, "__back")
-    back = decode(encoded, text=name)
-    return back.select(
-        *quoted(encoded.columns), F.size("ids").cast("long").alias("n_tokens"), (F.col(name) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode_checked(docs)
 
 
 STAGES = [("language", language), ("near", near), ("passages", passages), ("mixture", mixture), ("tokens", tokens)]
