@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecraft.operators.lookup import HOT_SHARE, equi_join, fits_broadcast, salted_join
+from tablecraft.operators.lookup import attach
 from tablecraft.operators.ordering import running_sum
 from tablecraft.operators.projection import as_number, numeric_columns, rows_of
 from tablecraft.session import materialize
@@ -123,31 +123,27 @@ def _product_pairs(data: DataFrame, names: Sequence[str]) -> DataFrame:
     return found.select(F.get(named, c("i")).alias("a"), F.get(named, c("j")).alias("b"), c("n").cast("bigint").alias("n"), r.alias("r"))
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, value, rank``: the mean rank of every distinct value, from cumulative counts."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    counts = materialize(df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+def average_ranks(cells: DataFrame) -> DataFrame:
+    """``column, value, n, rank`` of cells ``column, value``: the mean rank of every distinct value, from cumulative counts."""
+    counts = materialize(cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     cum = running_sum(counts, ["value"], F.col("n"), "hi", partition_by=["column"])
     return cum.select("column", "value", "n", (F.col("hi") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rank correlation of every pair over rows without gaps: Pearson over mean ranks."""
+    """Rank correlation of every pair over rows without gaps: Pearson over mean ranks.
+
+    The cells of all columns meet their ranks in one join, hot values salted, and return to their rows in one grouping,
+    whatever the number of columns.
+    """
     names = list(columns or numeric_columns(df))
-    whole = df.select(*[as_number(df, c).alias(c) for c in names]).dropna()
-    ranks = materialize(average_ranks(whole, names))
-    shares = ranks.groupBy("column").agg((F.max("n") / F.sum("n")).alias("share")).collect()  # one row per column
-    hottest = {r["column"]: r["share"] for r in shares}
-    ranked = whole
-    for c in names:
-        lookup = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        if fits_broadcast(lookup):
-            ranked = equi_join(ranked, F.broadcast(lookup), [c], "inner")
-        elif hottest.get(c, 0) <= HOT_SHARE:
-            ranked = equi_join(ranked, lookup, [c], "inner")
-        else:
-            ranked = materialize(salted_join(ranked, lookup, [c], "inner"))
-    return correlation_pairs(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in names]), names)
+    whole = df.select(*[as_number(df, c).alias(f"v{i}") for i, c in enumerate(names)]).dropna()
+    rows = materialize(whole.withColumn("row", F.monotonically_increasing_id()))  # stored, so a row keeps its number
+    cells = rows.select("row", F.posexplode(F.array(*[f"v{i}" for i in range(len(names))])).alias("column", "value"))
+    ranks = materialize(average_ranks(cells).select("column", "value", "rank"))
+    met = attach(cells, ranks, ["column", "value"], "inner", is_stored=True)
+    ranked = met.groupBy("row").agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(c) for i, c in enumerate(names)])
+    return correlation_pairs(ranked.drop("row"), names)
 
 
 def pair_strength(df: DataFrame, a: str, b: str) -> DataFrame:

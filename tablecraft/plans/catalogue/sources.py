@@ -221,6 +221,14 @@ def _(t):
     return files.preview(t("orders"), ["o_orderkey"], 100)
 
 
+_SHAPED = (("customer", 5), ("orders", 6), ("lineitem", 11), ("events", 6), ("documents", 5), ("pages", 3))
+
+
+@query("io16_dataset_shapes", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, {w} AS columns FROM {n}" for n, w in _SHAPED))
+def _(t):
+    return files.dataset_shapes({n: t(n) for n, _ in _SHAPED})
+
+
 @query("io16_dataset_catalog")
 def _(t):
     return files.dataset_catalog(t.spark, t.sf_dir, "*.parquet")

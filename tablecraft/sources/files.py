@@ -157,6 +157,14 @@ def dataset_catalog(spark: SparkSession, folder: str, pattern: str = "*") -> Dat
     ).orderBy(F.desc("modified"), "name")
 
 
+def dataset_shapes(datasets: Mapping[str, DataFrame]) -> DataFrame:
+    """``name, rows, columns`` of named tables; rows are counted from file statistics where these are kept."""
+    one = [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"))
+        for name, df in datasets.items()]
+    return reduce(DataFrame.unionByName, one)
+
+
 def save_version(df: DataFrame, folder: str, version: int) -> None:
     """Write one snapshot and one metadata row; earlier versions stay."""
     spark = df.sparkSession
