@@ -13,7 +13,7 @@ from tablecraft.llm.bytehash import U64, mix, signed, text_steps, word_hashes
 from tablecraft.llm.registry import query, stored, table
 from tablecraft.session import materialize
 
-# The vocabulary is the most frequent words of all texts, other words are one unknown word. Pairs of words are counted
+# The vocabulary is the most frequent words of all texts, at most so many; other words are one unknown word. Pairs of words are counted
 # in a table of fixed size. Both sizes bound what is broadcast (below 20 MB); counting covers every word of every text.
 VOCABULARY, PAIRS = 1 << 17, 1 << 20
 PAIR_WEIGHT, SMOOTH = 0.6, 0.1
@@ -74,14 +74,30 @@ class Model:
         return -np.log2(weight * after + (1.0 - weight) * np.exp2(self.alone[word]))
 
 
+def _least_count(words: DataFrame) -> int:
+    """The least count for which at most VOCABULARY words occur so often; words of one count are in or out together.
+
+    Found from how many words have each count, of which the driver gets the highest; sorting all words is not needed.
+    """
+    held, least = 0, 1 << 62
+    by_count = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(VOCABULARY + 1)
+    for row in by_count.toArrow().to_pylist():
+        held += row["words"]
+        if held > VOCABULARY:
+            break
+        least = row["n"]
+    return least
+
+
 def fit(background: DataFrame, target: DataFrame, spark: SparkSession):
     """The vocabulary and the two models of ``background(text)`` and ``target(text)``, counted over all of their texts.
 
-    Words are counted in tasks and summed by word; the driver gets the VOCABULARY most frequent ones, and the sums of at
-    most PAIRS + VOCABULARY slots. An empty table gives a model that knows nothing, equal smoothing for every word.
+    Words are counted in tasks and summed by word; the driver gets the most frequent ones, VOCABULARY at most, and the
+    sums of at most PAIRS + VOCABULARY slots. An empty table gives a model that knows nothing, equal smoothing for every word.
     """
     words = background.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow()["word"].to_numpy()
+    words = stored(words)
+    top = words.where(F.col("n") >= _least_count(words)).select("word").toArrow()["word"].to_numpy()
     shared = spark.sparkContext.broadcast(Vocabulary(top))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import collections
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablecraft.llm import cross_entropy as ce
 from tests.llm.conftest import SF_DIR, prose
@@ -58,6 +59,20 @@ def test_losses_by_counting(spark):
     check(spark, rows, [prose(20 + i, i % 7) for i in range(0, 40, 5)])
 
 
+def test_a_vocabulary_that_is_too_small_for_all_words(spark, monkeypatch):
+    """Words of one count are in or out together."""
+    monkeypatch.setattr(ce, "VOCABULARY", 9)
+    text = "a a a a b b b b c c c d d d e e f f g h i j k"
+    words = spark.createDataFrame([(w,) for w in text.split()], "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    assert ce._least_count(words) == 2
+    monkeypatch.setattr(ce, "VOCABULARY", 11)
+    assert ce._least_count(words) == 1
+    monkeypatch.setattr(ce, "VOCABULARY", 1)
+    assert words.where(F.col("n") >= ce._least_count(words)).count() == 0
+    vocabulary, background, _ = ce.fit(spark.createDataFrame([(text,)], "text string"), spark.createDataFrame([], "text string"), spark)
+    assert vocabulary.unknown == 0 and len(background.alone) == 1
+
+
 def test_no_target_and_no_documents(spark, no_documents):
     check(spark, [(1, "a b c"), (2, "a b")], [])
     assert ce.cross_entropy(no_documents, no_documents.select("text")).count() == 0
