@@ -158,7 +158,8 @@ def near_duplicates(documents: DataFrame, part: int = 85, whole: int = 100) -> D
     documents = documents.select(F.col("doc_id").cast("long"), "text")
     signed_ = materialize(documents.mapInArrow(_sign, SIGNED_DDL))
     named = signed_.where("doc_id IS NOT NULL AND n_shingles > 0")
-    lowest = named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    # Stored, so that the join that follows is dealt anew and the rows of a very common set can be split.
+    lowest = materialize(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id")))
     copies = named.join(lowest, ["h1", "h2", "n_shingles"]).select("doc_id", "id")
     copies = materialize(copies)
     planes = [f"p{i}" for i in range(PLANES)]
