@@ -7,14 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import U64, mix, signed, text_steps, word_hashes
 from tablecraft.llm.registry import query, stored, table
 from tablecraft.session import materialize
 
-# The vocabulary is the most frequent words of all texts, at most so many; other words are one unknown word. Pairs of words are counted
-# in a table of fixed size. Both sizes bound what is broadcast (below 20 MB); counting covers every word of every text.
+# Sizes of the bounded model of ``fit``, which cross_entropy does not use: the most frequent words, at most so many, all others
+# being one unknown word, and pairs folded into a table of fixed size.
 VOCABULARY, PAIRS = 1 << 17, 1 << 20
 PAIR_WEIGHT, SMOOTH = 0.6, 0.1
 # Ids of labelled documents that are sent to all tasks, 8 MB; more are joined by shuffle.
@@ -126,6 +127,118 @@ def fit(background: DataFrame, target: DataFrame, spark: SparkSession):
     return Vocabulary(top), models[0], models[1]
 
 
+# Texts are counted and scored in blocks of about so many bytes; a row has ROW_BYTES besides its text. Keys are summed in buckets of
+# what BUCKET_BYTES of text have.
+BLOCK_BYTES, ROW_BYTES, BUCKET_BYTES = 16 << 20, 64, 4 << 20
+# Keys of what is counted have 63 bits: the last is 0 for words, 1 for pairs. START stands before each text's first word.
+START = U64(2)
+REQUESTS = "block long, first long, rows int, bucket int, n int, keys binary, counts binary"
+ANSWERS = "block long, first long, rows int, bucket int, n int, background binary, good binary, known long, total long, wanted long"
+
+
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A number of its block and one of its own in front of each row (doc_id, text); rows of one task fill one block after another."""
+    base, held, rows = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)).astype(np.int64) + ROW_BYTES
+        before = held + np.cumsum(sizes) - sizes
+        held = int(before[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(base + before // BLOCK_BYTES), pa.array(np.arange(rows, rows + batch.num_rows)), *batch.columns], ["block", "row", "doc_id", "text"])
+        rows += batch.num_rows
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from zero in as many bytes as the largest needs; all lowest bytes come first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :len(packed) // n] = np.frombuffer(packed, np.uint8).reshape(-1, n).T
+    return out.view("<i8").ravel()
+
+
+def _keys(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key of every word of a text column, of the word before it (START at a text's begin) and of the pair, and each text's first word."""
+    words, places, seen = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+    for _, _, data, bounds in text_steps(column):
+        hashes, first = word_hashes(data, bounds)
+        words.append(hashes >> U64(2) << U64(1))
+        places.append(first[1:] + seen)
+        seen += len(hashes)
+    word, first = np.concatenate(words), np.concatenate(places)
+    before = np.concatenate([[START], word[:-1]])[:len(word)]
+    before[first[:-1][np.diff(first) > 0]] = START
+    return signed(word), signed(before), signed(mix(mix(before) + word) >> U64(1) | U64(1)), first
+
+
+def _counted(word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs; START once for each text with words."""
+    starts = np.full(int((np.diff(first) > 0).sum()), START).astype(np.int64)
+    return np.unique(np.concatenate([word, pair, starts]), return_counts=True)
+
+
+def _requests(buckets: int):
+    width = (1 << 63) // buckets + 1
+    lows = np.array([i * width for i in range(buckets)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of words and pairs of (block, row, text): for each run of rows of a block one row a bucket, also where it has no key."""
+        for batch in batches:
+            block, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            new = (block[1:] != block[:-1]) | (row[1:] != row[:-1] + (block[1:] >= 0))
+            edges = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(block) else []
+            for a, b in zip(edges, edges[1:]):
+                word, _, pair, first = _keys(batch.column(2).slice(a, b - a))
+                keys, counts = _counted(word, pair, first)
+                at = np.append(np.searchsorted(keys, lows), len(keys))
+                parts = [(keys[c:d], counts[c:d], low) for c, d, low in zip(at[:-1], at[1:], lows)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(buckets, block[a])), pa.array(np.full(buckets, row[a])), pa.array(np.full(buckets, b - a, np.int32)),
+                     pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.diff(at).astype(np.int32)),
+                     pa.array([_pack(np.diff(k, prepend=low)) for k, _, low in parts], pa.binary()),
+                     pa.array([_pack(n) for _, n, _ in parts], pa.binary())], _names(REQUESTS))
+
+    def merge(asked: pa.Table) -> pa.Table:
+        """Sums of one bucket's keys over all documents and over the target, for every asker in its order, and those of all words."""
+        block, n = asked.column("block").to_numpy(), asked.column("n").to_numpy()
+        low = lows[asked.column("bucket")[0].as_py()]
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, k, c in zip(n, asked.column("keys"), asked.column("counts")):
+            keys.append(low + np.cumsum(_unpack(k.as_py(), size)))
+            counts.append(_unpack(c.as_py(), size))
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts, own = np.concatenate(counts), np.repeat(block >= 0, n)
+        every, good = (np.bincount(at, weights=counts * mine, minlength=len(distinct)).astype(np.int64) for mine in (own, ~own))
+        words = ((distinct & 1) == 0) & (distinct != int(START))
+        numbers = (int((words & (every > 0)).sum()), int(every[words].sum()), int(good[words].sum()))
+        ends = np.cumsum(n)
+        askers = np.flatnonzero(block >= 0)
+        places = [at[ends[i] - n[i]:ends[i]] for i in askers]
+        return pa.Table.from_arrays(
+            [*(asked.column(c).take(pa.array(askers)) for c in ("block", "first", "rows", "bucket", "n")),
+             *(pa.array([_pack(sums[p]) for p in places], pa.binary()) for sums in (every, good)),
+             *(pa.array(np.full(len(askers), x, np.int64)) for x in numbers)], _names(ANSWERS))
+
+    return run, merge
+
+
+def _bits(known: float, words: float, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Bits of every word from the model's counts of it, of the word before it and of their pair."""
+    alone = (word + SMOOTH) / (words + SMOOTH * (known + 1))
+    weight = PAIR_WEIGHT * (before > 0)
+    return -np.log2(weight * np.minimum(pair / np.maximum(before, 1), 1.0) + (1.0 - weight) * alone)
+
+
 def cross_entropy(documents: DataFrame, target: DataFrame) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, n_words, loss_target, loss_background, score.
 
@@ -133,27 +246,51 @@ def cross_entropy(documents: DataFrame, target: DataFrame) -> DataFrame:
     ``score`` is their difference, low for texts like the target. A null text or one without words has 0 words and null
     losses. Words are runs without white space, A-Z lower-cased. Rows are scored one by one, so repeated rows repeat;
     the target's own texts are part of both models. Other columns are not read.
+
+    Every word and every pair of words has a count of its own, keyed by 63 bits of its hash. Texts are dealt into blocks.
+    A block tells the counts of its distinct words and pairs, packed by ranges of keys; these are summed by range, and the
+    sums go back to the block. A key is told once a block, however often it occurs, so a hot one is no larger than others.
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    shared = spark.sparkContext.broadcast(fit(documents, target, spark))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, background, wanted = shared.value
-        for batch in batches:
-            for first_row, last_row, data, bounds in text_steps(batch.column(1)):
-                word, before, slot, first = vocabulary.read(data, bounds)
-                n = np.diff(first)
-                none = n == 0
-                means = []
-                for model in (wanted, background):
-                    sums = np.concatenate([[0.0], np.cumsum(model.loss(word, before, slot), dtype=np.float64)])
-                    means.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first_row, last_row - first_row), pa.array(n.astype(np.int64)),
-                     *(pa.array(m, mask=none) for m in (*means, means[0] - means[1]))], SCORED)
-
-    return documents.mapInArrow(score, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+    blocks = stored(documents.mapInArrow(_blocks, "block long, row long, doc_id long, text string"), "zstd")
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    run, merge = _requests(max(size // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    none = F.lit(-1).cast("long")
+    asked = blocks.select("block", "row", "text").mapInArrow(run, REQUESTS).unionByName(
+        target.select(none.alias("block"), none.alias("row"), "text").mapInArrow(run, REQUESTS).where("n > 0"))
+    answers = asked.groupBy("bucket").applyInArrow(merge, ANSWERS)
+
+    def score(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        texts = texts.sort_by("row")
+        rows = texts.column("row").to_numpy()
+        sums = sums.sort_by([("first", "ascending"), ("bucket", "ascending")])
+        firsts = sums.column("first").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1], [True]]))
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            told = sums.slice(a, b - a)
+            part = texts.slice(int(np.searchsorted(rows, firsts[a])), told.column("rows")[0].as_py())
+            word, before, pair, first = _keys(part.column("text"))
+            keys, _ = _counted(word, pair, first)
+            known, total, wanted = (int(told.column(c).to_numpy().sum()) for c in ("known", "total", "wanted"))
+            every, good = (np.concatenate([_unpack(x.as_py(), k) for x, k in zip(told.column(c), told.column("n").to_numpy())])
+                           for c in ("background", "good"))
+            word, before, pair = (np.searchsorted(keys, k) for k in (word, before, pair))
+            n = np.diff(first)
+            empty = n == 0
+            means = []
+            for model, words in ((good, wanted), (every, total)):
+                bits = _bits(known, words, model[word], model[before], model[pair])
+                means.append(np.zeros(len(n)))
+                if len(bits):  # summed text by text, so that equal texts score the same in every block
+                    means[-1][~empty] = np.add.reduceat(bits, first[:-1][~empty]) / n[~empty]
+            out.append(pa.Table.from_arrays(
+                [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(m, mask=empty) for m in (*means, means[0] - means[1]))], SCORED))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        score, "doc_id long, n_words long, loss_target double, loss_background double, score double")
 
 
 SCORED = ["doc_id", "n_words", "loss_target", "loss_background", "score"]
@@ -165,4 +302,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     good = materialize(spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").where("quality = 1").select("doc_id").distinct())
     good = F.broadcast(good) if good.count() <= MOST_SENT else good
-    return cross_entropy(documents, stored(documents.join(good, "doc_id").select("text")))
+    return cross_entropy(documents, documents.join(good, "doc_id").select("text"))

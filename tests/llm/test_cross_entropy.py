@@ -73,6 +73,15 @@ def test_a_vocabulary_that_is_too_small_for_all_words(spark, monkeypatch):
     assert vocabulary.unknown == 0 and len(background.alone) == 1
 
 
+def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
+    """No count depends on table sizes: more words than VOCABULARY, more pairs than PAIRS, many blocks."""
+    monkeypatch.setattr(ce, "VOCABULARY", 8)
+    monkeypatch.setattr(ce, "PAIRS", 16)
+    monkeypatch.setattr(ce, "BLOCK_BYTES", 2000)
+    rows = [(i, prose(60 + i, i % 31)) for i in range(120)] + [(500 + i, "one very common line") for i in range(40)] + [(600, None)]
+    check(spark, rows, [prose(60 + i, i % 31) for i in range(0, 120, 7)] + ["words that stand in no document", "one very common line"])
+
+
 def test_no_target_and_no_documents(spark, no_documents):
     check(spark, [(1, "a b c"), (2, "a b")], [])
     assert ce.cross_entropy(no_documents, no_documents.select("text")).count() == 0
