@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.bytehash import LOWER, text_steps
 from tablecraft.llm.registry import map_batches, query, table, widened
+from tablecraft.session import materialize
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 ROUNDS, STAY = 12, 1e-3
+SLICES = 1024
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,42 +36,61 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(BUCKETS - 1)).astype(np.int64), count
 
 
-def learn(labelled: DataFrame, documents_per_language: int = 4000, languages: int = 64) -> tuple[list[str], np.ndarray]:
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, place, bound) of every label, the most frequent first: rows of a draw up to the bound are at most ``most`` distinct ones.
+
+    ``rows(lang, draw)`` are distinct draws from 63 bits. A label of more than ``most`` rows is counted in SLICES slices of a range
+    that is expected to hold half as many again; its bound is the end of the last slice within ``most``.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    ranges = [(r["lang"], place, (1 << 63) - 1 if r["count"] <= most else max(SLICES, int(1.5 * most / r["count"] * (1 << 63))) // SLICES, r["count"])
+              for place, r in enumerate(sizes)]
+    wide = spark.createDataFrame(ranges, "lang string, place int, width long, size long")
+    slices = rows.join(F.broadcast(wide.where(F.col("size") > most)), "lang").withColumn("slice", F.expr("draw div width")).where(
+        F.col("slice") < SLICES).groupBy("place", "slice").count().toArrow().sort_by([("place", "ascending"), ("slice", "ascending")])
+    held, ends = {}, {}
+    for r in slices.to_pylist():
+        held[r["place"]] = held.get(r["place"], 0) + r["count"]
+        if held[r["place"]] <= most:
+            ends[r["place"]] = r["slice"] + 1
+    bounds = [(lang, place, width if size <= most else ends.get(place, 1) * width - 1) for lang, place, width, size in ranges]
+    return spark.createDataFrame(bounds, "lang string, place int, bound long")
+
+
+def learn(labelled: DataFrame, documents_per_language: int = 4000) -> tuple[list[str], np.ndarray]:
     """Languages, the most frequent first, and for each trigram bucket its probability in each of them.
 
-    Fitted on a bounded sample, as classifiers may be: about ``documents_per_language`` rows of each label, chosen
-    by a hash of the row, and the ``languages`` most frequent labels. Rows without text or label are passed over.
-    Counting runs in tasks; the driver gets at most 65,536 sums for each language.
+    Every label is learned. Fitted on a bounded sample of rows, as classifiers may be: at most ``documents_per_language``
+    of each label, chosen by a hash of the text and, if there is one, its doc_id; rows that repeat both count once. Rows
+    without text or label are passed over. Counting runs in tasks; the driver gets at most 65,536 sums for each language,
+    and the model that it sends out has 256 kB for each.
     """
-    labelled = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names = [r["lang"] for r in sizes]
+    found = [c for c in labelled.columns if c.lower() == "doc_id"]
+    draw = F.shiftrightunsigned(F.xxhash64("text", *found), 1)
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", draw.alias("draw"))
+    bounds = _drawn(materialize(labelled.select("lang", "draw").distinct()), documents_per_language)
+    names = [r["lang"] for r in bounds.orderBy("place").collect()]
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = {r["lang"]: min(1.0, documents_per_language / r["count"]) for r in sizes}
-    place = {name: i for i, name in enumerate(names)}
-    lottery = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = F.lit(False)
-    for name in names:
-        chosen = chosen | ((F.col("lang") == name) & (lottery < share[name]))
+    chosen = labelled.join(F.broadcast(bounds), "lang").where("draw <= bound").groupBy("place", "draw").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
-            label = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            label = np.asarray(batch.column(0)).astype(np.int64)
             for first, last, data, bounds in text_steps(batch.column(1)):
                 owner, bucket, n = _grams(data, bounds)
-                np.add.at(total, (label[first:last][owner], bucket), n)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
+                key, at = np.unique(label[first:last][owner] * BUCKETS + bucket, return_inverse=True)
+                sums = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key // BUCKETS).astype(np.int32)), pa.array((key % BUCKETS).astype(np.int32)), pa.array(sums)], ["lang", "bucket", "n"])
 
-    counted = labelled.where(chosen).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = chosen.select("place", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     seen = counted.toArrow()
-    table_ = np.zeros((BUCKETS, len(names)))
+    table_ = np.zeros((BUCKETS, len(names)), np.float32)
     table_[seen["bucket"].to_numpy(), seen["lang"].to_numpy()] = seen["n"].to_numpy()
     smooth = 0.1
-    return names, ((table_ + smooth) / (table_.sum(0) + smooth * BUCKETS)).astype(np.float32)
+    return names, ((table_ + np.float32(smooth)) / (table_.sum(0, dtype=np.float64) + smooth * BUCKETS).astype(np.float32))
 
 
 class Mixture:
