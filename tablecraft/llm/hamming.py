@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,28 @@ from tablecraft.llm.registry import query, table
 from tablecraft.session import materialize
 
 # A signature has 48 symbols of 16 bits. Two sets of likeness 0.85 differ in 7.2 symbols on average, in more than
-# DISTANCE with probability 4e-6. Ten chunks of 4 or 5 symbols: 19 differing symbols leave one chunk with at most
-# one error, because ten chunks with two errors each would make 20.
+# DISTANCE with probability 7.6e-6. Ten chunks of 4 or 5 symbols: 19 differing symbols leave one chunk with at most
+# one error, because ten chunks with two errors each would make 20. Other thresholds have their own distance and chunks.
 SYMBOLS, DISTANCE, CHUNKS, PLANES = 48, 19, 10, 4
+MISSED = 8e-6
 TILE_ROWS, TILE_SHINGLES = 512, 2_000_000
 COLUMNS = 4096
 _MULTIPLY, _ADD = salts(SYMBOLS, 101), salts(SYMBOLS, 202)
-_EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).astype(int)
 _KEY_SALT = salts(SYMBOLS, 303)
 
 
+def plan(part: int, whole: int) -> tuple[int, int]:
+    """Distance and number of chunks for a threshold: sets of that likeness differ in more symbols with probability MISSED at most."""
+    differ, left, distance = 1 - part / whole, 1.0, -1
+    while left > MISSED:
+        distance += 1
+        left = sum(math.comb(SYMBOLS, k) * differ ** k * (1 - differ) ** (SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1))
+    chunks = distance // 2 + 1
+    if SYMBOLS < 3 * chunks:
+        raise ValueError(f"likeness {part}/{whole} is too low for signatures of {SYMBOLS} symbols")
+    return distance, chunks
+
+
 def signatures(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of symbols for each text that has shingles; (texts, SYMBOLS)."""
     out = np.empty((len(at) - 1, SYMBOLS), U64)
@@ -36,11 +49,12 @@ def signatures(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(out) & U64(0xFFFF)
 
 
-def probe_keys(symbols: np.ndarray) -> np.ndarray:
+def probe_keys(symbols: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """For each chunk and each of its symbols: a key of the chunk's other symbols, so one error in a chunk is allowed."""
     terms = mix(symbols + (np.arange(SYMBOLS, dtype=U64) << U64(16)) + U64(1 << 40))
     keys = np.empty_like(terms)
-    for a, b in zip(_EDGES, _EDGES[1:]):
+    edges = np.linspace(0, SYMBOLS, chunks + 1).astype(int)
+    for a, b in zip(edges, edges[1:]):
         keys[:, a:b] = terms[:, a:b].sum(axis=1, keepdims=True) - terms[:, a:b]
     return mix(keys + _KEY_SALT)
 
@@ -59,40 +73,43 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(sets) if sets else hashed, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, last, data, bounds in text_steps(batch.column(1)):
-            shingles, at = shingle_sets(data, bounds)
-            sizes = np.diff(at)
-            full = np.flatnonzero(sizes)
-            digest = np.zeros((len(sizes), 2), U64)
-            planes = np.zeros((len(sizes), PLANES), U64)
-            keys = [None] * len(sizes)
-            if len(full):
-                starts = at[:-1][full]
-                for k, salt in enumerate(salts(2, 404)):
-                    digest[full, k] = np.add.reduceat(mix(shingles * salt), starts)
-                symbols = signatures(shingles, np.append(starts, len(shingles)))
-                planes[full] = bit_planes(symbols)
-                for row, line in zip(full, signed(probe_keys(symbols))):
-                    keys[row] = line
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(sizes), *(pa.array(signed(np.ascontiguousarray(x))) for x in digest.T),
-                 *(pa.array(signed(np.ascontiguousarray(x))) for x in planes.T), pa.array(keys, pa.list_(pa.int64()))], SIGNED)
+def _sign(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, bounds in text_steps(batch.column(1)):
+                shingles, at = shingle_sets(data, bounds)
+                sizes = np.diff(at)
+                full = np.flatnonzero(sizes)
+                digest = np.zeros((len(sizes), 2), U64)
+                planes = np.zeros((len(sizes), PLANES), U64)
+                keys = [None] * len(sizes)
+                if len(full):
+                    starts = at[:-1][full]
+                    for k, salt in enumerate(salts(2, 404)):
+                        digest[full, k] = np.add.reduceat(mix(shingles * salt), starts)
+                    symbols = signatures(shingles, np.append(starts, len(shingles)))
+                    planes[full] = bit_planes(symbols)
+                    for row, line in zip(full, signed(probe_keys(symbols, chunks))):
+                        keys[row] = line
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(sizes), *(pa.array(signed(np.ascontiguousarray(x))) for x in digest.T),
+                     *(pa.array(signed(np.ascontiguousarray(x))) for x in planes.T), pa.array(keys, pa.list_(pa.int64()))], SIGNED)
+
+    return run
 
 
 SIGNED = ["doc_id", "n_shingles", "h1", "h2", *(f"p{i}" for i in range(PLANES)), "keys"]
 SIGNED_DDL = ", ".join(f"{c} long" for c in SIGNED[:-1]) + ", keys array<long>"
 
 
-def _close(threshold: tuple[int, int]):
+def _close(threshold: tuple[int, int], distance: int):
     """Rows a and b of one bucket may be linked: few symbols differ and the sizes allow the likeness."""
     differ = F.lit(0).cast("long")
     for i in range(PLANES):
         differ = differ.bitwiseOR(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}")))
     part, whole = threshold
     small, large = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    return (F.bit_count(differ) <= DISTANCE) & (small * whole >= large * part)
+    return (F.bit_count(differ) <= distance) & (small * whole >= large * part)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -151,12 +168,13 @@ def near_duplicates(documents: DataFrame, part: int = 85, whole: int = 100) -> D
     links are those of all its rows. Other columns are not read.
 
     Equal sets become one representative; its signature's chunks are looked up by keys that allow one error each, so
-    every pair of at most 19 differing symbols meets in a bucket. Rows that have a bucket mate within that distance go
+    every pair within the threshold's ``plan`` (85/100: 19 differing symbols) meets in a bucket. Rows that have a bucket mate within that distance go
     on; their groups are cut into tiles of bounded size, each of which confirms its links on full sets and reports a
     spanning forest, not pairs. Buckets are joined by key, which the engine splits where a key is hot.
     """
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    signed_ = materialize(documents.mapInArrow(_sign, SIGNED_DDL))
+    distance, chunks = plan(part, whole)
+    signed_ = materialize(documents.mapInArrow(_sign(chunks), SIGNED_DDL))
     named = signed_.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Stored, so that the join that follows is dealt anew and the rows of a very common set can be split.
     lowest = materialize(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id")))
@@ -172,7 +190,7 @@ def near_duplicates(documents: DataFrame, part: int = 85, whole: int = 100) -> D
     bucket = entries.join(shared, "key").join(alone.select(F.col("doc_id").alias("id"), "n_shingles", *planes), "id")
     bucket = materialize(bucket)
     mates = bucket.alias("a").join(
-        bucket.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _close((part, whole)), "left_semi")
+        bucket.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _close((part, whole), distance), "left_semi")
     mates = materialize(mates.select("id", "key", "n_shingles"))
     star = mates.groupBy("key").agg(F.min("id").alias("b"))
     groups = components(mates.select("key", F.col("id").alias("a")).join(star, "key").select("a", "b"))

@@ -74,3 +74,37 @@ def test_odd_rows(odd_documents, no_documents):
     assert sorted(r for r in found if r[0] is not None) == expected(rows)
     assert sorted(nameless, key=str) == sorted([(None, 196, None, True), (None, 0, None, True)], key=str)
     assert hamming.near_duplicates(no_documents).count() == 0
+
+
+def test_distance_and_chunks_follow_the_threshold():
+    assert hamming.plan(85, 100) == (hamming.DISTANCE, hamming.CHUNKS)
+    rng = np.random.default_rng(6)
+    for part in (80, 90, 95):
+        distance, chunks = hamming.plan(part, 100)
+        draws = (rng.random((400_000, hamming.SYMBOLS)) >= part / 100).sum(axis=1)
+        assert (draws > distance).sum() <= 20  # 3 expected at most; 200 with the distance of 85/100 at 80/100
+        one = rng.integers(0, 1 << 16, (200, hamming.SYMBOLS)).astype(np.uint64)
+        other = one.copy()
+        for row in other:
+            row[rng.choice(hamming.SYMBOLS, distance, replace=False)] ^= np.uint64(1)
+        assert (hamming.probe_keys(one, chunks) == hamming.probe_keys(other, chunks)).any(axis=1).all()
+
+
+def test_a_pair_of_more_differing_symbols_at_80(spark):
+    """Of many pairs of likeness 0.80 to 0.82 one with more than 19 differing symbols is linked too."""
+    base = prose(504, 8).split()
+    rng = random.Random(3)
+    for _ in range(20_000):
+        words = base.copy()
+        for i in rng.sample(range(10, 490, 12), 11):
+            words[i] = f"new{rng.randrange(10 ** 6)}"
+        pair = [" ".join(base), " ".join(words)]
+        x, y = map(shingles, pair)
+        if 100 * len(x & y) < 80 * len(x | y):
+            continue
+        for _, _, data, bounds in text_steps(pa.array(pair)):
+            signs = hamming.signatures(*hamming.shingle_sets(data, bounds))
+        if (signs[0] != signs[1]).sum() in range(hamming.DISTANCE + 1, hamming.plan(80, 100)[0] + 1):
+            break
+    found = hamming.near_duplicates(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string"), 80, 100).collect()
+    assert [r["component_id"] for r in found] == [0, 0]
