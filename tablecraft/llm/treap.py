@@ -18,7 +18,7 @@ from tablecraft.llm.registry import query, stored, table
 IN_TERM = np.zeros(256, dtype=bool)
 IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 # A shard of the grid has about so much text and so many documents at most; a longer text is a shard of its own.
-SHARD_BYTES, SHARD_DOCUMENTS = 16 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCUMENTS = 8 << 20, 1 << 16
 # Cells that are opened together, and values (cells x terms) that an opened front may hold.
 FRONT, FRONT_VALUES = 96, 1 << 22
 # Text of the items that are searched together; their terms go to all tasks.
@@ -30,6 +30,16 @@ FOUND = "item int, doc_id long, score long"
 _ONES = np.array([bin(i).count("1") for i in range(16)], dtype=np.int64)
 
 
+def _packed(values: np.ndarray, kind) -> bytes:
+    """Numbers as bytes, their length in front and compressed, so that the rows of the index stay small outside of Python too."""
+    raw = np.ascontiguousarray(values.astype(kind)).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd"), kind)
+
+
 def _terms(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Every term of a text column in order, A-Z lower-cased, and the number of terms of each text."""
     chunks, counts = [pa.array([], pa.large_string()).dictionary_encode()], [np.zeros(0, np.int64)]
@@ -103,12 +113,12 @@ def _build(ids: pa.Array, texts: pa.Array, documents: int, words: int) -> list:
     less = [values[0], *(np.repeat(above, _ONES[b]) - below for above, b, below in zip(values, bits, values[1:]))]
     names = names.take(pa.array(by_name))
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string())), "")[0].as_py() if len(names) else ""
-    number = lambda x, kind: np.ascontiguousarray(x.astype(kind)).tobytes()
     known = np.asarray(ids.is_valid())[order]
-    return [number(np.asarray(pc.fill_null(ids, LAST))[order], np.int64), number(known, np.uint8), joined.encode(),
-            number(np.cumsum(np.asarray(pc.binary_length(names)).astype(np.int64)), np.int32), number(np.bincount(row, minlength=len(names)), np.int32),
-            number(np.array([len(v) for v in values]), np.int64), number(np.concatenate([np.zeros(0, np.uint8), *bits]), np.uint8),
-            number(np.concatenate(less), np.int32)]
+    ends = np.cumsum(np.asarray(pc.binary_length(names)).astype(np.int64))
+    return [_packed(np.asarray(pc.fill_null(ids, LAST))[order], np.int64), _packed(known, np.uint8),
+            _packed(np.frombuffer(joined.encode(), np.uint8), np.uint8), _packed(ends, np.int32),
+            _packed(np.bincount(row, minlength=len(names)), np.int32), _packed(np.array([len(v) for v in values]), np.int64),
+            _packed(np.concatenate([np.zeros(0, np.uint8), *bits]), np.uint8), _packed(np.concatenate(less), np.int32)]
 
 
 def _names(ddl: str) -> list[str]:
@@ -150,7 +160,7 @@ def build_index(documents: DataFrame) -> DataFrame:
         if held:
             yield shard()
 
-    index = stored(documents.mapInArrow(run, SHARDS), "zstd")
+    index = stored(documents.mapInArrow(run, SHARDS), "none")
     return index.withColumns({"documents": F.lit(n).cast("long"), "words": F.lit(words).cast("long")})
 
 
@@ -158,11 +168,11 @@ class Shard:
     """One K2-treap, read for searching."""
 
     def __init__(self, row: dict):
-        self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8)
+        self.ids, self.known = _unpacked(row["ids"], np.int64), _unpacked(row["known"], np.uint8)
         self.terms = term_array(row["terms"], row["ends"])
-        sizes = np.frombuffer(row["levels"], np.int64)
+        sizes = _unpacked(row["levels"], np.int64)
         self.top = len(sizes) - 1
-        self.bits, self.less = np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["less"], np.int32)
+        self.bits, self.less = _unpacked(row["bits"], np.uint8), _unpacked(row["less"], np.int32)
         # A cell's children stand behind those of all cells before it, and the levels stand one after another.
         ones = _ONES[self.bits].astype(np.int32)
         self.first = np.cumsum(ones, dtype=np.int32) - ones + np.int32(sizes[0])
@@ -221,8 +231,8 @@ class Shard:
 
 
 def term_array(terms: bytes, ends: bytes) -> pa.Array:
-    offsets = np.concatenate([[0], np.frombuffer(ends, np.int32)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(terms)])
+    offsets = np.concatenate([[0], _unpacked(ends, np.int32)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_unpacked(terms, np.uint8))])
 
 
 class Best:
@@ -296,10 +306,11 @@ def _search_block(spark: SparkSession, index: DataFrame, block: list, limit: int
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(asked.value), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 at = pc.index_in(asked.value, value_set=term_array(row["terms"], row["ends"]))
                 there = np.asarray(at.is_valid())
-                total[there] += np.frombuffer(row["held"], np.int32)[at.drop_null().to_numpy(zero_copy_only=False)]
+                total[there] += _unpacked(row["held"], np.int32)[at.drop_null().to_numpy(zero_copy_only=False)]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
