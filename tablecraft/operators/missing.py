@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions.cells import blank_missing, finite_or_null, is_missing
+from tablecraft.operators.cell_counts import top_cells
 from tablecraft.operators.ordering import fill_along
 from tablecraft.operators.projection import as_number, is_numeric, numeric_columns, text_columns
 from tablecraft.operators.quantiles import column_quantiles
@@ -40,6 +41,8 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
         whole = kinds[c] in ("tinyint", "smallint", "int", "bigint")
         families.setdefault("bigint" if whole else kinds[c], []).append(c)
     out: dict[str, object] = dict.fromkeys(columns)
+    if "string" in families:
+        out.update({r["column"]: r["value"] for r in top_cells(df, families.pop("string")).collect()})
     for kind, names in families.items():
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in names])
         counts = df.select(F.inline(cells)).filter("value is not null").groupBy("column", "value").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecraft.functions import cells
 from tablecraft.operators import typing_ops
+from tablecraft.operators.cell_counts import distinct_cells, top_cells
 from tablecraft.operators.dedup import duplicate_count
 from tablecraft.operators.lookup import beside
 from tablecraft.operators.missing import column_modes
@@ -81,11 +82,9 @@ def metadata_profile(df: DataFrame) -> DataFrame:
     scalar = df.agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names]
     ).unpivot(["_rows"], names, "column", "missing")
-    values = typing_ops.value_table(df).filter("value is not null")
-    tops = values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique"), F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("t")
-    )
     numbers = numeric_columns(df)
+    levels = distinct_cells(df).groupBy("column").agg(F.count("cell").alias("unique"))
+    tops = top_cells(df, [c for c in names if c not in numbers]).select("column", F.col("value").alias("top"))
     stats = numeric_stats(df, numbers).select("column", "mean", "median", "min", "max", "std") if numbers else None
     labels = F.create_map(*[F.lit(x) for c in names for x in (c, type_label(df, c))])
     out = scalar.select(
@@ -94,9 +93,7 @@ def metadata_profile(df: DataFrame) -> DataFrame:
         F.col("_rows").alias("rows"),
         "missing",
         F.coalesce(F.try_divide(F.col("missing") * 100.0, F.col("_rows")), F.lit(0.0)).alias("missing_pct"),
-    ).join(tops, "column", "left")
-    out = out.withColumns({"unique": F.coalesce("unique", F.lit(0)), "top": F.col("t.value")}).drop("t")
-    out = out.withColumn("top", F.when(~F.col("column").isin(*numbers), F.col("top")) if numbers else F.col("top"))
+    ).join(levels, "column", "left").join(tops, "column", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
     return out.join(stats, "column", "left") if stats is not None else out
 
 
@@ -145,12 +142,7 @@ def full_profile(df: DataFrame) -> DataFrame:
 def top_categories(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """``column, value, count, percentage`` of the k most frequent cells of every text column."""
     names = list(columns or text_columns(df))
-    values = typing_ops.value_table(df, names).filter("value is not null")
-    totals = values.groupBy("column").agg(F.sum("n").alias("total"))
-    ranked = values.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-    ).filter(F.col("rank") <= k)  # Spark cuts each partition to k rows before the shuffle
-    return ranked.join(totals, "column").select(
+    return top_cells(df, names, k).select(
         "column", "rank", "value", F.col("n").alias("count"), (F.col("n") * 100.0 / F.col("total")).alias("percentage")
     )
 
@@ -178,20 +170,18 @@ def structure_issues(df: DataFrame) -> DataFrame:
 
 
 def browser_profile(df: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
-    """Dominant type, spellings, white space and number figures; everything from one stored value table.
+    """Dominant type, spellings, white space and number figures; everything from one stored table of distinct cells.
 
     Numbers are the cells read as numbers weighted by their counts; quartiles are the elements at
     rank floor(n / 4) and floor(3 n / 4).
     """
-    values = materialize(typing_ops.value_table(df))
-    kinds = typing_ops.dominant_from_values(values, overrides)
-    present = values.filter(F.col("value").isNotNull() & (F.col("value") != ""))
-    outer = present.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(cells.trim_ws("value") != F.col("value"), F.col("n"))), F.lit(0)).alias("whitespace")
-    )
+    values = materialize(typing_ops.typed_cells(df), once=True)
+    kinds = typing_ops.dominant_from_cells(values, overrides)
+    present = values.filter("type is not null")
+    outer = present.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("blanks"), F.col("n"))), F.lit(0)).alias("whitespace"))
     variants = (
-        present.groupBy("column", cells.trim_ws("value").alias("v")).agg(F.sum("n").alias("k"))
-        .groupBy("column", F.lower("v").alias("g")).agg(F.count(F.lit(1)).alias("ways"))
+        present.select("column", "trimmed", "caseless").distinct()
+        .groupBy("column", "caseless").agg(F.count(F.lit(1)).alias("ways"))
         .groupBy("column").agg(F.count_if(F.col("ways") > 1).alias("casing_groups"))
     )
     stats = _weighted_numbers(present)
@@ -205,11 +195,8 @@ def browser_profile(df: DataFrame, overrides: Mapping[str, str] | None = None) -
 def _weighted_numbers(present: DataFrame) -> DataFrame:
     from tablecraft.operators.ordering import running_sum
 
-    numeric = cells.infer_value_type("value").isin("integer", "float", "currency", "percentage")
     numbers = materialize(
-        present.filter(numeric).groupBy("column", cells.parse_numeric("value").alias("v")).agg(F.sum("n").alias("n"))
-        .filter("v is not null")
-    )
+        present.filter("number is not null").groupBy("column", F.col("number").alias("v")).agg(F.sum("n").alias("n")), once=True)
     cum = running_sum(numbers, ["v"], F.col("n"), "hi", partition_by=["column"])
     x, n = F.col("v"), F.col("n")
     # The three lookups hold one row per column of the table, so they are broadcast.
@@ -348,7 +335,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
             mode_of[F.col("column")].try_cast("double").alias("mode_number"),
         ))
     if others:
-        values = typing_ops.value_table(df, others).filter("value is not null")
+        values = distinct_cells(df, others).filter("cell is not null")
         parts.append(values.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique_count")).select(
             "column", F.lit("categorical").alias("type"), "count", "unique_count", mode_of[F.col("column")].alias("mode_text"),
         ))
@@ -357,7 +344,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 def entropy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Shannon entropy in bits per text column; more than 2.5 bits counts as diverse."""
-    values = typing_ops.value_table(df, columns or text_columns(df)).filter("value is not null")
+    values = distinct_cells(df, columns or text_columns(df)).filter("cell is not null")
     n = F.col("n").cast("double")
     # -sum(p log p) = log N - sum(n log n) / N needs no second pass for the total.
     out = values.groupBy("column").agg(
@@ -410,14 +397,12 @@ def smart_analytics(df: DataFrame) -> DataFrame:
         F.lit("outside IQR bounds").alias("detail")))
     worded = [r["column"] for r in profile.filter("dominant_type in ('categorical', 'binary')").collect()]
     if worded:
-        values = typing_ops.value_table(df, worded).filter("value is not null and value <> ''").groupBy(
-            "column", cells.trim_ws("value").alias("value")).agg(F.sum("n").alias("n"))
-        tops = values.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("t"))
+        tops = top_cells(df, worded, 1, lambda value: F.when(value != "", cells.trim_ws(value)))
         rows = profile.select("column", "rows")
-        pct = F.round(-F.col("t.n") * 100.0 / F.col("rows"))
+        pct = F.round(F.col("n") * 100.0 / F.col("rows"))
         parts.append(tops.join(rows, "column").filter(pct >= 50).select(
             F.lit("distribution").alias("type"), F.col("column").alias("subject"), pct.alias("value"),
-            F.col("t.value").alias("detail")))
+            F.col("value").alias("detail")))
     parts.append(duplicate_count(df, normalize="trim").filter("duplicates > 0").select(
         F.lit("duplicates").alias("type"), F.lit("*").alias("subject"), F.col("duplicates").cast("double").alias("value"),
         F.lit("duplicate rows").alias("detail")))
@@ -429,16 +414,18 @@ def column_facts(df: DataFrame, readable: bool = False) -> DataFrame:
 
     ``readable`` adds ``all_numbers``: whether every cell that is there reads as a number.
     """
-    values = typing_ops.value_table(df)
+    as_double = F.col("value").try_cast("double")
+    values = distinct_cells(df, valid_date=cells.is_valid_date("value"), zero_one=as_double.isin(0.0, 1.0), readable=as_double.isNotNull())
     numbers = numeric_columns(df)
     stored_dates = [c for c, k in df.dtypes if k in ("date", "timestamp", "timestamp_ntz")]
+    present = F.col("cell").isNotNull()
     facts = values.groupBy("column").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-        F.count("value").alias("distinct_count"),
-        F.coalesce(F.sum(F.when(cells.is_valid_date("value"), F.col("n"))), F.lit(0)).alias("dates"),
-        F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").try_cast("double").isin(0.0, 1.0))), F.lit(True)).alias("zero_one"),
-        F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").try_cast("double").isNotNull())), F.lit(True)).alias("all_numbers"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
+        F.count("cell").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(F.col("valid_date"), F.col("n"))), F.lit(0)).alias("dates"),
+        F.coalesce(F.bool_and(F.when(present, F.col("zero_one"))), F.lit(True)).alias("zero_one"),
+        F.coalesce(F.bool_and(F.when(present, F.col("readable"))), F.lit(True)).alias("all_numbers"),
     )
     family = (
         F.when(F.col("column").isin(*numbers), "number")
@@ -505,11 +492,11 @@ def suggest_chart(axes: DataFrame) -> DataFrame:
 
 def target_suggestions(df: DataFrame) -> DataFrame:
     """Columns that could be a prediction target: few-class text, or mostly numeric."""
-    values = typing_ops.value_table(df)
+    values = distinct_cells(df, readable=F.col("value").try_cast("double").isNotNull())
     texts = text_columns(df)
     facts = values.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.count("value").alias("classes"),
-        F.coalesce(F.sum(F.when(cells.text("value").try_cast("double").isNotNull(), F.col("n"))), F.lit(0)).alias("numbers"),
+        F.sum("n").alias("rows"), F.count("cell").alias("classes"),
+        F.coalesce(F.sum(F.when(F.col("readable"), F.col("n"))), F.lit(0)).alias("numbers"),
     )
     is_text = F.col("column").isin(*texts) if texts else F.lit(False)
     reason = F.when(is_text & F.col("classes").between(2, 20), "classification").when(

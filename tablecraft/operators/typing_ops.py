@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions import cells
+from tablecraft.operators.cell_counts import digest, distinct_cells
 from tablecraft.operators.projection import rows_of
 
 VALUE_TYPES = (
@@ -34,28 +35,26 @@ def long_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 
 def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct cells of each column with their counts; the one shuffle all type rules share."""
+    """Distinct cells of each column as text with their counts, for steps that return all of these texts."""
     return long_cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def type_votes(values: DataFrame) -> DataFrame:
-    """Per column: cells of each value type, distinct caseless values, samples."""
-    kinds = values.withColumn("type", cells.infer_value_type("value")).withColumn(
-        "norm", F.when(F.col("type") != "null", F.lower(cells.trim_ws("value")))
-    )
+def type_votes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column: cells of each value type and distinct caseless values."""
+    kinds = distinct_cells(
+        df, columns, cell=digest(F.lower(cells.trim_ws("value"))), type=cells.infer_value_type("value"))
     votes = kinds.groupBy("column").agg(
         *[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n"))), F.lit(0)).alias(f"n_{t}") for t in VALUE_TYPES]
     )
-    distinct = kinds.filter("norm is not null").groupBy("column", "norm").agg(F.sum("n").alias("k")).groupBy(
-        "column"
-    ).agg(F.count(F.lit(1)).alias("distinct_count"))
+    distinct = kinds.filter("type <> 'null'").select("column", "cell").distinct().groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct_count"))
     # Columns of the input table bound both sides: one row per column name.
     return votes.join(distinct, "column", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
 
 
 def tell_column_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Primary type, category and confidence of each column from the share of each cell type."""
-    v = type_votes(value_table(df, columns))
+    v = type_votes(df, columns)
     filled = F.col("n_non_null")
     numeric = F.col("n_integer") + F.col("n_float") + F.col("n_currency") + F.col("n_percentage")
 
@@ -119,18 +118,20 @@ def tell_column_type(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def semantic_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """id_like, boolean, numeric, datetime, categorical or text, decided over all rows."""
-    values = value_table(df, columns)
-    cell = F.lower(cells.trim_ws("value"))
+    values = distinct_cells(
+        df, columns,
+        not_boolean=~F.lower(cells.trim_ws("value")).isin(*cells.BOOLEAN_SET),
+        number=cells.to_numeric_strip("value").isNotNull(),
+        not_date=F.col("value").isNotNull() & cells.parse_date("value").isNull(),
+    )
+
+    def cells_with(fact):
+        return F.coalesce(F.sum(F.when(fact, F.col("n"))), F.lit(0))
+
     filled = values.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
-        F.count("value").alias("distinct_count"),
-        F.coalesce(
-            F.sum(F.when(F.col("value").isNotNull() & ~cell.isin(*cells.BOOLEAN_SET), F.col("n"))), F.lit(0)
-        ).alias("not_boolean"),
-        F.coalesce(F.sum(F.when(cells.to_numeric_strip("value").isNotNull(), F.col("n"))), F.lit(0)).alias("numbers"),
-        F.coalesce(
-            F.sum(F.when(F.col("value").isNotNull() & cells.parse_date("value").isNull(), F.col("n"))), F.lit(0)
-        ).alias("not_dates"),
+        cells_with(F.col("cell").isNotNull()).alias("filled"), F.count("cell").alias("distinct_count"),
+        cells_with(F.col("not_boolean")).alias("not_boolean"), cells_with(F.col("number")).alias("numbers"),
+        cells_with(F.col("not_date")).alias("not_dates"),
     )
     name = F.lower("column")
     has_date_word = name.rlike("|".join(DATE_WORDS))
@@ -149,13 +150,23 @@ def semantic_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def dominant_type(df: DataFrame, overrides: Mapping[str, str] | None = None,
                   columns: Sequence[str] | None = None) -> DataFrame:
     """Profiler's view of each column: dominant type, currency and percent cells, mixed flag."""
-    return dominant_from_values(value_table(df, columns), overrides)
+    return dominant_from_cells(typed_cells(df, columns), overrides)
+
+
+def typed_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Distinct cells with what the profiler asks: value type, digests of the trimmed and of the caseless cell, outer
+    blanks, and the number of a cell that reads as one. ``type`` is null for null and empty cells."""
+    filled, trimmed = F.col("value").isNotNull() & (F.col("value") != ""), cells.trim_ws("value")
+    kind = F.when(filled, cells.infer_value_type("value"))
+    numeric = cells.infer_value_type("value").isin("integer", "float", "currency", "percentage")
+    return distinct_cells(
+        df, columns, type=kind, trimmed=digest(trimmed), caseless=digest(F.lower(trimmed)), blanks=trimmed != F.col("value"),
+        number=F.when(filled & numeric, cells.parse_numeric("value")))
 
 
-def dominant_from_values(values: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
-    """As ``dominant_type``, from a stored value table. Only null and empty cells count as missing."""
-    filled = F.col("value").isNotNull() & (F.col("value") != "")
-    kinds = values.filter(filled).withColumn("type", cells.infer_value_type("value"))
+def dominant_from_cells(values: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
+    """As ``dominant_type``, from stored ``typed_cells``. Only null and empty cells count as missing."""
+    kinds = values.filter("type is not null")
 
     def votes(*names):
         return F.coalesce(F.sum(F.when(F.col("type").isin(*names), F.col("n"))), F.lit(0))
@@ -170,7 +181,7 @@ def dominant_from_values(values: DataFrame, overrides: Mapping[str, str] | None
         votes("email", "url", "phone", "string", "null").alias("n_string"),
     )
     distinct = (
-        kinds.groupBy("column", cells.trim_ws("value").alias("v")).agg(F.sum("n").alias("k"))
+        kinds.select("column", "trimmed").distinct()
         .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
     )
     rows = values.groupBy("column").agg(F.sum("n").alias("rows"))

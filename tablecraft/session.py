@@ -53,7 +53,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut lineage, on storage that outlives any executor."""
+def materialize(df: DataFrame, once: bool = False) -> DataFrame:
+    """Compute and cut lineage, on storage that outlives any executor.
+
+    A checkpoint computes its rows twice, to count and to write them. ``once`` keeps the first result in the executors' memory
+    and disk until it is written; for results that cost much more to compute than to hold.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not once or df.is_cached:
+        return df.checkpoint(eager=True)
+    held = df.persist()
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
