@@ -443,10 +443,23 @@ def _(t):
     return outliers.outlier_rows(t("dirty_orders"), "order_id", ["amount"])
 
 
-@query("ou03_planted_anomalies", "SELECT order_id, TRUE AS is_anomaly FROM dirty_orders WHERE order_id % 211 = 0 AND order_id % 9 <> 0 AND amount > 3000000")
+# Amounts that the view multiplies by 20; some of them still lie among the ordinary ones.
+_PLANTED = "order_id % 211 = 0 AND order_id % 9 <> 0 AND amount > 3000000"
+
+
+@query("ou03_planted_anomalies", f"""
+SELECT count(*) AS rows, count(*) FILTER (WHERE {_PLANTED}) AS planted, count(*) FILTER (WHERE {_PLANTED}) AS planted_flagged,
+  0 AS flagged_below_limit, 0 AS missed_above_limit, TRUE AS within_share FROM dirty_orders""")
 def _(t):
+    """All rows: planted ones are flagged, flags follow the scores' 95 % quantile, and no more than 5 % are flagged."""
     found = isolation.detect_anomalies(t("dirty_orders").select("order_id", "amount"), "order_id", ["amount"])
-    return found.filter("order_id % 211 = 0 AND order_id % 9 <> 0 AND amount > 3000000").select("order_id", "is_anomaly")
+    limit = found.agg(F.percentile("anomaly_score", 0.95).alias("limit"))
+    planted, flag = F.expr(_PLANTED), F.col("is_anomaly")
+    above = F.col("anomaly_score") > F.col("limit")
+    return found.crossJoin(F.broadcast(limit)).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(planted).alias("planted"), F.count_if(planted & flag).alias("planted_flagged"),
+        F.count_if(flag & ~above).alias("flagged_below_limit"), F.count_if(above & ~flag).alias("missed_above_limit"),
+        (F.count_if(flag) <= 0.05 * F.count(F.lit(1))).alias("within_share"))
 
 
 @query("ou02_detect_zscore", f"WITH {_Z} {_DETECT}")
