@@ -78,15 +78,17 @@ def _again(owner: np.ndarray, digest: np.ndarray) -> np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct chunk of a text: digest, id, and the text's hash with the chunk's start."""
+    """One row for each distinct chunk of a text: digest, id, the text's long hash, and its short hash with the chunk's start."""
     for batch in batches:
-        ids, tie = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
-        for first, last, data, bounds in text_steps(batch.column(2)):
+        ids, name, tie = (np.asarray(batch.column(i)).astype(np.int64) for i in range(3))
+        for first, last, data, bounds in text_steps(batch.column(3)):
             owner, start, _, digest = _chunks(data, bounds)
             new = ~_again(owner, digest)
             owner, start, digest = owner[new], start[new], digest[new]
             place = (tie[first:last][owner] << 32) | (start - bounds[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(digest)), pa.array(ids[first:last][owner]), pa.array(place)], ["digest", "id", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(digest)), pa.array(ids[first:last][owner]), pa.array(name[first:last][owner]), pa.array(place)],
+                ["digest", "id", "name", "place"])
 
 
 def _removed(owner, start, end, repeated) -> np.ndarray:
@@ -112,20 +114,21 @@ def remove_passages(documents: DataFrame, text: str = "text", doc_id: str = "doc
     stay empty. Input columns of the names that are added give way.
 
     Digests are grouped before the shuffle; only shared ones are joined back, and the engine splits hot ones. 64 bits
-    are enough because a passage is several chunks: chance collisions do not line up.
+    are enough because a passage is several chunks: chance collisions do not line up. A row is known by its id and 96 bits
+    of two hashes of its text; without id by 61 bits of a third, which stand for the id.
     """
     kept = documents.drop(*ADDED)
     names = kept.columns
-    own = F.hash(F.coalesce(F.col(text), F.lit("")))
-    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + own.cast("long"))
-    id_, tie, places = unused(kept, "__id", "__tie", "__met")
-    keyed = kept.withColumns({id_: order, tie: own})
-    rows = keyed.select(id_, tie, text).mapInArrow(_digests, "digest long, id long, place long")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(1), whole), 3))
+    id_, name, tie, places = unused(kept, "__id", "__name", "__tie", "__met")
+    keyed = kept.withColumns({id_: order, name: F.xxhash64(whole), tie: F.hash(whole)})
+    rows = keyed.select(id_, name, tie, text).mapInArrow(_digests, "digest long, id long, name long, place long")
     shared = rows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low")
     met = rows.join(shared, "digest").where("id <> low")
     place = F.struct(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "low")
-    met = met.groupBy(F.col("id").alias(id_), F.shiftright("place", 32).cast("int").alias(tie)).agg(F.collect_list(place).alias(places))
-    joined = keyed.join(met, [id_, tie], "left").select(*quoted(names), places)
+    met = met.groupBy(F.col("id").alias(id_), F.col("name").alias(name), F.shiftright("place", 32).cast("int").alias(tie)).agg(F.collect_set(place).alias(places))
+    joined = keyed.join(met, [id_, name, tie], "left").select(*quoted(names), places)
     at, last = names.index(text), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tablecraft.llm import chunks
 from tablecraft.llm.bytehash import SPACE
 from tests.llm.conftest import prose
@@ -117,3 +119,18 @@ def test_odd_rows(odd_documents, no_documents):
     assert sorted((r["text"] is None, r["n_removed"] > 0) for r in by[None]) == [(False, True), (True, False)]
     assert by[4][0]["text"] is None and by[5][0]["text"] == "" and by[7][0]["text"] == "one"
     assert chunks.remove_passages(no_documents).count() == 0
+
+
+def test_rows_without_id_whose_short_hashes_are_equal(spark):
+    """Two of 300,000 texts share 32 bits of hash; what they have in common goes from one of them alone, nothing else does."""
+    shared = prose(60, 7)
+    texts = spark.range(300_000).select(F.concat(F.md5(F.col("id").cast("string")), F.lit(" "), F.repeat(F.lit("tail of it "), (F.col("id") % 40).cast("int")), F.lit(shared)).alias("text"))
+    pairs = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).where("size(t) > 1 AND length(t[0]) <> length(t[1])").limit(3).collect()
+    assert pairs
+    for row in pairs:
+        first, second = row["t"][:2]
+        documents = spark.createDataFrame([(None, first), (None, second), (1, "lead " + shared)], "doc_id long, text string")
+        found = chunks.remove_passages(documents).collect()
+        lost = [r["n_removed"] for r in found if r["doc_id"] is None]
+        assert len(lost) == 2 and all(len(shared) * 0.6 < n <= len(first) + len(second) for n in lost)
+        assert all(r["text"][:30] in (first[:30], second[:30]) for r in found if r["doc_id"] is None)
