@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType, TimestampType
 
 from tablecraft.functions.cells import blank_missing, text
 from tablecraft.operators.profile import version_diff
+from tablecraft.sources.records import records
 
 DELIMITERS = ("\t", ",", ";", "|")
+LATIN = ("ISO-8859-1", "LATIN-1", "LATIN1", "ISO8859-1")
 
 
 def sniff_delimiter(lines: Sequence[str]) -> str | None:
@@ -44,31 +46,99 @@ def _file_kinds(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[
     return out
 
 
+def _read_strings(spark: SparkSession, records: DataFrame, options: Mapping[str, object], schema=None) -> DataFrame:
+    """Rows of a column of CSV records; the reader takes a Dataset of strings, which has no name in Python."""
+    reader = spark.read.options(**options) if schema is None else spark.read.options(**options).schema(schema)
+    strings = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(strings), spark)
+
+
+def _record_ways(spark: SparkSession, files: str | list[str], latin: bool, header: bool, options: Mapping[str, object]) -> list[Callable]:
+    """Readers of files with line breaks in cells, one for each header: ``read(schema, infer)``. Files are split over tasks."""
+    found = records(spark, files, latin).where("value <> ''")
+    options = {**options, "header": False}
+
+    def way(rows, names):
+        def read(schema=None, infer=True):
+            if schema is not None:
+                return _read_strings(spark, rows, options, StructType([StructField(f"_c{i}", f.dataType) for i, f in enumerate(schema)])).toDF(*schema.names)
+            df = _read_strings(spark, rows, {**options, "inferSchema": infer})
+            if not df.columns and names:  # headers only
+                df = spark.createDataFrame([], StructType([StructField(n, StringType()) for n in names]))
+            return df.toDF(*names) if names else df
+        return read
+
+    if not header:
+        return [way(found.select("value"), None)]
+    heads = found.groupBy("file").agg(F.min(F.struct("block", "seq", "value")).alias("head"))
+    by_text: dict[str, list[tuple]] = {}
+    for r in heads.collect():  # one row a file
+        by_text.setdefault(r["head"]["value"], []).append((r["file"], r["head"]["block"], r["head"]["seq"]))
+    out = []
+    for text_, members in sorted(by_text.items()):
+        first = F.broadcast(spark.createDataFrame(members, "file string, first_block bigint, first_seq bigint"))
+        body = found.join(first, "file").where("block > first_block OR (block = first_block AND seq > first_seq)").select("value")
+        out.append(way(body, next(csv.reader(text_.removeprefix("\ufeff").splitlines(True), delimiter=str(options["sep"])))))
+    return out
+
+
+# Kinds of number in the order in which one holds the other.
+_NUMBERS = ("int", "bigint", "double")
+
+
+def _widest(kinds: Sequence[DataType]) -> DataType:
+    """The narrowest type that holds the cells of all parts: equal types, the wider number, a timestamp for dates, or text."""
+    names = {k.simpleString() for k in kinds}
+    if len(names) == 1:
+        return kinds[0]
+    if names <= set(_NUMBERS):
+        return max(kinds, key=lambda k: _NUMBERS.index(k.simpleString()))
+    if names == {"date", "timestamp"}:
+        return TimestampType()
+    return StringType()
+
+
+def _together(ways: Sequence[Callable], infer: bool) -> DataFrame:
+    """All parts by column name, missing columns null, each column in the narrowest type that holds the cells of all parts."""
+    if len(ways) == 1:
+        return _named(ways[0](None, infer))
+    schemas = [way(None, infer).schema for way in ways]
+    kinds: dict[str, list] = {}
+    for f in (f for s in schemas for f in s):
+        kinds.setdefault(f.name, []).append(f.dataType)
+    parts = [way(StructType([StructField(f.name, _widest(kinds[f.name])) for f in s]), infer) for way, s in zip(ways, schemas)]
+    return _named(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, infer: bool = True, sep: str = ",",
              schema=None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header. Each file is judged by itself: one with bytes that are not UTF-8 is read as Latin-1, one with
-    quoted cells that hold line breaks is read whole by one task instead of being split.
+    quoted cells that hold line breaks is cut into records first, by as many tasks as it has splits.
 
-    Naming ``encoding``, ``multi_line`` and ``schema`` saves the two extra reads that finding them takes. White space
-    around cells is kept.
+    Files of other headers are merged by column name, missing columns are null. Naming ``encoding``, ``multi_line`` and
+    ``schema`` saves the extra reads that finding them takes. White space around cells is kept.
     """
-    options = dict(header=header, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    options = dict(sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if encoding is not None and multi_line is not None:
-        ways = [(path, encoding, multi_line)]
+        kinds = {(encoding.upper() in LATIN, multi_line): path}
     else:
-        kinds = _file_kinds(spark, path)
-        ways = [
-            (path if len(kinds) == 1 else names, encoding or ("ISO-8859-1" if latin else "UTF-8"), broken if multi_line is None else multi_line)
-            for (latin, broken), names in sorted(kinds.items())] or [(path, encoding or "UTF-8", bool(multi_line))]
-    read = lambda way, kind: spark.read.csv(way[0], schema=kind, encoding=way[1], multiLine=way[2], **options)
-    if schema is None and len(ways) == 1:
-        return _named(spark.read.csv(ways[0][0], inferSchema=infer, encoding=ways[0][1], multiLine=ways[0][2], **options))
-    if schema is None:  # the narrowest types that hold the cells of all parts
-        kinds = [spark.read.csv(w[0], inferSchema=infer, encoding=w[1], multiLine=w[2], **options).schema for w in ways]
-        schema = StructType([
-            f if all(k[f.name].dataType == f.dataType for k in kinds) else StructField(f.name, StringType()) for f in kinds[0]])
-        return _named(reduce(DataFrame.unionByName, [read(w, schema) for w in ways]))
-    return reduce(DataFrame.unionByName, [read(w, schema) for w in ways])
+        found = _file_kinds(spark, path) or {(False, False): path}
+        kinds = {}
+        for (latin, broken), names in sorted(found.items()):
+            as_latin = latin if encoding is None else encoding.upper() in LATIN
+            kinds.setdefault((as_latin, broken if multi_line is None else multi_line), []).extend([path] if len(found) == 1 else names)
+    ways: list[Callable] = []
+    for (latin, broken), files in kinds.items():
+        if broken:
+            ways += _record_ways(spark, files, latin, header, options)
+        else:
+            code = encoding or ("ISO-8859-1" if latin else "UTF-8")
+            ways.append(lambda schema=None, infer=True, files=files, code=code: spark.read.csv(
+                files, schema=schema, inferSchema=infer if schema is None else None, header=header, encoding=code, **options))
+    if schema is None:
+        return _together(ways, infer)
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return reduce(DataFrame.unionByName, [way(wanted) for way in ways])
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -81,13 +151,21 @@ def _named(df: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """All-text landing table: sniffed delimiter, quoted fields, null tokens, blank lines skipped.
 
-    Files in which a quoted cell goes on over a line's end are read whole, each by one task; finding them is one scan.
+    Each file is judged by itself, as in ``read_csv``: bytes that are not UTF-8 are read as Latin-1, and files in which a quoted
+    cell goes on over a line's end are cut into records first. Files of other headers are merged by column name.
     """
     lines = [r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(5).collect()]
-    sep = sniff_delimiter(lines) or ","
-    broken = any(b for _, b in _file_kinds(spark, path))
-    raw = _named(spark.read.csv(path, header=True, sep=sep, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=True,
-                                ignoreTrailingWhiteSpace=True, multiLine=broken))
+    options = dict(sep=sniff_delimiter(lines) or ",", escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    kinds = _file_kinds(spark, path) or {(False, False): [path]}
+    ways: list[Callable] = []
+    for (latin, broken), names in sorted(kinds.items()):
+        files = path if len(kinds) == 1 else names
+        if broken:
+            ways += _record_ways(spark, files, latin, True, options)
+        else:
+            ways.append(lambda schema=None, infer=False, files=files, code="ISO-8859-1" if latin else "UTF-8": spark.read.csv(
+                files, schema=schema, inferSchema=False if schema is None else None, header=True, encoding=code, **options))
+    raw = _together(ways, False)
     return raw.select(*[blank_missing(c).alias(c) for c in raw.columns]).dropna("all")
 
 
