@@ -8,18 +8,26 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablecraft.llm.bytehash import text_steps
 from tablecraft.llm.registry import map_batches, query, table, widened
+from tablecraft.llm.token_cache import _cuts as word_cuts
 
 # Fixed values of the byte-level format: white space as the format's own patterns read it, and the word pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+# One word of the pattern in any library's reading: Latin letters with at most one blank before them.
+PLAIN = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 # The scan of the whole rank array for its minimum is for short words; longer ones keep a heap beside the array.
 SHORT = 256
 MEMORY = 100_000
+# Bytes of texts whose distinct parts are encoded together.
+STEP = 1 << 22
 NO_RANK = 1 << 62
 
 
@@ -51,6 +59,12 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a], vocab[b]] = len(self.merged)
             self.merged.append(vocab[a + b])
+        pairs = np.array([a * len(vocab) + b for a, b in self.rank], np.int64)
+        order = np.argsort(pairs)
+        self.width, self.pairs, self.pair_rank = len(vocab), pairs[order], order.astype(np.int64)
+        self.starts, self.merges = np.array(self.start, np.int64), np.array(self.merged, np.int64)
+        self.id_text = pa.array([str(i).encode() for i in range(max(self.bytes_of) + 1)], pa.binary())
+        self.id_bytes = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.binary())
         self.word = regex.compile(WORD)
         self.piece = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -77,6 +91,41 @@ class Bpe:
                 ranks[i] = rank.get((parts[i], parts[i + 1]), NO_RANK)
         return parts
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of parts, NO_RANK where it is none or a part is missing (-1)."""
+        pair = left * self.width + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+        known = (left >= 0) & (right >= 0) & (len(self.pairs) > 0)
+        return np.where(known & (self.pairs[at] == pair), self.pair_rank[at], NO_RANK) if len(self.pairs) else np.full(pair.shape, NO_RANK)
+
+    def merge_matrix(self, data: np.ndarray) -> np.ndarray:
+        """As ``merge`` for many words of one length, given as rows of bytes: rows of ids, -1 behind the last.
+
+        Parts and adjacent ranks are matrices. A round finds each row's least rank, joins the two parts, closes the gap in
+        both matrices and looks up the two ranks beside the join; rows without a rank are done.
+        """
+        parts, length = self.starts[data], data.shape[1]
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        open_, place = np.arange(len(parts)), np.arange(length)[None, :]
+        while len(open_) and length > 1:
+            r = ranks[open_]
+            at = r.argmin(axis=1)
+            low = r[np.arange(len(r)), at]
+            go = low < NO_RANK
+            open_, at, low, r = open_[go], at[go], low[go], r[go]
+            p, row = parts[open_], np.arange(len(open_))
+            p[row, at] = self.merges[low]
+            p[:, :-1] = np.take_along_axis(p, place[:, :-1] + (place[:, :-1] > at[:, None]), 1)
+            p[:, -1] = -1
+            if length > 2:
+                r[:, :-1] = np.take_along_axis(r, place[:, :-2] + (place[:, :-2] >= at[:, None]), 1)
+            r[:, -1] = NO_RANK
+            inner, behind = at < length - 1, at > 0
+            r[row[inner], at[inner]] = self._ranks(p[row[inner], at[inner]], p[row[inner], at[inner] + 1])
+            r[row[behind], at[behind] - 1] = self._ranks(p[row[behind], at[behind] - 1], p[row[behind], at[behind]])
+            parts[open_], ranks[open_] = p, r
+        return parts
+
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same merges for a long word in n log n: boundaries are a linked list, stale heap entries are passed over."""
         n, rank = len(parts), self.rank
@@ -105,6 +154,33 @@ class Bpe:
             self.known[piece] = out
         return out
 
+    def encode_parts(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Of each distinct part of texts (large strings): its ids joined by commas, their number, and their bytes.
+
+        Parts that are one word of plain letters are merged together, length by length; the others are cut into words first.
+        """
+        plain = np.asarray(pc.match_substring_regex(parts, PLAIN)) & (np.asarray(pc.binary_length(parts)) <= 64)
+        offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset:parts.offset + len(parts) + 1]
+        data = np.frombuffer(parts.buffers()[2], np.uint8)
+        length, order, flat, counts = np.diff(offsets), [], [], []
+        for n in np.unique(length[plain]).tolist():
+            rows = np.flatnonzero(plain & (length == n))
+            for i in range(0, len(rows), 1 << 15):
+                some = rows[i:i + (1 << 15)]
+                ids = self.merge_matrix(data[offsets[some][:, None] + np.arange(n)])
+                order.append(some)
+                flat.append(ids[ids >= 0])
+                counts.append((ids >= 0).sum(axis=1))
+        other = np.flatnonzero(~plain)
+        found = [list(self.pieces(p)) for p in parts.take(pa.array(other)).to_pylist()]
+        numbers = [",".join([i for i, _ in f]).encode() for f in found]
+        tokens = np.concatenate([*counts, np.array([n.count(b",") + 1 for n in numbers], np.int64)]).astype(np.int64)
+        lists, ids = np.concatenate([[0], *counts]).cumsum().astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *flat]))
+        joined = [pa.concat_arrays([pc.binary_join(pa.ListArray.from_arrays(pa.array(lists), of.take(ids)), sep), pa.array(rest, pa.binary())])
+                  for of, sep, rest in ((self.id_text, b",", numbers), (self.id_bytes, b"", [b"".join([x for _, x in f]) for f in found]))]
+        back = np.argsort(np.concatenate([*order, other]), kind="stable")
+        return joined[0].take(pa.array(back)), tokens[back], joined[1].take(pa.array(back))
+
     def pieces(self, text: str) -> Iterator[tuple[str, bytes]]:
         """(ids joined by commas, their bytes) of each run of white space with the run of other letters behind it.
 
@@ -118,6 +194,24 @@ class Bpe:
                 for piece in self.piece.findall(part):
                     yield known.get(piece) or learn(piece)
 
+    def whole_texts(self, column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray, list[bytes]]]:
+        """Steps of a text column: first row, row after the last, and for each text its ids joined by commas, their number, their bytes.
+
+        Texts are cut behind letters and before blanks, where words end in any case; each distinct part of a step is encoded once.
+        """
+        for first, last, data, bounds in text_steps(column, STEP):
+            edge = np.zeros(len(data) + 1, dtype=bool)
+            edge[bounds] = edge[word_cuts(data)] = True
+            edges = np.flatnonzero(edge)
+            buffers = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]
+            parts = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, buffers).dictionary_encode()
+            ids, tokens, backs = self.encode_parts(parts.dictionary)
+            at = np.searchsorted(edges, bounds)
+            texts = pa.array(at, pa.int32())
+            joined = [pc.binary_join(pa.ListArray.from_arrays(texts, x.take(parts.indices)), sep).to_pylist() for x, sep in ((ids, b","), (backs, b""))]
+            sums = np.concatenate([[0], np.cumsum(tokens[parts.indices.to_numpy()])])
+            yield first, last, joined[0], np.diff(sums[at]), joined[1]
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.pieces(text) for i in ids.split(",")]
 
@@ -241,17 +335,12 @@ def token_digests(df: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shared)
         for batch in batches:
-            counts, digests, backs = [], [], []
-            for text in batch.column(1):
-                pieces = list(bpe.pieces(text.as_py() or ""))
-                ids = ",".join([p[0] for p in pieces]).encode()
-                counts.append(ids.count(b",") + 1 if ids else 0)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                back = b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
-                backs.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(backs)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first, last, ids, tokens, backs in bpe.whole_texts(batch.column(1)):
+                digests = [hashlib.sha256(i).hexdigest() for i in ids]
+                backs = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in backs]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(tokens), pa.array(digests, pa.string()), pa.array(backs, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = df.select(F.col("doc_id").cast("long"), "text")
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -61,3 +62,17 @@ def test_odd_rows(odd_documents, no_documents, library):
     assert wide.columns == [*odd_documents.columns, "ids", "back"]
     for row in wide.collect():
         assert row["back"] == (row["text"] or "")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=14).map("".join)), max_size=6))
+def test_parts_of_a_batch_make_whole_texts(library, bpe, texts):
+    found = []
+    for first, last, ids, tokens, backs in bpe.whole_texts(pa.array(texts, pa.string())):
+        assert last - first == len(ids) == len(tokens) == len(backs)
+        found += zip(ids, tokens.tolist(), backs)
+    expected = []
+    for text in texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        expected.append((",".join(map(str, ids)).encode(), len(ids), (text or "").encode()))
+    assert found == expected
