@@ -129,11 +129,14 @@ def fit(background: DataFrame, target: DataFrame, spark: SparkSession):
 
 # Texts are counted and scored in blocks of about so many bytes; a row has ROW_BYTES besides its text. Keys are summed in buckets of
 # what BUCKET_BYTES of text have.
-BLOCK_BYTES, ROW_BYTES, BUCKET_BYTES = 16 << 20, 64, 4 << 20
+BLOCK_BYTES, ROW_BYTES, BUCKET_BYTES = 16 << 20, 64, 16 << 20
 # Keys of what is counted have 63 bits: the last is 0 for words, 1 for pairs. START stands before each text's first word.
 START = U64(2)
-REQUESTS = "block long, first long, rows int, bucket int, n int, keys binary, counts binary"
-ANSWERS = "block long, first long, rows int, bucket int, n int, background binary, good binary, known long, total long, wanted long"
+# In place of a block: the target's counts, and the numbers of words that a bucket tells besides its answers.
+TARGET, NUMBERS = -1, -2
+PARTS = "block long, part long, bytes long, packed binary"
+REQUESTS = "block long, part long, bucket int, n int, keys binary, counts binary"
+ANSWERS = "block long, part long, bucket int, n int, background binary, good binary, known long, total long, wanted long"
 
 
 def _names(ddl: str) -> list[str]:
@@ -141,17 +144,27 @@ def _names(ddl: str) -> list[str]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A number of its block and one of its own in front of each row (doc_id, text); rows of one task fill one block after another."""
-    base, held, rows = TaskContext.get().partitionId() << 32, 0, 0
+    """Rows (doc_id, text) in compressed parts with the number of their block; rows of one task fill one block after another."""
+    base, held, part = TaskContext.get().partitionId() << 32, 0, 0
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)).astype(np.int64) + ROW_BYTES
-        before = held + np.cumsum(sizes) - sizes
-        held = int(before[-1] + sizes[-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(base + before // BLOCK_BYTES), pa.array(np.arange(rows, rows + batch.num_rows)), *batch.columns], ["block", "row", "doc_id", "text"])
-        rows += batch.num_rows
+        block = (held + np.cumsum(sizes) - sizes) // BLOCK_BYTES
+        held += int(sizes.sum())
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        for a, b in zip(edges, edges[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                writer.write_batch(batch.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([base + int(block[a])]), pa.array([part]), pa.array([int(sizes[a:b].sum())]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], _names(PARTS))
+            part += 1
+
+
+def _rows(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -191,45 +204,53 @@ def _requests(buckets: int):
     width = (1 << 63) // buckets + 1
     lows = np.array([i * width for i in range(buckets)], np.int64)
 
+    def ask(block: int, part: int, texts) -> pa.RecordBatch:
+        """Counts of words and pairs of some texts, one row for each bucket that has keys of them."""
+        word, _, pair, first = _keys(texts)
+        keys, counts = _counted(word, pair, first)
+        bucket = keys // width
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        own = bucket[edges[:-1]]
+        spans = list(zip(edges[:-1], edges[1:]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(own), block)), pa.array(np.full(len(own), part)), pa.array(own.astype(np.int32)),
+             pa.array(np.diff(edges).astype(np.int32)),
+             pa.array([_pack(np.diff(keys[a:b], prepend=lows[i])) for i, (a, b) in zip(own, spans)], pa.binary()),
+             pa.array([_pack(counts[a:b]) for a, b in spans], pa.binary())], _names(REQUESTS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of words and pairs of (block, row, text): for each run of rows of a block one row a bucket, also where it has no key."""
         for batch in batches:
-            block, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            new = (block[1:] != block[:-1]) | (row[1:] != row[:-1] + (block[1:] >= 0))
-            edges = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(block) else []
-            for a, b in zip(edges, edges[1:]):
-                word, _, pair, first = _keys(batch.column(2).slice(a, b - a))
-                keys, counts = _counted(word, pair, first)
-                at = np.append(np.searchsorted(keys, lows), len(keys))
-                parts = [(keys[c:d], counts[c:d], low) for c, d, low in zip(at[:-1], at[1:], lows)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(buckets, block[a])), pa.array(np.full(buckets, row[a])), pa.array(np.full(buckets, b - a, np.int32)),
-                     pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.diff(at).astype(np.int32)),
-                     pa.array([_pack(np.diff(k, prepend=low)) for k, _, low in parts], pa.binary()),
-                     pa.array([_pack(n) for _, n, _ in parts], pa.binary())], _names(REQUESTS))
+            for block, part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                yield ask(block, part, _rows(packed).column("text"))
+
+    def run_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield ask(TARGET, TARGET, batch.column(0))
 
     def merge(asked: pa.Table) -> pa.Table:
         """Sums of one bucket's keys over all documents and over the target, for every asker in its order, and those of all words."""
         block, n = asked.column("block").to_numpy(), asked.column("n").to_numpy()
-        low = lows[asked.column("bucket")[0].as_py()]
+        bucket = asked.column("bucket")[0].as_py()
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size, k, c in zip(n, asked.column("keys"), asked.column("counts")):
-            keys.append(low + np.cumsum(_unpack(k.as_py(), size)))
+            keys.append(lows[bucket] + np.cumsum(_unpack(k.as_py(), size)))
             counts.append(_unpack(c.as_py(), size))
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         counts, own = np.concatenate(counts), np.repeat(block >= 0, n)
         every, good = (np.bincount(at, weights=counts * mine, minlength=len(distinct)).astype(np.int64) for mine in (own, ~own))
         words = ((distinct & 1) == 0) & (distinct != int(START))
-        numbers = (int((words & (every > 0)).sum()), int(every[words].sum()), int(good[words].sum()))
         ends = np.cumsum(n)
         askers = np.flatnonzero(block >= 0)
         places = [at[ends[i] - n[i]:ends[i]] for i in askers]
-        return pa.Table.from_arrays(
-            [*(asked.column(c).take(pa.array(askers)) for c in ("block", "first", "rows", "bucket", "n")),
+        told = pa.Table.from_arrays(
+            [*(asked.column(c).take(pa.array(askers)) for c in ("block", "part", "bucket", "n")),
              *(pa.array([_pack(sums[p]) for p in places], pa.binary()) for sums in (every, good)),
-             *(pa.array(np.full(len(askers), x, np.int64)) for x in numbers)], _names(ANSWERS))
+             *(pa.nulls(len(askers), pa.int64()) for _ in range(3))], _names(ANSWERS))
+        numbers = int((words & (every > 0)).sum()), int(every[words].sum()), int(good[words].sum())
+        row = [NUMBERS, NUMBERS, bucket, 0, None, None, *numbers]
+        return pa.concat_tables([told, pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, told.schema.types)], schema=told.schema)])
 
-    return run, merge
+    return run, run_target, merge
 
 
 def _bits(known: float, words: float, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -247,34 +268,34 @@ def cross_entropy(documents: DataFrame, target: DataFrame) -> DataFrame:
     losses. Words are runs without white space, A-Z lower-cased. Rows are scored one by one, so repeated rows repeat;
     the target's own texts are part of both models. Other columns are not read.
 
-    Every word and every pair of words has a count of its own, keyed by 63 bits of its hash. Texts are dealt into blocks.
-    A block tells the counts of its distinct words and pairs, packed by ranges of keys; these are summed by range, and the
-    sums go back to the block. A key is told once a block, however often it occurs, so a hot one is no larger than others.
+    Every word and every pair of words has a count of its own, keyed by 63 bits of its hash. Texts are dealt into blocks of
+    compressed parts. A part tells the counts of its distinct words and pairs, packed by ranges of keys, where it has any;
+    these are summed by range, and the sums go back to the block. A key is told once a part, however often it occurs, so a
+    hot one is no larger than others. Both exchanges have tasks in proportion to the texts.
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    blocks = stored(documents.mapInArrow(_blocks, "block long, row long, doc_id long, text string"), "zstd")
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    run, merge = _requests(max(size // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    none = F.lit(-1).cast("long")
-    asked = blocks.select("block", "row", "text").mapInArrow(run, REQUESTS).unionByName(
-        target.select(none.alias("block"), none.alias("row"), "text").mapInArrow(run, REQUESTS).where("n > 0"))
-    answers = asked.groupBy("bucket").applyInArrow(merge, ANSWERS)
-
-    def score(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        texts = texts.sort_by("row")
-        rows = texts.column("row").to_numpy()
-        sums = sums.sort_by([("first", "ascending"), ("bucket", "ascending")])
-        firsts = sums.column("first").to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1], [True]]))
-        out = []
-        for a, b in zip(edges, edges[1:]):
-            told = sums.slice(a, b - a)
-            part = texts.slice(int(np.searchsorted(rows, firsts[a])), told.column("rows")[0].as_py())
-            word, before, pair, first = _keys(part.column("text"))
+    blocks = stored(documents.mapInArrow(_blocks, PARTS))
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(size // BUCKET_BYTES, 4 * least)
+    run, run_target, merge = _requests(buckets)
+    asked = blocks.mapInArrow(run, REQUESTS).unionByName(target.select("text").mapInArrow(run_target, REQUESTS))
+    answers = stored(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, ANSWERS), "zstd")
+    numbers = answers.where(F.col("block") == NUMBERS).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "total", "wanted")])
+    known, total, wanted = numbers.first()
+
+    def score(parts: pa.Table, sums: pa.Table) -> pa.Table:
+        sums = sums.sort_by([("part", "ascending"), ("bucket", "ascending")])
+        owner = sums.column("part").to_numpy()
+        out = [pa.table({c: pa.array([], t) for c, t in zip(SCORED, (pa.int64(), pa.int64(), *[pa.float64()] * 3))})]
+        for number, packed in zip(parts.column("part").to_pylist(), parts.column("packed")):
+            start, end = (int(np.searchsorted(owner, number, side=side)) for side in ("left", "right"))
+            told = sums.slice(start, end - start)
+            rows = _rows(packed)
+            word, before, pair, first = _keys(rows.column("text").combine_chunks())
             keys, _ = _counted(word, pair, first)
-            known, total, wanted = (int(told.column(c).to_numpy().sum()) for c in ("known", "total", "wanted"))
-            every, good = (np.concatenate([_unpack(x.as_py(), k) for x, k in zip(told.column(c), told.column("n").to_numpy())])
+            every, good = (np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py(), k) for x, k in zip(told.column(c), told.column("n").to_numpy()))])
                            for c in ("background", "good"))
             word, before, pair = (np.searchsorted(keys, k) for k in (word, before, pair))
             n = np.diff(first)
@@ -286,10 +307,12 @@ def cross_entropy(documents: DataFrame, target: DataFrame) -> DataFrame:
                 if len(bits):  # summed text by text, so that equal texts score the same in every block
                     means[-1][~empty] = np.add.reduceat(bits, first[:-1][~empty]) / n[~empty]
             out.append(pa.Table.from_arrays(
-                [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(m, mask=empty) for m in (*means, means[0] - means[1]))], SCORED))
+                [rows.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(m, mask=empty) for m in (*means, means[0] - means[1]))], SCORED))
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    tasks = max(size // BLOCK_BYTES, least)
+    told = answers.where("block >= 0").select("block", "part", "bucket", "n", "background", "good")
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(told.repartition(tasks, "block").groupBy("block")).applyInArrow(
         score, "doc_id long, n_words long, loss_target double, loss_background double, score double")
 
 
