@@ -13,8 +13,9 @@ from tablecraft.llm.bytehash import SPACE, RangeHash, salts, signed, text_steps
 from tablecraft.llm.registry import map_batches, query, quoted, table, unused, widened
 
 # The hash has 16 bits, so a cut depends on the 16 bytes before it and no others. Behind one white-space byte in
-# CUT a chunk ends: about 50 bytes with usual words. Bounds of a chunk's length, in bytes.
-GEAR_BITS, CUT, LEAST, MOST = 16, 5, 16, 256
+# CUT a chunk ends: about 50 bytes with usual words. Bounds of a chunk's length, in bytes. In words of over
+# UNBROKEN bytes, as scripts without spaces have, a chunk also ends where the hash is the least within NEAR bytes, about 50 bytes too.
+GEAR_BITS, CUT, LEAST, MOST, UNBROKEN, NEAR = 16, 5, 16, 256, 64, 24
 # A passage goes if its repeated chunks, without a gap, hold as many bytes: under 50 words of usual length.
 PASSAGE = 120
 _GEAR = (salts(256, 606) >> np.uint64(40)).astype(np.uint16)
@@ -34,18 +35,37 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def inside_words(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ends of code points in words over UNBROKEN bytes whose gear hash, of the word's bytes alone, is below all others within NEAR bytes."""
+    stops = np.union1d(np.flatnonzero(SPACE[data]), bounds)
+    long_ = np.flatnonzero(np.diff(stops) > UNBROKEN)
+    if not len(long_):
+        return np.zeros(0, np.int64)
+    inside = np.concatenate([np.arange(stops[i] + 1 + GEAR_BITS, stops[i + 1]) for i in long_])
+    inside = inside[(data[inside] & 0xC0) != 0x80]
+    h = gear(data)
+    value = np.full(len(data) + 2 * NEAR, 1 << GEAR_BITS, np.int32)
+    value[inside + NEAR] = h[inside - 1]
+    for d in range(1, NEAR + 1):
+        at = inside + NEAR
+        inside = inside[(value[at] < value[at - d]) & (value[at] < value[at + d])]
+    return inside
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
     """Ends of all chunks of a buffer of texts, ascending; the end of each text that has bytes is among them.
 
-    A chunk ends behind a white-space byte whose gear hash is in the lowest CUT-th, unless another such place lies less
-    than LEAST bytes before; stretches over MOST bytes without one are cut at that length, never inside a code point.
-    Both rules look at near bytes only, so an insertion moves the cuts around it and no others. A text's last cut may
-    leave a shorter chunk.
+    A chunk ends behind a white-space byte whose gear hash is in the lowest CUT-th, or at one of the places ``inside`` words
+    if given, unless another such place lies less than LEAST bytes before; stretches over MOST bytes without one, such as one letter over and over, are cut at that length, never inside a
+    code point. The rules look at near bytes only, so an insertion moves the cuts around it and no others, with and without
+    spaces. A text's last cut may leave a shorter chunk.
     """
     edge = np.unique(bounds[1:][np.diff(bounds) > 0])
     if not len(edge):
         return edge
     hit = np.flatnonzero(SPACE[data] & (gear(data) < (1 << GEAR_BITS) // CUT)) + 1
+    if inside is not None and len(inside):
+        hit = np.union1d(hit, inside)
     text = bounds[np.searchsorted(bounds, hit, side="left") - 1]
     hit, text = hit[hit - text >= GEAR_BITS], text[hit - text >= GEAR_BITS]
     before = np.concatenate([[-LEAST], hit[:-1]])[:len(hit)]
@@ -63,7 +83,7 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, start, end and digest of every chunk."""
-    end = cuts(data, bounds)
+    end = cuts(data, bounds, inside_words(data, bounds))
     start = np.concatenate([[0], end[:-1]])[:len(end)].astype(np.int64)
     return np.searchsorted(bounds, start, side="right") - 1, start, end, RangeHash(data)(start, end)
 

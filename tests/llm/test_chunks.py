@@ -134,3 +134,61 @@ def test_rows_without_id_whose_short_hashes_are_equal(spark):
         lost = [r["n_removed"] for r in found if r["doc_id"] is None]
         assert len(lost) == 2 and all(len(shared) * 0.6 < n <= len(first) + len(second) for n in lost)
         assert all(r["text"][:30] in (first[:30], second[:30]) for r in found if r["doc_id"] is None)
+
+
+def test_passages_without_spaces_at_other_offsets(spark):
+    rng = np.random.default_rng(9)
+
+    def script(n):
+        return "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+
+    rows, passages = [], []
+    for k in range(60):
+        passages.append(script(300))
+        rows += [(2 * k, script(int(rng.integers(0, 400))) + passages[k] + script(200)),
+                 (2 * k + 1, script(int(rng.integers(0, 400))) + passages[k] + script(int(rng.integers(0, 300))))]
+    out = {r["doc_id"]: r for r in chunks.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = [out[2 * k + 1]["n_removed"] for k in range(60)]
+    assert min(removed) > 0 and np.mean(removed) > 0.8 * 900 and max(removed) <= 900
+    for k in range(60):
+        assert out[2 * k]["n_removed"] == 0 and out[2 * k]["text"] == rows[2 * k][1]
+        assert out[2 * k + 1]["repeats_of"] == [2 * k]
+        assert len(out[2 * k + 1]["text"].encode()) == len(rows[2 * k + 1][1].encode()) - removed[k]
+
+
+def unbroken_ends(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    bounds = np.array([0, len(data)])
+    return list(chunks.cuts(data, bounds, chunks.inside_words(data, bounds)))
+
+
+def test_insertions_in_unbroken_text_move_near_cuts_only():
+    rng = np.random.default_rng(10)
+    text = "".join(map(chr, rng.integers(97, 123, 6000)))
+    before, after = unbroken_ends(text), unbroken_ends(text[:1500] + "qqq" + text[1500:])
+    assert [e for e in before if e > 1700] == [e - 3 for e in after if e > 1703]
+    assert [e for e in before if e < 1400] == [e for e in after if e < 1400]
+    assert 30 < len(text) / len(before) < 70 and max(np.diff(before)) <= chunks.MOST
+    spaced = prose(400, 1)
+    assert unbroken_ends(spaced) == ends(spaced)
+
+
+def test_places_inside_words_by_the_rule():
+    rng = np.random.default_rng(11)
+    long_ = ["".join(map(chr, rng.choice([97, 122, 233, 0x4E00, 0x1F600], 90))), "x" * 200, "ab" * 100, "short"]
+    text = " ".join([*long_, prose(5, 1), "".join(map(chr, rng.integers(97, 123, 300)))])
+    data, want, at = text.encode(), [], 0
+    for word in text.split(" "):
+        size = len(word.encode())
+        if size >= chunks.UNBROKEN:
+            value = {}
+            for p in range(at + chunks.GEAR_BITS, at + size):
+                if data[p] & 0xC0 != 0x80:
+                    h = 0
+                    for b in data[p - 16:p]:
+                        h = (2 * h + int(chunks._GEAR[b])) % 65536
+                    value[p] = h
+            want += [p for p, h in value.items() if all(h < value.get(q, 65536) for q in range(p - chunks.NEAR, p + chunks.NEAR + 1) if q != p)]
+        at += size + 1
+    array = np.frombuffer(data, np.uint8)
+    assert list(chunks.inside_words(array, np.array([0, len(array)]))) == want and want
