@@ -68,18 +68,24 @@ def anomaly_scores(df: DataFrame, key: str, columns: Sequence[str] | None = None
     if rows < 5:
         return ready.drop("_vec").withColumn("anomaly_score", F.lit(None).cast("double"))
     take = min(rows, SUBSAMPLE)
-    # Every tree draws rows by a hash of row and tree, some more than it needs, and keeps the 256 of the least hash.
-    bound = min(2 ** 63 - 1, int(2 ** 63 * min(1.0, SPARE * take / rows)))
+    # Every tree draws each row with the same chance, some rows more than it needs, and keeps 256 of them in hash order. The first
+    # tree that draws a row is a geometric gap from one hash of the row, so most rows of a large table cost no more than that.
+    chance = min(1.0, SPARE * take / rows)
+    bound = min(2 ** 63 - 1, int(2 ** 63 * chance))
     own = F.struct(F.col(key), F.col("_vec"))
-    draws = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(
-            tree.alias("tree"), F.xxhash64(own, tree, F.lit(SEED)).bitwiseAND(F.lit(2 ** 63 - 1)).alias("h"))),
-        lambda draw: draw["h"] <= F.lit(bound))
-    dealt = ready.select("_vec", F.explode(draws).alias("draw")).select("draw.tree", "draw.h", "_vec")
+    uniform = (F.xxhash64(own, F.lit(SEED)).bitwiseAND(F.lit(2 ** 53 - 1)) + F.lit(0.5)) / F.lit(2.0 ** 53)
+    gap = F.floor(F.log(uniform) / F.lit(math.log1p(-chance))) if chance < 1 else F.lit(0)
+    drawn = ready.select("_vec", own.alias("_own"), gap.alias("_first")).where(F.col("_first") < trees)
+    draws = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: (tree == F.col("_first")) | (
+        (tree > F.col("_first")) & (F.xxhash64("_own", tree, F.lit(SEED)).bitwiseAND(F.lit(2 ** 63 - 1)) <= F.lit(bound))))
+    dealt = drawn.select("_vec", "_own", F.explode(draws).alias("tree"))
+    dealt = dealt.select("tree", F.xxhash64("_own", "tree", F.lit(SEED + 1)).alias("h"), "_vec")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return _grow(np.stack(pdf.sort_values("h")["_vec"].to_numpy())[:SUBSAMPLE], int(pdf["tree"].iloc[0]))
 
+    # An explicit number of partitions, as the draws are so few that they would be put together into one task.
+    dealt = dealt.repartition(min(trees, df.sparkSession.sparkContext.defaultParallelism), "tree")
     forest = dealt.groupBy("tree").applyInPandas(build, "tree int, node int, feature int, cut double").toPandas()
     shape = (trees, int(forest["node"].max()) + 1)
     feature, cut = np.full(shape, -1), np.zeros(shape)
@@ -114,7 +120,7 @@ def detect_anomalies(df: DataFrame, key: str, columns: Sequence[str] | None = No
                      trees: int = TREES) -> DataFrame:
     """Add ``anomaly_score`` and ``is_anomaly``: the top share of scores; a share outside [0.01, 0.5] means 0.05."""
     share = contamination if 0.01 <= contamination <= 0.5 else 0.05
-    scored = materialize(anomaly_scores(df, key, columns, trees))
+    scored = materialize(anomaly_scores(df, key, columns, trees), once=True)
     found = column_quantiles(scored, ["anomaly_score"], [1 - share])["anomaly_score"]
     limit = found[0] if found else None
     return scored.withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > F.lit(limit), F.lit(False)))
