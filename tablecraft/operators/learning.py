@@ -87,10 +87,15 @@ def prepare(df: DataFrame, features: Sequence[str], target: str | None = None, p
     return coded(df.select(*keys, *cols, label.alias("label_raw")).filter("label_raw is not null"), codes or {})
 
 
-def feature_stages(df: DataFrame, features: Sequence[str], one_hot: bool = False) -> list:
-    """Index text, impute medians, assemble, scale; fitted inside the training split only."""
-    numbers = [c for c in features if is_numeric(df, c)]
-    words = [c for c in features if c not in numbers]
+def feature_stages(df: DataFrame, features: Sequence[str], one_hot: bool = False, numbered: Sequence[str] = ()) -> list:
+    """Index text, impute medians, assemble, scale; fitted inside the training split only.
+
+    ``numbered`` features are text whose levels already have numbers; they are one-hot like other text. Their vectors stay sparse, so
+    nothing is centred beside them, which changes no linear model's predictions.
+    """
+    sparse = [c for c in features if one_hot and c in set(numbered)]
+    numbers = [c for c in features if is_numeric(df, c) and c not in sparse]
+    words = [c for c in features if c not in numbers and c not in sparse]
     stages, inputs = [], []
     if numbers:
         stages.append(Imputer(strategy="median", relativeError=0.0, inputCols=numbers, outputCols=[f"{c}__num" for c in numbers]))
@@ -102,8 +107,11 @@ def feature_stages(df: DataFrame, features: Sequence[str], one_hot: bool = False
             stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in words], outputCols=[f"{c}__hot" for c in words],
                                         handleInvalid="keep"))
         inputs += [f"{c}__hot" if one_hot else f"{c}__idx" for c in words]
+    if sparse:
+        stages.append(OneHotEncoder(inputCols=sparse, outputCols=[f"{c}__hot" for c in sparse], handleInvalid="keep"))
+        inputs += [f"{c}__hot" for c in sparse]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="assembled"))
-    stages.append(StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True))
+    stages.append(StandardScaler(inputCol="assembled", outputCol="features", withMean=not sparse, withStd=True))
     return stages
 
 
@@ -137,7 +145,7 @@ def candidates(problem: str, classes: int = 2, trees: int = 100, rounds: int = 1
     if problem == "regression":
         return {
             "Linear Regression": LinearRegression(),
-            "Ridge Regression": LinearRegression(regParam=1e-4, elasticNetParam=0.0, solver="normal"),
+            "Ridge Regression": LinearRegression(regParam=1e-4, elasticNetParam=0.0),
             "Decision Tree": DecisionTreeRegressor(maxDepth=6, **tree),
             "Random Forest": RandomForestRegressor(numTrees=trees, **tree),
             "Gradient Boosting": GBTRegressor(maxIter=rounds, **tree),
@@ -214,7 +222,7 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     if numbers:  # a feature without any number in the training rows has no median to fill in, so it is left out
         some = run.train.agg(*[F.count(c).alias(c) for c in numbers]).first()
         run.left_out = [c for c in numbers if not some[c]]
-    stages = feature_stages(run.train, [c for c in features if c not in run.left_out], one_hot)
+    stages = feature_stages(run.train, [c for c in features if c not in run.left_out], one_hot, list(codes))
     score_best = None
     for name, estimator in candidates(problem, classes, trees, rounds).items():
         if models is not None and name not in models:
