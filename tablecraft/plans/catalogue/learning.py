@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.operators import learning, metrics, neighbours
+from tablecraft.operators import learning, metrics, neighbours, tree_values
 from tablecraft.plans.catalogue.charts import SHIPPED, shipped
 from tablecraft.plans.catalogue.registry import query, r, rounded
 
@@ -288,6 +290,49 @@ def _(t):
     return rounded(learning.sampled_shap(regression_run(t, "Decision Tree"), ITEM_KEYS), 4)
 
 
+# A target that a tree of two splits holds exactly: 0 up to 25 pieces, then 50 or, with a discount over 5 %, 100.
+_STEPS = "CASE WHEN l_quantity <= 25 THEN 0.0 WHEN l_discount > 0.05 THEN 100.0 ELSE 50.0 END"
+
+
+@query("ml18_tree_values", f"""WITH m AS (SELECT avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 50.0 END) FILTER (WHERE l_quantity > 25) AS v FROM lineitem),
+g AS (SELECT CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS many,
+  CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 50.0 END AS price, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4)
+SELECT quantity, discount, n, {r('p * v', 4)} AS base, {r('((many * v - p * v) + (many * price - p * price)) / 2', 4)} AS of_quantity,
+  {r('((p * price - p * v) + (many * price - many * v)) / 2', 4)} AS of_discount FROM g, m""")
+def _(t):
+    rows = t("lineitem").select(*ITEM_KEYS, F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"),
+                                F.expr(_STEPS).cast("double").alias("label"))
+    ready = VectorAssembler(inputCols=["quantity", "discount"], outputCol="features").transform(rows)
+    model = DecisionTreeRegressor(maxDepth=2, maxBins=256).fit(ready)
+    told = tree_values.explained(ready, model, ["quantity", "discount"], ["quantity", "discount"])
+    value = lambda c: F.col("contributions")[c]
+    return rounded(told.groupBy("quantity", "discount").agg(
+        F.count(F.lit(1)).alias("n"), F.max("base").alias("base"), F.max(value("quantity")).alias("of_quantity"), F.max(value("discount")).alias("of_discount")), 4)
+
+
+@query("ml18_tree_values_sum", """SELECT unnest(['Decision Tree', 'Gradient Boosting', 'Random Forest', 'Decision Tree, three classes', 'Random Forest, three classes']) AS model, 0 AS different, TRUE AS every_row""")
+def _(t):
+    total = F.col("base") + F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, v: a + v)
+    found = []
+    for run, keys, suffix in ((quality_run(t, "Decision Tree", "Random Forest", "Gradient Boosting"), ["doc_id"], ""),
+                              (class_run(t, "Decision Tree", "Random Forest"), ORDER_KEYS, ", three classes")):
+        for name in sorted(run.models):
+            answer = "rawPrediction" if name == "Gradient Boosting" else "probability"
+            scored = run.predictions(name, run.train).select(*keys, F.posexplode(vector_to_array(answer)).alias("place", "answer"))
+            label = F.get(F.array(*[F.lit(c) for c in run.labels]), "place")
+            told = tree_values.tree_values(run, keys, name).withColumn("total", total)
+            both = told.join(scored.withColumn("output", label), [*keys, "output"])
+            outputs = 1 if name == "Gradient Boosting" else len(run.labels)
+            row = both.agg(F.count_if(F.abs(F.col("total") - F.col("answer")) > 1e-9).alias("off"), F.count(F.lit(1)).alias("n")).first()
+            found.append((name + suffix, row["off"], row["n"] == run.train.count() * outputs))
+    return t.spark.createDataFrame(found, "model string, different int, every_row boolean")
+
+
+@query("ml18_tree_shap")
+def _(t):
+    return rounded(tree_values.tree_shap(regression_run(t, "Random Forest"), ITEM_KEYS), 6)
+
+
 @query("ml19_scenarios")
 def _(t):
     run = class_run(t, "Decision Tree")
@@ -361,6 +406,78 @@ def _(t):
     return per.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).cast("int").alias("twice"), F.avg("train").between(0.77, 0.83).alias("near_share"))
 
 
+# Targets that follow from the features by a rule: a tree that has enough depth predicts every row right.
+
+_LANE = """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'plain' END"""
+
+
+def lanes(t) -> DataFrame:
+    return placed(t).withColumn("lane", F.expr(_LANE))
+
+
+def lane_run(t, *models):
+    return learning.train(lanes(t), "lane", ["o_orderpriority", "c_mktsegment"], ORDER_KEYS, "classification", list(models))
+
+
+def _lane_rows(t, run) -> DataFrame:
+    ready = learning.prepare(lanes(t), ["o_orderpriority", "c_mktsegment"], keys=ORDER_KEYS)
+    return run.predictions(df=ready).select("o_orderkey", F.col("predicted_label").alias("lane"))
+
+
+_LANES_SQL = f"SELECT o_orderkey, {_LANE} AS lane FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@query("ml21_labels", _LANES_SQL)
+def _(t):
+    return _lane_rows(t, lane_run(t, "Decision Tree"))
+
+
+@query("ml09_three_classes", _LANES_SQL)
+def _(t):
+    return _lane_rows(t, lane_run(t, "Gradient Boosting"))
+
+
+@query("ml08_classifier", "SELECT 'Random Forest' AS model, TRUE AS same")
+def _(t):
+    return _recomputed(t, class_run(t, "Random Forest"), ORDER_KEYS)
+
+
+def step_run(t):
+    rows = t("lineitem").withColumn("steps", F.expr(_STEPS).cast("double"))
+    return learning.train(rows, "steps", ["l_quantity", "l_discount"], ITEM_KEYS, "regression", ["Linear Regression", "Ridge Regression", "Decision Tree"])
+
+
+@query("ml16_board", "SELECT 'Decision Tree' AS best, 3 AS models, CAST(1 AS DOUBLE) AS score, TRUE AS in_order")
+def _(t):
+    run = step_run(t)
+    board = run.leaderboard(t.spark).select("model", "score").collect()  # one row for each model
+    scores = [x["score"] for x in board]
+    found = [(run.best if run.best == board[0]["model"] else None, len(board), round(max(scores), 9), scores == sorted(scores, reverse=True))]
+    return t.spark.createDataFrame(found, "best string, models int, score double, in_order boolean")
+
+
+@query("ml20_rows", f"SELECT CAST(steps AS DOUBLE) AS actual, 0 AS different, TRUE AS near_share FROM (SELECT DISTINCT {_STEPS} AS steps FROM lineitem)")
+def _(t):
+    found = learning.actual_vs_predicted(step_run(t), ITEM_KEYS, "Decision Tree")
+    held = found.groupBy("actual").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs("delta") > 1e-9) | (F.abs(F.col("prediction") - F.col("actual")) > 1e-9)).cast("int").alias("different"))
+    rows = t("lineitem").groupBy(F.expr(_STEPS).cast("double").alias("actual")).agg(F.count(F.lit(1)).alias("all"))
+    return held.join(rows, "actual").select("actual", "different", (F.col("n") / F.col("all")).between(0.15, 0.25).alias("near_share"))
+
+
+@query("ml12_folds", "SELECT 5 AS folds, TRUE AS same_mean, TRUE AS same_std")
+def _(t):
+    data = learning.prepare(t("lineitem"), ["l_quantity"], "l_extendedprice", "regression", ITEM_KEYS).withColumnRenamed("label_raw", "label")
+    told = learning.cross_validate(data, ["l_quantity"], ITEM_KEYS, LinearRegression(), "regression").first()
+    rows = data.withColumn("fold", F.pmod(F.xxhash64(*ITEM_KEYS, F.lit(learning.SEED)), F.lit(5)))
+    lines = t.spark.range(5).withColumnRenamed("id", "out").join(rows, F.col("fold") != F.col("out")).groupBy("out").agg(
+        F.regr_slope("label", "l_quantity").alias("slope"), F.regr_intercept("label", "l_quantity").alias("start"))
+    e = F.col("label") - F.col("slope") * F.col("l_quantity") - F.col("start")
+    per = rows.join(F.broadcast(lines), F.col("fold") == F.col("out")).groupBy("fold").agg(
+        (1 - F.sum(e * e) / (F.var_pop("label") * F.count(F.lit(1)))).alias("r2"))  # five lines
+    return per.agg(F.count(F.lit(1)).cast("int").alias("folds"), (F.abs(F.avg("r2") - told["mean"]) < 1e-9).alias("same_mean"),
+                   (F.abs(F.stddev_pop("r2") - told["std"]) < 1e-9).alias("same_std"))
+
+
 @query("ml20_actual_vs_predicted")
 def _(t):
     return rounded(learning.actual_vs_predicted(regression_run(t, "Linear Regression"), ITEM_KEYS), 4)
