@@ -303,6 +303,23 @@ def _(t):
     return rounded(recipe.run_recipe(t("doubled_customer"), RECIPE))
 
 
+@query("pl01_step_effects", f"""WITH a AS (SELECT *, {MISSING.format('name')} AS no_name, CASE WHEN {MISSING.format('name')} THEN NULL ELSE name END AS told FROM doubled_customer),
+n AS (SELECT count(*) AS whole, count_if(name IS NOT NULL AND no_name) AS tokens, count_if(told <> {TRIM.format('told')}) + count_if(segment <> {TRIM.format('segment')}) AS trimmed,
+  count(DISTINCT cust_id) AS single, count(DISTINCT cust_id) FILTER (WHERE active IS NOT NULL) AS kept,
+  count(DISTINCT cust_id) FILTER (WHERE active IS NOT NULL AND balance_text IS NOT NULL) AS numbers,
+  count(DISTINCT cust_id) FILTER (WHERE active IS NOT NULL AND balance_text IS NULL) AS gaps FROM a)
+SELECT 1 AS step, 'null_tokens' AS action, whole AS rows_before, whole AS rows_after, tokens AS cells_changed, 6 AS columns FROM n
+UNION ALL SELECT 2, 'trim', whole, whole, trimmed, 6 FROM n UNION ALL SELECT 3, 'drop_duplicates', whole, single, 0, 6 FROM n
+UNION ALL SELECT 4, 'drop_missing', single, kept, 0, 6 FROM n UNION ALL SELECT 5, 'to_numeric', kept, kept, numbers, 6 FROM n
+UNION ALL SELECT 6, 'impute', kept, kept, gaps, 6 FROM n UNION ALL SELECT 7, 'unheard_of', kept, kept, 0, 6 FROM n""")
+def _(t):
+    _, effects = recipe.run_counted(t("doubled_customer"), [
+        {"action": "null_tokens"}, {"action": "trim"}, {"action": "drop_duplicates", "subset": ["cust_id"], "order_by": ["cust_id"]},
+        {"action": "drop_missing", "columns": ["active"]}, {"action": "to_numeric", "column": "balance_text"},
+        {"action": "impute", "column": "balance_text", "method": "median"}, {"action": "unheard_of"}])
+    return effects
+
+
 @query("pl02_undo_redo", f"""WITH {_CLEAN.strip()}
 SELECT cust_id, name, segment, {r('bal')} AS balance_text, email, active FROM p""")
 def _(t):

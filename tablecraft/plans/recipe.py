@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tablecraft.functions import cells
 from tablecraft.operators import dedup, filters, missing, outliers, profile, projection, texts, typing_ops
-from tablecraft.session import materialize
+from tablecraft.session import ensure_checkpoint_dir, materialize
 
 Step = Mapping[str, object]
 
@@ -93,6 +94,17 @@ def fuse(recipe: Sequence[Step]) -> list[Step]:
     return out
 
 
+# Steps that need one row at a time.
+ROW_LOCAL = {
+    "drop_columns", "rename_columns", "reorder_columns", "add_measure", "add_expression", "cast_columns", "cast_values",
+    "to_numeric", "trim", "squeeze", "text_case", "map_categories", "iso_dates", "mask", "null_tokens", "drop_missing",
+    "nan_to_null", "filter",
+}
+# Steps that change cells where they are, under their column's name.
+IN_PLACE = {
+    "cast_columns", "cast_values", "to_numeric", "trim", "squeeze", "text_case", "map_categories", "iso_dates", "mask", "null_tokens",
+    "nan_to_null", "impute", "impute_columns", "normalize_categories", "normalize_columns", "bulk_fill", "treat_outliers",
+}
 # Steps that read the whole table for statistics before they change anything.
 STATISTICAL = {"impute", "impute_columns", "normalize_columns", "bulk_fill", "remove_outliers", "treat_outliers"}
 
@@ -129,6 +141,63 @@ def change_log(df: DataFrame, recipe: Sequence[Step]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _own(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder. Columns are numbered in it, so that any name will do."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/recipe-{uuid.uuid4().hex}"
+    void = {f.name for f in df.schema if f.dataType.typeName() == "void"}  # files hold none
+    plain = df.select(*[(_own(c).cast("string") if c in void else _own(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def run_counted(df: DataFrame, recipe: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
+    """The result, and ``step, action, rows_before, rows_after, cells_changed, columns`` of every step, counted while it runs.
+
+    Steps of single rows are observed inside the one plan that computes them; no prefix runs twice. Rows are written out before each step
+    that needs the whole table and at the end, so every count is made in the tasks that write: a task that is run again after a lost
+    executor counts once. A cell has changed if it differs from the one of its column before, as text where the type differs. Steps
+    that drop, add, rename or reorder columns or rows change no cells, unknown actions nothing. An empty recipe gives an empty log.
+    """
+    log: list[tuple[int, str, Observation, int]] = []
+    start = Observation("start")
+    df = df.observe(start, F.count(F.lit(1)).alias("rows"))
+    for i, step in enumerate(recipe, start=1):
+        name = ALIASES.get(str(step["action"]), str(step["action"]))
+        if name in ACTIONS and name not in ROW_LOCAL:
+            df = _written(df)
+        was, before = "__was", df
+        while was in {c.lower() for c in df.columns}:
+            was = f"_{was}"
+        if name in IN_PLACE:
+            df = df.withColumn(was, F.struct(*[_own(c).alias(f"c{j}") for j, c in enumerate(before.columns)]))
+        df = apply_step(df, step)
+        same = []
+        if name in IN_PLACE:
+            for j, c in enumerate(before.columns):
+                if c in df.columns:
+                    now, old = _own(c), F.col(was)[f"c{j}"]
+                    if df.schema[c].dataType != before.schema[c].dataType:
+                        now, old = now.cast("string"), old.cast("string")
+                    same.append(now.eqNullSafe(old))
+        changed = reduce(lambda a, b: a + b, [F.when(x, 0).otherwise(1) for x in same], F.lit(0))
+        seen = Observation(f"step_{i}")
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(changed), F.lit(0)).alias("cells"))
+        df = df.drop(was) if name in IN_PLACE else df
+        log.append((i, str(step["action"]), seen, len(df.columns)))
+    result = _written(df)
+    rows, effects = start.get["rows"], []
+    for i, action, seen, columns in log:
+        found = seen.get
+        effects.append((i, action, rows, found["rows"], found["cells"], columns))
+        rows = found["rows"]
+    schema = "step int, action string, rows_before bigint, rows_after bigint, cells_changed bigint, columns int"
+    return result, df.sparkSession.createDataFrame(effects, schema)
+
+
 class History:
     """Undo and redo over a recipe: states are prefixes, nothing is copied."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -243,24 +244,42 @@ def dataset_shapes(datasets: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, one)
 
 
+VERSION_ROW = "version int, row_count bigint, columns array<string>, saved_at timestamp, attempt string"
+
+
 def save_version(df: DataFrame, folder: str, version: int) -> None:
-    """Write one snapshot and one metadata row; earlier versions stay."""
+    """Write one snapshot aside, then publish it by one manifest row; earlier versions stay.
+
+    Every save has a folder of its own, so two writers of one version cannot mix and a lost save leaves nothing that readers see. The
+    manifest row is one file, which appears whole or not at all. Of several saves of a version the last published counts.
+    """
     spark = df.sparkSession
-    path = f"{folder}/data/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    meta = stored.agg(F.count(F.lit(1)).alias("row_count")).withColumns({
-        "version": F.lit(version), "columns": F.array(*[F.lit(c) for c in df.columns]), "saved_at": F.current_timestamp(),
-    })
-    meta.write.mode("overwrite").parquet(f"{folder}/meta/version={version}")
+    attempt = uuid.uuid4().hex
+    path = f"{folder}/data/version={version}/{attempt}"
+    df.write.mode("errorifexists").parquet(path)
+    meta = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(version).cast("int").alias("version"), "row_count", F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("columns"),
+        F.current_timestamp().alias("saved_at"), F.lit(attempt).alias("attempt"))
+    meta.coalesce(1).write.mode("append").parquet(f"{folder}/meta")
+
+
+def _published(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest row in force for each version."""
+    rows = spark.read.schema(VERSION_ROW).parquet(f"{folder}/meta")
+    last = F.max_by(F.struct("row_count", "columns", "saved_at", "attempt"), F.struct("saved_at", "attempt"))
+    return rows.groupBy("version").agg(last.alias("last")).select("version", "last.*")
 
 
 def load_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/data/version={version}")
+    """A published snapshot; a version that was never published is an error."""
+    row = _published(spark, folder).where(F.col("version") == version).first()
+    if row is None:
+        raise ValueError(f"version {version} was not saved in {folder}")
+    return spark.read.parquet(f"{folder}/data/version={version}/{row['attempt']}")
 
 
 def list_versions(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/meta").select("version", "row_count", "columns", "saved_at").orderBy("version")
+    return _published(spark, folder).select("version", "row_count", "columns", "saved_at").orderBy("version")
 
 
 def compare_versions(spark: SparkSession, folder: str, old: int, new: int) -> DataFrame:

@@ -6,14 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tablecraft.plans.recipe import ALIASES, Step, run_recipe
-
-ROW_LOCAL = {
-    "drop_columns", "rename_columns", "reorder_columns", "add_measure", "add_expression", "cast_columns", "cast_values",
-    "to_numeric", "trim", "squeeze", "text_case", "map_categories", "iso_dates", "mask", "null_tokens", "drop_missing",
-    "nan_to_null", "filter",
-}
-
+from tablecraft.plans.recipe import ALIASES, ROW_LOCAL, Step, run_recipe
 
 def clean_stream(stream: DataFrame, recipe: Sequence[Step]) -> DataFrame:
     """Apply a recipe of row-local steps; a step that needs the whole table is refused."""

@@ -53,6 +53,35 @@ def test_versions(spark, tmp_path):
     assert (diff["removed_rows"], diff["new_columns"], diff["removed_columns"], diff["version"]) == (2, "b", "a", 2)
 
 
+def test_a_failed_save_is_not_seen(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    files.save_version(spark.range(5).toDF("a"), folder, 1)
+    broken = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("a"))
+    for version in (1, 2):
+        with pytest.raises(Exception, match="lost"):
+            files.save_version(broken, folder, version)
+    assert [(r["version"], r["row_count"]) for r in files.list_versions(spark, folder).collect()] == [(1, 5)]
+    assert files.load_version(spark, folder, 1).count() == 5
+    with pytest.raises(ValueError, match="version 2"):
+        files.load_version(spark, folder, 2)
+
+
+def test_the_last_save_of_a_version_counts(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    files.save_version(spark.range(5).toDF("a"), folder, 1)
+    before = files.load_version(spark, folder, 1)
+    files.save_version(before.where("a < 2").withColumn("b", F.lit("x")), folder, 1)  # reads what it replaces
+    assert rows_of(files.load_version(spark, folder, 1)) == [(0, "x"), (1, "x")] and before.count() == 5
+    assert [(r["row_count"], r["columns"]) for r in files.list_versions(spark, folder).collect()] == [(2, ["a", "b"])]
+
+
+def test_an_empty_version(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    files.save_version(spark.range(0).toDF("a"), folder, 3)
+    assert files.load_version(spark, folder, 3).columns == ["a"]
+    assert [(r["version"], r["row_count"]) for r in files.list_versions(spark, folder).collect()] == [(3, 0)]
+
+
 def page(spark, html):
     return spark.createDataFrame([(1, html)], "page_id bigint, html string")
 
