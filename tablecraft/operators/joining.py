@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.operators.lookup import fits_broadcast, salted_join
+from tablecraft.operators.lookup import BROADCAST_ROWS, Heavy, fits_broadcast, grid_join, heavy_keys
 
 
 def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner",
@@ -13,8 +13,8 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """Join on ``left_key = right_key``; how is inner, left, right or outer.
 
     Shared names get suffixes, a same-named key is kept once, null keys match each other unless
-    ``null_safe`` is False. A side measured small is broadcast; otherwise ``balance`` spreads hot keys
-    of the row-preserving side over many tasks. ``balance=False`` leaves everything to the optimizer.
+    ``null_safe`` is False. A side measured small is broadcast; otherwise ``balance`` cuts hot keys
+    of both sides into pieces that meet in tasks of their own. ``balance=False`` leaves everything to the optimizer.
     """
     if left_key not in left.columns or right_key not in right.columns:
         raise ValueError(f"join key {left_key!r} or {right_key!r} not found")
@@ -27,21 +27,23 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     b = right.select(F.col(right_key).alias("_k"), *[
         F.col(c).alias(f"_b_{n}") for c, n in b_names.items() if not (same and c == right_key)])
 
-    def run(x, y, kind):
-        small = balance and fits_broadcast(y)
+    heavy = heavy_keys(a, b, ["_k"]) if balance else Heavy()
+
+    def run(x, y, kind, found):
+        small = balance and found.right_rows <= BROADCAST_ROWS and fits_broadcast(y)
         if balance and not small:
-            return salted_join(x, y, ["_k"], kind, null_safe=null_safe)
+            return grid_join(x, y, ["_k"], kind, found, null_safe)
         y = (F.broadcast(y) if small else y).withColumnRenamed("_k", "_rk")
         on = x["_k"].eqNullSafe(y["_rk"]) if null_safe else x["_k"] == y["_rk"]
         return x.join(y, on, kind).drop("_rk")
 
     if how == "right":
-        joined = run(b, a, "left")
+        joined = run(b, a, "left", heavy.turned())
     elif how == "outer":
         # A left join can split a hot left key; the unmatched right rows follow from an anti-join.
-        joined = run(a, b, "left").unionByName(run(b, a.select("_k").distinct(), "left_anti"), allowMissingColumns=True)
+        joined = run(a, b, "left", heavy).unionByName(run(b, a.select("_k").distinct(), "left_anti", heavy.turned()), allowMissingColumns=True)
     else:
-        joined = run(a, b, how)
+        joined = run(a, b, how, heavy)
     out = []
     if same:
         out.append(F.col("_k").alias(left_key))

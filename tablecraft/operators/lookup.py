@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -65,6 +67,88 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return equi_join(a, b, keys, how, null_safe, extra="_salt").drop("_salt")
 
 
+@dataclass(frozen=True)
+class Heavy:
+    """What one pass over the keys of two sides tells: their rows, and estimated rows (left, right) under the hash of a hot key."""
+
+    left_rows: int = 0
+    right_rows: int = 0
+    keys: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    def turned(self) -> "Heavy":
+        return Heavy(self.right_rows, self.left_rows, {h: (r, l) for h, (l, r) in self.keys.items()})
+
+    def grid(self, salts: int, share: float = HOT_SHARE) -> dict[int, tuple[int, int]]:
+        """Pieces of each side by hot key: none holds more than ``share`` of its side while the cells of a key are at most 4 x salts."""
+        out = {}
+        for key, (l, r) in self.keys.items():
+            a = min(salts, max(1, math.ceil(l / max(1.0, share * self.left_rows))))
+            b = min(salts, max(1, math.ceil(r / max(1.0, share * self.right_rows))))
+            shrink = min(1.0, math.sqrt(4 * salts / (a * b)))
+            out[key] = (max(1, math.floor(a * shrink)), max(1, math.floor(b * shrink)))
+        return {key: cells for key, cells in out.items() if cells != (1, 1)}
+
+
+def _hash(keys: Sequence[str]):
+    return F.xxhash64(*[F.col(_q(k)) for k in keys])
+
+
+def heavy_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Heavy:
+    """Rows of both sides and the keys over ``share`` of either, by one mergeable sketch of frequent keys a side.
+
+    One pass reads the key columns only; two rows come back. Which keys count as hot only steers how rows are spread.
+    """
+    most = math.ceil(1 / share)
+    sides = left.select(F.lit(0).alias("side"), _hash(keys).alias("h")).unionAll(right.select(F.lit(1).alias("side"), _hash(keys).alias("h")))
+    told = {x["side"]: x for x in sides.groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {most}, {min(1_000_000, 64 * most)})").alias("top")).collect()}
+    rows = [told[i]["n"] if i in told else 0 for i in (0, 1)]
+    hot: dict[int, list[int]] = {}
+    for i in (0, 1):
+        for item in told[i]["top"] if i in told else []:
+            if item["count"] > max(1.0, share * rows[i]):
+                hot.setdefault(item["item"], [0, 0])[i] = item["count"]
+    return Heavy(*rows, {key: tuple(n) for key, n in hot.items()})
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", heavy: Heavy | None = None,
+              null_safe: bool = True) -> DataFrame:
+    """Equi-join on same-named keys with keys that may be hot on either side or both; ``how`` is inner, left or left_anti.
+
+    The rows of a hot key are cut into pieces on both sides and every left piece meets every right piece in a task of its own, so
+    each pair meets once. Left rows of a hot key that the right side lacks are told by the few hot keys that it has.
+    """
+    if how == "left_anti":
+        return salted_join(left, right.select(*keys).distinct(), keys, how, null_safe=null_safe)
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = (heavy or heavy_keys(left, right, keys)).grid(salts)
+    if not grid:
+        return equi_join(left, right, keys, how, null_safe)
+    pieces = F.create_map(*[x for key, (a, b) in grid.items() for x in (
+        F.lit(key).cast("bigint"), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    is_hot = _hash(keys).isin(*grid)
+
+    def cut(df, own, other):
+        rest = [c for c in df.columns if c not in keys]
+        # Contents plus task number: repeatable when a task is retried, and identical copies still spread.
+        mine = F.pmod(F.xxhash64(*[F.col(_q(c)) for c in rest], F.spark_partition_id()), F.col("_cells")[own]).cast("int")
+        dealt = df.withColumn("_cells", pieces[_hash(keys)]).withColumn("_own", mine)
+        met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells")[other] - 1)))
+        place = {"a": ("_own", "_other"), "b": ("_other", "_own")}[own]
+        return met.withColumn("_salt", F.struct(*[F.col(c).alias(n) for c, n in zip(place, "ab")])).drop("_cells", "_own", "_other")
+
+    hot_left, hot_right = left.where(is_hot), right.where(is_hot)
+    parts = [equi_join(left.where(~is_hot), right.where(~is_hot), keys, how, null_safe),
+             equi_join(cut(hot_left, "a", "b"), cut(hot_right, "b", "a"), keys, "inner", null_safe, extra="_salt").drop("_salt")]
+    if how == "left":
+        there = F.broadcast(hot_right.select(*keys).distinct())  # as few as the hot keys
+        parts.append(equi_join(hot_left, there, keys, "left_anti", null_safe))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
