@@ -155,7 +155,7 @@ def candidates(problem: str, classes: int = 2, trees: int = 100, rounds: int = 1
         "Logistic Regression": LogisticRegression(maxIter=500, family="multinomial" if classes > 2 else "auto"),
         "Decision Tree": DecisionTreeClassifier(maxDepth=6, **tree),
         "Random Forest": RandomForestClassifier(numTrees=trees, **tree),
-        "Gradient Boosting": boosted if classes <= 2 else OneVsRest(classifier=boosted),
+        "Gradient Boosting": boosted if classes <= 2 else OneVsRest(classifier=boosted, parallelism=4),
     }
 
 
