@@ -7,13 +7,18 @@ follow them, a coalition S reaches the leaf with weight prod(o(i), i in S) * pro
     (o(i) - z(i)) * integral over t from 0 to 1 of prod(t * o(j) + (1 - t) * z(j), j other than i),
 
 because the integral of t^s (1 - t)^(m - 1 - s) is the weight of a coalition of s. The integrand is a polynomial, so a few Gauss-Legendre
-points give it exactly. Cost is distinct ways through a tree x leaves x depth, whatever the number of features; no background rows are drawn.
+points give it exactly; no background rows are drawn. A leaf's game depends on a row only by which of its features have their conditions
+met, and that on the intervals that the cuts make of each feature. So the values of all cells of intervals are worked out once a task and
+tree, and a row costs one look-up a tree. Trees of too many cells look up one pattern of met features for each leaf, and trees whose leaves
+have too many features are worked out for each way through the tree.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +31,8 @@ from tablecraft.session import ensure_checkpoint_dir, spread
 
 # Numbers that one block of ways through a tree may hold while they are worked out.
 CELLS = 2_000_000
+# Numbers that one tree's table of patterns, and its table of cells, may hold.
+TABLE = 200_000
 
 
 @dataclass(frozen=True)
@@ -101,6 +108,16 @@ def paths(nodes: pd.DataFrame, players: Sequence[int], chances: bool, weight: fl
         spread.reshape(pairs, len(used) * outputs), np.array(used, dtype=int), sum(reach * value for _, reach, value in leaves))
 
 
+def _added(tree: Paths, own: np.ndarray) -> np.ndarray:
+    """What each met (1) or unmet (0) feature of each leaf adds to the leaf's game: the last two axes are leaves and features."""
+    points, weights = np.polynomial.legendre.leggauss((tree.share.shape[1] + 1) // 2)
+    total = np.zeros_like(own)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        terms = t * own + (1 - t) * tree.share
+        total += w * terms.prod(axis=-1, keepdims=True) / terms  # no term is 0: every branch has training rows
+    return (own - tree.share) * total
+
+
 def tree_shapley(tree: Paths, x: np.ndarray) -> np.ndarray:
     """Values of the tree's features for each row of ``x``: rows x features x outputs."""
     outputs, (leaves, width) = len(tree.base), tree.share.shape
@@ -113,20 +130,78 @@ def tree_shapley(tree: Paths, x: np.ndarray) -> np.ndarray:
     # Rows that decide alike at every node have equal values; each way through the tree is worked out once.
     _, one, which = np.unique(np.packbits(goes_left, axis=1), axis=0, return_index=True, return_inverse=True)
     goes_left = goes_left[one].astype(float)
-    points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
     step = max(1, CELLS // tree.share.size)
     told = []
     for at in range(0, len(one), step):
         ways = goes_left[at:at + step]
         own = (ways @ tree.left + (1 - ways) @ tree.right == tree.needed).astype(float).reshape(len(ways), leaves, width)
-        total = np.zeros_like(own)
-        for t, w in zip((points + 1) / 2, weights / 2):
-            terms = t * own + (1 - t) * tree.share
-            total += w * terms.prod(axis=2, keepdims=True) / terms  # no term is 0: every branch has training rows
-        told.append(((own - tree.share) * total).reshape(len(ways), -1) @ tree.spread)
+        told.append(_added(tree, own).reshape(len(ways), -1) @ tree.spread)
     return np.concatenate(told)[which.ravel()].reshape(len(x), -1, outputs)
 
 
+class Grid:
+    """The intervals that the cuts of several trees make of each slot; a slot of categories has one for each category and one for others."""
+
+    def __init__(self, trees: Sequence[Paths]):
+        cuts: dict[int, set] = {}
+        kinds: dict[int, set] = {}
+        for tree in trees:
+            for slot, cut, group in zip(tree.slots, tree.cuts, tree.groups):
+                kinds.setdefault(int(slot), set()).update([] if group is None else group.tolist())
+                cuts.setdefault(int(slot), set()).update([cut] if group is None else [])
+        self.cuts = {slot: np.array(sorted(some)) for slot, some in cuts.items() if some}
+        self.kinds = {slot: np.array(sorted(kinds[slot])) for slot, some in cuts.items() if not some}
+
+    def places(self, x: np.ndarray) -> dict[int, np.ndarray]:
+        """The interval of every row in every slot. A number beyond all cuts, or none, is in the last."""
+        out = {slot: np.searchsorted(cuts, x[:, slot]) for slot, cuts in self.cuts.items()}
+        for slot, kinds in self.kinds.items():
+            at = np.searchsorted(kinds, x[:, slot])
+            out[slot] = np.where(kinds[np.minimum(at, len(kinds) - 1)] == x[:, slot], at, len(kinds))
+        return out
+
+    def goes_left(self, slot: int, cut: float, group: np.ndarray | None) -> np.ndarray:
+        """Which intervals of the slot a node sends left."""
+        if slot in self.cuts:
+            return np.arange(len(self.cuts[slot]) + 1) <= np.searchsorted(self.cuts[slot], cut)
+        return np.append(np.isin(self.kinds[slot], group), False)
+
+
+def looked_up(tree: Paths, grid: Grid) -> Callable[[np.ndarray, dict[int, np.ndarray]], np.ndarray]:
+    """``tree_shapley`` by tables: a function of rows and their intervals that gives rows x (features x outputs)."""
+    (leaves, width), numbers = tree.share.shape, tree.spread.shape[1]
+    if not width or leaves << width > TABLE // max(1, numbers):
+        return lambda x, places: tree_shapley(tree, x).reshape(len(x), -1)
+    patterns = np.arange(1 << width)
+    own = 1.0 - (patterns[:, None] >> np.arange(width) & 1)  # a pattern's bits are the features that are not met
+    added = _added(tree, np.repeat(own[:, None, :], leaves, axis=1))
+    values = np.einsum("plj,ljk->lpk", added, tree.spread.reshape(leaves, width, numbers))
+
+    def total(codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), numbers))
+        for leaf in range(leaves):
+            out += values[leaf][codes[:, leaf]]
+        return out
+
+    unmet, which = {}, {}
+    for slot in sorted(set(tree.slots.tolist())):
+        nodes = np.flatnonzero(tree.slots == slot)
+        goes = np.stack([grid.goes_left(slot, tree.cuts[n], tree.groups[n]) for n in nodes], axis=1)
+        ways, inverse = np.unique(goes, axis=0, return_inverse=True)
+        fails = (~ways).astype(float) @ tree.left[nodes] + ways.astype(float) @ tree.right[nodes] > 0
+        unmet[slot] = (fails.reshape(len(ways), leaves, width) << np.arange(width)).sum(axis=2)
+        which[slot] = inverse.ravel()
+    sizes = [len(codes) for codes in unmet.values()]
+    if math.prod(sizes) * numbers > TABLE:
+        return lambda x, places: total(functools.reduce(np.bitwise_or, [codes[which[slot][places[slot]]] for slot, codes in unmet.items()]))
+    codes = np.zeros((1, leaves), dtype=int)
+    for some in unmet.values():
+        codes = (codes[:, None, :] | some[None, :, :]).reshape(-1, leaves)
+    cells = total(codes)
+    steps = {slot: which[slot] * math.prod(sizes[i + 1:]) for i, slot in enumerate(unmet)}
+    return lambda x, places: cells[sum(step[places[slot]] for slot, step in steps.items())]
+
+
 def ensemble(spark: SparkSession, model, players: Sequence[int]) -> list[list[Paths]]:
     """Trees whose sum is the model's answer: one list for each separately fitted answer.
 
@@ -148,18 +223,24 @@ def contributions(answers: Sequence[Sequence[Paths]], features: int, vector: Col
     bases = np.concatenate([np.sum([tree.base for tree in trees], axis=0) for trees in answers])
 
     @F.pandas_udf("array<double>")
-    def explain(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy())
-        told = np.zeros((len(x), features, len(bases)))
-        first = 0
-        for trees in answers:
-            last = first + len(trees[0].base)
-            for tree in trees:
-                told[:, tree.players, first:last] += tree_shapley(tree, x)
-            first = last
-        return pd.Series(list(told.transpose(0, 2, 1).reshape(len(x), -1)))
+    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        every = [tree for trees in answers for tree in trees]
+        grid, tables = Grid(every), None
+        for vectors in batches:
+            if not len(vectors):
+                yield pd.Series([], dtype=object)
+                continue
+            tables = tables or [looked_up(tree, grid) for tree in every]
+            x = np.stack(vectors.to_numpy())
+            places = grid.places(x)
+            told = np.zeros((len(x), features, len(bases)))
+            first, at = 0, iter(tables)
+            for trees in answers:
+                last = first + len(trees[0].base)
+                for tree in trees:
+                    told[:, tree.players, first:last] += next(at)(x, places).reshape(len(x), len(tree.players), last - first)
+                first = last
+            yield pd.Series(list(told.transpose(0, 2, 1).reshape(len(x), -1)))
 
     return explain(vector_to_array(vector)), [float(b) for b in bases]
 
