@@ -14,6 +14,7 @@ from tablecraft.operators.lookup import beside
 from tablecraft.operators.profile import NUMERIC_TYPES, column_facts, position
 from tablecraft.operators.taxonomies import PRIMARY_DIMENSIONS, PRIMARY_METRICS
 from tablecraft.operators.typing_ops import dominant_type
+from tablecraft.session import materialize
 
 # Words that mark a time column, and words that unmark it. ---------------------------
 TIME_WORDS = ("date", "launch", "timestamp", "month", "quarter")
@@ -122,7 +123,8 @@ def _numbered(charts: DataFrame) -> DataFrame:
 
 def _kinds(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("dominant_type").isin(*NUMERIC_TYPES), "number").when(F.col("dominant_type") == "date", "date").otherwise("word")
-    return dominant_type(df).select("column", position(df.columns).alias("position"), kind.alias("kind"))
+    kinds = dominant_type(df).select("column", position(df.columns).alias("position"), kind.alias("kind"))
+    return materialize(kinds, once=True)  # a row for each column, asked for several times
 
 
 def _number_picks(kinds: DataFrame) -> DataFrame:
