@@ -1,27 +1,30 @@
 """Exact k-nearest neighbours.
 
 Training rows counted to be few (``SHIPPED_VALUES`` numbers in all, 32 MB) are sent to every task once and each row is
-scored where it is, without a shuffle. More training rows are cut into blocks of bounded size that meet the rows to
-score block by block; each pair of blocks returns only the k nearest of each row. That is exact but quadratic, so for
+scored where it is, without a shuffle. More training rows are cut into blocks of ``BLOCK_VALUES`` numbers: a task holds one block and
+the rows to score stream by, so that each row's k nearest of a block are all that leaves it. That is exact but quadratic, so for
 large training sets fit on a sample, or take ``approximate_neighbours``.
+
+Distances are told roughly by a product of matrices first; only what may be near by the bound of its rounding is measured.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 4000
+BLOCK_VALUES = 2_000_000
 SHIPPED_VALUES = 4_000_000
 EPSILON = 1e-5
-
-
-def _blocks(df: DataFrame, size: int) -> int:
-    return max(1, math.ceil(df.count() / size))
+# Rows and points of one product of matrices, and pairs that are measured or sent at once.
+TILE_ROWS, TILE_POINTS = 128, 2048
+PAIRS = 100_000
 
 
 def _closest(points: np.ndarray, ids: np.ndarray, vec: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
@@ -36,36 +39,192 @@ def _closest(points: np.ndarray, ids: np.ndarray, vec: np.ndarray, k: int, own)
     return near, d[near]
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors as rows; all of one length, none null. Null numbers are NaN."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if not len(vectors):
+        return np.zeros((0, 1))
+    sizes = pc.list_value_length(vectors)
+    if sizes.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError("all vectors must have the same length, and none may be null")
+    return flat.reshape(len(vectors), -1)
+
+
+class Block:
+    """Points with their keys and what a product of matrices needs to tell distances from them.
+
+    A point with a number that is not finite is near nothing and left out. ``order`` is the place of a key among all, equal for equal keys.
+    """
+
+    def __init__(self, keys: pa.Array, vectors: pa.Array, *others: pa.Array):
+        points = _matrix(vectors)
+        whole = np.flatnonzero(np.isfinite(points).all(axis=1))
+        self.points = points[whole]
+        self.keys, *self.others = [x.take(pa.array(whole)) for x in (keys, *others)]
+        self.order = np.asarray(pc.rank(self.keys, tiebreaker="dense")).astype(np.int64)
+        self.distinct = self.keys.unique()
+        # The order number of each distinct key; nulls equal each other only where the key is no number.
+        self.number = np.zeros(len(self.distinct), np.int64)
+        self.number[np.asarray(pc.index_in(self.keys, value_set=self.distinct))] = self.order
+        with np.errstate(over="ignore"):
+            squares = np.einsum("ij,ij->i", self.points, self.points)
+        self.most = squares.max(initial=0.0)
+        # A row (x, 1) times this is x * p - |p|^2 / 2, which falls as the distance grows.
+        self.product = np.vstack([self.points.T, -squares / 2])
+
+    def __len__(self) -> int:
+        return len(self.points)
+
+    def own(self, keys: pa.Array) -> np.ndarray:
+        """The order numbers of other rows' keys, -1 for keys that the block does not have."""
+        at = pc.index_in(keys.cast(self.keys.type), value_set=self.distinct, skip_nulls=pa.types.is_primitive(self.keys.type))
+        if not len(self.number):
+            return np.full(len(keys), -1)
+        at = np.asarray(at.fill_null(-1))
+        return np.where(at < 0, -1, self.number[at])
+
+    def rows(self, vecs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Steps of rows: place of the first, the rows with a 1 behind, their squares, a bound of the products' rounding, and whether it is finite."""
+        for first in range(0, len(vecs), TILE_ROWS):
+            some = vecs[first:first + TILE_ROWS]
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = np.einsum("ij,ij->i", some, some)
+                slack = 8 * (some.shape[1] + 8) * np.finfo(float).eps * (squares + self.most)
+            yield first, np.hstack([some, np.ones((len(some), 1))]), squares, slack, np.isfinite(slack)
+
+    def tiles(self, rows: np.ndarray, at: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+        for start in range(at, len(self), TILE_POINTS):
+            yield start, rows @ self.product[:, start:start + TILE_POINTS]
+
+    def nearest(self, vecs: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, rank, place, distance)`` of the k nearest points of every row, as ``_closest`` gives them."""
+        out = [(np.zeros(0, int), np.zeros(0, np.int32), np.zeros(0, int), np.zeros(0))]
+
+        def told(row: int, near: np.ndarray, d: np.ndarray) -> None:
+            out.append((np.full(len(near), row), np.arange(1, len(near) + 1, dtype=np.int32), near, d))
+
+        order = np.argsort(self.order[:TILE_POINTS], kind="stable")
+        sorted_own = self.order[:TILE_POINTS][order]
+        for first, rows, _, slack, sure in self.rows(vecs) if len(self) else ():
+            mine = None if own is None else own[first:first + len(rows)]
+            for i in np.flatnonzero(~sure & np.isfinite(rows).all(axis=1)):  # squares beyond the greatest number
+                told(first + i, *_closest(self.points, self.order, rows[i, :-1], k, None if mine is None else mine[i]))
+            if not sure.any():
+                continue
+            back = np.flatnonzero(sure)
+            rows, slack, mine = rows[sure], slack[sure], None if mine is None else mine[sure]
+            _, start = next(self.tiles(rows))
+            open_ = start
+            if mine is not None:
+                low, high = np.searchsorted(sorted_own, mine, "left"), np.searchsorted(sorted_own, mine, "right")
+                who = np.repeat(np.arange(len(rows)), high - low)
+                place = np.arange(len(who)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+                open_ = start.copy()
+                open_[who, order[place]] = -np.inf
+            least = np.full(len(rows), -np.inf)
+            if open_.shape[1] >= k:  # the k-th nearest of some points is no nearer than that of all
+                least = np.partition(open_, -k, axis=1)[:, -k] - slack
+            hits = []
+            for at, rough in ((0, start), *self.tiles(rows, TILE_POINTS)):
+                hit = np.flatnonzero(rough >= least[:, None])
+                hits.append((hit // rough.shape[1], hit % rough.shape[1] + at))
+            row, place = (np.concatenate(x) for x in zip(*hits))
+            if mine is not None:
+                other = self.order[place] != mine[row]
+                row, place = row[other], place[other]
+            if len(row) > PAIRS:  # many points as near as each other: row by row
+                by = np.argsort(row, kind="stable")
+                for i, some in zip(range(len(rows)), np.split(place[by], np.searchsorted(row[by], np.arange(1, len(rows))))):
+                    if len(some):
+                        near, d = _closest(self.points[some], self.order[some], rows[i, :-1], k, None)
+                        told(first + back[i], some[near], d)
+                continue
+            d = np.sqrt(((self.points[place] - rows[row, :-1]) ** 2).sum(axis=1))
+            by = np.lexsort((self.order[place], d, row))
+            by = by[np.isfinite(d[by])]
+            row, place, d = row[by], place[by], d[by]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            few = rank < k
+            out.append((first + back[row[few]], (rank[few] + 1).astype(np.int32), place[few], d[few]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _vectors(df: DataFrame, vector: str) -> Column:
+    """The vectors as they are if they are floats, which numbers of half the size carry whole, as doubles otherwise."""
+    return F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+
+
+def _meet(train: DataFrame, score: DataFrame, groups: int, told: Callable, schema: str) -> DataFrame:
+    """Training rows and rows to score of equal ``at`` (from 0 to ``groups``), one group a task; rows to score stream by and are not held.
+
+    ``told(block, rows)`` yields record batches; ``block`` has what ``told.block`` makes of all training rows of the group.
+    """
+    kinds = dict([*train.dtypes, *score.dtypes])
+    fill = lambda df: df.select("at", "side", *[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in sorted(kinds) if c not in ("at", "side")])
+    both = fill(train.withColumn("side", F.lit(0))).unionByName(fill(score.withColumn("side", F.lit(1))))
+    make, tell = told
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, block = None, [], None
+        for batch in batches:
+            at, side = (batch.column(c).to_numpy() for c in ("at", "side"))
+            edges = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if at[a] != group:
+                    group, parts, block = at[a], [], None
+                if side[a] == 0:
+                    parts.append(batch.slice(a, b - a))
+                elif parts:
+                    if block is None:
+                        held = pa.Table.from_batches(parts)
+                        block, parts = make({c: held.column(c).combine_chunks() for c in held.column_names}), parts[:1]
+                    yield from tell(block, batch.slice(a, b - a))
+
+    return both.repartitionById(groups, F.col("at").cast("int")).sortWithinPartitions("at", "side").mapInArrow(scan, schema)
+
+
 def _nearest_shipped(train: DataFrame, score: DataFrame, key: str, vector: str, label: str, k: int, exclude_self: bool) -> DataFrame:
-    doubles = F.col(vector).cast("array<double>").alias("vec")
-    held = train.select(F.col(key).alias("tk"), F.col(label).cast("string").alias("label"), doubles).toPandas()
-    points = np.stack(held["vec"].to_numpy()) if len(held) else np.zeros((0, 1))
-    names = held["label"].to_numpy(dtype=object)
-    shared = score.sparkSession.sparkContext.broadcast((points, held["tk"].to_numpy(), names))
+    held = train.select(F.col(key).alias("tk"), F.col(label).cast("string").alias("label"), _vectors(train, vector).alias("vec")).toArrow()
+    shared = score.sparkSession.sparkContext.broadcast(held)
     kind, own_kind = dict(score.dtypes)[key], dict(train.dtypes)[key]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, ids, names = shared.value
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            out = [pd.DataFrame({"sk": batch["sk"][:0], "rank": np.zeros(0, np.int32), "tk": ids[:0], "label": names[:0], "dist": np.zeros(0)})]
-            for sk, vec in zip(batch["sk"], batch["vec"]) if len(ids) else ():
-                near, d = _closest(points, ids, np.asarray(vec), k, sk if exclude_self else None)
-                out.append(pd.DataFrame({"sk": sk, "rank": np.arange(1, len(near) + 1, dtype=np.int32), "tk": ids[near], "label": names[near], "dist": d}))
-            yield pd.concat(out, ignore_index=True)
-
-    rows = score.select(F.col(key).alias("sk"), doubles)
-    found = rows.mapInPandas(scan, f"sk {kind}, rank int, tk {own_kind}, label string, dist double")
+            block = block or Block(*[shared.value.column(c).combine_chunks() for c in ("tk", "vec", "label")])
+            yield _told(block, batch, k, exclude_self)
+
+    rows = score.select(F.col(key).alias("sk"), _vectors(score, vector).alias("vec"))
+    found = rows.mapInArrow(scan, f"sk {kind}, rank int, tk {own_kind}, label string, dist double")
     return found.select(F.col("sk").alias(key), "rank", F.col("tk").alias("neighbour"), "label", "dist")
 
 
+def _told(block: Block, batch: pa.RecordBatch, k: int, exclude_self: bool) -> pa.RecordBatch:
+    vecs = _matrix(batch.column("vec"))
+    row, rank, place, d = block.nearest(vecs, block.own(batch.column("sk")) if exclude_self else None, k)
+    columns = [batch.column("sk").take(pa.array(row)), pa.array(rank), block.keys.take(pa.array(place)), block.others[0].take(pa.array(place)), pa.array(d)]
+    return pa.RecordBatch.from_arrays(columns, ["sk", "rank", "tk", "label", "dist"])
+
+
+def _blocks(rows: int, width: float, block_rows: int) -> int:
+    """Blocks of ``block_rows``, of ``BLOCK_VALUES`` numbers where that is not given."""
+    size = max(1, int(BLOCK_VALUES / max(width, 1))) if block_rows == BLOCK_ROWS else block_rows
+    return max(1, math.ceil(rows / size))
+
+
 def nearest(train: DataFrame, score: DataFrame, key: str, vector: str, label: str, k: int = 5,
             exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``key, neighbour, label, dist``: the k nearest training rows of each row; ties by neighbour key."""
-    if block_rows == BLOCK_ROWS:
-        held = train.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()["values"]
-        if held <= SHIPPED_VALUES:
-            return _nearest_shipped(train, score, key, vector, label, k, exclude_self)
-    tb, sb = _blocks(train, block_rows), _blocks(score, block_rows)
+    held = train.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values"), F.count(F.lit(1)).alias("rows")).first()
+    if block_rows == BLOCK_ROWS and held["values"] <= SHIPPED_VALUES:
+        return _nearest_shipped(train, score, key, vector, label, k, exclude_self)
+    width = held["values"] / max(held["rows"], 1)
+    tb = _blocks(held["rows"], width, block_rows)
+    # Rows to score need no bound; they are cut as finely as training rows, and finer where there would be too few tasks.
+    tasks = 3 * train.sparkSession.sparkContext.defaultParallelism
+    sb = max(_blocks(score.count(), width, block_rows), math.ceil(tasks / tb))
 
     def block(n):
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -74,22 +233,18 @@ def nearest(train: DataFrame, score: DataFrame, key: str, vector: str, label: st
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     kind = dict(score.dtypes)[key]
-    as_doubles = F.col(vector).cast("array<double>").alias("vec")
-    a = train.select(F.col(key).alias("tk"), F.col(label).cast("string").alias("label"), as_doubles, block(tb).alias("tb"), every(sb).alias("sb"))
-    b = score.select(F.col(key).alias("sk"), as_doubles, block(sb).alias("sb"), every(tb).alias("tb"))
-
-    def closest(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if t.empty or s.empty:
-            return pd.DataFrame({"sk": [], "tk": [], "label": [], "dist": []}).astype({"sk": s["sk"].dtype, "tk": t["tk"].dtype})
-        points, ids, names = np.stack(t["vec"].to_numpy()), t["tk"].to_numpy(), t["label"].to_numpy()
-        out = []
-        for sk, vec in zip(s["sk"].to_numpy(), s["vec"]):
-            near, d = _closest(points, ids, np.asarray(vec), k, sk if exclude_self else None)
-            out.append(pd.DataFrame({"sk": sk, "tk": ids[near], "label": names[near], "dist": d}))
-        return pd.concat(out, ignore_index=True)
-
-    found = a.groupBy("tb", "sb").cogroup(b.groupBy("tb", "sb")).applyInPandas(
-        closest, f"sk {kind}, tk {kind}, label string, dist double")
+    a = train.select(F.col(key).cast(kind).alias("tk"), F.col(label).cast("string").alias("label"), _vectors(train, vector).alias("vec"), block(tb).alias("tb"), every(sb).alias("sb"))
+    b = score.select(F.col(key).alias("sk"), _vectors(score, vector).alias("vec"), block(sb).alias("sb"), every(tb).alias("tb"))
+    at = (F.col("tb") * sb + F.col("sb")).alias("at")
+
+    def make(held: dict[str, pa.Array]) -> Block:
+        return Block(held["tk"], held["vec"], held["label"])
+
+    def tell(held: Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield _told(held, batch, k, exclude_self)
+
+    found = _meet(a.select(at, "tk", "label", "vec"), b.select(at, "sk", "vec"), tb * sb, (make, tell),
+                  f"sk {kind}, rank int, tk {kind}, label string, dist double").drop("rank")
     order = Window.partitionBy("sk").orderBy("dist", "tk")  # at most k per training block
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return top.select(F.col("sk").alias(key), "rank", F.col("tk").alias("neighbour"), "label", "dist")
