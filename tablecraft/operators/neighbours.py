@@ -1,4 +1,4 @@
-"""Exact k-nearest neighbours.
+"""Exact k-nearest neighbours, and pairs within a distance by locality-sensitive hashing.
 
 Training rows counted to be few (``SHIPPED_VALUES`` numbers in all, 32 MB) are sent to every task once and each row is
 scored where it is, without a shuffle. More training rows are cut into blocks of ``BLOCK_VALUES`` numbers: a task holds one block and
@@ -148,6 +148,35 @@ class Block:
             out.append((first + back[row[few]], (rank[few] + 1).astype(np.int32), place[few], d[few]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def within(self, vecs: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]]:
+        """Rows and places of pairs that may be nearer than the threshold, and a function that measures chosen ones of them."""
+        whole = np.isfinite(vecs).all(axis=1)
+        for first, rows, squares, slack, sure in self.rows(vecs):
+            ready = sure.all()
+            with np.errstate(over="ignore", invalid="ignore"):
+                for at in range(0, len(self), TILE_POINTS):
+                    if ready:
+                        rough = rows @ self.product[:, at:at + TILE_POINTS]
+                        hit = np.flatnonzero(rough > ((squares - threshold ** 2) / 2 - slack)[:, None])
+                        flat = rough.ravel()
+                    else:
+                        tile = self.points[at:at + TILE_POINTS]
+                        hit = np.flatnonzero(np.repeat(whole[first:first + len(rows)], len(tile)))
+                    width = min(TILE_POINTS, len(self) - at)
+                    row, place = hit // width, hit % width + at
+
+                    def measured(chosen: np.ndarray) -> np.ndarray:
+                        r, p = row[chosen], place[chosen]
+                        d = squares[r] - 2 * flat[hit[chosen]] if ready else np.full(len(r), -1.0)
+                        # Where rounding counts, as near the threshold and between near points, from the differences, added up in their order.
+                        some = np.flatnonzero(~((np.abs(d - threshold ** 2) > 4 * slack[r]) & (d > 0.01 * (squares[r] + self.most))))
+                        for i in range(0, len(some), PAIRS):
+                            j = some[i:i + PAIRS]
+                            d[j] = np.cumsum((rows[r[j], :-1] - self.points[p[j]]) ** 2, axis=1)[:, -1]
+                        return np.sqrt(d)
+
+                    yield first + row, place, measured
+
 
 def _vectors(df: DataFrame, vector: str) -> Column:
     """The vectors as they are if they are floats, which numbers of half the size carry whole, as doubles otherwise."""
@@ -265,16 +294,86 @@ def knn_classify(train: DataFrame, score: DataFrame, key: str, vector: str, labe
 
 
 def approximate_neighbours(train: DataFrame, score: DataFrame, vector: str, key: str, threshold: float,
-                           bucket: float = 2.0, tables: int = 3, exclude_self: bool = False) -> DataFrame:
-    """Pairs within ``threshold`` found by locality-sensitive hashing: faster, may miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def vectors(df):
-        return df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+                           bucket: float = 2.0, tables: int = 3, exclude_self: bool = False, cell_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs within ``threshold`` found by locality-sensitive hashing: faster, may miss some.
 
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=42).fit(vectors(train))
-    pairs = model.approxSimilarityJoin(vectors(score), vectors(train), threshold, "dist")
-    if exclude_self:
-        pairs = pairs.filter(F.col(f"datasetA.{key}") != F.col(f"datasetB.{key}"))
-    return pairs.select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("neighbour"), "dist")
+    The pairs of ``approxSimilarityJoin``, told in the first table where the two share a bucket, so that no pair passes a shuffle. Buckets of
+    up to ``cell_rows`` rows meet in cells of about so many; a greater one has cells of its own, blocks of training rows by pieces of the others.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    spark = train.sparkSession
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=42)
+    vectors = lambda df: df.withColumn("_v", array_to_vector(F.col("vec").cast("array<double>")))
+    chosen = lambda df: df.select(F.col(key).alias("key"), _vectors(df, vector).alias("vec"))
+    model = lsh.fit(vectors(chosen(train)))
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        rows = chosen(df).where("key is not null") if exclude_self else chosen(df)
+        tags = F.array(*[vector_to_array(F.col("_h")[i])[0] for i in range(tables)])
+        told = model.transform(vectors(rows.distinct())).select(F.col("key").alias(name), "vec", tags.alias("tags"))
+        return told.select("*", F.posexplode("tags").alias("table", "bucket"))
+
+    a, b = hashed(train, "tk"), hashed(score, "sk")
+    sizes = a.select("table", "bucket", F.lit(1).alias("t"), F.lit(0).alias("s")).unionByName(
+        b.select("table", "bucket", F.lit(0).alias("t"), F.lit(1).alias("s"))).groupBy("table", "bucket").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
+    great = F.greatest("t", "s") > cell_rows
+    total = sizes.agg(F.sum(F.when(~great, F.col("t") + F.col("s"))).alias("small"), F.count_if(great).alias("great")).first()
+    width = train.agg(F.avg(F.size(vector)).alias("width")).first()["width"] or 1
+    block = max(1, int(BLOCK_VALUES / max(width, 1)))
+    cells = math.ceil((total["small"] or 0) / (2 * cell_rows))
+    pieces = math.ceil(3 * spark.sparkContext.defaultParallelism / max(1, cells + total["great"]))
+    groups, hot = cells * pieces, []
+    for r in sizes.where(great & (F.col("t") > 0) & (F.col("s") > 0)).collect():  # one for each ``cell_rows`` rows at most
+        blocks, parts = math.ceil(r["t"] / block), max(pieces, math.ceil(r["s"] / block))
+        hot.append((r["table"], r["bucket"], groups, blocks, parts))
+        groups += blocks * parts
+    own = F.broadcast(spark.createDataFrame(hot, "table int, bucket double, first int, blocks int, parts int"))
+    cell = F.pmod(F.xxhash64("table", "bucket"), F.lit(max(cells, 1))).cast("int") * pieces
+
+    def dealt(rows: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+        placed = rows.join(own, ["table", "bucket"], "left").select(
+            name, "vec", "tags", "table", F.coalesce("first", cell).alias("first"), F.coalesce("blocks", F.lit(1)).alias("blocks"),
+            F.coalesce("parts", F.lit(pieces)).alias("parts"))
+        part = F.pmod(F.xxhash64(name, "vec"), F.col(mine)).cast("int").alias(f"{mine}_at")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")
+        return placed.select("*", part, every).withColumn("at", F.col("first") + F.col("blocks_at") * F.col("parts") + F.col("parts_at"))
+
+    def make(held: dict[str, pa.Array]) -> tuple[Block, np.ndarray, np.ndarray]:
+        found = Block(held["tk"], held["vec"], held["table"], held["tags"])
+        return found, np.asarray(found.others[0]), _matrix(found.others[1])
+
+    def tell(held, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        points, table, tags = held
+        vecs, my_table, my_tags = _matrix(batch.column("vec")), np.asarray(batch.column("table")), _matrix(batch.column("tags"))
+        mine = points.own(batch.column("sk")) if exclude_self else None
+        waiting, n = [], 0
+
+        def sent() -> pa.RecordBatch:
+            row, place, d = (np.concatenate(x) for x in zip(*waiting))
+            return pa.RecordBatch.from_arrays([batch.column("sk").take(pa.array(row)), points.keys.take(pa.array(place)), pa.array(d)], ["sk", "tk", "dist"])
+
+        for row, place, measured in points.within(vecs, threshold):
+            at = my_table[row]
+            ok = (at == table[place]) & (my_tags[row, at] == tags[place, at])
+            for i in range(tables - 1):  # pairs that met in an earlier table
+                ok &= (at <= i) | (my_tags[row, i] != tags[place, i])
+            if mine is not None:
+                ok &= points.order[place] != mine[row]
+            ok = np.flatnonzero(ok)
+            d = measured(ok)
+            near = d < threshold
+            waiting.append((row[ok][near], place[ok][near], d[near]))
+            n += int(near.sum())
+            if n >= PAIRS:
+                yield sent()
+                waiting, n = [], 0
+        if n:
+            yield sent()
+
+    kinds = dict(score.dtypes)[key], dict(train.dtypes)[key]
+    found = _meet(dealt(a, "tk", "blocks", "parts").select("at", "tk", "vec", "tags", "table"),
+                  dealt(b, "sk", "parts", "blocks").select("at", "sk", "vec", "tags", "table"), max(groups, 1), (make, tell),
+                  f"sk {kinds[0]}, tk {kinds[1]}, dist double")
+    return found.select(F.col("sk").alias(key), F.col("tk").alias("neighbour"), "dist")

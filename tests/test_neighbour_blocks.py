@@ -44,3 +44,27 @@ def test_default_blocks_hold_numbers_not_rows(spark, monkeypatch):
     assert neighbours.nearest(df, df.where("id < 1000"), "id", "v", "l", 2, True).count() == 2000
     # One block of training rows for all 9,000 of two numbers each: a row to score is sent once, not once for every 4,000.
     assert dealt[0][1] == 1000
+
+
+@pytest.mark.parametrize("cell_rows", [neighbours.BLOCK_ROWS, 20])
+@pytest.mark.parametrize("bucket", [0.4, 2.0])
+def test_approximate_equals_the_hashed_join(spark, cell_rows, bucket):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    points = _rows(160).tolist()
+    rows = [(i, p) for i, p in enumerate(points)] + [(3, points[3]), (4, points[9])]  # a copy of a row, and a key with two vectors
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    vectors = df.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("_v"))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=3, seed=42).fit(vectors)
+    pairs = model.approxSimilarityJoin(vectors, vectors, 1.5, "dist").where("datasetA.id <> datasetB.id")
+    wanted = sorted((r[0], r[1], round(r[2], 9)) for r in pairs.select("datasetA.id", "datasetB.id", "dist").collect())
+    found = neighbours.approximate_neighbours(df, df, "v", "id", 1.5, bucket, 3, True, cell_rows=cell_rows)
+    assert sorted((r["id"], r["neighbour"], round(r["dist"], 9)) for r in found.collect()) == wanted and wanted
+
+
+def test_approximate_pairs_pass_no_shuffle(spark):
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(_rows(40))], "id long, v array<float>")
+    plan = neighbours.approximate_neighbours(df, df, "v", "id", 1.5, exclude_self=True)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and not {"Exchange", "Aggregate"} & set(plan[:plan.index("MapInArrow")].replace("(", " ").split())
