@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablecraft.operators import learning, metrics, neighbours, tree_values
 from tablecraft.plans.catalogue.charts import SHIPPED, shipped
 from tablecraft.plans.catalogue.registry import query, r, rounded
+from tablecraft.session import store
 
 ITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]  # together unique
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "p_retailprice"]
@@ -61,7 +62,7 @@ def _(t):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    data = learning.prepare(items(t), ITEM_FEATURES, "l_extendedprice", "regression", ITEM_KEYS)
+    data = store(learning.prepare(items(t), ITEM_FEATURES, "l_extendedprice", "regression", ITEM_KEYS))  # joined once for all passes
     fitted = Pipeline(stages=learning.feature_stages(data, ITEM_FEATURES)).fit(data).transform(data)
     values = fitted.select(*ITEM_KEYS, vector_to_array("features").alias("f"))
     return values.agg(F.count(F.lit(1)).alias("rows"), *[(F.round(F.avg(F.col("f")[i]), 6) + 0.0).alias(f"mean_{i}") for i in range(len(ITEM_FEATURES))],
