@@ -138,10 +138,14 @@ def slot_features(run: Training, model: PipelineModel) -> list[str]:
     return [own[slot] if slot in own else own[max((k for k in own if slot.startswith(f"{k}_")), key=len)] for _, slot in slots]
 
 
+def in_training(keys: Sequence[str], train_pct: int = 80, seed: int = SEED) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100)) < train_pct
+
+
 def hash_split(df: DataFrame, keys: Sequence[str], train_pct: int = 80, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Repeatable split by the hash of the row key."""
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100))
-    return df.filter(bucket < train_pct), df.filter(bucket >= train_pct)
+    inside = in_training(keys, train_pct, seed)
+    return df.filter(inside), df.filter(~inside)
 
 
 def stratified_split(df: DataFrame, keys: Sequence[str], label: str, train_share: float = 0.8,
@@ -216,16 +220,22 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
 
     One driver loop over a handful of estimators; each fit is a distributed job on stored splits.
     """
+    part = "__train"
+    while part in df.columns:
+        part = f"_{part}"
+    as_text = [c for c in features if c not in {*keys, target} and not is_numeric(df, c)]  # as ``model_input`` reads them; not all kinds can be stored
+    used = [F.col(_q(c)).cast("string").alias(c) if c in as_text else F.col(_q(c)) for c in dict.fromkeys([*keys, *features, target])]
+    df = store(df.select(*used, in_training(keys).alias(part)))  # what makes the rows, such as a join, runs once
     problem = problem or problem_type(df, target)
     codes = code_tables(df, wide_text(df, features))
-    data = prepare(df, features, target, problem, keys, codes)
     run = Training(problem, list(features), codes=codes)
     if problem == "regression":
-        part_a, part_b = hash_split(data, keys)
-        run.train = store(part_a.withColumn("label", F.col("label_raw")))
-        run.test = store(part_b.withColumn("label", F.col("label_raw")))
+        data = prepare(df, features, target, problem, [*keys, part], codes).withColumn("label", F.col("label_raw"))
+        data = store(data) if codes else data
+        run.train, run.test = data.filter(F.col(part)).drop(part), data.filter(~F.col(part)).drop(part)
         classes = 0
     else:
+        data = prepare(df, features, target, problem, keys, codes)
         if data.agg(F.approx_count_distinct("label_raw").alias("d")).first()["d"] > MAX_LEVELS:
             raise ValueError(f"{target!r} has too many classes for classification")
         indexer = StringIndexer(inputCol="label_raw", outputCol="label", stringOrderType="alphabetAsc").fit(data)
