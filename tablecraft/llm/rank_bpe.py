@@ -222,12 +222,13 @@ class Bpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Bpe] = {}
+_LOADED: dict[str, Bpe] = {}
 
 
 def _loaded(shared) -> Bpe:
-    """One encoder for each vocabulary and Python worker, so that remembered words serve many batches."""
+    """The worker's encoder of a vocabulary, so that remembered words serve many batches; workers outlive queries, so they keep one only."""
     if shared.id not in _LOADED:
+        _LOADED.clear()
         _LOADED[shared.id] = Bpe(shared.value)
     return _LOADED[shared.id]
 
@@ -242,10 +243,10 @@ def _share(spark: SparkSession, path: str | None):
 
 
 class _Shared:
-    """A broadcast together with its number, which stays the same in every worker."""
+    """A broadcast text together with its digest, by which every worker knows it, whichever query sent it."""
 
     def __init__(self, cast):
-        self.cast, self.id = cast, cast._jbroadcast.id()
+        self.cast, self.id = cast, hashlib.sha256(cast.value.encode("utf-8", "surrogatepass")).hexdigest()
 
     @property
     def value(self):
