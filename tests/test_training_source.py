@@ -33,3 +33,14 @@ def test_split_is_that_of_the_keys(spark, tmp_path):
     inside, outside = learning.hash_split(df, ["key"])
     keys = lambda rows: sorted(r["key"] for r in rows.select("key").collect())
     assert keys(run.train) == keys(inside) and keys(run.test) == keys(outside) and "__train" not in run.train.columns
+
+
+def test_preprocessing_makes_its_rows_once(spark, tmp_path, monkeypatch):
+    from tablecraft.plans.catalogue import QUERIES, learning as queries
+
+    rows = _counted(spark, tmp_path / "items").selectExpr(
+        "key AS l_orderkey", "1 AS l_linenumber", "1 AS l_partkey", "1 AS l_suppkey", "key AS l_shipdate", "a AS l_quantity", "a % 5 AS l_discount", "a % 3 AS l_tax",
+        "word AS l_returnflag", "a * a AS p_retailprice", "y AS l_extendedprice")
+    monkeypatch.setattr(queries, "items", lambda t: rows)
+    assert QUERIES["ml02_preprocess"](spark, "").first()["rows"] == 400
+    assert len(list((tmp_path / "items").iterdir())) == 1
