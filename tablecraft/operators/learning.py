@@ -257,7 +257,8 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
                 ready = Pipeline(stages=stages).fit(run.train)
                 vectors = store(ready.transform(run.train).select("features", "label"))
             model = PipelineModel(stages=[*ready.stages, estimator.fit(vectors)])
-            scored = model.transform(run.test)
+            # An aggregate's tasks carry its whole plan; from stored rows that is without the model that scored them.
+            scored = store(model.transform(run.test).select("label", "prediction"))
             if problem == "regression":
                 m = regression_metrics(scored).first()
                 figures = (m["r2"], m["rmse"], m["mae"], m["mse"])

@@ -319,9 +319,10 @@ def _(t):
                               (class_run(t, "Decision Tree", "Random Forest"), ORDER_KEYS, ", three classes")):
         for name in sorted(run.models):
             answer = "rawPrediction" if name == "Gradient Boosting" else "probability"
-            scored = run.predictions(name, run.train).select(*keys, F.posexplode(vector_to_array(answer)).alias("place", "answer"))
+            # Both sides are stored: the tasks of a join carry its whole plan, and the model in it.
+            scored = store(run.predictions(name, run.train).select(*keys, F.posexplode(vector_to_array(answer)).alias("place", "answer")))
             label = F.get(F.array(*[F.lit(c) for c in run.labels]), "place")
-            told = tree_values.tree_values(run, keys, name).withColumn("total", total)
+            told = store(tree_values.tree_values(run, keys, name).select(*keys, "output", total.alias("total")))
             both = told.join(scored.withColumn("output", label), [*keys, "output"])
             outputs = 1 if name == "Gradient Boosting" else len(run.labels)
             row = both.agg(F.count_if(F.abs(F.col("total") - F.col("answer")) > 1e-9).alias("off"), F.count(F.lit(1)).alias("n")).first()
@@ -346,11 +347,11 @@ def _(t):
 def _recomputed(t, run, keys) -> DataFrame:
     """``model, same``: whether the leaderboard's score follows from the model's held-out rows.
 
-    Each model's rows are reduced to one number by a plan of their own: one plan over all models would carry all of them.
+    Each model's rows are stored, as the tasks of an aggregate or join carry its whole plan, and the model in it.
     """
     found = []
     for model, score, *_ in run.rows:
-        rows = learning.actual_vs_predicted(run, keys, model)
+        rows = store(learning.actual_vs_predicted(run, keys, model).drop(*keys))
         if run.problem == "regression":
             e = F.col("actual") - F.col("prediction")
             again = rows.agg((1 - F.sum(e * e) / (F.var_pop("actual") * F.count(F.lit(1)))).alias("s"))
