@@ -78,3 +78,22 @@ def test_levels_grow_geometrically(spark):
         assert len(index.levels) <= 3
     whole = texts.mapInArrow(suffixes._entries, suffixes.ENTRY_DDL).groupBy("key", "context").count()
     assert sorted(map(tuple, index.all().groupBy("key", "context").sum("n").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_large_classes_dealt_by_places(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", 2)
+    monkeypatch.setattr(suffixes, "SHARE", 1 << 40)
+    found = check(spark.createDataFrame(planted(), "doc_id long, text string"))
+    assert 20 < sum(r[2] > 0 for r in found) < 72
+
+
+def test_no_group_holds_a_large_class(spark, monkeypatch):
+    # Texts that hold the same 200 bytes and differ around them: one class, of which no two contexts have a window in common.
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", 20)
+    seen, dealt = [], suffixes._dealt
+    monkeypatch.setattr(suffixes, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    common = prose(60, 1)[:200]
+    rows = [(i, f"{prose(80, 10 + i)} {common} {prose(80, 300 + i)}") for i in range(200)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in seen[0].groupBy("group").count().collect()]
+    assert sum(sizes) >= 200 and max(sizes) < sum(sizes) / 8
