@@ -55,3 +55,45 @@ def test_empty_sides(spark):
     assert lookup.grid_join(a.limit(0), b, ["k"], "left").count() == 0
     assert lookup.grid_join(a, b.limit(0), ["k"], "left").count() == 1500
     assert rows_of(lookup.grid_join(a, b, ["k"], "left_anti").where("k = 8").agg(F.count("x"))) == [(500,)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def same_rows(found, a, b, how, null_safe=True):
+    on = a["k"].eqNullSafe(b["k"]) if null_safe else a["k"] == b["k"]
+    plain = a.join(b, on, how).select(F.coalesce(a["k"], b["k"]).alias("k"), "x", "y")
+    told = lambda df: df.agg(*[F.count(c) for c in ("*", "k", "x", "y")], F.sum(F.xxhash64(*[F.coalesce(c, F.lit(-1)) for c in ("k", "x", "y")]).cast("decimal(38)"))).first()
+    return found.columns == ["k", "x", "y"] and told(found) == told(plain)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_small_side_is_broadcast_whichever_it_is(spark, monkeypatch, how, turned):
+    a, b = sides(spark)
+    if turned:
+        a, b = b.select("k", F.col("y").alias("x")), a.select("k", F.col("x").alias("y"))
+    monkeypatch.setattr(joining, "BROADCAST_ROWS", 1000)  # of 1,500 and 900 rows
+    found = joining.join_tables(a, b, "k", "k", how)
+    assert "SortMergeJoin" not in plan_of(found) and same_rows(found, a, b, how)
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_a_side_of_some_broadcasts_is_cut_into_slices(spark, monkeypatch, how, null_safe):
+    a, b = sides(spark)
+    monkeypatch.setattr(joining, "BROADCAST_ROWS", 200)
+    monkeypatch.setattr(joining, "TASK_PAIRS", 10_000)
+    found = joining.join_tables(a, b, "k", "k", how, null_safe=null_safe)
+    plan = plan_of(found)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 5
+    assert same_rows(found, a, b, how, null_safe)
+
+
+def test_copies_in_slices(spark, monkeypatch):
+    a, b = sides(spark)
+    a, b = a.union(a), b.union(b.where("k = 7"))
+    monkeypatch.setattr(joining, "BROADCAST_ROWS", 200)
+    assert joining.join_tables(a, b, "k", "k").where("k = 7").count() == 1000 * 600
+    assert same_rows(joining.join_tables(a, b, "k", "k", "outer"), a, b, "outer")
