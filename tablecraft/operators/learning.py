@@ -29,6 +29,8 @@ from tablecraft.session import materialize, store
 SEED = 42
 MAX_LEVELS = 10_000
 FAILED_SCORE = -999.0
+# Slots of a vector that ``sampled_shap`` hands over as numbers.
+MOST_SLOTS = 1_000
 
 
 def problem_type(df: DataFrame, target: str | None, rule: str = "server") -> str:
@@ -371,15 +373,47 @@ def sampled_shap(run: Training, keys: Sequence[str], name: str | None = None, ro
                  permutations: int = 8, k: int = 15) -> DataFrame:
     """``feature, mean_abs_shap`` of any model by sampled permutations, for all training rows unless ``rows`` limits them.
 
-    Rows are dealt by their keys before they are multiplied, so steps of a row meet where they are scored, without a shuffle of their own.
     Absent features come from ``background`` rows, a bounded sample by definition of the method. Two classes are told by
-    the chance of the second, more classes by the mean over all of them. Every (row, permutation) yields one coalition row per step; a single ``transform`` scores them all.
+    the chance of the second, more classes by the mean over all of them. Rows of equal keys share the steps of one walk.
+    Models of ``candidates`` score the steps of a row beside it, from parts that are told once for each row and feature (``mixtures``);
+    others, and vectors of over ``MOST_SLOTS``, get one coalition row for each step of each (row, permutation).
     """
+    from tablecraft.operators import mixtures  # which reads trees, and so this module
+
     model = run.models[name or run.best]
-    names = run.features
+    names = sorted(run.features)
     hashed = run.train.withColumn("_h", F.xxhash64(*keys, F.lit(SEED)))
     chosen = hashed if rows is None else hashed.orderBy("_h", *keys).limit(rows)
-    ground = hashed.orderBy(F.desc("_h"), *keys).limit(background).select(*names).collect()  # bounded sample
+    ground = hashed.orderBy(F.desc("_h"), *keys).limit(background)
+    slots = slot_features(run, model)
+    mix = mixtures.mixer(run.train.sparkSession, model.stages[-1], [names.index(c) for c in slots], len(names),
+                         len(run.labels)) if len(slots) <= MOST_SLOTS else None
+    if mix is None:
+        return _shap_by_rows(run, keys, name, chosen, ground, permutations, k)
+    vectors = PipelineModel(stages=model.stages[:-1]).transform
+    base = [r["x"] for r in vectors(ground.select(*run.features)).select(vector_to_array("features").alias("x")).collect()]
+    if not base:
+        return run.train.sparkSession.createDataFrame([], "feature string, mean_abs_shap double")
+    # Two hashes tell a row by its keys, null or not; its steps are in one task, sorted.
+    other = F.xxhash64(*keys, *[F.isnull(c) for c in keys], F.lit(SEED + 1)).alias("_g")
+    dealt = chosen.select("_h", other, *run.features).repartition("_h", "_g").sortWithinPartitions("_h", "_g", *run.features)
+    drawn = F.array(*[x for p in range(1, permutations + 1) for x in (F.xxhash64("_h", F.lit(p)), *[F.xxhash64("_h", F.lit(p), F.lit(c)) for c in names])])
+    each = vectors(dealt).select(F.col("_h").alias("a"), F.col("_g").alias("b"), vector_to_array("features").alias("x"), drawn.alias("r"))
+    told = each.mapInArrow(mixtures.walks(mix, np.array(base), len(names), permutations), "n bigint, sums array<double>")
+    sums = told.select("n", F.posexplode("sums").alias("i", "s")).groupBy("i").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    outputs = 1 if run.problem == "regression" or len(run.labels) == 2 else len(run.labels)
+    feature = F.get(F.array(*[F.lit(c) for c in names]), F.floor(F.col("i") / outputs).cast("int")).alias("feature")
+    return sums.groupBy(feature).agg(F.avg("mean").alias("mean_abs_shap")).orderBy(F.desc("mean_abs_shap"), "feature").limit(k)
+
+
+def _shap_by_rows(run: Training, keys: Sequence[str], name: str | None, chosen: DataFrame, background: DataFrame, permutations: int,
+                  k: int) -> DataFrame:
+    """``sampled_shap`` of any model: a single ``transform`` scores one coalition row for each step.
+
+    Rows are dealt by their keys before they are multiplied, so steps of a row meet where they are scored, without a shuffle of their own.
+    """
+    names = run.features
+    ground = background.select(*names).collect()  # bounded sample
     fields = {f.name: f.dataType for f in run.train.schema}
     pool = F.array(*[F.struct(*[F.lit(r[c]).cast(fields[c]).alias(c) for c in names]) for r in ground])
     row = ["_h", *[f"_k{i}" for i in range(len(keys))]]
