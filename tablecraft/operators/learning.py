@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -29,6 +30,8 @@ from tablecraft.session import materialize, store
 SEED = 42
 MAX_LEVELS = 10_000
 FAILED_SCORE = -999.0
+# Different vectors and classes up to which boosting is fitted on their numbers of rows.
+MOST_KINDS = 100_000
 # Slots of a vector that ``sampled_shap`` hands over as numbers.
 MOST_SLOTS = 1_000
 
@@ -258,7 +261,14 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
             if ready is None:  # features are fitted once for all candidates, and their vectors stored
                 ready = Pipeline(stages=stages).fit(run.train)
                 vectors = store(ready.transform(run.train).select("features", "label"))
-            model = PipelineModel(stages=[*ready.stages, estimator.fit(vectors)])
+                few = problem == "classification" and _kinds(ready, features, run.left_out) * classes <= MOST_KINDS
+            if few and name == "Gradient Boosting":
+                # Each round reads all rows; rows of the same levels and class are one row of their number to it.
+                alike = store(vectors.groupBy("features", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")).coalesce(1))
+                fitted = estimator.copy({estimator.weightCol: "weight"}).fit(alike)
+            else:
+                fitted = estimator.fit(vectors)
+            model = PipelineModel(stages=[*ready.stages, fitted])
             # An aggregate's tasks carry its whole plan; from stored rows that is without the model that scored them.
             scored = store(model.transform(run.test).select("label", "prediction"))
             if problem == "regression":
@@ -279,6 +289,12 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     return run
 
 
+def _kinds(ready: PipelineModel, features: Sequence[str], left_out: Sequence[str]) -> float:
+    """How many different vectors the levels of text features can make, however many rows; endless with a number among the features."""
+    levels = [labels for stage in ready.stages if isinstance(stage, StringIndexerModel) for labels in stage.labelsArray]
+    return math.prod(len(labels) + 1 for labels in levels) if len(levels) == len(set(features) - set(left_out)) else math.inf
+
+
 def linear_coefficients(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """``term, coefficient`` of an ordinary least squares fit in the units of the columns."""
     rows = df.select(as_number(df, target).alias("label"), *[as_number(df, c).alias(c) for c in features]).dropna()
